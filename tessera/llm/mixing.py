@@ -64,11 +64,12 @@ def ranked_weights(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most_epochs: float = 2.0, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of each row, and the columns to keep.
+    """doc_id, source, size, source_size, target, copies and taken of each row, and the columns to keep.
 
     size and weight are expressions of the row; a document's weight must be above 0.
     """
     key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight
+    keep = tuple(c for c in keep if c not in ("doc_id", "source"))
     rows = docs.select("doc_id", "source", *[F.col(c) for c in keep], size.cast("long").alias("size"), key.alias("key"))
     # the key's place in (0, 1): buckets of equal probability for weight 1
     rows = rows.withColumn("bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...
     plan = scratch.keep(plan, "plan")
 
     found = rows.join(_small(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    names = ["doc_id", *keep, "size", "source_size", "target"]
+    names = ["doc_id", "source", *keep, "size", "source_size", "target"]
     clear = found.where("edge is null or bucket <> edge").withColumn("chosen", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id"))
     close = found.where("bucket = edge").withColumn("upto", F.col("before") + upto)

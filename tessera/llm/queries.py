@@ -139,19 +139,19 @@ m as (select x.*, coalesce(c.n_repeat_words, 0) as n_repeat_words from (
 v as (select lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as measure,
   unnest([n_symbols * 10000 // greatest(word_chars, 1), n_dup_lines * 10000 // greatest(n_words, 1), n_repeat_words * 10000 // greatest(n_words, 1), word_chars * 1000 // greatest(n_words, 1)]) as value from m),
 b as (select lang, source, measure, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) as bin from v),
-f0 as (select lang, source, measure, bin, sum(count(*)) over (partition by lang, source, measure order by bin) as upto, sum(count(*)) over (partition by lang, source, measure) as total from b group by all),
-f1 as (select lang, measure, bin, sum(count(*)) over (partition by lang, measure order by bin) as upto, sum(count(*)) over (partition by lang, measure) as total from b group by all),
-f2 as (select measure, bin, sum(count(*)) over (partition by measure order by bin) as upto, sum(count(*)) over (partition by measure) as total from b group by all),
-g0 as (select lang, source, measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f0 group by all),
-g1 as (select lang, measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f1 group by all),
-g2 as (select measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f2 group by all),
+f0 as (select *, sum(n) over (partition by lang, source, measure order by bin) as upto, sum(n) over (partition by lang, source, measure) as total from (select lang, source, measure, bin, count(*) as n from b group by 1, 2, 3, 4)),
+f1 as (select *, sum(n) over (partition by lang, measure order by bin) as upto, sum(n) over (partition by lang, measure) as total from (select lang, measure, bin, count(*) as n from b group by 1, 2, 3)),
+f2 as (select *, sum(n) over (partition by measure order by bin) as upto, sum(n) over (partition by measure) as total from (select measure, bin, count(*) as n from b group by 1, 2)),
+g0 as (select lang, source, measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f0 group by 1, 2, 3),
+g1 as (select lang, measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f1 group by 1, 2),
+g2 as (select measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f2 group by 1),
 q as (select g0.lang, g0.source, g0.measure,
   case when g0.total >= 200 then g0.q1 when g1.total >= 200 then g1.q1 else g2.q1 end as q1,
   case when g0.total >= 200 then g0.q3 when g1.total >= 200 then g1.q3 else g2.q3 end as q3
   from g0 join g1 on g0.lang is not distinct from g1.lang and g0.measure = g1.measure join g2 on g0.measure = g2.measure),
 t as (select lang, source, max(greatest(q3 + 6 * (q3 - q1), 300)) filter (measure = 'symbols') as symbols, max(greatest(q3 + 6 * (q3 - q1), 1000)) filter (measure = 'dup_lines') as dup_lines,
   max(greatest(q3 + 6 * (q3 - q1), 2500)) filter (measure = 'repeats') as repeats, max(greatest(q3 + 6 * (q3 - q1), 9000)) filter (measure = 'word_length') as longest,
-  max(least(q1 - 6 * (q3 - q1), 2000)) filter (measure = 'word_length') as shortest from q group by all)
+  max(least(q1 - 6 * (q3 - q1), 2000)) filter (measure = 'word_length') as shortest from q group by 1, 2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_symbols * 10000 // greatest(word_chars, 1) <= symbols and n_dup_lines * 10000 // greatest(n_words, 1) <= dup_lines
   and n_repeat_words * 10000 // greatest(n_words, 1) <= repeats and word_chars * 1000 // greatest(n_words, 1) between shortest and longest as kept
@@ -163,9 +163,9 @@ with d as (select row_number() over () as rid, doc_id, {_WORDS} as words from do
 w as (select rid, doc_id, unnest(range(1, greatest(len(words) - 48, 1))) as p, unnest([md5(array_to_string(words[i:i+49], ' ')) for i in range(1, greatest(len(words) - 48, 1))]) as h from d),
 m as (select h, min(doc_id) as least from w group by h having count(*) > 1),
 late as (select distinct rid, unnest(range(p, p + 50)) as p from w join m using (h) where doc_id > least),
-gone as (select rid, list(p) as at, count(*) as n from late group by rid)
+gone as (select rid, list(p) as places, count(*) as n from late group by rid)
 select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
-  sha256(array_to_string([words[i] for i in range(1, len(words) + 1) if at is null or not list_contains(at, i)], ' ')) as kept_sha256
+  sha256(array_to_string(list_filter(words, lambda w, i: places is null or not list_contains(places, i)), ' ')) as kept_sha256
 from d left join gone using (rid)
 """
 
@@ -174,7 +174,7 @@ with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e as (select *, length(text) + length(role)
   + length(text) - length(replace(text, chr(92), '')) + length(role) - length(replace(role, chr(92), ''))
-  + list_sum([(length(x) - length(replace(x, m, ''))) // length(m) for x in [text, role] for m in ['<|start|>', '<|message|>', '<|end|>', '<|im_start|>', '<|im_end|>', '<|endoftext|>', '<|system|>', '<|user|>', '<|assistant|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<bos>', '<eos>']]) + 27 as size from c)
+  + list_sum([(length(text || chr(10) || role) - length(replace(text || chr(10) || role, m, ''))) // length(m) for m in ['<|start|>', '<|message|>', '<|end|>', '<|im_start|>', '<|im_end|>', '<|endoftext|>', '<|system|>', '<|user|>', '<|assistant|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<bos>', '<eos>']]) + 27 as size from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars

@@ -100,10 +100,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     bound = int(norms[0] ** 0.5 * norms[1] ** 0.5 * (1 + 1e-9)) + 1  # no score is beyond, by Cauchy and Schwarz
     slots = max(1, min(SLOTS, right.count()))
 
-    low, width = -bound, -(-(2 * bound + 1) // BINS)
+    low, width, bins = -bound, -(-(2 * bound + 1) // BINS), BINS
     state = left.select("number", F.lit(None).cast("array<struct<pos:int,low:long,want:long>>").alias("state"))
     while True:
-        found = _cells(left, right, state, slots).mapInArrow(_histograms(low, width, k), "number long, pos int, bin int, n long, low long, want long")
+        found = _cells(left, right, state, slots).mapInArrow(_histograms(low, width, bins, k), "number long, pos int, bin int, n long, low long, want long")
         found = found.groupBy("number", "pos", "bin", "low", "want").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("number", "pos").orderBy(F.desc("bin")))
         reached = found.withColumn("before", upto - F.col("n")).where("before < want")  # the last of these bins has the k-th score
@@ -112,7 +112,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         state = scratch.keep(state.groupBy("number").agg(F.collect_list(each).alias("state")), "thresholds")  # a block's own queries
         if width == 1:
             break
-        width = -(-width // BINS)
+        finer = -(-width // BINS)
+        width, bins = finer, -(-width // finer)  # the bin that is refined, and no more
     chosen = _cells(left, right, state, slots).mapInArrow(_choose(k), "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return chosen.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -134,7 +135,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]):
             yield x["number"], x["state"], q_ids, c_ids, _scores(q, c), q_ids[:, None] == c_ids[None, :]
 
 
-def _histograms(first_low: int, width: int, k: int):
+def _histograms(first_low: int, width: int, n_bins: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, state, q_ids, _, scores, own in _pairs(batches):
             low, want = np.full(len(q_ids), first_low, dtype=np.int64), np.full(len(q_ids), k, dtype=np.int64)
@@ -143,8 +144,8 @@ def _histograms(first_low: int, width: int, k: int):
                 for s in state:
                     low[s["pos"]], want[s["pos"]] = s["low"], s["want"]
             bins = (scores - low[:, None]) // width
-            row, col = np.nonzero((bins >= 0) & (bins < BINS) & ~own & (want > 0)[:, None])
-            counts = np.bincount(row * BINS + bins[row, col], minlength=len(q_ids) * BINS).reshape(-1, BINS)
+            row, col = np.nonzero((bins >= 0) & (bins < n_bins) & ~own & (want > 0)[:, None])
+            counts = np.bincount(row * n_bins + bins[row, col], minlength=len(q_ids) * n_bins).reshape(-1, n_bins)
             above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
             row, col = np.nonzero((counts > 0) & (above < want[:, None]))
             cols = [np.full(len(row), number), row.astype(np.int32), col.astype(np.int32), counts[row, col], low[row], want[row]]
