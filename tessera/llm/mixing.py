@@ -47,12 +47,15 @@ def targets(sources: DataFrame, share: float = 1.5, most_epochs: float = 2.0) ->
     """(source, source_size, target) of (source, source_size, weight): one row for each source, so its windows are small."""
     cap = F.col("source_size") * F.lit(most_epochs)
     every = Window.partitionBy()
-    filled = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    filled = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = sources.withColumn("cap", cap).withColumn("budget", F.sum("source_size").over(every) * F.lit(share)).withColumn("weights", F.sum("weight").over(every))
     # the water level if all sources that fill up earlier have reached their caps
     rows = rows.withColumn("full", F.coalesce(F.sum("cap").over(filled), F.lit(0.0))).withColumn("gone", F.coalesce(F.sum("weight").over(filled), F.lit(0)))
     level = (F.col("budget") - F.col("full")) / (F.col("weights") - F.col("gone"))
-    rows = rows.withColumn("level", F.min(F.when(level * F.col("weight") <= F.col("cap"), level)).over(every))
+    # the first source in order that its share doesn't fill sets the level for itself and all after it
+    first = F.min(F.when(level * F.col("weight") <= F.col("cap"), F.struct(F.col("place"), level.alias("level")))).over(every)
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("level", first["level"])
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return rows.select("source", "source_size", target.alias("target"))
 

@@ -195,9 +195,10 @@ with d as (select doc_id, source, len({_WORDS})::bigint as size,
   / greatest(0.1, 1.0 - 5.0 * length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) / greatest(length(coalesce(text, '')), 1)) as key from documents),
 s as (select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last)) - 1) % 3 + 1]::double as weight from d group by source),
 f as (select *, source_size * 2.0 as cap, sum(source_size) over () * 1.5 as budget, sum(weight) over () as weights,
-  coalesce(sum(source_size * 2.0) over w, 0.0) as full_before, coalesce(sum(weight) over w, 0) as gone
+  coalesce(sum(source_size * 2.0) over w, 0.0) as full_before, coalesce(sum(weight) over w, 0) as gone,
+  row_number() over (order by source_size * 2.0 / weight, source nulls last) as place
   from s window w as (order by source_size * 2.0 / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-l as (select *, min(case when (budget - full_before) / (weights - gone) * weight <= cap then (budget - full_before) / (weights - gone) end) over () as level from f),
+l as (select *, (select arg_min((budget - full_before) / (weights - gone), place) from f where (budget - full_before) / (weights - gone) * weight <= cap) as level from f),
 t as (select source, source_size, case when level is null then cap else least(cap, level * weight) end as target from l),
 e as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as epochs from t),
 k as (select d.*, source_size, target, epochs, target - epochs * source_size as rest, sum(size) over (partition by d.source order by key, doc_id) as upto from d join e on d.source is not distinct from e.source)
