@@ -57,7 +57,7 @@ def fold(events: DataFrame) -> DataFrame:
         "conv_id",
         "message_id",
         F.expr("log[0].seq").alias("first_seq"),
-        F.expr("coalesce(filter(log, e -> e.order = 0)[0].role, '')").alias("role"),
+        F.expr("coalesce(get(filter(log, e -> e.order = 0), 0).role, '')").alias("role"),
         F.expr(last("e.order in (0, 1, 2)")).alias("from"),
         F.expr("exists(log, e -> e.order = 4)").alias("gone"),
         "log",
