@@ -9,13 +9,14 @@ a multiple of ``window // 2`` in its document.  So:
    Whole-document copies are settled first by a hash of all words.
 2. A key counts if the least document with a block under it is less than the greatest
    document that probes it; runs and blocks under such keys are hits.
-3. Extension: all ``window``-word windows around the hits are hashed (128 bits); the
-   least document of each hash is found by a partial aggregate.  Windows that an
-   earlier document also has, merged where they overlap, are the maximal exact repeats.
+3. Extension: all ``window``-word windows around the hits are hashed (96 bits) and the
+   least document of each hash is found.  Windows that an earlier document also has,
+   merged where they overlap, are the maximal exact repeats.
 
-No list of a key's documents and no pairs are ever made: a key or window hash with a
-third of all documents costs a partial minimum, and the join that brings it back has
-one row for each key on its other side.
+No list of a key's documents and no pairs are ever made.  Steps 2 and 3 are one shuffle
+each: rows sorted by key and document are judged as they stream by.  Before it, each
+task judges the rows of a key that it holds itself and sends on only those that its
+own cannot settle, so that a key with a third of all documents is a few rows a task.
 
 Cases: a null text has no words; a null doc_id counts as greater than any other; rows
 that share a doc_id don't remove from each other, and equal rows get equal results;
@@ -33,17 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .words import Words, slices, span_hashes, utf8
+from .words import Words, mix, slices, span_hashes, utf8
 
 _GRAM = 8
 _LAST = (1 << 63) - 1
+_SECOND = 77
+#: Rows that a task settles at a time.
+_HELD = 1 << 20
+_SPAN = {"doc": "long", "row": "int", "lo": "int", "hi": "int"}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, row, text): row tells rows of one doc_id with different texts apart."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-        F.xxhash64("text").alias("row"),
+        F.hash("text").alias("row"),
         F.col("text"),
     )
 
@@ -58,7 +63,7 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _anchors(batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
+def _anchors(batch: pa.RecordBatch, block: int) -> dict[str, np.ndarray]:
     """Runs of rolling windows with one key: key, doc, row, first and last position, and whether a block starts in it."""
     w = Words(*utf8(batch.column("text")))
     h, room, pos = w.hashes(), w.room(), w.positions()
@@ -72,18 +77,115 @@ def _anchors(batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
     first[1:] = (key[at[1:]] != key[at[:-1]]) | (at[1:] != at[:-1] + 1) | (pos[at[1:]] == 0)
     a = at[first]
     b = at[np.append(first[1:], True)] if len(at) else at
-    lo, hi = pos[a], pos[b]
-    doc = np.repeat(np.arange(batch.num_rows), w.counts)[a]
-    cols = [pa.array(key[a].view(np.int64)), batch.column("doc").take(pa.array(doc)), batch.column("row").take(pa.array(doc))]
-    cols += [pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(hi // block * block >= lo)]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "doc", "row", "lo", "hi", "block"])
+    lo, hi = pos[a].astype(np.int32), pos[b].astype(np.int32)
+    own = np.repeat(np.arange(batch.num_rows), w.counts)[a]
+    doc, row = (batch.column(c).to_numpy()[own] for c in ("doc", "row"))
+    return {"key": key[a].view(np.int64), "doc": doc, "row": row, "lo": lo, "hi": hi, "block": hi // block * block >= lo}
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the number of each row's run."""
+    first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, dtype=bool)
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def _judge_anchors(x: dict[str, np.ndarray], block: int, window: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Of rows sorted by (key, doc): which are hits, which are the last of their key, the spans of window starts around hits and indexed blocks, and whose they are."""
+    starts, group = _groups(x["key"])
+    least = np.minimum.reduceat(np.where(x["block"], x["doc"], _LAST), starts)[group] if len(starts) else x["doc"]
+    most = np.maximum.reduceat(x["doc"], starts)[group] if len(starts) else x["doc"]
+    hit, used = x["doc"] > least, x["block"] & (x["doc"] < most)
+    lo = np.where(hit, x["lo"], -(-x["lo"] // block) * block) - (window - block)
+    hi = np.where(hit, x["hi"], x["hi"] // block * block)
+    own = np.flatnonzero((hit | used) & x["ask"])
+    spans = {"doc": x["doc"][own], "row": x["row"][own], "lo": np.maximum(lo[own], 0).astype(np.int32), "hi": hi[own].astype(np.int32)}
+    return hit, x["doc"] == most, spans, own
+
+
+def _settle_anchors(x: dict[str, np.ndarray], block: int, window: int) -> dict[str, np.ndarray]:
+    """A task's own rows: those that it can settle become spans (kind 1); the rest, and a mark of each key's greatest document, go on."""
+    order = np.lexsort((x["doc"], x["key"]))
+    x = {c: v[order] for c, v in x.items()} | {"ask": np.ones(len(order), dtype=bool)}
+    hit, last, spans, own = _judge_anchors(x, block, window)
+    done = hit[own]  # a used block may yet be a hit of a document elsewhere
+    starts, group = _groups(x["key"])
+    marked = np.zeros(len(starts), dtype=bool)
+    marked[group[last & ~hit]] = True
+    mark = np.zeros(len(hit), dtype=bool)
+    i = np.flatnonzero(last & hit & ~marked[group])
+    mark[i[np.unique(group[i], return_index=True)[1]]] = True
+    go = np.flatnonzero(~hit | mark)
+    sent = {c: x[c][go] for c in ("key", "doc", "row", "lo", "hi", "block")} | {"ask": ~mark[go], "kind": np.zeros(len(go), dtype=np.int8)}
+    sent["block"] = sent["block"] & sent["ask"]
+    kept = {c: v[done] for c, v in spans.items()}
+    n = int(done.sum())
+    route = mix(kept["doc"].astype(np.uint64) + kept["lo"].astype(np.uint64)).view(np.int64)
+    kept |= {"key": route, "block": np.zeros(n, dtype=bool), "ask": np.zeros(n, dtype=bool), "kind": np.ones(n, dtype=np.int8)}
+    return {c: np.concatenate([sent[c], kept[c]]) for c in _ANCHOR}
+
+
+_ANCHOR = {"key": "long", "doc": "long", "row": "int", "lo": "int", "hi": "int", "block": "boolean", "ask": "boolean", "kind": "byte"}
+_WINDOW = {"h1": "long", "h2": "int", "doc": "long", "row": "int", "pos": "int", "kind": "byte"}
+
+
+def _settle_windows(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A task's own windows: those that an earlier document in it has are settled (kind 1)."""
+    order = np.lexsort((x["doc"], x["h2"], x["h1"]))
+    x = {c: v[order] for c, v in x.items()}
+    late = _late(x)
+    x["kind"] = late.astype(np.int8)
+    x["h1"] = np.where(late, mix(x["doc"].astype(np.uint64) * np.uint64(31) + x["pos"].astype(np.uint64)).view(np.int64), x["h1"])
+    return {c: x[c] for c in _WINDOW}
+
+
+def _late(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Of windows sorted by (h1, h2, doc): is there an earlier document with the same."""
+    first = np.ones(len(x["doc"]), dtype=bool)
+    first[1:] = (x["h1"][1:] != x["h1"][:-1]) | (x["h2"][1:] != x["h2"][:-1])
+    return x["doc"] > x["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(first) else first
+
+
+def _record(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in x.values()], names=list(x))
+
+
+def _gathered(parts: Iterator[dict[str, np.ndarray]], settle) -> Iterator[pa.RecordBatch]:
+    """Settles rows of a task, many at a time."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x["doc"])
+        if n >= _HELD:
+            yield _record(settle({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
+            held, n = [], 0
+    if held:
+        yield _record(settle({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], columns: dict[str, str], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Rows that come sorted by a key, as arrays that never part a key's rows."""
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in columns})
+        n += batch.num_rows
+        if n >= 1 << 16:
+            x = {c: np.concatenate([h[c] for h in held]) for c in columns}
+            stop = int(np.searchsorted(x[key], x[key][-1], side="left"))
+            if stop:
+                yield {c: v[:stop] for c, v in x.items()}
+            held, n = [{c: v[stop:] for c, v in x.items()}], 0
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in columns}
 
 
 def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Each document's number of words and a 128-bit hash of them all."""
     w = Words(*utf8(batch.column("text")))
     cols = [batch.column("doc"), batch.column("row"), pa.array(w.counts.astype(np.int64))]
-    cols += [pa.array(span_hashes(w.hashes(salt), w.cuts[:-1], w.cuts[1:], salt).view(np.int64)) for salt in (0, 77)]
+    cols += [pa.array(span_hashes(w.hashes(salt), w.cuts[:-1], w.cuts[1:], salt).view(np.int64)) for salt in (0, _SECOND)]
     return pa.RecordBatch.from_arrays(cols, names=["doc", "row", "n_words", "h1", "h2"])
 
 
@@ -97,74 +199,78 @@ def _by_slice(f, *args):
 
 
 def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc, row, lo, hi): maximal spans of word positions, hi exclusive, that an earlier document has too."""
+    """(doc, row, spans): maximal spans of word positions, hi exclusive, that an earlier document has too."""
     spark = docs.sparkSession
-    scratch.arrow_rows(spark)
+    scratch.arrow_rows(spark, 2000)
     block = window // 2
     if block < _GRAM:
         raise ValueError(f"windows of less than {2 * _GRAM} words are not supported")
     texts = _keyed(docs)
+    shape = lambda columns: ", ".join(f"{c} {t}" for c, t in columns.items())
 
-    whole = scratch.keep(texts.mapInArrow(_by_slice(_whole), "doc long, row long, n_words long, h1 long, h2 long").where(F.col("n_words") >= window), "documents")
+    whole = scratch.keep(texts.mapInArrow(_by_slice(_whole), "doc long, row int, n_words long, h1 long, h2 long").where(F.col("n_words") >= window), "documents")
     least = whole.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     copies = scratch.keep(whole.join(least, ["h1", "h2"]).where("doc > least").select("doc", "row", "n_words").distinct(), "copies")
 
-    runs = scratch.keep(texts.mapInArrow(_by_slice(_anchors, block), "key long, doc long, row long, lo int, hi int, block boolean"), "runs")
-    keys = runs.groupBy("key").agg(F.min(F.expr("if(block, doc, null)")).alias("least"), F.max("doc").alias("most")).where("least < most")
-    hits = runs.join(keys, "key")
-    probed, indexed = F.col("least") < F.col("doc"), F.col("block") & (F.col("most") > F.col("doc"))
-    last_block = F.floor(F.col("hi") / block).cast("int") * block
-    first_block = F.ceil(F.col("lo") / block).cast("int") * block
-    ranges = hits.where(probed | indexed).select(
-        "doc",
-        "row",
-        F.struct(
-            F.greatest(F.lit(0), F.when(probed, F.col("lo")).otherwise(first_block) - (window - block)).alias("lo"),
-            F.when(probed, F.col("hi")).otherwise(last_block).alias("hi"),
-        ).alias("span"),
-    )
-    ranges = ranges.join(copies, ["doc", "row"], "left_anti").groupBy("doc", "row").agg(F.collect_set("span").alias("spans"))
-    ranges = scratch.keep(ranges, "ranges")
-    scratch.forget(runs)
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered((_anchors(b, block) for whole in batches for b in slices(whole, "text")), lambda x: _settle_anchors(x, block, window))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_keys(batches, _ANCHOR, "key"):
+            known = x["kind"] == 1
+            yield _record({c: x[c][known] for c in _SPAN})
+            open_ = {c: v[~known] for c, v in x.items()}
+            yield _record(_judge_anchors(open_, block, window)[2])
+
+    runs = texts.mapInArrow(anchors, shape(_ANCHOR)).repartition("key").sortWithinPartitions("key", "doc")
+    ranges = runs.mapInArrow(hits, shape(_SPAN)).groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    ranges = scratch.keep(ranges.join(copies, ["doc", "row"], "left_anti"), "ranges")
     scratch.tidy(spark)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                w = Words(*utf8(batch.column("text")))
-                spans = batch.column("spans")
-                flat, begin = spans.flatten(), spans.offsets.to_numpy() - spans.offsets[0].as_py()
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(begin))
-                lo, hi = (flat.field(k).to_numpy() for k in (0, 1))
-                top = w.cuts[1:][owner] - window  # the last start of a window in the document
-                a, b = w.cuts[:-1][owner] + lo, np.minimum(w.cuts[:-1][owner] + hi, top) + 1
-                keep = b > a
-                wanted = np.zeros(len(w.starts) + 1, dtype=np.int64)
-                np.add.at(wanted, a[keep], 1)
-                np.add.at(wanted, b[keep], -1)
-                i = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
-                doc = pa.array(np.repeat(np.arange(batch.num_rows), w.counts)[i])
-                cols = [batch.column("doc").take(doc), batch.column("row").take(doc), pa.array(w.positions()[i].astype(np.int32))]
-                cols += [pa.array(span_hashes(w.hashes(salt), i, i + window, salt).view(np.int64)) for salt in (0, 77)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "row", "pos", "h1", "h2"])
+        return _gathered((_windows(b, window) for whole in batches for b in slices(whole, "text")), _settle_windows)
 
-    around = texts.join(ranges, ["doc", "row"]).select("doc", "row", "text", "spans")
-    seen = scratch.keep(around.mapInArrow(windows, "doc long, row long, pos int, h1 long, h2 long"), "windows")
-    scratch.tidy(spark)
-    first = seen.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    late = seen.join(first, ["h1", "h2"]).where("doc > least").select("doc", "row", "pos")
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_keys(batches, _WINDOW, "h1"):
+            known = x["kind"] == 1
+            open_ = {c: v[~known] for c, v in x.items()}
+            own = _late(open_)
+            yield _record({c: np.concatenate([x[c][known], open_[c][own]]) for c in ("doc", "row", "pos")})
 
-    by_doc = late.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # a document's own positions
+    around = texts.join(ranges, ["doc", "row"]).select("doc", "row", "text", "spans")
+    seen = around.mapInArrow(windows, shape(_WINDOW)).repartition("h1").sortWithinPartitions("h1", "h2", "doc")
+    found = seen.mapInArrow(late, "doc long, row int, pos int")
+    by_doc = found.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # a document's own positions
     starts = F.expr("filter(at, (p, i) -> i = 0 or p > at[i - 1] + {0})".format(window))
     stops = F.expr("filter(at, (p, i) -> i = size(at) - 1 or at[i + 1] > p + {0})".format(window))
     spans = by_doc.select("doc", "row", F.transform(F.arrays_zip(starts.alias("lo"), stops.alias("hi")), lambda s: F.struct(s["lo"].alias("lo"), (s["hi"] + window).alias("hi"))).alias("spans"))
     all_copy = copies.select("doc", "row", F.array(F.struct(F.lit(0).alias("lo"), F.col("n_words").cast("int").alias("hi"))).alias("spans"))
     repeats = scratch.keep(spans.unionByName(all_copy), "repeats")
-    scratch.forget(seen)
     scratch.tidy(spark)
     return repeats
 
 
+def _windows(batch: pa.RecordBatch, window: int) -> dict[str, np.ndarray]:
+    """Hashes of the windows that start in a document's spans."""
+    w = Words(*utf8(batch.column("text")))
+    spans = batch.column("spans")
+    flat, begin = spans.flatten(), spans.offsets.to_numpy() - spans.offsets[0].as_py()
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+    lo, hi = (flat.field(k).to_numpy() for k in (0, 1))
+    top = w.cuts[1:][owner] - window  # the last start of a window in the document
+    a, b = w.cuts[:-1][owner] + lo, np.minimum(w.cuts[:-1][owner] + hi, top) + 1
+    keep = b > a
+    wanted = np.zeros(len(w.starts) + 1, dtype=np.int64)
+    np.add.at(wanted, a[keep], 1)
+    np.add.at(wanted, b[keep], -1)
+    i = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+    own = np.repeat(np.arange(batch.num_rows), w.counts)[i]
+    doc, row = (batch.column(c).to_numpy()[own] for c in ("doc", "row"))
+    h1 = span_hashes(w.hashes(), i, i + window).view(np.int64)
+    h2 = (span_hashes(w.hashes(_SECOND), i, i + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return {"h1": h1, "h2": h2, "doc": doc, "row": row, "pos": w.positions()[i].astype(np.int32)}
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -192,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     repeats = find_repeats(docs, window)
     texts = _keyed(docs).withColumn("doc_id", F.col("doc"))
     out = texts.join(repeats, ["doc", "row"], "left").select("doc_id", "row", "text", "spans")
-    out = out.mapInArrow(_cut, "doc_id long, row long, n_words long, n_removed long, kept_text string")
+    out = out.mapInArrow(_cut, "doc_id long, row int, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {_LAST})"))
 
 
@@ -203,7 +309,7 @@ def digest(text: str) -> str:
 def cut_texts(docs: DataFrame, window: int = 50) -> DataFrame:
     """The rows with repeats cut from their texts; a text that loses no word stays as it is. n_chars follows, where it is a column."""
     repeats = find_repeats(docs, window).withColumnsRenamed({"doc": "_doc", "row": "_row"})
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_r", F.xxhash64("text"))
+    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_r", F.hash("text"))
     joined = keyed.join(repeats, (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
 
     @F.arrow_udf("string")
