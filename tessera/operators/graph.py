@@ -138,8 +138,8 @@ def import_candidates(module: Column, path: Column) -> Column:
     join = lambda a, b: normal_path(F.concat_ws("/", a, b))
     base = join(here, module)
     script = F.array(*[F.concat(base, F.lit(e)) for e in ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")])
-    dots = F.length(module) - F.length(F.ltrim(F.lit("."), module))
-    name = F.replace(F.ltrim(F.lit("."), module), F.lit("."), F.lit("/"))
+    dots = F.length(module) - F.length(F.ltrim(module, F.lit(".")))
+    name = F.replace(F.ltrim(module, F.lit(".")), F.lit("."), F.lit("/"))
     up = join(here, F.repeat(F.lit("../"), (dots - 1).cast("int")))
     inside = join(up, name)
     package = F.when(name == "", F.array(join(up, F.lit("__init__.py")))).otherwise(F.array(F.concat(inside, F.lit(".py")), F.concat(inside, F.lit("/__init__.py"))))

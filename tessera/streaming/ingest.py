@@ -29,11 +29,13 @@ def register_stream(files: DataFrame, registry_path: str, checkpoint: str) -> St
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) in windows of event time; works on streams and tables."""
-    by = events.withWatermark("ts", late) if events.isStreaming else events
-    return by.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    by = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    by = by.withWatermark("ts", late) if events.isStreaming else by
+    return by.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(user_id, start, n) of sessions that end after a gap."""
-    by = events.withWatermark("ts", late) if events.isStreaming else events
-    return by.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    by = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    by = by.withWatermark("ts", late) if events.isStreaming else by
+    return by.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
