@@ -55,11 +55,22 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows below the shared folder and returns the table read back."""
+    """Writes the rows below the shared folder and returns the table read back.
+
+    Once they are written nothing needs the shuffle files of the plan, and Spark is told to delete them at once.
+    """
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

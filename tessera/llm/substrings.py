@@ -237,7 +237,8 @@ def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             own = _late(open_)
             yield _record({c: np.concatenate([x[c][known], open_[c][own]]) for c in ("doc", "row", "pos")})
 
-    around = texts.join(ranges, ["doc", "row"]).select("doc", "row", "text", "spans")
+    around = texts.join(ranges.hint("merge"), ["doc", "row"])  # grows with the corpus: never a broadcast
+    around = around.select("doc", "row", "text", "spans")
     seen = around.mapInArrow(windows, shape(_WINDOW)).repartition("h1").sortWithinPartitions("h1", "h2", "doc")
     found = seen.mapInArrow(late, "doc long, row int, pos int")
     by_doc = found.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # a document's own positions
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Each row's doc_id, row (a hash of its text), n_words, n_removed and kept_text: kept words joined by one blank."""
     repeats = find_repeats(docs, window)
     texts = _keyed(docs).withColumn("doc_id", F.col("doc"))
-    out = texts.join(repeats, ["doc", "row"], "left").select("doc_id", "row", "text", "spans")
+    out = texts.join(repeats.hint("merge"), ["doc", "row"], "left").select("doc_id", "row", "text", "spans")
     out = out.mapInArrow(_cut, "doc_id long, row int, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {_LAST})"))
 
@@ -310,7 +311,7 @@ def cut_texts(docs: DataFrame, window: int = 50) -> DataFrame:
     """The rows with repeats cut from their texts; a text that loses no word stays as it is. n_chars follows, where it is a column."""
     repeats = find_repeats(docs, window).withColumnsRenamed({"doc": "_doc", "row": "_row"})
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_r", F.hash("text"))
-    joined = keyed.join(repeats, (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
+    joined = keyed.join(repeats.hint("merge"), (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
