@@ -100,10 +100,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     bound = int(norms[0] ** 0.5 * norms[1] ** 0.5 * (1 + 1e-9)) + 1  # no score is beyond, by Cauchy and Schwarz
     slots = max(1, min(SLOTS, right.count()))
 
-    low, width, bins = -bound, -(-(2 * bound + 1) // BINS), BINS
+    low, width = -bound, 1
+    while width * BINS < 2 * bound + 1:
+        width *= BINS  # a power of the number of bins, so that a bin's own bins cover it and nothing above it
     state = left.select("number", F.lit(None).cast("array<struct<pos:int,low:long,want:long>>").alias("state"))
     while True:
-        found = _cells(left, right, state, slots).mapInArrow(_histograms(low, width, bins, k), "number long, pos int, bin int, n long, low long, want long")
+        found = _cells(left, right, state, slots).mapInArrow(_histograms(low, width, BINS, k), "number long, pos int, bin int, n long, low long, want long")
         found = found.groupBy("number", "pos", "bin", "low", "want").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("number", "pos").orderBy(F.desc("bin")))
         reached = found.withColumn("before", upto - F.col("n")).where("before < want")  # the last of these bins has the k-th score
@@ -112,8 +114,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         state = scratch.keep(state.groupBy("number").agg(F.collect_list(each).alias("state")), "thresholds")  # a block's own queries
         if width == 1:
             break
-        finer = -(-width // BINS)
-        width, bins = finer, -(-width // finer)  # the bin that is refined, and no more
+        width //= BINS
     chosen = _cells(left, right, state, slots).mapInArrow(_choose(k), "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return chosen.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -168,3 +168,21 @@ def test_hash_of_turns_reads_back(spark, tmp_path):
     assert got[3]["turns_sha256"] == hashlib.sha256(b"user\nhi\nassistant\na<|end|>b\n").hexdigest()
     assert (got[-7]["n_turns"], got[-7]["loss_chars"]) == (2, 21)
     assert got[3]["loss_sha256"] == hashlib.sha256(b"a<|end|>b").hexdigest()
+
+
+def test_top_k_beside_the_edge_of_a_bin_is_full(spark):
+    """Scores reach a million, so the first 512 bins are 3907 wide unless widths are powers of 512; ten scores stand right above the edge of the bin with the 20th."""
+    edge = -1_000_001 + 3907 * 301
+    scores = [-1_000_000] + [edge + i % 5 for i in range(10)] + [edge - 3907 + 100 * i for i in range(15)]
+    rows = [(0, [1 / 64, 0.0, 0.0])] + [(20 * i + 1, [s / 64, 0.0, 0.0]) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top(rows, 20)
+
+
+def test_top_k_of_long_vectors_is_full(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.uniform(-30.0, 30.0) for _ in range(3)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top(rows, 20)
