@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, lattice, mixing, packing, quality, simhash, substrings, tokens, topk, toxicity
@@ -52,11 +52,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """The event log of finished conversations: each row is a message that starts, and whose text comes as one delta."""
+    """The event log of finished conversations: each row is a message that starts, and whose text comes as one delta.
+
+    Rows go by turn (null ones last), role and text; a row's place is its sequence number and its message, so equal rows are messages of their own.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    message = F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), role, F.sha2(text, 256))
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("start", F.lit("")), ("delta", text))]))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("seq"), message.alias("message_id"), role.alias("role"), kinds.alias("e")).select("conv_id", "seq", "message_id", "e.kind", "role", "e.text")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").cast("long").asc_nulls_last(), "role", "text"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text")).select("conv_id", place.cast("long").alias("seq"), "role", "text")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("start", F.lit("")), ("delta", F.col("text")))]))
+    return rows.select("conv_id", "seq", F.col("seq").cast("string").alias("message_id"), "role", kinds.alias("e")).select("conv_id", "seq", "message_id", "e.kind", "role", "e.text")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

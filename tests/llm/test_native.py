@@ -170,6 +170,21 @@ def test_hash_of_turns_reads_back(spark, tmp_path):
     assert got[3]["loss_sha256"] == hashlib.sha256(b"a<|end|>b").hexdigest()
 
 
+def test_repeated_and_null_turns_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL, op5_chat_format
+
+    rows = [(1, 0, "user", "hi")] * 2 + [(1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "assistant", ""), (1, 1, "assistant", "")]
+    rows += [(1, None, "assistant", "late")] * 2 + [(1, None, "user", None), (1, None, None, "x"), (2, 3, "a!", "r"), (2, 3, "a", "r"), (2, 10, "user", "<s>"), (2, 9, "user", "\\"), (2, 9, "user", None), (None, 0, "user", "n"), (None, 0, "user", "n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op5_chat_format(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+        want = db.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL['op5_chat_format']})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_top_k_beside_the_edge_of_a_bin_is_full(spark):
     """Scores reach a million, so the first 512 bins are 3907 wide unless widths are powers of 512; ten scores stand right above the edge of the bin with the 20th."""
     edge = -1_000_001 + 3907 * 301
