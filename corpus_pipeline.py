@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, scratch, simhash, substrings, toxicity
+from tessera.llm import mixing, packing, scratch, shingles, simhash, substrings, toxicity
 from tessera.llm.queries import cleanliness, table, tokenizer_path, toxicity_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,8 +37,12 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near duplicates the document with the smallest id stays, once.
+
+    Near duplicates are texts whose SimHash fingerprints differ in at most 3 bits, or whose five-word
+    shingle sets have a Jaccard similarity of 0.8 or more; a group holds all that such links connect.
+    """
+    found = simhash.near_duplicates(docs, more_links=shingles.copy_links)
     stay = found.where("doc_id is null or doc_id = component_id").groupBy("doc_id", "row").agg(F.count("*").alias("_n"))
     stay = scratch.keep(stay, "stay")
     # rows with one id are apart by their texts' hashes; of those in one group the least hash stays

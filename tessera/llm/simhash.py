@@ -23,7 +23,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -174,8 +174,11 @@ def near_links(prints: DataFrame, distance: int = 3, column: str = "fp") -> Data
     return links
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
-    """(doc_id, row, fp, component_id) for each row; row is a hash of its text."""
+def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, more_links: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, row, fp, component_id, root) for each row; row is a hash of its text, root the same in a component.
+
+    ``more_links`` gives further links (a, b) of fingerprints from the docs and their (row, fp).
+    """
     scratch.arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +189,16 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     prints = scratch.keep(rows.mapInArrow(run, "doc_id long, row long, fp long"), "fingerprints")
-    roots = scratch.keep(components(near_links(prints, distance)), "roots")
+    links = near_links(prints, distance)
+    if more_links is not None:
+        links = links.unionByName(more_links(docs, prints))
+    roots = scratch.keep(components(links), "roots")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     of_print = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     of_print = scratch.keep(of_print, "print-roots")
     of_root = of_print.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = of_print.join(of_root, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "row", "fp", "component_id")
+    labels = of_print.join(of_root, "root").select("fp", "component_id", "root")
+    return prints.join(labels, "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def hexadecimal(column: str = "fp"):
