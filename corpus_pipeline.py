@@ -37,17 +37,17 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once.
+    """Of each group of near duplicates the document with the smallest id stays, once; without any id, one document.
 
     Near duplicates are texts whose SimHash fingerprints differ in at most 3 bits, or whose five-word
     shingle sets have a Jaccard similarity of 0.8 or more; a group holds all that such links connect.
     """
     found = simhash.near_duplicates(docs, more_links=shingles.copy_links)
-    stay = found.where("doc_id is null or doc_id = component_id").groupBy("doc_id", "row").agg(F.count("*").alias("_n"))
-    stay = scratch.keep(stay, "stay")
-    # rows with one id are apart by their texts' hashes; of those in one group the least hash stays
-    first = stay.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row"))
-    ids = first.unionByName(stay.where("doc_id is null").select("doc_id", "row")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    # of rows with one id the least hash of a text stays
+    each = found.groupBy("root", "doc_id", "row").agg(F.count("*").alias("_n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "_n")).alias("s")
+    stay = scratch.keep(each.groupBy("root").agg(least).select("s.doc_id", "s.row", "s._n"), "stay")
+    ids = stay.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
     kept = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text")).join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row")), "left_semi")
     if stay.where("_n > 1").isEmpty():
         return kept.select(*COLUMNS)

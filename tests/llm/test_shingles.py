@@ -85,3 +85,15 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
     got = corpus_pipeline.near_duplicates_out(spark, spark.createDataFrame(rows, SHAPE), "").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(want.values())
     assert len(got) < len(set(groups(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)))
+
+
+def test_stage_keeps_one_of_a_group_with_null_ids(spark):
+    rnd = random.Random(6)
+    a, b, c, d = (sentence(rnd, 300, 5000).split() for _ in range(4))
+    rows = [(None, edited(rnd, a, k, "x"), "en", "a", 1) for k in (0, 0, 1, 2)]
+    rows += [(8, " ".join(b), "en", "a", 1), (9, " ".join(b), "en", "a", 1), (None, " ".join(b), "en", "a", 1), (None, edited(rnd, b, 1, "y"), "en", "a", 1)]
+    rows += [(3, " ".join(c), "en", "a", 1), (3, " ".join(c), "en", "a", 1), (3, " ".join(d), "en", "a", 1)]
+    got = corpus_pipeline.near_duplicates_out(spark, spark.createDataFrame(rows, SHAPE), "").collect()
+    texts = {r[1] for r in rows[:4]}
+    assert sum(r["text"] in texts for r in got) == 1
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["text"] not in texts) == sorted([(8, " ".join(b)), (3, " ".join(c)), (3, " ".join(d))])
