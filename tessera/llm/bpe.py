@@ -3,8 +3,10 @@
 The library spends most of a call on its own pre-tokenisation and offsets.  Here the
 pre-tokens of a batch of texts are found with array operations on code points; each
 distinct pre-token goes to the library's BPE model once and its ids are kept in a
-bounded open-addressing table, keyed by a 64-bit hash.  Texts with characters whose
-class may differ between Unicode versions go to the library as they are.
+bounded open-addressing table, keyed by a 64-bit hash; a hit counts if a second,
+independent 64-bit hash agrees.  Texts with characters whose class may differ between
+Unicode versions, with the string of an added token, or with a pre-token whose hashes
+disagree go to the library as they are.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from functools import cache
 
 import numpy as np
 
-from .words import span_hashes
+from . import workers
+
+from .words import SECOND, Spans
 
 #: Slots of a worker's table of known pre-tokens; it starts anew when half full, which bounds its memory.
-SLOTS_LOG2 = 22
+SLOTS_LOG2 = 21
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
 
@@ -89,11 +93,14 @@ class _Table:
 class Encoder:
     """Encodes texts to ids of ``dtype``; one per Python worker (see :func:`encoder`)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
+        """plain_specials: the strings of special tokens are ordinary text; by default they are their ids, as in the library."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        #: Strings that the library finds in a text before anything else.
+        self.added = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._alphabet = _byte_alphabet()
         self._bare = Tokenizer(self.tokenizer.model)  # no pre-tokenizer: what it gets is one pre-token
@@ -101,26 +108,27 @@ class Encoder:
         self._gap_id = self.tokenizer.token_to_id(chr(gap))
         self._start_anew()
 
-    def _start_anew(self) -> None:
-        self._table = _Table(SLOTS_LOG2)
-        self._pool, self._begin, self._length = np.zeros(1 << 20, dtype=self.dtype), np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
-        self._used = 0
+    def _start_anew(self, room: int = 0) -> None:
+        self._table = _Table(max(SLOTS_LOG2, (2 * room).bit_length()))
+        self._pool, self._begin, self._length = np.zeros(1 << 20, dtype=self.dtype), np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int32)
+        self._check, self._used = np.zeros(1 << 18, dtype=np.uint64), 0
 
     def whole(self, text: str) -> np.ndarray:
         """The library's own ids of the text."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _learn(self, keys: np.ndarray, pretokens: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pretokens: list[str]) -> None:
         """Keeps the ids of new pre-tokens. Many go to the BPE model in a call, with a byte between them that nothing merges with."""
         joined = [b"\xff".join(p.encode() for p in pretokens[i : i + 64]).decode("latin-1").translate(self._alphabet) for i in range(0, len(pretokens), 64)]
         ids = np.array([x for got in self._bare.encode_batch_fast(joined, add_special_tokens=False) for x in (*got.ids, self._gap_id)], dtype=self.dtype)
         gaps = np.flatnonzero(ids == self._gap_id)
         begin = np.concatenate([[0], gaps[:-1] + 1])
         n, held = len(keys), self._table.held
-        for name, need in (("_begin", held + n), ("_length", held + n), ("_pool", self._used + len(ids))):
+        for name, need in (("_begin", held + n), ("_length", held + n), ("_check", held + n), ("_pool", self._used + len(ids))):
             if need > len(a := getattr(self, name)):
                 setattr(self, name, np.concatenate([a, np.zeros(max(need - len(a), len(a)), dtype=a.dtype)]))
         self._begin[held : held + n], self._length[held : held + n] = self._used + begin, gaps - begin
+        self._check[held : held + n] = checks
         self._pool[self._used : self._used + len(ids)] = ids
         self._used += len(ids)
         self._table.put(keys, np.arange(held, held + n, dtype=np.int32))
@@ -164,14 +172,18 @@ class Encoder:
             self._contractions(points, kind, start, first, quote, n)
         begin = np.flatnonzero(start[:n])
         end = np.append(begin[1:], n)
-        keys = span_hashes(points, begin, end)
-        if self._table.held > 1 << (SLOTS_LOG2 - 1):
-            self._start_anew()
+        wide = points.astype(np.uint16) if points.max() < 1 << 16 else points
+        size, spans = wide.itemsize, Spans(wide.view(np.uint8))
+        keys, checks = (spans.hashes(begin * size, end * size, salt + size) for salt in (0, SECOND))
         entry = self._table.find(keys)
         lost = np.flatnonzero(entry < 0)
         if len(lost):
             new, at = np.unique(keys[lost], return_index=True)
-            self._learn(new, [whole[b:e] for b, e in zip(begin[lost[at]].tolist(), end[lost[at]].tolist(), strict=True)])
+            if self._table.held + len(new) > 1 << (SLOTS_LOG2 - 1):
+                new, at = np.unique(keys, return_index=True)
+                self._start_anew(len(new))
+                lost = np.arange(len(keys))
+            self._learn(new, checks[lost[at]], [whole[b:e] for b, e in zip(begin[lost[at]].tolist(), end[lost[at]].tolist(), strict=True)])
             entry[lost] = self._table.find(keys[lost])
         count = self._length[entry]
         upto = np.zeros(len(begin) + 1, dtype=np.int64)
@@ -179,9 +191,12 @@ class Encoder:
         ids = self._pool[np.arange(upto[-1]) + np.repeat(self._begin[entry] - upto[:-1], count)]
         cuts = upto[np.searchsorted(begin, np.append(heads, n))]
         out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        if (kind == _UNSURE).any():
-            for k in np.unique(np.searchsorted(ends, np.flatnonzero(kind == _UNSURE), side="right")).tolist():
-                out[k] = self.whole(texts[k])
+        odd = np.append(np.flatnonzero(kind == _UNSURE), begin[self._check[entry] != checks])
+        alone = set(np.searchsorted(ends, odd, side="right").tolist())
+        if any(s in whole for s in self.added):
+            alone.update(k for k, t in enumerate(texts) if any(s in t for s in self.added))
+        for k in alone:
+            out[k] = self.whole(texts[k])
         return out
 
     @staticmethod
@@ -196,11 +211,6 @@ class Encoder:
         start[quote[long] + 3] = True
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder of the vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return workers.kept("encoder", path, lambda: Encoder(path))

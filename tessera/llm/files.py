@@ -53,3 +53,21 @@ def read_array(path: str, dtype: np.dtype) -> np.ndarray:
     system, inner = fs.FileSystem.from_uri(path)
     with system.open_input_file(inner) as f:
         return np.frombuffer(f.read(), dtype=dtype)
+
+
+def reader(path: str, dtype: np.dtype):
+    """A function that gives the file's values a to b, mapped or read as they are asked for."""
+    at, size = local(path), np.dtype(dtype).itemsize
+    if at is not None:
+        whole = read_array(path, dtype)
+        return lambda a, b: whole[a:b]
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+
+    def read(a: int, b: int) -> np.ndarray:
+        with system.open_input_file(inner) as f:
+            f.seek(a * size)
+            return np.frombuffer(f.read((b - a) * size), dtype=dtype)
+
+    return read

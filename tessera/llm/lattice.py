@@ -1,8 +1,10 @@
 """Operator 7: language-model scores by subword lattices.
 
 An existing subword vocabulary gives the pieces; their unigram probabilities are
-learned from the training documents (pieces of each word, weighted by the word's
-count), smoothed, with an end symbol for documents.  A word's probability is the sum
+learned from the training documents, smoothed, with an end symbol for documents: at
+first from the vocabulary's own segmentation of each distinct word, weighted by the
+word's count, then by rounds of forward-backward over the words' lattices (expectation
+maximisation), so that they are the lattices' own.  A word's probability is the sum
 over all its segmentations into pieces, by a forward recursion in log space over its
 UTF-8 bytes; single bytes are pieces too, so no text has probability zero.  A
 document's score is the log10 of the product over its words and its end.
@@ -32,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .words import Words, slices, span_hashes, take, utf8
+from . import scratch, workers
+from .words import SECOND, Spans, Words, slices, span_hashes, take, utf8
 
 SMOOTH = 0.1
-_SECOND = 77
 #: Words of a partition that are summed before they are sent on.
-_HELD = 1 << 20
+_HELD = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         sums: list[np.ndarray] = []
         words: list[pa.Array] = []
         held = 0
+        workers.release()
 
         def merged():
             u, at, total = _sum_by(keys, sums)
@@ -103,17 +105,17 @@ def count_words(texts: DataFrame) -> DataFrame:
                     u, text, total = merged()
                     keys, sums, words, held = [u], [total], [text], len(u)
                     if held > _HELD // 2:
-                        yield pa.RecordBatch.from_arrays([text, pa.array(total[:, 0]), pa.array(total[:, 1])], names=["word", "n_train", "n_all"])
+                        yield from workers.parts(pa.RecordBatch.from_arrays([text, pa.array(total[:, 0]), pa.array(total[:, 1])], names=["word", "n_train", "n_all"]))
                         keys, sums, words, held = [], [], [], 0
         if keys:
             _, text, total = merged()
-            yield pa.RecordBatch.from_arrays([text, pa.array(total[:, 0]), pa.array(total[:, 1])], names=["word", "n_train", "n_all"])
+            yield from workers.parts(pa.RecordBatch.from_arrays([text, pa.array(total[:, 0]), pa.array(total[:, 1])], names=["word", "n_train", "n_all"]))
 
     parts = texts.select("text", "train").mapInArrow(count, "word binary, n_train long, n_all long")
     return parts.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
-def learn_pieces(counts: DataFrame, vocabulary: str, n_docs: int, smooth: float = SMOOTH) -> Pieces:
+def learn_pieces(counts: DataFrame, vocabulary: str, n_docs: int, smooth: float = SMOOTH, rounds: int = 1) -> Pieces:
     """Unigram probabilities of the vocabulary's pieces from words and their training counts."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,17 +132,47 @@ def learn_pieces(counts: DataFrame, vocabulary: str, n_docs: int, smooth: float
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
 
     _, text = _vocabulary(vocabulary)
-    got = counts.where("n_train > 0").select("word", "n_train").mapInArrow(segment, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    n = np.full(len(text), smooth)
-    for r in got.collect():  # a row for each piece of the vocabulary at most
+    known = counts.where("n_train > 0").select("word", "n_train")
+    with scratch.small_batches(counts.sparkSession):
+        got = known.mapInArrow(segment, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece of the vocabulary at most
+    n = np.zeros(len(text))
+    for r in got:
         n[r["piece"]] += r["n"]
-    keep = [i for i, t in enumerate(text) if t]
-    n, names = n[keep], [text[i] for i in keep]
     joint: dict[bytes, float] = {}
-    for t, x in zip(names, n.tolist(), strict=True):  # a byte may also be a piece of its own
-        joint[t] = joint.get(t, 0.0) + x
-    whole = sum(joint.values()) + n_docs + smooth
-    return Pieces(list(joint), np.log(np.array(list(joint.values())) / whole), float(np.log((n_docs + smooth) / whole)))
+    for t, x in zip(text, n.tolist(), strict=True):  # a byte may also be a piece of its own
+        if t:
+            joint[t] = joint.get(t, 0.0) + x
+    names = list(joint)
+    pieces = _smoothed(names, np.array(list(joint.values())), n_docs, smooth)
+    for _ in range(rounds):
+        pieces = _smoothed(names, expected_counts(known, pieces), n_docs, smooth)
+    return pieces
+
+
+def _smoothed(names: list[bytes], n: np.ndarray, n_docs: int, smooth: float) -> Pieces:
+    n = n + smooth
+    whole = float(n.sum()) + n_docs + smooth
+    return Pieces(names, np.log(n / whole), float(np.log((n_docs + smooth) / whole)))
+
+
+def expected_counts(words: DataFrame, pieces: Pieces) -> np.ndarray:
+    """How often each piece is expected in (word, n_train), over all segmentations of each word; in millionths of a count, so that any order of adding gives the same."""
+    held = words.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
+        model = Lattice(held.value)
+        total = np.zeros(len(held.value.text))
+        for batch in batches:
+            total += model.expected(batch.column("word"), batch.column("n_train").to_numpy())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.rint(total[some] * 1e6).astype(np.int64))], names=["piece", "n"])
+
+    out = np.zeros(len(pieces.text))
+    with scratch.small_batches(words.sparkSession):
+        for r in words.mapInArrow(expect, "piece long, n long").groupBy("piece").agg((F.sum(F.col("n").cast("double")) / 1e6).alias("n")).collect():  # the vocabulary's rows
+            out[r["piece"]] = r["n"]
+    return out
 
 
 class Lattice:
@@ -150,43 +182,62 @@ class Lattice:
         data = np.frombuffer(b"".join(pieces.text), dtype=np.uint8)
         end = np.cumsum([len(t) for t in pieces.text])
         key = span_hashes(data, np.append(0, end[:-1]), end)
-        order = np.argsort(key)
-        self.key, self.logp = key[order], pieces.logp[order]
-        self.longest = max(map(len, pieces.text), default=1)
+        self.order = np.argsort(key)
+        self.key, self.logp = key[self.order], pieces.logp[self.order]
         self.sizes = sorted({len(t) for t in pieces.text})
         self.bits = 20
         self.first = np.searchsorted(self.key >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the hashes are pieces', their log probabilities)."""
+        """(which of the hashes are pieces', the pieces' places in the sorted table)."""
         top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         at, stop = self.first[top], self.first[top + 1]
         own = np.flatnonzero(at < stop)
-        hits, logs = [], []
+        hits, places = [], []
         while len(own):
             same = self.key[at[own]] == h[own]
             hits.append(own[same])
-            logs.append(self.logp[at[own[same]]])
+            places.append(at[own[same]])
             own = own[~same]
             at[own] += 1
             own = own[at[own] < stop[own]]
-        return (np.concatenate(hits), np.concatenate(logs)) if hits else (own, np.zeros(0))
+        return (np.concatenate(hits), np.concatenate(places)) if hits else (own, own)
 
-    def words(self, column: pa.Array) -> np.ndarray:
-        """Natural log probability of each word of a binary column."""
+    def _blocks(self, column: pa.Array):
+        """Bytes with a blank at each word's beginning, and in blocks, from long words to short: which words, where they begin, their sizes."""
         data, at = utf8(column.cast(pa.large_binary()).view(pa.large_string()))
         size = np.diff(at)
         data = np.insert(data, at[:-1], 32)  # the mark of a word's beginning
         start, size = at[:-1] + np.arange(len(size)), size + 1
-        out = np.zeros(len(size))
         order = np.argsort(-size, kind="stable")
         for block in np.array_split(order, max(1, int(size.sum()) // 200_000)):
             if len(block):
-                out[block] = self._forward(data, start[block], size[block])
+                yield data, block, start[block], size[block]
+
+    def words(self, column: pa.Array) -> np.ndarray:
+        """Natural log probability of each word of a binary column."""
+        out = np.zeros(len(column))
+        for data, block, start, size in self._blocks(column):
+            out[block] = self._forward(data, start, size)[0]
         return out
 
-    def _forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Words from the longest to the shortest."""
+    def expected(self, column: pa.Array, n: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in words that come n times."""
+        out = np.zeros(len(self.key))
+        for data, block, start, size in self._blocks(column):
+            whole, reach, arcs = self._forward(data, start, size, keep=True)
+            rest = np.full(reach.shape, -np.inf)  # log probability of what follows, from each place on
+            rest[size, np.arange(len(size))] = 0.0
+            for j, k, hit, piece in reversed(arcs):
+                through = self.logp[piece] + rest[j, hit]
+                rest[j - k, hit] = np.logaddexp(rest[j - k, hit], through)
+                out += np.bincount(piece, weights=np.exp(reach[j - k, hit] + through - whole[hit]) * n[block[hit]], minlength=len(out))
+        given = np.empty(len(out))
+        given[self.order] = out
+        return given
+
+    def _forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+        """Of words from the longest to the shortest: log probabilities, those of each beginning, and, to keep, the lattices' arcs (end, length, words, pieces)."""
         longest = int(size[0])
         reach = np.full((longest + 1, len(size)), -np.inf)
         reach[0] = 0.0
@@ -197,37 +248,25 @@ class Lattice:
             own, start = data[gather], np.append(0, np.cumsum(size)[:-1])
             lo = 0
         start = start - lo
-        hashes = _Prefixes(own)
+        spans, arcs = Spans(own), []
         for j in range(1, longest + 1):
             n = int(np.searchsorted(-size, -j, side="right"))
             now = reach[j]
             for k in self.sizes:
                 if k > j:
                     break
-                hit, logp = self._find(hashes.of(start[:n] + (j - k), k))
-                now[hit] = np.logaddexp(now[hit], reach[j - k, hit] + logp)
-        return reach[size, np.arange(len(size))]
-
-
-class _Prefixes:
-    """Hashes of equal-length spans, as span_hashes gives them, from one prefix sum."""
-
-    def __init__(self, data: np.ndarray):
-        from .words import mix, powers
-
-        up, self.down = powers(len(data))
-        self.total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.total[1:])
-        self.mix = mix
-
-    def of(self, starts: np.ndarray, size: int) -> np.ndarray:
-        return self.mix((self.total[starts + size] - self.total[starts]) * self.down[starts] + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+                at = start[:n] + (j - k)
+                hit, piece = self._find(spans.hashes(at, at + k))
+                if len(hit):
+                    now[hit] = np.logaddexp(now[hit], reach[j - k, hit] + self.logp[piece])
+                    if keep:
+                        arcs.append((j, k, hit, piece))
+        return reach[size, np.arange(len(size))], reach, arcs
 
 
 def score_documents(docs: DataFrame, vocabulary: str, held_out: Column, head_share: float = 1e-6, smooth: float = SMOOTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    scratch.arrow_rows(spark)
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("train", ~F.col("held_out") & F.col("doc_id").isNotNull())
     counts = scratch.keep(count_words(texts), "word-counts")
@@ -238,18 +277,16 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out: Column, head_sha
     pieces = spark.sparkContext.broadcast(learn_pieces(counts, vocabulary, n_docs))  # as large as the vocabulary
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         model = Lattice(pieces.value)
         for batch in batches:
             word, c = batch.column("word"), batch.column("n_train").to_numpy()
             w = Words(*utf8(word.cast(pa.large_binary()).view(pa.large_string())))
-            cols = [pa.array(w.hashes().view(np.int64)), pa.array((w.hashes(_SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+            cols = [pa.array(w.hashes().view(np.int64)), pa.array((w.hashes(SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
             cols += [batch.column("n_train"), batch.column("n_all"), pa.array(np.log10(c + smooth) - bottom), pa.array(model.words(word) / np.log(10))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "n_train", "n_all", "base", "lattice"])
 
-    conf, rows = spark.conf, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # words, not texts
     lexicon = scratch.keep(counts.mapInArrow(weigh, "h long, g int, n_train long, n_all long, base double, lattice double"), "lexicon")
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
     often = max(2.0, (n["every"] or 0) * head_share)
     head = lexicon.where(F.col("n_all") >= often).select("h", "base", "lattice", F.col("n_train") > 0).toArrow()  # 1 / head_share rows at most
@@ -279,7 +316,7 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out: Column, head_sha
                 yield pa.RecordBatch.from_arrays([*cols, nulls(pa.int64()), nulls(pa.int32()), nulls(pa.int64())], names=names)
                 rare = np.flatnonzero(~common)
                 if len(rare):
-                    g = (w.hashes(_SECOND)[rare] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    g = (w.hashes(SECOND)[rare] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     line = np.lexsort((g, h[rare], row[rare]))
                     key = np.stack([row[rare][line], h[rare][line].view(np.int64), g[line].astype(np.int64)], axis=1)
                     first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))

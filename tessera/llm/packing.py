@@ -37,8 +37,6 @@ _ROWS = 256
 
 def cut_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each document's ids (its end id included) with their checksums, and the part they were made in."""
-    scratch.arrow_rows(docs.sparkSession, _ROWS)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -130,14 +128,15 @@ def plan_packing(
 def pack(pieces: DataFrame, max_tokens: int = 2048, **options) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, part); see :func:`plan_packing`."""
     spark = pieces.sparkSession
-    table = scratch.keep(pieces, "pieces")
+    table = scratch.keep(pieces, "pieces", _ROWS)
     by_part = scratch.keep(table.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
     plan = plan_packing(counts, max_tokens, **options)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
     within = Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32", "start")  # a part's own pieces only
-    ranked = table.withColumn("nth", F.row_number().over(within) - 1).join(bases, ["part", "length"])
+    ranked = table.withColumn("nth", F.row_number().over(within) - 1)
+    ranked = ranked.join(bases.hint("merge"), ["part", "length"])  # grows with the parts: never a broadcast
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     held = spark.sparkContext.broadcast(plan)  # its size depends on max_tokens, not on the data
     n_lengths = max_tokens + 1

@@ -1,7 +1,8 @@
 """Intermediate tables and files in the folder that the whole cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, a
-single machine) a folder of this process's own is made and set.  Tables written here
+The folder is the session's ``spark.checkpoint.dir``; where that is unset and the
+master is local (tests, a single machine) it is a folder of this process's own, and on
+a cluster an error.  Tables written here
 cut lineage, survive lost executors and are read again without recomputation.  They
 go when :func:`release` is called for their scope, or when the driver ends.
 """
@@ -19,15 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 _SCOPES: list[str] = ["session"]
 _PATHS: dict[str, list[str]] = {}
 _HOOKED: set[int] = set()
+_OWN: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder, as a URI or path."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "own" not in _OWN:  # one machine, one process
+        _OWN["own"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _OWN["own"]
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -58,19 +63,40 @@ def folder(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows below the shared folder and returns the table read back.
+#: An Arrow batch is held whole on either side of the pipe, so its bytes are bounded while a table is written.
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    Once they are written nothing needs the shuffle files of the plan, and Spark is told to delete them at once.
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting for a while; what it was afterwards."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Arrow batches of 4 MB and ``rows`` rows at most, for the jobs that run inside."""
+    with setting(spark, _BYTES, "4m"), setting(spark, _ROWS, str(rows)) if rows else contextlib.nullcontext():
+        yield
+
+
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes the rows below the shared folder and returns the table read back; rows: most rows of an Arrow batch meanwhile.
+
+    Once the table is written nothing needs the shuffle files of the plan, and Spark is told to delete them at once.
     """
     spark = df.sparkSession
     path = place(spark, name)
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with setting(spark, _CLEANUP, "true"), small_batches(spark, rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -109,9 +135,3 @@ def release(spark: SparkSession, name: str) -> None:
     """Deletes what was made in the scope; results that read it must be written before."""
     for path in _PATHS.pop(name, []):
         drop(spark, path)
-
-
-def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch: texts may be long, and a batch is held whole on either side."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

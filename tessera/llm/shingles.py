@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, workers
 from .components import components
-from .words import Words, mix, slices, span_hashes, utf8
+from .words import Words, mix, slices, utf8, window_hashes
 
 WORDS = 5
 #: Similarity from which texts are near copies, as a fraction.
@@ -39,12 +39,13 @@ _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after another, and where each text's begin, with the end."""
     w = Words(*utf8(column), lower=True)
-    data, at = w.spaced()
-    n = len(at)
-    last = np.append(at[1:], len(data)) - 1
-    first = np.flatnonzero((w.room() >= words) | (w.positions() == 0))
-    stop = last[np.minimum(first + words, np.repeat(w.cuts[1:], w.counts)[first]) - 1] if n else first
-    h = span_hashes(data, at[first], stop, 0x5EED) if n else np.zeros(0, dtype=np.uint64)
+    room, each = w.room(), w.hashes()
+    first = np.flatnonzero((room >= words) | (w.positions() == 0))
+    h = window_hashes(each, words)[first] if len(each) else each
+    for size in range(1, words):  # shorter texts
+        short = np.flatnonzero(room[first] == size)
+        if len(short):
+            h[short] = window_hashes(each, size)[first[short]]
     text = np.repeat(np.arange(len(column)), w.counts)[first]
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
@@ -108,6 +109,7 @@ def copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     spark = docs.sparkSession
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, keys = signatures(*shingle_sets(batch.column("text")))
@@ -116,15 +118,17 @@ def copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     rows = docs.select(F.xxhash64("text").alias("row"), "text")
     signed = scratch.keep(rows.mapInArrow(sign, "row long, set long, bands array<long>"), "signatures")
-    bands = signed.where("set <> 0").select("set", F.explode("bands").alias("band"))
+    of_row = scratch.keep(signed.select("row", "set").distinct(), "row-sets")  # copies are one row from here on
+    bands = signed.where("set <> 0").select("set", "bands").dropDuplicates(["set"]).select("set", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.min("set").alias("head"), F.max("set").alias("last")).where("head < last").select("band", "head")
     ties = bands.join(heads, "band").where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b")).distinct()
     clusters = scratch.keep(components(scratch.keep(ties, "ties")), "clusters")
 
     # one text of each set
-    texts = signed.select("row", "set").join(clusters, F.col("set") == F.col("node")).groupBy("set", "root").agg(F.min("row").alias("_row"))
+    texts = of_row.join(clusters, F.col("set") == F.col("node")).groupBy("set", "root").agg(F.min("row").alias("_row"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, cuts = shingle_sets(batch.column("text"))
@@ -154,7 +158,7 @@ def copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     pairs = scratch.keep(held.repartition("root").sortWithinPartitions("root", "set").mapInArrow(compare, "a long, b long"), "similar")
 
     # sets speak for fingerprints: a set's least one, to which its others are linked
-    of_set = scratch.keep(signed.select("row", "set").distinct().join(prints.select("row", "fp").distinct(), "row").select("set", "fp").distinct(), "set-prints")
+    of_set = scratch.keep(of_row.join(prints.select("row", "fp").distinct(), "row").select("set", "fp").distinct(), "set-prints")
     first = of_set.groupBy("set").agg(F.min("fp").alias("first"))
     inside = of_set.join(first, "set").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
     one = pairs.join(first.withColumnsRenamed({"set": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"set": "b", "first": "y"}), "b")

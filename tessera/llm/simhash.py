@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, workers
 from .components import components
 from .words import Words, slices, utf8
 
 #: Fingerprints in a list up to which all its pairs are compared at once.
 DIRECT = 1024
-#: Distinct fingerprints up to which triples of bytes keep lists short.
+#: Distinct fingerprints up to which triples of bytes index them: a list then has 4 fingerprints on average at most.
+#: Beyond, quintuples do: 56 entries a fingerprint instead of 8, and lists shorter by a factor of 2**16.  Either index
+#: holds all pairs within the distance, so the result is the same; the tests run both.
 FEW = 1 << 26
 
 
@@ -179,9 +181,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, more_lin
 
     ``more_links`` gives further links (a, b) of fingerprints from the docs and their (row, fp).
     """
-    scratch.arrow_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 fp = fingerprints(batch.column("text"), words).view(np.int64)

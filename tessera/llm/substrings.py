@@ -9,14 +9,16 @@ a multiple of ``window // 2`` in its document.  So:
    Whole-document copies are settled first by a hash of all words.
 2. A key counts if the least document with a block under it is less than the greatest
    document that probes it; runs and blocks under such keys are hits.
-3. Extension: all ``window``-word windows around the hits are hashed (96 bits) and the
-   least document of each hash is found.  Windows that an earlier document also has,
-   merged where they overlap, are the maximal exact repeats.
+3. Extension: all ``window``-word windows around the hits are hashed (96 bits of two
+   independent hashes) and the least document of each hash is found.  Windows that an
+   earlier document also has, merged where they overlap, are the maximal exact repeats.
 
 No list of a key's documents and no pairs are ever made.  Steps 2 and 3 are one shuffle
 each: rows sorted by key and document are judged as they stream by.  Before it, each
 task judges the rows of a key that it holds itself and sends on only those that its
 own cannot settle, so that a key with a third of all documents is a few rows a task.
+A window that a document repeats is one row with all its places, and what is settled
+travels as runs of places.
 
 Cases: a null text has no words; a null doc_id counts as greater than any other; rows
 that share a doc_id don't remove from each other, and equal rows get equal results;
@@ -25,30 +27,28 @@ documents shorter than a window keep all; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
-from .words import Words, mix, slices, span_hashes, utf8
+from . import scratch, workers
+from .words import SECOND, Words, mix, slices, utf8, window_hashes
 
 _GRAM = 8
 _LAST = (1 << 63) - 1
-_SECOND = 77
 #: Rows that a task settles at a time.
-_HELD = 1 << 20
-_SPAN = {"doc": "long", "row": "int", "lo": "int", "hi": "int"}
+_HELD = 1 << 19
+_SPAN = {"doc": "long", "row": "long", "lo": "int", "hi": "int"}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, row, text): row tells rows of one doc_id with different texts apart."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-        F.hash("text").alias("row"),
+        F.xxhash64("text").alias("row"),
         F.col("text"),
     )
 
@@ -68,9 +68,7 @@ def _anchors(batch: pa.RecordBatch, block: int) -> dict[str, np.ndarray]:
     w = Words(*utf8(batch.column("text")))
     h, room, pos = w.hashes(), w.room(), w.positions()
     n = len(h)
-    grams = np.zeros(n, dtype=np.uint64)
-    i = np.flatnonzero(room >= _GRAM)
-    grams[i] = span_hashes(h, i, i + _GRAM)
+    grams = np.where(room >= _GRAM, window_hashes(h, _GRAM), np.uint64(0)) if n else h
     key = _window_minimum(grams, block - _GRAM + 1) if n else grams
     at = np.flatnonzero(room >= block)
     first = np.ones(len(at), dtype=bool)
@@ -124,18 +122,38 @@ def _settle_anchors(x: dict[str, np.ndarray], block: int, window: int) -> dict[s
     return {c: np.concatenate([sent[c], kept[c]]) for c in _ANCHOR}
 
 
-_ANCHOR = {"key": "long", "doc": "long", "row": "int", "lo": "int", "hi": "int", "block": "boolean", "ask": "boolean", "kind": "byte"}
-_WINDOW = {"h1": "long", "h2": "int", "doc": "long", "row": "int", "pos": "int", "kind": "byte"}
+_ANCHOR = {"key": "long", "doc": "long", "row": "long", "lo": "int", "hi": "int", "block": "boolean", "ask": "boolean", "kind": "byte"}
+_WINDOW = {"h1": "long", "h2": "int", "doc": "long", "row": "long", "kind": "byte", "at": "array<int>"}
 
 
-def _settle_windows(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """A task's own windows: those that an earlier document in it has are settled (kind 1)."""
-    order = np.lexsort((x["doc"], x["h2"], x["h1"]))
+def _settle_windows(x: dict[str, np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
+    """A task's own windows: those that an earlier document in it has are settled, as runs of places (kind 1, first and last); of the rest each document's places of a window are a row."""
+    order = np.lexsort((x["pos"], x["row"], x["doc"], x["h2"], x["h1"]))
     x = {c: v[order] for c, v in x.items()}
     late = _late(x)
-    x["kind"] = late.astype(np.int8)
-    x["h1"] = np.where(late, mix(x["doc"].astype(np.uint64) * np.uint64(31) + x["pos"].astype(np.uint64)).view(np.int64), x["h1"])
-    return {c: x[c] for c in _WINDOW}
+    open_ = {c: v[~late] for c, v in x.items()}
+    first = np.ones(len(open_["doc"]), dtype=bool)
+    first[1:] = np.logical_or.reduce([open_[c][1:] != open_[c][:-1] for c in ("h1", "h2", "doc", "row")])
+    begin = np.flatnonzero(first)
+    done = {c: x[c][late] for c in ("doc", "row", "pos")}
+    order = np.lexsort((done["pos"], done["row"], done["doc"]))
+    done = {c: v[order] for c, v in done.items()}
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (done["doc"][1:] != done["doc"][:-1]) | (done["row"][1:] != done["row"][:-1]) | (done["pos"][1:] != done["pos"][:-1] + 1)
+    lo = np.flatnonzero(first)
+    hi = np.append(lo[1:], len(order)) - 1 if len(lo) else lo
+    route = mix(mix(done["row"][lo].view(np.uint64)) + done["pos"][lo].astype(np.uint64)).view(np.int64)
+    n, m = len(begin), len(lo)
+    at = np.concatenate([open_["pos"], np.stack([done["pos"][lo], done["pos"][hi]], axis=1).ravel()]).astype(np.int32)
+    ends = np.concatenate([begin, len(open_["doc"]) + 2 * np.arange(m + 1)]).astype(np.int32)
+    return {
+        "h1": np.concatenate([open_["h1"][begin], route]),
+        "h2": np.concatenate([open_["h2"][begin], np.zeros(m, dtype=np.int32)]),
+        "doc": np.concatenate([open_["doc"][begin], done["doc"][lo]]),
+        "row": np.concatenate([open_["row"][begin], done["row"][lo]]),
+        "kind": np.repeat(np.array([0, 1], dtype=np.int8), (n, m)),
+        "at": pa.ListArray.from_arrays(pa.array(ends), pa.array(at)),
+    }
 
 
 def _late(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -145,52 +163,60 @@ def _late(x: dict[str, np.ndarray]) -> np.ndarray:
     return x["doc"] > x["doc"][np.flatnonzero(first)][np.cumsum(first) - 1] if len(first) else first
 
 
-def _record(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in x.values()], names=list(x))
+def _record(x: dict[str, np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
+    return workers.parts(pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in x.values()], names=list(x)))
 
 
 def _gathered(parts: Iterator[dict[str, np.ndarray]], settle) -> Iterator[pa.RecordBatch]:
     """Settles rows of a task, many at a time."""
+    workers.release()
     held, n = [], 0
     for x in parts:
         held.append(x)
         n += len(x["doc"])
         if n >= _HELD:
-            yield _record(settle({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
+            whole = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             held, n = [], 0
+            yield from _record(settle(whole))
     if held:
-        yield _record(settle({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
+        yield from _record(settle({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], columns: dict[str, str], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Rows that come sorted by a key, as arrays that never part a key's rows."""
-    held: list[dict[str, np.ndarray]] = []
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by a key, in batches that never part a key's rows."""
+    workers.release()
+    held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append({c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in columns})
+        held.append(batch)
         n += batch.num_rows
         if n >= 1 << 16:
-            x = {c: np.concatenate([h[c] for h in held]) for c in columns}
-            stop = int(np.searchsorted(x[key], x[key][-1], side="left"))
+            x = pa.concat_batches(held)
+            keys = x.column(key).to_numpy()
+            stop = int(np.searchsorted(keys, keys[-1], side="left"))
             if stop:
-                yield {c: v[:stop] for c, v in x.items()}
-            held, n = [{c: v[stop:] for c, v in x.items()}], 0
+                yield x.slice(0, stop)
+            held, n = [x.slice(stop)], x.num_rows - stop
     if held:
-        yield {c: np.concatenate([h[c] for h in held]) for c in columns}
+        yield pa.concat_batches(held)
+
+
+def _columns(batch: pa.RecordBatch, own: np.ndarray, names) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False)[own] for c in names}
 
 
 def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Each document's number of words and a 128-bit hash of them all."""
     w = Words(*utf8(batch.column("text")))
-    cols = [batch.column("doc"), batch.column("row"), pa.array(w.counts.astype(np.int64))]
-    cols += [pa.array(span_hashes(w.hashes(salt), w.cuts[:-1], w.cuts[1:], salt).view(np.int64)) for salt in (0, _SECOND)]
+    cols = [batch.column("doc"), batch.column("row"), pa.array(w.counts.astype(np.int64)), *map(pa.array, w.wholes().T.copy())]
     return pa.RecordBatch.from_arrays(cols, names=["doc", "row", "n_words", "h1", "h2"])
 
 
 def _by_slice(f, *args):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 yield f(batch, *args)
@@ -198,17 +224,30 @@ def _by_slice(f, *args):
     return run
 
 
+def _islands(spans: DataFrame, apart: int) -> DataFrame:
+    """(doc, row, lo, hi): spans of a document (both ends inclusive) merged where the next begins at most ``apart`` after the last one's end."""
+    order = Window.partitionBy("doc", "row").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.when(F.col("lo") > before + apart, 1).otherwise(0))
+    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("doc", "row", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _listed(spans: DataFrame) -> DataFrame:
+    """(doc, row, spans): a document's own merged spans."""
+    return spans.groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+
+
 def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc, row, spans): maximal spans of word positions, hi exclusive, that an earlier document has too."""
     spark = docs.sparkSession
-    scratch.arrow_rows(spark, 2000)
     block = window // 2
     if block < _GRAM:
         raise ValueError(f"windows of less than {2 * _GRAM} words are not supported")
     texts = _keyed(docs)
     shape = lambda columns: ", ".join(f"{c} {t}" for c, t in columns.items())
 
-    whole = scratch.keep(texts.mapInArrow(_by_slice(_whole), "doc long, row int, n_words long, h1 long, h2 long").where(F.col("n_words") >= window), "documents")
+    whole = scratch.keep(texts.mapInArrow(_by_slice(_whole), "doc long, row long, n_words long, h1 long, h2 long").where(F.col("n_words") >= window), "documents")
     least = whole.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     copies = scratch.keep(whole.join(least, ["h1", "h2"]).where("doc > least").select("doc", "row", "n_words").distinct(), "copies")
 
@@ -216,37 +255,37 @@ def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         return _gathered((_anchors(b, block) for whole in batches for b in slices(whole, "text")), lambda x: _settle_anchors(x, block, window))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_keys(batches, _ANCHOR, "key"):
-            known = x["kind"] == 1
-            yield _record({c: x[c][known] for c in _SPAN})
-            open_ = {c: v[~known] for c, v in x.items()}
-            yield _record(_judge_anchors(open_, block, window)[2])
+        for x in _whole_keys(batches, "key"):
+            known = x.column("kind").to_numpy() == 1
+            yield from _record(_columns(x, known, _SPAN))
+            yield from _record(_judge_anchors(_columns(x, ~known, _ANCHOR), block, window)[2])
 
     runs = texts.mapInArrow(anchors, shape(_ANCHOR)).repartition("key").sortWithinPartitions("key", "doc")
-    ranges = runs.mapInArrow(hits, shape(_SPAN)).groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    ranges = scratch.keep(ranges.join(copies, ["doc", "row"], "left_anti"), "ranges")
+    around = _islands(runs.mapInArrow(hits, shape(_SPAN)), 1).join(copies, ["doc", "row"], "left_anti")
+    ranges = scratch.keep(_listed(around), "ranges")
     scratch.tidy(spark)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _gathered((_windows(b, window) for whole in batches for b in slices(whole, "text")), _settle_windows)
 
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_keys(batches, _WINDOW, "h1"):
-            known = x["kind"] == 1
-            open_ = {c: v[~known] for c, v in x.items()}
-            own = _late(open_)
-            yield _record({c: np.concatenate([x[c][known], open_[c][own]]) for c in ("doc", "row", "pos")})
-
-    around = texts.join(ranges.hint("merge"), ["doc", "row"])  # grows with the corpus: never a broadcast
-    around = around.select("doc", "row", "text", "spans")
-    seen = around.mapInArrow(windows, shape(_WINDOW)).repartition("h1").sortWithinPartitions("h1", "h2", "doc")
-    found = seen.mapInArrow(late, "doc long, row int, pos int")
-    by_doc = found.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # a document's own positions
-    starts = F.expr("filter(at, (p, i) -> i = 0 or p > at[i - 1] + {0})".format(window))
-    stops = F.expr("filter(at, (p, i) -> i = size(at) - 1 or at[i + 1] > p + {0})".format(window))
-    spans = by_doc.select("doc", "row", F.transform(F.arrays_zip(starts.alias("lo"), stops.alias("hi")), lambda s: F.struct(s["lo"].alias("lo"), (s["hi"] + window).alias("hi"))).alias("spans"))
+        for x in _whole_keys(batches, "h1"):
+            known = x.column("kind").to_numpy() == 1
+            at = x.column("at")
+            ends = at.filter(pa.array(known)).flatten().to_numpy().reshape(-1, 2)
+            yield from _record(_columns(x, known, ("doc", "row")) | {"lo": ends[:, 0].copy(), "hi": ends[:, 1].copy()})
+            own = np.flatnonzero(~known)
+            own = own[_late(_columns(x, own, ("h1", "h2", "doc")))]
+            lists = at.take(pa.array(own))
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            places = lists.flatten().to_numpy()
+            yield from _record({c: np.repeat(v, size) for c, v in _columns(x, own, ("doc", "row")).items()} | {"lo": places, "hi": places})
+
+    near = texts.join(ranges.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "spans")  # grows with the corpus: never a broadcast
+    seen = near.mapInArrow(windows, shape(_WINDOW)).repartition("h1").sortWithinPartitions("h1", "h2", "doc")
+    found = _islands(seen.mapInArrow(late, shape(_SPAN)), window).withColumn("hi", F.col("hi") + window)
     all_copy = copies.select("doc", "row", F.array(F.struct(F.lit(0).alias("lo"), F.col("n_words").cast("int").alias("hi"))).alias("spans"))
-    repeats = scratch.keep(spans.unionByName(all_copy), "repeats")
+    repeats = scratch.keep(_listed(found).unionByName(all_copy), "repeats")
     scratch.tidy(spark)
     return repeats
 
@@ -267,61 +306,40 @@ def _windows(batch: pa.RecordBatch, window: int) -> dict[str, np.ndarray]:
     i = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
     own = np.repeat(np.arange(batch.num_rows), w.counts)[i]
     doc, row = (batch.column(c).to_numpy()[own] for c in ("doc", "row"))
-    h1 = span_hashes(w.hashes(), i, i + window).view(np.int64)
-    h2 = (span_hashes(w.hashes(_SECOND), i, i + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    h1 = window_hashes(w.hashes(), window)[i].view(np.int64) if len(i) else np.zeros(0, dtype=np.int64)
+    h2 = (window_hashes(w.hashes(SECOND), window)[i] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(i) else np.zeros(0, dtype=np.int32)
     return {"h1": h1, "h2": h2, "doc": doc, "row": row, "pos": w.positions()[i].astype(np.int32)}
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            w = Words(*utf8(batch.column("text")))
-            data, at = w.spaced()
-            raw, at = data.tobytes(), np.append(at, len(data))
-            kept, removed = [], []
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                a, b = int(w.cuts[k]), int(w.cuts[k + 1])
-                parts, here, gone = [], a, 0
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                    parts.append(raw[at[here] : at[a + lo]])
-                    here = a + hi
-                    gone += hi - lo
-                parts.append(raw[at[here] : at[b]])
-                kept.append(b"".join(parts)[:-1].decode("utf-8", "replace"))
-                removed.append(gone)
-            cols = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans")}
-            cols |= {"n_words": pa.array(w.counts.astype(np.int64)), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+
+
+def _kept_words(words: str, spans: str) -> Column:
+    """The words outside the spans, joined by one blank; spans is not empty."""
+    gaps = f"concat(array(struct(0 as lo, {spans}[0].lo as hi)), transform({spans}, (s, i) -> struct(s.hi as lo, coalesce(get({spans}, i + 1).lo, size({words})) as hi)))"
+    return F.expr(f"array_join(flatten(transform({gaps}, g -> slice({words}, g.lo + 1, g.hi - g.lo))), ' ')")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Each row's doc_id, row (a hash of its text), n_words, n_removed and kept_text: kept words joined by one blank."""
     repeats = find_repeats(docs, window)
-    texts = _keyed(docs).withColumn("doc_id", F.col("doc"))
-    out = texts.join(repeats.hint("merge"), ["doc", "row"], "left").select("doc_id", "row", "text", "spans")
-    out = out.mapInArrow(_cut, "doc_id long, row int, n_words long, n_removed long, kept_text string")
-    return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {_LAST})"))
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    out = _keyed(docs).join(repeats.hint("merge"), ["doc", "row"], "left").withColumn("words", _words(F.col("text")))
+    return out.select(
+        F.expr(f"nullif(doc, {_LAST})").alias("doc_id"),
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        F.expr("coalesce(aggregate(spans, 0L, (a, s) -> a + s.hi - s.lo), 0L)").alias("n_removed"),
+        F.when(F.col("spans").isNull(), F.array_join("words", " ")).otherwise(_kept_words("words", "spans")).alias("kept_text"),
+    )
 
 
 def cut_texts(docs: DataFrame, window: int = 50) -> DataFrame:
     """The rows with repeats cut from their texts; a text that loses no word stays as it is. n_chars follows, where it is a column."""
-    repeats = find_repeats(docs, window).withColumnsRenamed({"doc": "_doc", "row": "_row"})
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_r", F.hash("text"))
+    repeats = find_repeats(docs, window).withColumnsRenamed({"doc": "_doc", "row": "_row", "spans": "_spans"})
+    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_r", F.xxhash64("text"))
     joined = keyed.join(repeats.hint("merge"), (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
-
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = [pa.array([], pa.string())]
-        whole = pa.RecordBatch.from_arrays([text, spans], names=["text", "spans"])
-        for batch in _cut(iter([whole])):
-            out.append(batch.column("kept_text"))
-        return pa.concat_arrays(out)
-
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans")))
-    out = joined.withColumn("_kept", text)
-    size = {"n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long").alias("n_chars")} if "n_chars" in docs.columns else {}
+    joined = joined.withColumn("_words", F.when(F.col("_spans").isNotNull(), _words(F.col("text"))))
+    out = joined.withColumn("_kept", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_kept_words("_words", "_spans")))
+    size = {"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long").alias("n_chars")} if "n_chars" in docs.columns else {}
     return out.select(*[F.col("_kept").alias(c) if c == "text" else size.get(c, F.col(c)) for c in docs.columns])

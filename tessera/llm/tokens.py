@@ -8,7 +8,8 @@ Format, below one folder: for each part k
 * ``manifest``       a Parquet table (part, n_docs, n_tokens, first_doc, first_token): one row a part.
                      first_doc and first_token are prefix sums over the parts before.
 
-Parts and the documents in them ascend by (doc_id, text), null ids first.  A document's
+Parts and the documents in them ascend by doc_id, then by a hash of the text, null ids first (so that
+rows of one id, null ones too, are dealt over parts).  A document's
 place in the whole id stream is its part's first_token plus its offset.  All files are
 flat, so a reader maps them into memory and needs no parsing.
 
@@ -40,9 +41,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     One shuffle brings the texts in order; ids go straight from the encoder to the files.
     """
     spark = docs.sparkSession
-    scratch.arrow_rows(spark, _ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +70,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             w.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_tokens": pa.array([offsets[-1]], pa.int64())})
 
-    rows.mapInArrow(write, "part long, n_docs long, n_tokens long").write.parquet(f"{folder}/parts")
+    with scratch.small_batches(spark, _ROWS):
+        rows.mapInArrow(write, "part long, n_docs long, n_tokens long").write.parquet(f"{folder}/parts")
     parts = spark.read.schema("part long, n_docs long, n_tokens long").parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part, not for each document
     bases = parts.select("*", *(F.coalesce(F.sum(n).over(before), F.lit(0).cast("long")).alias(first) for n, first in (("n_docs", "first_doc"), ("n_tokens", "first_token"))))

@@ -8,16 +8,18 @@ and its size is bounded by ``2**bits`` whatever the data.
 
 Learning reads a bounded sample of the labelled rows (``max_rows``, the rows with the
 smallest hashes of their ids): it is one online pass after another over that sample
-in a single task.  Scoring covers every text, whole, without a shuffle.
+in a single task.  The sample's features are a file in the shared folder that the task
+streams in each pass, so that its memory is the model's, however long the texts are.
+Scoring covers every text, whole, without a shuffle.
 
 Cases: a null or empty text has no features and scores the bias alone; null labels
 are not learned from; without labels, or with one class only, the model is the bias;
-rows may repeat, and each is scored.
+rows may repeat: each is scored, and equal ones are one example.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .words import BLANK, Words, mix, slices, span_hashes, utf8
+from . import files, scratch, workers
+from .words import BLANK, Spans, Words, mix, slices, utf8
 
 _PARTS = BLANK.copy()
 _PARTS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -49,13 +51,13 @@ class Model:
 def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, coordinate) of every feature of every text; a feature may come more than once."""
     w = Words(*utf8(column), lower=True, between=_PARTS)
-    h, room = w.hashes(), w.room()
+    h, room, spans = w.hashes(), w.room(), Spans(w.data)
     row = np.repeat(np.arange(len(w.counts)), w.counts)
     rows, keys = [row], [h]
     for size in _STEMS:
         i = np.flatnonzero(w.ends - w.starts > size)
         rows.append(row[i])
-        keys.append(span_hashes(w.data, w.starts[i], w.starts[i] + size))
+        keys.append(spans.hashes(w.starts[i], w.starts[i] + size))
     for gap in _GAPS:
         i = np.flatnonzero(room > gap)
         rows.append(row[i])
@@ -63,7 +65,25 @@ def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, positive: float = 1.0) -> Model:
+class Examples:
+    """(features, label) of a sample, from a file of all features one after another; a few million values are in memory at a time."""
+
+    def __init__(self, path: str, bounds: list[int], labels: list[int]):
+        self.path, self.bounds, self.labels = path, bounds, labels
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        read, at, i = files.reader(self.path, np.dtype("<i4")), self.bounds, 0
+        while i < len(self.labels):
+            j = i + 1
+            while j < len(self.labels) and at[j + 1] - at[i] <= 1 << 22:
+                j += 1
+            own = np.array(read(at[i], at[j]))
+            for k in range(i, j):
+                yield own[at[k] - at[i] : at[k + 1] - at[i]], self.labels[k]
+            i = j
+
+
+def ftrl(examples: Iterable[tuple[np.ndarray, int]], bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, positive: float = 1.0) -> Model:
     """Online FTRL-proximal; the bias is the last coordinate, without L1. positive: weight of examples with label 1."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
@@ -102,7 +122,6 @@ def fit(
 ) -> Model:
     """Learns from at most max_rows of the labels that ``allowed`` (a condition on doc_id) admits."""
     spark = docs.sparkSession
-    scratch.arrow_rows(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     if allowed is not None:
         known = known.where(allowed)
@@ -111,30 +130,42 @@ def fit(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # max_rows rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 row, key = features(batch.column("text"), bits)
                 pairs = np.unique(row * (np.int64(1) << bits) + key)
                 row, key = pairs >> bits, (pairs & ((1 << bits) - 1)).astype(np.int32)
                 at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-                cols = [batch.column("doc_id"), batch.column("_order"), batch.column("label"), pa.ListArray.from_arrays(pa.array(at), pa.array(key))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_order", "label", "features"])
+                cols = [batch.column(c) for c in example] + [pa.ListArray.from_arrays(pa.array(at), pa.array(key))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*example, "features"])
 
-    shape = "doc_id long, _order long, label int, features array<int>"
-    examples = texts.select("doc_id", "text", "_order", "label").mapInArrow(extract, shape)
+    example = ["_order", "doc_id", "label", "row"]
+    found = texts.select("_order", "doc_id", "label", F.xxhash64("text").alias("row"), "text").mapInArrow(extract, "_order long, doc_id long, label int, row long, features array<int>")
+    found = scratch.keep(found, "examples")
     # ids may repeat in docs: the bound holds for what the task learns from
-    examples = examples.orderBy("_order", "doc_id", "label", "features").limit(max_rows)
+    chosen = found.select(*example).distinct().orderBy(*example).limit(max_rows)
+    chosen = found.join(F.broadcast(chosen), example).repartition(1).sortWithinPartitions(*example)  # max_rows rows
+    folder = scratch.folder(spark, "features")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        out, bounds, known, last = files.Writer(f"{folder}/features.bin"), [0], [], None
         for batch in batches:
             lists = batch.column("features")
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            seen += [(flat[a:b].copy(), y) for a, b, y in zip(at[:-1], at[1:], batch.column("label").to_pylist(), strict=True)]
-        m = ftrl(seen, bits, alpha, beta, l1, l2, epochs, positive)
-        yield pa.RecordBatch.from_pydict({"index": pa.array([m.index]), "weight": pa.array([m.weight]), "bias": pa.array([m.bias])})
-
-    fitted = examples.coalesce(1).mapInArrow(learn, "index array<int>, weight array<float>, bias double").collect()
+            for k, own in enumerate(zip(*(batch.column(c).to_pylist() for c in example), strict=True)):
+                if own != last:
+                    out.write(flat[at[k] : at[k + 1]].astype("<i4").tobytes())
+                    bounds.append(bounds[-1] + int(at[k + 1] - at[k]))
+                    known.append(own[2])
+                    last = own
+        out.close()
+        if known:
+            m = ftrl(Examples(out.path, bounds, known), bits, alpha, beta, l1, l2, epochs, positive)
+            yield pa.RecordBatch.from_pydict({"index": pa.array([m.index]), "weight": pa.array([m.weight]), "bias": pa.array([m.bias])})
+
+    with scratch.small_batches(spark):
+        fitted = chosen.mapInArrow(learn, "index array<int>, weight array<float>, bias double").collect()
     if not fitted:
         return Model(bits, np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     (m,) = fitted
@@ -152,12 +183,11 @@ def score_batch(column: pa.Array, model: Model, table: np.ndarray) -> np.ndarray
 
 def score(docs: DataFrame, model: Model, out: str = "score", text_col: str = "text") -> DataFrame:
     """Adds the probability of the label to each row; no other column goes to Python."""
-    spark = docs.sparkSession
-    scratch.arrow_rows(spark)
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        workers.release()
         m = held.value
         table = np.zeros(1 << m.bits, dtype=np.float32)
         table[m.index] = m.weight

@@ -8,37 +8,20 @@ form holds these bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that array operations cover at a time; a longer text is taken alone.
 BYTES_AT_A_TIME = 1 << 20
-_ODD_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Salt of a word's second hash.
+SECOND = 77
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@cache
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2^log2 powers of the multiplier, and of its inverse, modulo 2^64."""
-    out = []
-    for base in (_ODD_MULTIPLIER, pow(_ODD_MULTIPLIER, -1, 1 << 64)):
-        p = np.ones(1, dtype=np.uint64)
-        for k in range(log2):
-            p = np.concatenate([p, p * np.uint64(pow(base, 1 << k, 1 << 64))])
-        out.append(p)
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers each; one size serves all usual batches."""
-    return _powers(max(21, int(n).bit_length()))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads all bits of each 64-bit value over all others (the finaliser of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))
@@ -49,16 +32,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[start:end] of each span: equal spans have equal hashes wherever they stand."""
-    up, down = powers(len(values))
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    v = values.astype(np.uint64) + np.uint64(1)
-    if salt:
-        v = mix(v ^ np.uint64(salt))
-    np.cumsum(v * up[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Spans of so many bytes and more are hashed one by one, by the library.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ONE, _TWO, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+class Spans:
+    """64-bit hashes of spans of a byte array: equal spans have equal hashes wherever they stand.
+
+    Eight bytes at a time go through a chain of mixing steps, each a bijection of what came before, so that
+    no arithmetic structure of the bytes cancels out.  Another salt gives another, independent chain.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.raw = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        self.eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=self.raw, strides=(1,))  # eight bytes from each byte on
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        size = ends - starts
+        h = mix(size.astype(np.uint64) * _TWO + np.uint64((salt * 2 + 1) * int(_ONE) & (1 << 64) - 1))
+        h = mix((h ^ (self.eight[starts] & _KEEP[np.minimum(size, 8)])) * _STEP)
+        own, done = np.flatnonzero(size > 8), 8
+        if not len(own):
+            return h
+        far = size[own] >= _LONG
+        if far.any():
+            from xxhash import xxh3_64_intdigest
+
+            for i in own[far].tolist():
+                h[i] = xxh3_64_intdigest(self.raw[starts[i] : ends[i]].tobytes(), salt)
+            own = own[~far]
+        while len(own):
+            h[own] = mix((h[own] ^ (self.eight[starts[own] + done] & _KEEP[np.minimum(size[own] - done, 8)])) * _STEP)
+            done += 8
+            own = own[size[own] > done]
+        return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    return Spans(data).hashes(starts, ends, salt)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two neighbours' hashes."""
+    return mix(a * _ONE + (b ^ _STEP) * _TWO)
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of h[i:i + width] for each i, built from windows of 1, 2, 4, ... values; the last ones, with fewer values, mean nothing."""
+    shifted = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), dtype=np.uint64)])
+    part, size, out, have = mix(h ^ _STEP), 1, None, 0
+    while True:
+        if width & size:
+            out = part if out is None else _pair(out, shifted(part, have))
+            have += size
+        if have == width:
+            return mix(out + np.uint64(width))
+        part, size = _pair(part, shifted(part, size)), size * 2
 
 
 class Words:
@@ -79,9 +110,21 @@ class Words:
         self.ends = np.flatnonzero(last[1:] & ~blank) + 1
         self.cuts = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.cuts)
+        self._spans: Spans | None = None
 
     def hashes(self, salt: int = 0) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, salt)
+        """A hash of each word; words of different bytes agree under two salts with a chance of 2**-128."""
+        if self._spans is None:
+            self._spans = Spans(self.data)
+        return self._spans.hashes(self.starts, self.ends, salt)
+
+    def wholes(self) -> np.ndarray:
+        """Two numbers for each text: a 128-bit hash of all its words."""
+        from xxhash import xxh3_128_digest
+
+        both = np.stack([self.hashes(), self.hashes(SECOND)], axis=1)
+        digests = b"".join(xxh3_128_digest(both[a:b].tobytes()) for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True))
+        return np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
 
     def positions(self) -> np.ndarray:
         """Each word's number in its text, from 0."""

@@ -33,7 +33,7 @@ def brute_repeats(rows, window):
 
 
 def removed(df, window=50):
-    return Counter((r["doc_id"], r["n_words"], r["n_removed"], substrings.digest(r["kept_text"])) for r in substrings.remove_repeats(df, window).collect())
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in substrings.remove_repeats(df, window).collect())
 
 
 def test_repeats_on_edge_cases(edge_docs, edge_rows, no_docs):

@@ -36,6 +36,59 @@ def test_held_out_accuracy(spark):
     assert len(model.index) < 5000
 
 
+def plain_ftrl(examples, alpha, beta, l1, l2, epochs, positive):
+    """The update rule one coordinate at a time; the bias is the coordinate None."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        pull = 0.0 if i is None else l1
+        if abs(z[i]) <= pull:
+            return 0.0
+        return -(z[i] - math.copysign(pull, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for own, label in examples:
+            w = {i: weight(i) for i in [*own, None]}
+            g = (1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label) * (positive if label else 1)
+            for i, wi in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * wi
+                n[i] += g * g
+    return {i: weight(i) for i in n}
+
+
+def plain_features(text):
+    """Named features: words, stems, neighbours and skip-grams."""
+    w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = {("word", x) for x in w} | {("stem", x.encode()[:k]) for x in w for k in (4, 5, 6) if len(x.encode()) > k}
+    return out | {(gap, a, b) for gap in (1, 2) for a, b in zip(w, w[gap:], strict=False)}
+
+
+def test_features_are_those_of_the_text():
+    texts = ["The cat, the CAT sat; on mats", "mats on sat the", "", "éàü longword-longwordy", "a b a b a"]
+    row, key = toxicity.features(pa.array(texts), 40)
+    named, sets = [plain_features(t) for t in texts], [set(key[row == k].tolist()) for k in range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            # a stem may be a word too: the same span of bytes is one feature then
+            plain = lambda s: {x[1].encode() if x[0] == "word" else x[1] if x[0] == "stem" else x for x in s}
+            assert len(sets[i] & sets[j]) == len(plain(named[i]) & plain(named[j]))
+
+
+def test_fit_and_scores_equal_plain_ftrl(spark):
+    docs, labels = labelled(spark, 200)
+    options = dict(alpha=3.0, beta=1.0, l1=4.0, l2=0.1, epochs=3, positive=3.0)
+    model = toxicity.fit(docs, labels, bits=18, **options)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = labels.select("doc_id", "toxic", F.xxhash64("doc_id", F.col("toxic").cast("int")).alias("o")).orderBy("o").collect()
+    keys = lambda t: sorted(set(toxicity.features(pa.array([t]), 18)[1].tolist()))
+    want = plain_ftrl([(keys(texts[r["doc_id"]]), r["toxic"]) for r in order], **options)
+    assert model.bias == pytest.approx(want.pop(None), rel=1e-6)
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx({i: w for i, w in want.items() if w}, rel=1e-5)
+    for r in toxicity.score(docs.select("doc_id", "text"), model).collect():
+        total = model.bias + sum(want.get(i, 0.0) for i in keys(r["text"]))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, total)))), abs=1e-5)
+
+
 def test_toxicity_edge_cases(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     blank = toxicity.fit(edge_docs, none)
@@ -101,3 +154,85 @@ def test_lattice_sums_over_all_segmentations():
     got = model.words(pa.array(words, pa.binary()))
     assert got.tolist() == pytest.approx([math.log(total(b" " + w)) for w in words])
     assert model.words(pa.array([b"q"], pa.binary()))[0] == -np.inf
+
+
+def ways(word, table):
+    """Sums over all segmentations: of the word, and up to and from each place."""
+    n = len(word)
+    to, rest = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for j in range(1, n + 1):
+        to[j] = sum(to[i] * table.get(word[i:j], 0.0) for i in range(j))
+    for i in range(n - 1, -1, -1):
+        rest[i] = sum(table.get(word[i:j], 0.0) * rest[j] for j in range(i + 1, n + 1))
+    return to[n], to, rest
+
+
+def test_expected_counts_are_those_of_all_segmentations(spark):
+    names = [b" ", b" a", b"a", b"b", b"ab", b"bab", b" aba"]
+    table = dict(zip(names, np.linspace(0.02, 0.2, len(names)).tolist(), strict=True))
+    words = {b"a": 3, b"ab": 5, b"abab": 1, b"babbab": 2, b"aba": 7}
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "word binary, n_train long").repartition(3)
+    got = lattice.expected_counts(df, lattice.Pieces(names, np.log(list(table.values())), -1.0))
+    want = Counter()
+    for w, n in words.items():
+        w = b" " + w
+        total, to, rest = ways(w, table)
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in table:
+                    want[w[i:j]] += n * to[i] * table[w[i:j]] * rest[j] / total
+    assert got.tolist() == pytest.approx([want[x] for x in names], abs=1e-5)
+
+
+def test_scores_are_sums_over_all_segmentations(spark, edge_rows):
+    """The query's score of each document against a plain forward recursion with pieces learned the plain way."""
+    import sentencepiece
+
+    path, rnd = tokenizer_path("piece_bpe_32k.model"), random.Random(5)
+    rows = [r for r in edge_rows if len(r[1] or "") < 1000] + [(100 + i, " ".join(rnd.choice(["the", "house", "houses", "über", "xq", "\U0001f600"]) for _ in range(rnd.randrange(12))), "en", "a", 1, 0.5, "x", 1) for i in range(40)]
+    train = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 != 0]
+    counts = Counter(w for r in train for w in brute_words(r[1]))
+    sp, names = sentencepiece.SentencePieceProcessor(model_file=path), lattice._vocabulary(path)[1]
+    n = Counter({t: 0.0 for t in names if t})
+    for w, k in counts.items():
+        for i in sp.encode(w):
+            n[names[i]] += k
+
+    def probabilities(n):
+        whole = sum(n.values()) + 0.1 * len(n) + len(train) + 0.1
+        return {t: (x + 0.1) / whole for t, x in n.items()}, math.log10((len(train) + 0.1) / whole)
+
+    table, _ = probabilities(n)
+    again = Counter(dict.fromkeys(n, 0.0))
+    for w, k in counts.items():
+        w = b" " + w.encode()
+        total, to, rest = ways(w, table)
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in table:
+                    again[w[i:j]] += k * to[i] * table[w[i:j]] * rest[j] / total
+    table, end = probabilities(again)
+    got = lattice.score_documents(spark.createDataFrame(rows, DOCS), path, id_remainder(10) == 0).select("doc_id", "score").collect()
+    want = [(str(r[0]), end + sum(math.log10(ways(b" " + w.encode(), table)[0]) for w in brute_words(r[1]))) for r in rows]
+    got, want = sorted((str(r["doc_id"]), r["score"]) for r in got), sorted(want)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-4)
+
+
+def test_a_round_of_learning_raises_the_likelihood(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["unhappy", "happiness", "unhelpful", "helpfulness", "zzyzx"]) for _ in range(20)), "en", "a", 1, 0.5, "x", 1) for i in range(60)]
+    path = tokenizer_path("piece_bpe_32k.model")
+    counts = lattice.count_words(spark.createDataFrame(rows, DOCS).select("text", F.lit(True).alias("train"))).cache()
+    words = [(bytes(r["word"]), r["n_train"]) for r in counts.collect()]
+    fit = lambda p: sum(n * lattice.Lattice(p).words(pa.array([w], pa.binary()))[0] for w, n in words)
+    known = counts.select("word", "n_train")
+    pieces = lattice.learn_pieces(counts, path, len(rows), 1e-9, rounds=0)
+    even = lattice.Pieces(pieces.text, np.full(len(pieces.text), -np.log(len(pieces.text))), -1.0)
+    fits = []
+    for _ in range(4):  # from equal probabilities, without smoothing, each round is better than the last
+        n = lattice.expected_counts(known, even)
+        with np.errstate(divide="ignore"):
+            even = lattice.Pieces(even.text, np.log(n / n.sum()), -1.0)
+        fits.append(fit(even))
+    assert fits == sorted(fits) and fits[-1] > fits[0] + 1

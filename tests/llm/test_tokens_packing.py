@@ -14,7 +14,6 @@ from tessera.llm.queries import tokenizer_path
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,6 +25,22 @@ def test_encoder_equals_library(library):
         assert got.tolist() == library(text)
 
 
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>a", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|", "x\n<|endoftext|>\n y", "it's<|endoftext|>'s", "<|endof", "text|>"]
+
+
+def test_added_tokens_are_the_librarys(library):
+    enc = Encoder(tokenizer_path())
+    assert [x.tolist() for x in enc.encode_many(SPECIAL)] == [library(t) for t in SPECIAL]
+    assert enc.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_added_tokens_as_plain_text():
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    enc = Encoder(tokenizer_path(), plain_specials=True)
+    assert [x.tolist() for x in enc.encode_many(SPECIAL)] == [t.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
@@ -102,6 +117,24 @@ def test_plan_keeps_capacities_and_is_tight(options):
         assert used <= best_fit(lengths, np.array(caps), (1.0, 0.02, 0.05)) * 1.05 + 1
 
 
+@pytest.mark.parametrize("options", [{}, {"max_docs": 3}, {"max_cost": 1000}, {"max_docs": 4, "max_cost": 1500, "rule": "dot_product"}])
+def test_whole_query_under_each_capacity(spark, library, options):
+    """Every piece is placed, no capacity is passed, and no more sequences are used than by best fit played one piece at a time."""
+    rnd = random.Random(9)
+    docs = [(i, " ".join(f"w{rnd.randrange(50)}" for _ in range(min(15, int(rnd.lognormvariate(1.2, 0.9)))))) for i in range(150)]
+    most = 64
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), tokenizer_path(), most, **options).collect()
+    limits = {k: v for k, v in options.items() if k != "rule"}
+    used = check_packing(rows, most, **limits)
+    assert Counter((r["doc_id"]) for r in rows if r["piece"] == 0) == Counter(i for i, _ in docs)
+    assert sum(r["length"] for r in rows) == sum(len(library(t)) + 1 for _, t in docs)
+    caps = np.array([most, limits.get("max_docs", most), limits.get("max_cost", most * most)])
+    plain = best_fit([r["length"] for r in rows], caps, (1.0, 0.02, 0.05))
+    assert used <= plain if "rule" not in options else used <= 1.05 * plain + 1
+    if limits:
+        assert used > len({r["sequence_id"] for r in packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), tokenizer_path(), most).collect()})
+
+
 def test_impossible_piece():
     with pytest.raises(ValueError):
         packing.plan_packing({70: 1}, 64)
