@@ -7,11 +7,14 @@ closed form over the sources ordered by where they fill up).
 A source with target T and size S gives ``floor(T / S)`` complete epochs of all its
 documents, then a fraction: documents in order of exponential keys, ``-ln(u) / weight``
 (Efraimidis and Spirakis), until their sizes reach what is left.  u is a hash of the
-document's id and text, so that reruns agree.
+document's id and its text's length, so that reruns agree.
 
-The order within a source is never made in one task: keys fall into ``BUCKETS``
-buckets, sizes are summed by (source, bucket), and prefix sums over buckets find the
-one where the budget ends.  Only that bucket's documents are put in order.
+The order within a source is never made in one task.  A key's place (``key / (1 + key)``
+in 48 bits) has four digits of twelve bits.  Sizes are summed by (source, first digit)
+and prefix sums find the digit where the budget ends; where more than ``edge_rows``
+rows of a source share it, the next digit is summed for these rows alone, and so on.
+The rows of the last edge, ids and keys only, are put in order to find the key and id
+at which the source is cut; every row then compares itself with its source's cut.
 
 Cases: a null source is a source, the last; null texts have size 0; documents of size 0
 are taken 0 words; equal rows are taken apart by nothing and share one fate, so a
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BUCKETS = 4096
+#: Digits of a key's place, and the bits of each.
+DIGITS, BITS = 4, 12
 #: Sources up to which their small table is broadcast.
 MOST_SOURCES = 50_000
 
@@ -66,7 +70,17 @@ def ranked_weights(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int")))
 
 
-def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most_epochs: float = 2.0, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    size: Column,
+    weight: Column,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.5,
+    most_epochs: float = 2.0,
+    seed: int = 0,
+    keep: tuple[str, ...] = (),
+    edge_rows: int = 100_000,
+) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each row, and the columns to keep.
 
     size and weight are expressions of the row; a document's weight must be above 0.
@@ -74,31 +88,61 @@ def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...
     key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight
     keep = tuple(c for c in keep if c not in ("doc_id", "source"))
     rows = docs.select("doc_id", "source", *[F.col(c) for c in keep], size.cast("long").alias("size"), key.alias("key"))
-    # the key's place in (0, 1): buckets of equal probability for weight 1
-    rows = rows.withColumn("bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    rows = scratch.keep(rows, "sizes")
-    by_bucket = scratch.keep(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
-    goals = targets(ranked_weights(by_bucket.groupBy("source").agg(F.sum("size").alias("source_size")), weights), share, most_epochs)
+    place = F.floor(F.col("key") / (F.col("key") + 1.0) * float(1 << DIGITS * BITS)).cast("long")
+    rows = scratch.keep(rows.withColumn("place", place), "sizes")
+    digit = lambda level: F.shiftright("place", BITS * (DIGITS - 1 - level))  # noqa: E731  the first level + 1 digits
+    sums = lambda some, level: some.groupBy("source", digit(level).alias("digits")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    by_digit = scratch.keep(sums(rows, 0), "digits")
+    goals = targets(ranked_weights(by_digit.groupBy("source").agg(F.sum("size").alias("source_size")), weights), share, most_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goals = scratch.keep(goals, "targets")
 
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")  # a row for each bucket
-    sums = by_bucket.withColumn("before", before)
-    edge = sums.join(_small(goals.select(F.col("source").alias("_s"), "rest")), F.col("source").eqNullSafe(F.col("_s"))).where("before < rest")
-    edge = edge.groupBy("source").agg(F.max("bucket").alias("edge"), F.max("before").alias("before"))  # the bucket where the budget ends
-    plan = goals.join(edge.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = scratch.keep(plan, "plan")
-
-    found = rows.join(_small(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    names = ["doc_id", "source", *keep, "size", "source_size", "target"]
-    clear = found.where("edge is null or bucket <> edge").withColumn("chosen", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id"))
-    close = found.where("bucket = edge").withColumn("upto", F.col("before") + upto)
+    # the digits at which each source's budget ends, and the words before them
+    edges = _edges(by_digit.join(_small(_named(goals.select("source", "rest"), "s")), F.col("source").eqNullSafe(F.col("s_source"))), F.lit(0), "s_rest")
+    found = None
+    for level in range(DIGITS):
+        edges = scratch.keep(edges.withColumn("level", F.lit(level)), "edges")
+        final = (F.col("n") <= edge_rows) | F.lit(level == DIGITS - 1)
+        found = edges.where(final) if found is None else found.unionByName(edges.where(final))
+        wide = edges.where(~final)
+        if level == DIGITS - 1 or wide.isEmpty():
+            break
+        inside = rows.select("source", "place", "size").join(_small(_named(wide, "s")), F.col("source").eqNullSafe(F.col("s_source")) & (digit(level) == F.col("s_digits")))
+        finer = inside.groupBy("source", "s_before", "s_rest", digit(level + 1).alias("digits")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        edges = _edges(finer, F.col("s_before"), "s_rest")
+    same = F.expr(f"shiftright(place, cast({BITS} * ({DIGITS - 1} - s_level) as int)) = s_digits")
+    close = rows.select("source", "doc_id", "key", "place", "size").join(_small(_named(found, "s")), F.col("source").eqNullSafe(F.col("s_source")) & same)
+    # equal ids with equal keys are one entry: a group of copies is a row
+    close = close.groupBy("source", "key", "doc_id", "size", "s_before", "s_rest").agg(F.count("*").alias("n"))
+    upto = F.col("s_before") + F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("key", "doc_id"))  # edge_rows rows of a source, or rows of one key
     # the document that the budget ends in is taken if that comes nearer
-    close = close.withColumn("chosen", F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).drop("upto")
-    out = clear.unionByName(close).withColumn("copies", F.col("epochs") + F.when(F.col("chosen"), 1).otherwise(0))
-    return out.select(*names, "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    chosen = close.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2.0 <= F.col("s_rest"))
+    id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    cut = chosen.groupBy("source").agg(F.max(F.struct("key", id_("doc_id").alias("id"), "upto")).alias("cut"))
+    first = found.select("source", F.col("digits"), F.col("level"))
+    plan = goals.join(_named(first, "f"), F.col("source").eqNullSafe(F.col("f_source")), "left").join(_named(cut, "c"), F.col("source").eqNullSafe(F.col("c_source")), "left")
+    plan = scratch.keep(plan.select("source", "source_size", "target", "epochs", "rest", F.col("f_digits").alias("digits"), F.col("f_level").alias("level"), "c_cut.key", "c_cut.id", "c_cut.upto"), "plan")
+
+    joined = rows.join(_small(_named(plan, "p")), F.col("source").eqNullSafe(F.col("p_source")))
+    own = F.expr(f"shiftright(place, cast({BITS} * ({DIGITS - 1} - p_level) as int))")
+    here = (F.col("key") < F.col("p_key")) | ((F.col("key") == F.col("p_key")) & ((id_("doc_id") < F.col("p_id")) | ((id_("doc_id") == F.col("p_id")) & (F.col("p_upto") - F.col("size") / 2.0 <= F.col("p_rest")))))
+    taken = F.when(F.col("p_level").isNull(), F.lit(False)).when(own != F.col("p_digits"), own < F.col("p_digits")).otherwise(F.coalesce(here, F.lit(False)))
+    copies = F.col("p_epochs") + F.when(taken, 1).otherwise(0)
+    out = joined.select("doc_id", "source", *keep, "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), copies.alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _named(table: DataFrame, prefix: str) -> DataFrame:
+    return table.select([F.col(c).alias(f"{prefix}_{c}") for c in table.columns])
+
+
+def _edges(sums: DataFrame, base: Column, rest: str) -> DataFrame:
+    """(source, digits, n, before, rest): the last digits of each source before which its budget isn't used up; one row for each of a source's digits goes in."""
+    before = base + F.sum("size").over(Window.partitionBy("source").orderBy("digits")) - F.col("size")
+    reached = sums.withColumn("before", before).where(F.col("before") < F.col(rest))
+    last = reached.groupBy("source").agg(F.max(F.struct("digits", "n", "before", F.col(rest).alias("rest"))).alias("e"))
+    return last.select("source", "e.*")
 
 
 def _small(table: DataFrame) -> DataFrame:
