@@ -8,7 +8,9 @@ Input is a log of events (conversation, sequence number, message, kind, role, te
 * ``regenerate``  drops what a message has said so far; deltas that follow rebuild it;
 * ``delete``      takes a message out.
 
-Events are folded in order of sequence (ties: kind, then text) into final messages:
+Events are folded in order of sequence into final messages (events of one sequence
+number by kind, in the order start, regenerate, edit, delta, then by text: arrival isn't
+known; a deleted message stays deleted, whatever comes later):
 first by message, then the messages of a conversation by where they began.  Nothing
 is grouped but the events of a message and the messages of a conversation, which the
 result holds in one row anyway.

@@ -7,12 +7,15 @@ a relative error under 1/64, sketches merge by adding counts, and the same rows
 the same sketch in any order.  A group's sketch is a few hundred rows whatever its
 size, and a hot group is partial sums.
 
-A threshold is an outer fence, the upper quartile plus ``fence`` times the distance
-of the quartiles, with a floor (``slack``) so that uniform groups don't reject their
-own variation; word length has a lower fence too.  Groups with fewer than
-``least_rows`` rows merge with their language's sketch, then with all.  Thresholds join
-the rows by (language, source): broadcast up to ``most_groups`` groups, else by a
-shuffle in which hot groups are split.
+A threshold is a fence set by the group's own quantiles: the upper one ``spread`` times
+as far above a high quantile as that is above the reference quantile (median, or the
+opposite quartile), plus a small tolerance in the measure's unit; word length has a lower
+fence as well.  No constant stands in for a quantile.  A small group leans on the sketch
+of its language by weight, not by a switch: its own rows are joined by ``prior_rows``
+rows' worth of the language's sketch, and the language's by as much of all, so that a
+group's own quantiles take over as it grows.  Thresholds join the rows by (language,
+source): broadcast up to ``most_groups`` groups, else by a shuffle in which hot groups
+are split.
 
 Cases: a null text has no words and fails the base rules; null languages and sources
 are groups of their own; equal rows get equal verdicts; an empty table gives no rows.
@@ -59,12 +62,12 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-#: Measure -> (integer expression, floor of the upper fence, is there a lower fence).
+#: Measure -> (integer expression, percentile of the upper fence, percentile that it is measured from, spread, tolerance, is there a mirrored lower fence).
 RULES = {
-    "symbols": ("n_symbols * 10000 div greatest(word_chars, 1)", 300, False),
-    "dup_lines": ("n_dup_lines * 10000 div greatest(n_words, 1)", 1000, False),
-    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", 2500, False),
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 9000, True),
+    "symbols": ("n_symbols * 10000 div greatest(word_chars, 1)", 90, 50, 2, 100, False),
+    "dup_lines": ("n_dup_lines * 10000 div greatest(n_words, 1)", 95, 50, 2, 100, False),
+    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", 95, 50, 2, 500, False),
+    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 75, 25, 5, 0, True),
 }
 
 
@@ -75,53 +78,57 @@ def sketch_bin(value: Column) -> Column:
     return (F.floor(value / size) * size).cast("long")
 
 
-def thresholds(rows: DataFrame, fence: int = 6, least_rows: int = 200) -> DataFrame:
+def _lean(sketch: DataFrame, prior: DataFrame, by: list[str], on: list[str], prior_rows: int) -> DataFrame:
+    """The sketches of the groups ``by``, in thousandths of a row, joined by prior_rows rows' worth of the sketch of the group ``on`` that each belongs to."""
+    own = sketch.select(*by, "measure", "bin", (F.col("n") * 1000).alias("n"))
+    total = prior.groupBy(*on, "measure").agg(F.sum("n").alias("of"))
+    share = _same(prior, total, [*on, "measure"]).select(*on, "measure", "bin", F.expr(f"n * {1000 * prior_rows} div of").alias("n"))
+    groups = sketch.select(*by).distinct()
+    lent = _same(groups, share, on) if on else groups.crossJoin(share)  # a sketch for each group: a few hundred rows
+    return own.unionByName(lent.select(*by, "measure", "bin", "n")).groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join by columns in which null equals null."""
+    other = right.withColumnsRenamed({c: "_" + c for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col("_" + c))
+    return left.join(other, same).drop(*["_" + c for c in on])
+
+
+def thresholds(rows: DataFrame, prior_rows: int = 50) -> DataFrame:
     """One row for each (lang, source): upper and lower bounds of every measure, from merged sketches."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(e).cast("long").alias("value")) for m, (e, _, _) in RULES.items()])
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(r[0]).cast("long").alias("value")) for m, r in RULES.items()])
     fine = rows.select("lang", "source", F.explode(pairs).alias("m")).select("lang", "source", "m.measure", sketch_bin(F.col("m.value")).alias("bin")).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
     fine = scratch.keep(fine, "sketches")
-    levels = [fine.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n")) for by in (["lang", "source"], ["lang"], [])]
-    out = fine.select("lang", "source").distinct()
-    for level, (sketch, by) in enumerate(zip(levels, (["lang", "source"], ["lang"], []), strict=True)):
-        part = Window.partitionBy(*by, "measure")
-        upto = F.sum("n").over(part.orderBy("bin"))
-        ranked = sketch.select(*by, "measure", "bin", "n", upto.alias("upto"), F.sum("n").over(part).alias("total"))
-        marks = ranked.groupBy(*by, "measure").agg(
-            F.max("total").alias("total"),
-            F.min(F.expr("if(upto * 4 >= total, bin, null)")).alias("q1"),
-            F.min(F.expr("if(upto * 4 >= total * 3, bin, null)")).alias("q3"),
-        )
-        aggs = []
-        for m, (_, floor, lower) in RULES.items():
-            one = lambda c, m=m: F.max(F.when(F.col("measure") == m, F.col(c)))
-            aggs.append(F.greatest(one("q3") + fence * (one("q3") - one("q1")), F.lit(floor)).cast("long").alias(f"{m}_high{level}"))
-            if lower:
-                aggs.append(F.least(one("q1") - fence * (one("q3") - one("q1")), F.lit(2000)).cast("long").alias(f"{m}_low{level}"))
-        bounds = marks.groupBy(*by).agg(F.max("total").alias(f"rows{level}"), *aggs)
-        if by:
-            other = bounds.select(*[F.col(b).alias("_" + b) for b in by], *bounds.columns[len(by) :])
-            same = F.lit(True)
-            for b in by:
-                same = same & F.col(b).eqNullSafe(F.col("_" + b))
-            out = out.join(other, same, "left").drop(*["_" + b for b in by])
-        else:
-            out = out.withColumn("_one", F.lit(1)).join(bounds.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")  # a single row
-    names = [f"{m}_high" for m in RULES] + [f"{m}_low" for m, r in RULES.items() if r[2]]
-    pick = lambda c: F.when(F.col("rows0") >= least_rows, F.col(c + "0")).when(F.col("rows1") >= least_rows, F.col(c + "1")).otherwise(F.col(c + "2")).alias(c)
-    return out.select("lang", "source", *[pick(c) for c in names])
-
-
-def judge(docs: DataFrame, fence: int = 6, least_rows: int = 200, most_groups: int = 10_000) -> DataFrame:
+    whole = fine.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    by_lang = scratch.keep(_lean(fine.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")), whole, ["lang"], [], prior_rows), "language-sketches")
+    sketch = _lean(fine, by_lang, ["lang", "source"], ["lang"], prior_rows)
+    part = Window.partitionBy("lang", "source", "measure")
+    ranked = sketch.select("lang", "source", "measure", "bin", F.sum("n").over(part.orderBy("bin")).alias("upto"), F.sum("n").over(part).alias("total"))
+    levels = sorted({p for r in RULES.values() for p in r[1:3]})
+    marks = ranked.groupBy("lang", "source", "measure").agg(*[F.min(F.expr(f"if(upto * 100 >= total * {p}, bin, null)")).alias(f"p{p}") for p in levels])
+    fences = []
+    for m, (_, high, base, spread, tolerance, lower) in RULES.items():
+        one = lambda e, m=m: F.max(F.when(F.col("measure") == m, F.expr(e))).cast("long")
+        fences.append(one(f"p{high} + {spread} * (p{high} - p{base}) + {tolerance}").alias(f"{m}_high"))
+        if lower:
+            fences.append(one(f"p{base} - {spread} * (p{high} - p{base}) - {tolerance}").alias(f"{m}_low"))
+    return marks.groupBy("lang", "source").agg(*fences)
+
+
+def judge(docs: DataFrame, prior_rows: int = 50, most_groups: int = 10_000) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept of each row."""
     rows = scratch.keep(measures(docs, "doc_id", "lang", "source"), "measures")
-    bounds = scratch.keep(thresholds(rows, fence, least_rows), "thresholds")
+    bounds = scratch.keep(thresholds(rows, prior_rows), "thresholds")
     other = bounds.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     if bounds.count() <= most_groups:
         other = F.broadcast(other)
     joined = rows.join(other, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     sound = F.lit(True)
-    for m, (e, _, lower) in RULES.items():
+    for m, (e, *_, lower) in RULES.items():
         sound = sound & (F.expr(e) <= F.col(f"{m}_high"))
         if lower:
             sound = sound & (F.expr(e) >= F.col(f"{m}_low"))

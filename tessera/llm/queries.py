@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, lattice, mixing, packing, quality, simhash, substrings, tokens, topk, toxicity
+from . import chat, lattice, mixing, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,7 +38,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    scored = scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scratch.keep(scored, "scores")  # here, so that the texts go to Python in small batches
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,19 +144,20 @@ m as (select x.*, coalesce(c.n_repeat_words, 0) as n_repeat_words from (
 v as (select lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as measure,
   unnest([n_symbols * 10000 // greatest(word_chars, 1), n_dup_lines * 10000 // greatest(n_words, 1), n_repeat_words * 10000 // greatest(n_words, 1), word_chars * 1000 // greatest(n_words, 1)]) as value from m),
 b as (select lang, source, measure, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) as bin from v),
-f0 as (select *, sum(n) over (partition by lang, source, measure order by bin) as upto, sum(n) over (partition by lang, source, measure) as total from (select lang, source, measure, bin, count(*) as n from b group by 1, 2, 3, 4)),
-f1 as (select *, sum(n) over (partition by lang, measure order by bin) as upto, sum(n) over (partition by lang, measure) as total from (select lang, measure, bin, count(*) as n from b group by 1, 2, 3)),
-f2 as (select *, sum(n) over (partition by measure order by bin) as upto, sum(n) over (partition by measure) as total from (select measure, bin, count(*) as n from b group by 1, 2)),
-g0 as (select lang, source, measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f0 group by 1, 2, 3),
-g1 as (select lang, measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f1 group by 1, 2),
-g2 as (select measure, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from f2 group by 1),
-q as (select g0.lang, g0.source, g0.measure,
-  case when g0.total >= 200 then g0.q1 when g1.total >= 200 then g1.q1 else g2.q1 end as q1,
-  case when g0.total >= 200 then g0.q3 when g1.total >= 200 then g1.q3 else g2.q3 end as q3
-  from g0 join g1 on g0.lang is not distinct from g1.lang and g0.measure = g1.measure join g2 on g0.measure = g2.measure),
-t as (select lang, source, max(greatest(q3 + 6 * (q3 - q1), 300)) filter (measure = 'symbols') as symbols, max(greatest(q3 + 6 * (q3 - q1), 1000)) filter (measure = 'dup_lines') as dup_lines,
-  max(greatest(q3 + 6 * (q3 - q1), 2500)) filter (measure = 'repeats') as repeats, max(greatest(q3 + 6 * (q3 - q1), 9000)) filter (measure = 'word_length') as longest,
-  max(least(q1 - 6 * (q3 - q1), 2000)) filter (measure = 'word_length') as shortest from q group by 1, 2)
+f0 as (select lang, source, measure, bin, count(*)::bigint as n from b group by 1, 2, 3, 4),
+f1 as (select lang, measure, bin, sum(n)::bigint as n from f0 group by 1, 2, 3),
+f2 as (select measure, bin, sum(n)::bigint as n from f0 group by 1, 2),
+a2 as (select measure, bin, n * 50000 // sum(n) over (partition by measure) as n from f2),
+s1 as (select lang, measure, bin, sum(n)::bigint as n from (select lang, measure, bin, n * 1000 as n from f1 union all select l.lang, a2.* from (select distinct lang from f1) l, a2) group by 1, 2, 3),
+a1 as (select lang, measure, bin, n * 50000 // sum(n) over (partition by lang, measure) as n from s1),
+s0 as (select lang, source, measure, bin, sum(n)::bigint as n from (select lang, source, measure, bin, n * 1000 as n from f0
+  union all select g.lang, g.source, a1.measure, a1.bin, a1.n from (select distinct lang, source from f0) g join a1 on g.lang is not distinct from a1.lang) group by 1, 2, 3, 4),
+r0 as (select *, sum(n) over (partition by lang, source, measure order by bin) as upto, sum(n) over (partition by lang, source, measure) as total from s0),
+q as (select lang, source, measure, min(bin) filter (upto * 100 >= total * 25) as p25, min(bin) filter (upto * 100 >= total * 50) as p50, min(bin) filter (upto * 100 >= total * 75) as p75,
+  min(bin) filter (upto * 100 >= total * 90) as p90, min(bin) filter (upto * 100 >= total * 95) as p95 from r0 group by 1, 2, 3),
+t as (select lang, source, max(p90 + 2 * (p90 - p50) + 100) filter (measure = 'symbols') as symbols, max(p95 + 2 * (p95 - p50) + 100) filter (measure = 'dup_lines') as dup_lines,
+  max(p95 + 2 * (p95 - p50) + 500) filter (measure = 'repeats') as repeats, max(p75 + 5 * (p75 - p25)) filter (measure = 'word_length') as longest,
+  max(p25 - 5 * (p75 - p25)) filter (measure = 'word_length') as shortest from q group by 1, 2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_symbols * 10000 // greatest(word_chars, 1) <= symbols and n_dup_lines * 10000 // greatest(n_words, 1) <= dup_lines
   and n_repeat_words * 10000 // greatest(n_words, 1) <= repeats and word_chars * 1000 // greatest(n_words, 1) between shortest and longest as kept
@@ -186,10 +188,10 @@ from e group by conv_id
 """
 
 _OP9 = """
-with v as (select vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
+with v as (select row_number() over () as rid, vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.rid, q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 

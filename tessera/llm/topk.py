@@ -13,10 +13,11 @@ Nothing is collected but the number of rounds' worth of scalars; the score matri
 never stored.  Cost is queries times candidates, as any exact search over a stated
 query set has; memory is a block pair.
 
-Cases: vectors that are null, empty, of another length than most rows' or hold a null
-or non-finite component take no part; null ids take no part; a candidate with the
-query's own id is the query; fewer than k candidates give all; ties go to smaller ids;
-rows that repeat an id repeat as candidates, and are asked once (any one of them).
+Cases: vectors that are null, empty or hold a null or non-finite component take no
+part; null ids take no part; an inner product needs equal lengths, so a query meets the
+candidates of its own length; a candidate with the query's own id is the query; fewer
+than k candidates give all; ties go to smaller ids; rows that repeat an id are
+candidates and queries each; scores that could leave 62 bits raise an OverflowError.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from . import scratch
 
 BLOCK = 2048
 BINS = 512
-#: Parts that the candidate blocks are dealt over; each part sees every query block.
-SLOTS = 256
+#: Blocks on either side of a task: it meets so many query blocks with so many candidate blocks.
+SIDE = 8
 
 
 def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
@@ -43,7 +44,7 @@ def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by length of the vectors
 
         def full(ids, m):
             nonlocal number
@@ -53,15 +54,21 @@ def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
             return pa.RecordBatch.from_pydict(cols, schema=pa.schema([("number", pa.int64()), ("ids", pa.binary()), ("kind", pa.string()), ("m", pa.binary())]))
 
         for batch in batches:
-            if batch.num_rows:
-                lists = batch.column("v")
-                held.append((batch.column("vec_id").to_numpy().copy(), lists.flatten().to_numpy().reshape(batch.num_rows, -1).copy()))
-            while sum(len(x) for x, _ in held) >= size:
-                ids, m = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield full(ids[:size], m[:size])
-                held = [(ids[size:], m[size:])] if len(ids) > size else []
-        if held:
-            yield full(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if not batch.num_rows:
+                continue
+            lists, ids = batch.column("v"), batch.column("vec_id").to_numpy()
+            wide = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(wide).tolist():
+                own = np.flatnonzero(wide == d)
+                held.setdefault(d, []).append((ids[own], lists.take(pa.array(own)).flatten().to_numpy().reshape(len(own), d).copy()))
+                while sum(len(x) for x, _ in held[d]) >= size:
+                    some, m = (np.concatenate(x) for x in zip(*held[d], strict=True))
+                    yield full(some[:size], m[:size])
+                    held[d] = [(some[size:], m[size:])]
+        for parts in held.values():
+            some, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(some):
+                yield full(some, m)
 
     return scratch.keep(rows.mapInArrow(pack, "number long, ids binary, kind string, m binary"), name)
 
@@ -85,27 +92,26 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     sound = F.size("x") > 0
     sound = sound & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound)
-    usual = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if usual is None:
-        return empty
-    rows = rows.where(F.size("x") == usual["d"]).select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v"))
-    right = _blocks(rows, "candidates", BLOCK)
-    asked = rows.where(queries).dropDuplicates(["vec_id"])
-    left = _blocks(asked.repartition("vec_id"), "queries", BLOCK // 2)
+    rows = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v"))
+    asked = rows.where(queries)
     square = lambda d: d.agg(F.max(F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, b: a + b))).first()[0]
     norms = square(rows), square(asked)
     if None in norms:
         return empty
     bound = int(norms[0] ** 0.5 * norms[1] ** 0.5 * (1 + 1e-9)) + 1  # no score is beyond, by Cauchy and Schwarz
-    slots = max(1, min(SLOTS, right.count()))
+    if bound >= 1 << 62:
+        raise OverflowError("scores don't fit in 64 bits: use a smaller scale")
+    right = _blocks(rows, "candidates", BLOCK)
+    left = _blocks(asked.repartition("vec_id"), "queries", BLOCK // 2)
+    grid = tuple(max(1, -(-side.count() // SIDE)) for side in (left, right))
 
     low, width = -bound, 1
     while width * BINS < 2 * bound + 1:
         width *= BINS  # a power of the number of bins, so that a bin's own bins cover it and nothing above it
     state = left.select("number", F.lit(None).cast("array<struct<pos:int,low:long,want:long>>").alias("state"))
     while True:
-        found = _cells(left, right, state, slots).mapInArrow(_histograms(low, width, BINS, k), "number long, pos int, bin int, n long, low long, want long")
+        found = _cells(left, right, state, grid).mapInArrow(_histograms(low, width, BINS, k), "number long, pos int, bin int, n long, low long, want long")
         found = found.groupBy("number", "pos", "bin", "low", "want").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("number", "pos").orderBy(F.desc("bin")))
         reached = found.withColumn("before", upto - F.col("n")).where("before < want")  # the last of these bins has the k-th score
@@ -115,16 +121,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         if width == 1:
             break
         width //= BINS
-    chosen = _cells(left, right, state, slots).mapInArrow(_choose(k), "query_id long, vec_id long, score long")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    chosen = _cells(left, right, state, grid).mapInArrow(_choose(k), "number long, pos int, query_id long, vec_id long, score long")
+    rank = Window.partitionBy("number", "pos").orderBy(F.desc("score"), "vec_id")  # a query's own rows
     return chosen.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _cells(left: DataFrame, right: DataFrame, state: DataFrame, slots: int) -> DataFrame:
-    """Each query block, with its thresholds, beside each candidate block: query blocks go to all slots, a candidate block to one."""
-    asked = left.join(state, "number").select(*(F.col(c).alias("q_" + c) for c in ("ids", "kind", "m")), "number", "state", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    given = right.select("ids", "kind", "m", F.pmod(F.xxhash64("number"), F.lit(slots)).cast("int").alias("slot"))
-    return asked.join(given, "slot")
+def _cells(left: DataFrame, right: DataFrame, state: DataFrame, grid: tuple[int, int]) -> DataFrame:
+    """Each query block, with its thresholds, beside each candidate block.
+
+    Both sides are cut in parts of ``SIDE`` blocks on average, and a task gets a pair of parts: the number of tasks grows
+    with both sides, and a block is copied once for each part of the other side.
+    """
+    high, wide = grid
+    part = lambda n: F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = left.join(state, "number").select(*(F.col(c).alias("q_" + c) for c in ("ids", "kind", "m")), "number", "state", part(high).alias("i"), every(wide).alias("j"))
+    given = right.select("ids", "kind", "m", every(high).alias("i"), part(wide).alias("j"))
+    return asked.join(given, ["i", "j"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]):
@@ -133,6 +146,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]):
         for x in batch.to_pylist():
             q_ids, q = _matrix(x["q_ids"], x["q_kind"], x["q_m"])
             c_ids, c = _matrix(x["ids"], x["kind"], x["m"])
+            if q.shape[1] != c.shape[1]:
+                continue
             yield x["number"], x["state"], q_ids, c_ids, _scores(q, c), q_ids[:, None] == c_ids[None, :]
 
 
@@ -157,7 +172,7 @@ def _histograms(first_low: int, width: int, n_bins: int, k: int):
 
 def _choose(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, state, q_ids, c_ids, scores, own in _pairs(batches):
+        for number, state, q_ids, c_ids, scores, own in _pairs(batches):
             low = np.full(len(q_ids), np.iinfo(np.int64).max)
             for s in state:
                 low[s["pos"]] = s["low"]
@@ -167,6 +182,7 @@ def _choose(k: int):
             row, col = np.nonzero((scores > low[:, None]) & ~own)
             r, c = np.nonzero(few)
             row, col = np.append(row, r), np.append(col, order[c])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[col]), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
+            cols = [np.full(len(row), number), row.astype(np.int32), q_ids[row], c_ids[col], scores[row, col]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["number", "pos", "query_id", "vec_id", "score"])
 
     return run

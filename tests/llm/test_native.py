@@ -46,6 +46,42 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert all(got[i] == (i % 10 != 0) for i in got)
 
 
+def quality_sql(spark, df, tmp_path):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL, op3_quality_rules
+
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_quality_rules(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL['op3_quality_rules']})").fetchall()
+    return [tuple(r) for r in got.collect()], want
+
+
+def test_the_source_decides(spark, tmp_path):
+    """Equal counts get other verdicts in a source where they are usual, and the SQL agrees."""
+    rnd = random.Random(18)
+    rows, marked = [], lambda: " ".join(x + "$" * (k % 6 == 0) for k, x in enumerate(sentence(rnd, 60, 5000).split()))
+    for i in range(800):
+        plain = i % 2 and i != 401
+        rows.append((i, sentence(rnd, 60, 5000) if plain else marked(), "en", "prose" if i % 2 else "prices", 1, 0.5, "x", 1))
+    rows += [(900, marked(), "en", None, 1, 0.5, "x", 1), (901, None, None, None, 1, 0.5, "x", 1), (902, sentence(rnd, 60), None, "prose", 1, 0.5, "x", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    got, want = quality_sql(spark, df, tmp_path)
+    assert Counter(got) == Counter(want)
+    kept = {r[0]: r[-1] for r in got}
+    assert not kept[401] and all(kept[i] for i in range(800) if i != 401)
+    bounds = {(r["lang"], r["source"]): r for r in quality.thresholds(quality.measures(df, "lang", "source")).collect()}
+    assert bounds["en", "prices"]["symbols_high"] > bounds["en", "prose"]["symbols_high"] >= 100
+    # a group of one row has its language's thresholds, nearly
+    assert bounds["en", None]["symbols_high"] >= bounds["en", "prices"]["symbols_high"] // 2
+
+
+def test_sketch_bin_of_zero(spark):
+    assert spark.range(1).select(quality.sketch_bin(F.lit(0)).alias("b")).first()["b"] == 0
+
+
 def test_sketch_bins(spark):
     rows = spark.range(0, 100_000, 7).select("id", quality.sketch_bin(F.col("id")).alias("bin")).collect()
     for r in rows:
@@ -109,6 +145,46 @@ def test_targets(spark):
         assert got == pytest.approx(brute_targets(sizes, weights))
 
 
+def brute_mix(rows, seed=0):
+    """(doc_id, source, size, taken) of rows (doc_id, text, lang, source, ...): the whole order of each source in memory."""
+    import math
+
+    size = [len(WORD.findall(r[1] or "")) for r in rows]
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    weights, sizes = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}, Counter()
+    for r, n in zip(rows, size, strict=True):
+        sizes[r[3]] += n
+    goal = brute_targets({s: sizes[s] for s in names}, weights)
+    out = []
+    for s in names:
+        epochs = int(goal[s] // sizes[s]) if sizes[s] else 0
+        rest, groups = goal[s] - epochs * sizes[s], defaultdict(list)
+        for r, n in zip(rows, size, strict=True):
+            if r[3] == s:
+                text = r[1]
+                name = f"{seed}:{'null' if r[0] is None else r[0]}:{'null' if text is None else len(text)}"
+                u = (int(hashlib.sha256(name.encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+                w = max(0.1, 1 - 5.0 * sum(c in "#*$%&|<>" for c in text or "") / max(len(text or ""), 1))
+                groups[-math.log(u) / w, -(2**63) if r[0] is None else r[0]].append((r[0], n))
+        upto = 0
+        for key in sorted(groups):
+            upto += sum(n for _, n in groups[key])
+            out += [(i, s, n, (epochs + (upto - n / 2 <= rest)) * n) for i, n in groups[key]]
+    return out
+
+
+@pytest.mark.parametrize("edge_rows_", [100_000, 5, 1])
+def test_mix_takes_the_rows_with_the_least_keys(spark, edge_rows, edge_rows_):
+    """Against a plain sort; many rows of small weight share a first digit, and small bounds make the edge go through every digit."""
+    rnd, rows = random.Random(17), list(edge_rows)
+    for i in range(1500):
+        text = sentence(rnd, rnd.randrange(0, 40)) + " " + "$|" * (rnd.randrange(60) if i % 2 else 0)
+        rows.append((1000 + i, text, "en", rnd.choice(["hot"] * 6 + ["a", "b", None]), 1, 0.5, "x", 1))
+    rows += [(7, "the same text again and again", "en", "same", 1, 0.5, "x", 1)] * 60
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), mixing.word_count(F.col("text")), cleanliness(), edge_rows=edge_rows_)
+    assert Counter(tuple(r) for r in got.select("doc_id", "source", "size", "taken").collect()) == Counter(brute_mix(rows))
+
+
 def mixed(df):
     return sorted(map(tuple, mixing.mix(df, mixing.word_count(F.col("text")), cleanliness()).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=repr)
 
@@ -160,6 +236,39 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id = 3"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_each_row_of_an_id_is_a_query(spark):
+    rnd = random.Random(9)
+    vec = lambda n=4: [rnd.uniform(-1, 1) for _ in range(n)]
+    rows = [(i % 60, vec()) for i in range(150)] + [(40, vec(3)), (41, vec(3)), (42, vec(3))]
+    got = Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7).select("query_id", "rank", "vec_id", "score").collect())
+    import math
+
+    ints, want = [(i, [math.floor(64 * x) for x in v]) for i, v in rows], Counter()
+    for q, a in ints:
+        if q % 20 == 0:
+            ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != q and len(a) == len(b))[:7]
+            want.update((q, r, i, -s) for r, (s, i) in enumerate(ranked, 1))
+    assert got == want
+
+
+def test_scores_beyond_62_bits_raise(spark):
+    df = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(df, F.col("vec_id") == 0)
+
+
+def test_query_over_edited_and_regenerated_logs(spark):
+    """Edits, regenerations, deletions and equal sequence numbers all the way to the rendered conversation."""
+    log = [
+        (1, 1, "a", "start", "user", None), (1, 2, "a", "delta", None, "hi"), (1, 3, "b", "start", "assistant", None), (1, 4, "b", "delta", None, "draft"), (1, 5, "b", "regenerate", None, None), (1, 6, "b", "delta", None, "fi"),
+        (1, 6, "b", "delta", None, "nal"), (1, 7, "a", "edit", None, "hello"), (1, 8, "c", "start", "assistant", "more"), (1, 9, "c", "delete", None, None), (1, 10, "c", "start", "assistant", "again"), (1, 11, "d", "start", "assistant", "</s>"),
+        (1, 11, "d", "regenerate", None, None), (1, 11, "d", "delta", None, "ok"), (2, 1, "a", "start", "user", "x"), (2, 2, "a", "delete", None, None),
+    ]
+    out = chat.format_chats(spark.createDataFrame(log, "conv_id long, seq long, message_id string, kind string, role string, text string").repartition(3))
+    rows = out.select("conv_id", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()
+    assert [(r["conv_id"], [tuple(t) for t in r["turns"]], r["learned"]) for r in rows] == [(1, [("user", "hello"), ("assistant", "final"), ("assistant", "ok")], "finalok")]
+
+
 def test_hash_of_turns_reads_back(spark, tmp_path):
     spark.createDataFrame([(3, 0, "user", "hi"), (3, 1, "assistant", "a<|end|>b")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     from tessera.llm.queries import op5_chat_format

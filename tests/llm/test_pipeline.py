@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from tests.llm.conftest import sentence
+from tests.llm.test_native import brute_mix
 from tests.llm.test_dedup import WORD, brute_components, brute_print
 from tests.llm.test_tokens_packing import check_packing
 
@@ -81,6 +82,10 @@ def test_repeats_are_cut_in_place(staged):
 def test_mix_takes_whole_documents(staged):
     before, after = map(Counter, staged[1][3:5])
     assert all(n <= 2 * before[r] for r, n in after.items()) and not set(after) - set(before)
+    want = Counter()
+    for i, source, size, taken in brute_mix(staged[1][3]):
+        want[i, source] += taken // size if size else 0
+    assert Counter((r[0], r[3]) for r in staged[1][4] if WORD.search(r[1] or "")) == +want
 
 
 def test_packing_covers_the_mix(staged):
