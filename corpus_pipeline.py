@@ -32,7 +32,8 @@ def _stage(f):
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), model, "_score").where("_score < 0.7").select(*COLUMNS)
+    kept = toxicity.score(docs.select(*COLUMNS), model, "_score").where("_score < 0.7").select(*COLUMNS)
+    return scratch.keep(kept, "not-toxic")  # here, so that the texts go to Python in small batches
 
 
 @_stage
