@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, norm
 from ..settings import get_settings
-from .search import _bounded
+from . import dense
 
 ENTRY = (
     "id string, query string, embedding array<double>, answer string, relevant_files array<string>, input_tokens int, output_tokens int, vector_count int, bm25_count int, "
@@ -22,15 +21,9 @@ def lookup(cache: DataFrame, queries: DataFrame, threshold: float | None = None)
     """
     threshold = get_settings().semantic_cache_threshold if threshold is None else threshold
     q = queries.where("embedding is not null" + (" and trim(query) <> ''" if "query" in queries.columns else ""))
-    q = q.select("query_id", F.col("embedding").alias("_q")).withColumn("_qn", norm(F.col("_q")))
-    c = cache.select("id", "created_at", F.col("embedding").alias("_c")).withColumn("_cn", norm(F.col("_c")))
-    sim = cosine(F.col("_q"), F.col("_c"), F.col("_qn"), F.col("_cn"))
-    pairs = c.join(_bounded(q), F.size("_q") == F.size("_c")).select("query_id", "id", sim.alias("similarity"), "created_at")
-    # a partial aggregate keeps one entry for each query and task
-    order = F.struct(F.col("similarity"), (-F.unix_micros("created_at")).alias("age"))
-    top = pairs.groupBy("query_id").agg(F.max(order).alias("best"))
-    near = pairs.join(_bounded(top), "query_id").where((F.col("similarity") == F.col("best.similarity")) & (-F.unix_micros("created_at")).eqNullSafe(F.col("best.age")))
-    return near.groupBy("query_id").agg(F.min("id").alias("id"), F.first("similarity").alias("similarity")).where(F.col("similarity") >= threshold)
+    found = dense.nearest(cache, q, 1, F.struct(F.col("created_at"), F.col("id")))  # one entry for each query and pair of blocks
+    best = found.groupBy("query_id").agg(F.min(F.struct((-F.round("score", dense.DIGITS)).alias("far"), "key", "score")).alias("b"))
+    return best.select("query_id", F.col("b.key.id").alias("id"), F.col("b.score").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def record_hits(cache: DataFrame, hits: DataFrame) -> DataFrame:
@@ -63,6 +56,3 @@ def invalidate(cache: DataFrame) -> tuple[DataFrame, int]:
     """(an empty cache, how many entries were deleted)."""
     return cache.limit(0), cache.count()
 
-
-def by_age(cache: DataFrame) -> DataFrame:
-    return cache.withColumn("age_rank", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))))

@@ -20,23 +20,25 @@ def record(probe: DataFrame, model_name: str) -> DataFrame:
 
 
 def check(fingerprint: DataFrame, probe: DataFrame, model_name: str, threshold: float | None = None) -> DataFrame:
-    """One row: drifted, reason, similarity. The first that holds decides:
+    """For each row of probe (probe_embedding, and any columns that name it): drifted, reason, similarity. The first that holds decides:
     no_fingerprint, model_changed, embedder_unavailable, vector_changed, same.
     """
     threshold = get_settings().drift_similarity_threshold if threshold is None else threshold
-    one = probe.limit(1).agg(F.first("probe_embedding").alias("now"))
-    old = fingerprint.limit(1).agg(F.first("model_name").alias("model"), F.first("probe_embedding").alias("then"))
-    both = one.withColumn("_k", F.lit(1)).join(old.withColumn("_k", F.lit(1)), "_k")  # one row each
-    sim = F.when(F.size("now") == F.size("then"), cosine(F.col("now"), F.col("then"))).otherwise(F.lit(0.0))
+    named = [c for c in probe.columns if c != "probe_embedding"]
+    old = fingerprint.limit(1).agg(F.first("model_name").alias("_model"), F.first("probe_embedding").alias("_then"))
+    both = probe.join(F.broadcast(old))  # one row
+    now, then = F.col("probe_embedding"), F.col("_then")
+    sim = F.when(F.size(now) == F.size(then), cosine(now, then)).otherwise(F.lit(0.0))
     reason = (
-        F.when(F.col("model").isNull(), "no_fingerprint")
-        .when(F.col("model") != model_name, "model_changed")
-        .when(F.col("now").isNull(), "embedder_unavailable")
+        F.when(F.col("_model").isNull(), "no_fingerprint")
+        .when(F.col("_model") != model_name, "model_changed")
+        .when(now.isNull(), "embedder_unavailable")
         .when(sim < threshold, "vector_changed")
         .otherwise("same")
     )
-    out = both.select(reason.alias("reason"), sim.alias("_s"))
+    out = both.select(*named, reason.alias("reason"), sim.alias("_s"))
     return out.select(
+        *named,
         F.col("reason").isin("model_changed", "vector_changed").alias("drifted"),
         "reason",
         F.when(F.col("reason").isin("model_changed"), F.lit(0.0)).when(F.col("reason").isin("no_fingerprint", "embedder_unavailable"), F.lit(1.0)).otherwise(F.col("_s")).alias("similarity"),

@@ -6,6 +6,7 @@ decimals are ties, so that the order of additions can't decide; ties go by id.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -14,14 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens
-from ..functions.vectors import cosine, l2_relevance, norm
 from ..settings import get_settings
+from . import dense
 
+log = logging.getLogger(__name__)
 
-def _bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The frame marked for broadcast where its counted rows are few enough."""
-    most = rows or get_settings().broadcast_rows
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+def _bounded(df: DataFrame, row_bytes: int = 200) -> DataFrame:
+    """The frame marked for broadcast where its rows, of about so many bytes each, are few enough; what was read to count them is what is sent."""
+    s = get_settings()
+    most = max(1, min(s.broadcast_rows, s.broadcast_bytes // row_bytes))
+    some = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(some, df.schema)) if some.num_rows <= most else df
 
 
 def _near(score: str = "score") -> Column:
@@ -37,61 +42,76 @@ def rank_by(df: DataFrame, k: int | None, *order: Column, by: str = "query_id")
 def vector_search(chunks: DataFrame, queries: DataFrame, top_k: int | None = None, min_score: float | None = None, scope: Column | None = None, metric: str = "cosine", id_col: str = "chunk_id") -> DataFrame:
     """(query_id, chunk_id, score, rank) of the nearest chunks: the threshold is applied after top_k.
 
-    scope: a condition on chunks that reaches the scan.  queries: (query_id, embedding), a batch that is small beside the chunks;
-    a batch over the broadcast bound is dealt over the chunks' partitions by shuffle all the same, as Spark plans it.
+    scope: a condition on chunks that reaches the scan.  queries: (query_id, embedding), a batch of any size; see :mod:`dense`.
     """
     s = get_settings()
     top_k, min_score = top_k or s.top_k_results, s.min_relevance_score if min_score is None else min_score
-    if metric not in ("cosine", "l2_relevance"):
-        raise ValueError(f"unknown metric {metric!r}")
-    c = (chunks if scope is None else chunks.where(scope)).select(F.col(id_col).alias("chunk_id"), F.col("embedding").alias("_c"))
-    c = c.withColumn("_cn", norm(F.col("_c")))
-    q = queries.select("query_id", F.col("embedding").alias("_q")).withColumn("_qn", norm(F.col("_q")))
-    score = cosine(F.col("_q"), F.col("_c"), F.col("_qn"), F.col("_cn")) if metric == "cosine" else l2_relevance(F.col("_q"), F.col("_c"))
-    scored = c.join(_bounded(q), F.size("_q") == F.size("_c")).select("query_id", "chunk_id", score.alias("score"))
-    return rank_by(scored, top_k, _near(), F.asc("chunk_id")).where(F.col("score") >= min_score)
+    found = dense.nearest(chunks if scope is None else chunks.where(scope), queries, top_k, F.col(id_col), metric=metric)
+    found = found.select("query_id", F.col("key").alias("chunk_id"), "score")
+    return rank_by(found, top_k, _near(), F.asc("chunk_id")).where(F.col("score") >= min_score)
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings (term, chunk_id, tf), lengths (chunk_id, dl), terms (term, df, idf) and the scalars of the corpus."""
+    """postings (bucket, term, chunk_id, tf, dl), terms (term, df, idf) and the scalars of the corpus. A bucket is a hash of the term."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     n_chunks: int
     avg_length: float
 
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BUCKETS = 64
 
 
-def build_bm25(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, id_col: str = "chunk_id", text_col: str = "content") -> Bm25Index:
-    """Postings and statistics. keep(frame, name) stores a table and returns it read back; by default frames are cached."""
-    keep = keep or (lambda df, name: df.persist())
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), code_tokens(text_col).alias("tokens"))
-    lengths = keep(tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl")), "lengths")
-    postings = keep(tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), "postings")
-    n, avg = lengths.agg(F.count("*"), F.avg("dl")).first()
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("_idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = keep(raw, "terms")
+def bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def postings_of(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """(bucket, term, chunk_id, tf, dl): chunks without tokens have one row without a term, so that averages count them.
+
+    A chunk's own tokens are counted within its row: nothing is shuffled.
+    """
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.array_sort(code_tokens(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    # in a sorted list a term's count is where its run ends less where it begins
+    ends = F.expr("filter(transform(t, (x, i) -> if(i = size(t) - 1 or t[i + 1] <> x, i + 1, 0)), i -> i > 0)")
+    runs = tokens.select("chunk_id", "dl", "t", ends.alias("ends"))
+    runs = runs.select("chunk_id", "dl", F.expr("transform(ends, (e, i) -> struct(t[e - 1] as term, cast(e - if(i = 0, 0, ends[i - 1]) as bigint) as tf))").alias("r"))
+    rows = runs.select("chunk_id", "dl", F.explode_outer("r").alias("r")).select("chunk_id", "dl", "r.term", "r.tf")
+    return rows.select(F.coalesce(bucket(), F.lit(0)).alias("bucket"), "term", "chunk_id", "tf", "dl")
+
+
+def index_of(postings: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Bm25Index:
+    """Statistics of stored postings. keep(frame, name) stores the table of terms and returns it read back."""
+    n, total = postings.select("chunk_id", "dl").distinct().agg(F.count("*"), F.sum("dl")).first()
+    idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("_idf", idf)
+    raw = keep(raw, "terms") if keep else raw
     mean = raw.agg(F.avg("_idf")).first()[0] or 0.0
     terms = raw.select("term", "df", F.when(F.col("_idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("_idf")).alias("idf"))
-    return Bm25Index(postings, lengths, terms, n, avg or 0.0)
+    return Bm25Index(postings, terms, n, (total or 0) / n if n else 0.0)
+
+
+def build_bm25(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, id_col: str = "chunk_id", text_col: str = "content") -> Bm25Index:
+    """Postings and statistics. keep(frame, name) stores a table and returns it read back; without it they are computed where they are used."""
+    postings = postings_of(chunks, id_col, text_col)
+    return index_of(keep(postings, "postings") if keep else postings, keep)
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int | None = None, scope: DataFrame | None = None, normalise: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank): positive scores only, best first, divided by the best one.
 
     queries: (query_id, query).  scope: chunk_ids to keep, after scoring: statistics stay the corpus's own.
-    Only postings of the queries' terms are read on.
+    Only postings of the queries' terms are read on, and only their buckets from a stored index.
     """
     top_k = top_k or get_settings().bm25_top_k
     asked = queries.select("query_id", F.explode(code_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(index.terms.select("term", "idf"), "term")
+    weighted = asked.join(index.terms.select("term", "idf"), "term").withColumn("bucket", bucket())
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avg_length or 1.0)))
-    hits = index.postings.join(_bounded(weighted), "term").join(index.lengths, "chunk_id")
+    hits = index.postings.join(_bounded(weighted), ["bucket", "term"])
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
     if scope is not None:
         scored = scored.join(scope.select("chunk_id"), "chunk_id", "left_semi")
@@ -108,25 +128,43 @@ def fusion_key(key: str = "content_hash") -> Column:
     return F.coalesce(F.nullif(F.col(key), F.lit("")), fallback)
 
 
-def rrf_fuse(lists: list[DataFrame], top_k: int | None = None, k: int | None = None) -> DataFrame:
+def rrf_fuse(lists: list[DataFrame], top_k: int | None = None, k: int | None = None, counts: bool = False) -> DataFrame:
     """(query_id, key, chunk_id, score, rank): sums 1 / (k + rank) by key over the lists (query_id, key, chunk_id, rank).
 
     Ties: the key that came first, by list and rank.  The last one seen stands for the key.
+    counts: adds found, how many rows each list has for the query.
     """
     s = get_settings()
     k, top_k = k or s.hybrid_rrf_k, top_k or s.top_k_results
     place = F.struct(F.col("_list"), F.col("rank"))
     rows = reduce(DataFrame.unionByName, [d.select("query_id", "key", "chunk_id", "rank").withColumn("_list", F.lit(i)) for i, d in enumerate(lists)])
-    fused = rows.groupBy("query_id", "key").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), F.max_by("chunk_id", place).alias("chunk_id"), F.min(place).alias("_first"))
-    return rank_by(fused, top_k, _near(), F.asc("_first"), F.asc("key")).select("query_id", "key", "chunk_id", "score", "rank")
+    fused = rows.groupBy("query_id", "key").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), F.max_by("chunk_id", place).alias("chunk_id"), F.min(place).alias("_first"), *[F.count_if(F.col("_list") == i).alias(f"_n{i}") for i in range(len(lists))])
+    every = Window.partitionBy("query_id")
+    fused = fused.withColumn("found", F.array(*[F.sum(f"_n{i}").over(every) for i in range(len(lists))]))
+    return rank_by(fused, top_k, _near(), F.asc("_first"), F.asc("key")).select("query_id", "key", "chunk_id", "score", "rank", *(["found"] if counts else []))
 
 
 def rerank(results: DataFrame, model: Callable[[Column, Column], Column] | None, top_k: int | None = None) -> DataFrame:
-    """Orders results (query_id, query, content, rank, ...) by the model's score of query and text; without a model the order stays."""
+    """Orders results (query_id, query, content, rank, ...) by the model's score of query and text.
+
+    Without a model, and with one that can't be called, the order and the scores stay; a query for which it gives no
+    score for some text (null: it failed there) keeps its order too.
+    """
+    as_it_was = results if top_k is None else results.where(F.col("rank") <= top_k)
     if model is None:
-        return results if top_k is None else results.where(F.col("rank") <= top_k)
-    scored = results.withColumn("score", model(F.col("query"), F.substring("content", 1, 2000))).withColumnRenamed("rank", "_was")
-    return rank_by(scored, top_k, F.desc("score"), F.asc("_was")).drop("_was")
+        return as_it_was
+    try:
+        given = model(F.col("query"), F.substring("content", 1, 2000))
+    except Exception:
+        log.exception("reranker failed; the order stays")
+        return as_it_was
+    whole = F.count("_new").over(Window.partitionBy("query_id")) == F.count("*").over(Window.partitionBy("query_id"))
+    scored = results.withColumn("_new", given).withColumn("_whole", whole).withColumnRenamed("rank", "_was")
+    if "score" in results.columns:
+        scored = scored.withColumn("score", F.when(F.col("_whole"), F.col("_new")).otherwise(F.col("score")))
+    else:
+        scored = scored.withColumn("score", F.when(F.col("_whole"), F.col("_new")))
+    return rank_by(scored, top_k, F.when(F.col("_whole"), F.col("_new")).desc_nulls_last(), F.asc("_was")).drop("_was", "_new", "_whole")
 
 
 def graph_chunks(chunks: DataFrame, related: DataFrame, top_k: int | None = None, most_files: int = 8, per_file: int = 3, score: float = 0.5) -> DataFrame:

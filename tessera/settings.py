@@ -1,4 +1,4 @@
-"""Engine settings: defaults, overridden by environment variables of the same upper-case names."""
+"""Engine settings: defaults, overridden by ``.env``, by ``spark.tessera.*`` and by environment variables of the same upper-case names."""
 
 from __future__ import annotations
 
@@ -29,15 +29,38 @@ class Settings:
     use_cross_repo_linking: bool = True
     drift_similarity_threshold: float = 0.999
     api_key: str | None = None
-    broadcast_rows: int = 1_000_000  # sides up to this many counted rows may be broadcast
+    broadcast_rows: int = 1_000_000  # a side of at most so many counted rows,
+    broadcast_bytes: int = 32 << 20  # and of at most so many bytes, may be broadcast
+
+
+def _env_file(path: str = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, where there is one; '#' begins a comment, quotes around a value go."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.strip().partition("=") for line in f if "=" in line and not line.lstrip().startswith("#")]
+    return {k.strip().removeprefix("export ").strip().upper(): v.strip().strip("'\"") for k, _, v in pairs}
+
+
+def _session() -> dict[str, str]:
+    """Settings of the active Spark session under ``spark.tessera.``."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    keys = [f.name for f in fields(Settings)] if spark is not None else []
+    found = {k.upper(): spark.conf.get(f"spark.tessera.{k}", None) for k in keys}
+    return {k: v for k, v in found.items() if v is not None}
 
 
 @lru_cache(maxsize=1)
 def get_settings() -> Settings:
-    """The settings of this process; ``get_settings.cache_clear()`` reads the environment again."""
-    given = {}
+    """The settings of this process: the environment before the session's configuration, that before ``.env``, that before the defaults.
+
+    ``get_settings.cache_clear()`` reads them again.
+    """
+    known, given = _env_file() | _session() | dict(os.environ), {}
     for f in fields(Settings):
-        raw = os.environ.get(f.name.upper())
+        raw = known.get(f.name.upper())
         if raw is None:
             continue
         kind = type(f.default)

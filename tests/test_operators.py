@@ -114,19 +114,23 @@ const arrow = async (x) => x * 2;
 router.get('/api/items', auth, plain);
 app.post("/api/items", (req, res) => {});
 app.use('/mid', exported);
+app.get('home', plain);
+const parts = text.split(/[`'"{]/), half = a / b / c;
+class After { m() { return /\\/}/.test(x); } }
+function last() {}
 """
 
 
 def test_script_records():
     r = symbols.extract_js(JS)
     by = lambda k: [x for x in r if x["kind"] == k]
-    assert [c["name"] for c in by("class")] == ["Service"] and [i["parent"] for i in by("inherits")] == ["Base"]
+    assert [c["name"] for c in by("class")] == ["Service", "After"] and [i["parent"] for i in by("inherits")] == ["Base"]
     assert [(f["qualified_name"], f["is_async"], f["is_method"]) for f in by("function")] == [
-        ("Service.url", False, True), ("Service.load", True, True), ("Service.make", False, True), ("plain", False, False), ("exported", True, False), ("arrow", True, False),
+        ("Service.url", False, True), ("Service.load", True, True), ("Service.make", False, True), ("plain", False, False), ("exported", True, False), ("After.m", False, True), ("last", False, False), ("arrow", True, False),
     ]
-    assert [(e["http_method"], e["path"], e["handler"]) for e in by("endpoint")] == [("GET", "/api/items", "plain"), ("POST", "/api/items", None), ("ALL", "/mid", "exported")]
+    assert [(e["http_method"], e["path"], e["handler"]) for e in by("endpoint")] == [("GET", "/api/items", "plain"), ("POST", "/api/items", None), ("ALL", "/mid", "exported"), ("GET", "home", "plain")]
     assert [(i["module"], i["symbols"]) for i in by("import")] == [("react", ["React", "useState"]), ("path", ["path"]), ("./style.css", [])]
-    assert [s["name"] for s in symbols.js_symbols(JS)] == ["Service", "plain", "exported"]
+    assert [s["name"] for s in symbols.js_symbols(JS)] == ["Service", "plain", "exported", "After", "last"]
 
 
 def whole_graph(spark, rows=CODE):
@@ -212,6 +216,27 @@ def lists(spark, *ranked):
     return [spark.createDataFrame([("q", k, k + str(j), r) for r, k in enumerate(keys, 1)], "query_id string, key string, chunk_id string, rank int") for j, keys in enumerate(ranked)]
 
 
+def test_large_sides_are_dealt_by_more_than_one_key(spark, monkeypatch):
+    """Nothing is broadcast beyond the bound, and the dense join's keys take many values."""
+    from tessera import settings
+
+    monkeypatch.setenv("BROADCAST_ROWS", "1")
+    settings.get_settings.cache_clear()
+    monkeypatch.setattr(search.dense, "BLOCK", 16)
+    e = spark.range(300).select(F.col("id").alias("chunk_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 2)).alias("embedding"))
+    q = e.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = search.vector_search(e, q, 5, min_score=-1.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "hashpartitioning(size(" not in plan and "SortMergeJoin" in plan
+    rows = {r["chunk_id"]: r["embedding"] for r in e.collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {(i, k, j) for i in range(0, 300, 3) for k, j in enumerate(sorted(rows, key=lambda j: (-round(cos(rows[i], rows[j]), 9), j))[:5], 1)}
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in found.collect()} == want
+    bm = search.bm25_search(search.build_bm25(corpus(spark)), questions(spark, "campaign email user"))
+    assert "Broadcast" not in bm._jdf.queryExecution().executedPlan().toString() and bm.count() > 0
+    settings.get_settings.cache_clear()
+
+
 def test_fusion(spark):
     keys = lambda *ls, **o: [r["key"] for r in search.rrf_fuse(lists(spark, *ls), **o).orderBy("rank").collect()]
     assert keys("abc") == ["a", "b", "c"]
@@ -240,6 +265,11 @@ def test_rerank(spark):
 
     assert order(overlap_reranker, 2) == ["the user", "nothing"]
 
+    def broken(q, t):
+        raise OSError("down")
+
+    assert order(broken, 2) == ["nothing", "the user"] and order(lambda q, t: F.when(t != "nothing", 1.0)) == order(None)
+
 
 def test_questions_against_the_graph(spark):
     f, s, files, v, edges = whole_graph(spark)
@@ -253,7 +283,7 @@ def test_questions_against_the_graph(spark):
     near, far = ({(r["query_id"], r["file_path"]) for r in traverse.related_files(matches, files, edges, h).collect()} for h in (1, 3))
     assert ("0", "app/models.py") in near and near <= far and ("2", "src/charge.js") in far
     text = {r["query_id"]: r["summary"] for r in traverse.summarise(matches, traverse.methods_of(matches, v["functions"], edges)).collect()}
-    assert "- `Order` [Class] in `shop` → `app/models.py`\n  - Methods: `load`" in text["0"] and "- `get_order` *(async)* in `shop`" in text["0"] and "- `GET /api/charges` [express] in `pay`" in text["2"]
+    assert "* class `Order` (shop: app/models.py) with `load`" in text["0"] and "* async `get_order` (shop: app/api.py)" in text["0"] and "* route `GET /api/charges` of express (pay: src/server.js)" in text["2"]
 
 
 def test_hops(spark):
