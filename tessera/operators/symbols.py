@@ -111,10 +111,39 @@ def extract_python(content: str) -> list[dict]:
 # --- JavaScript and TypeScript -------------------------------------------------------
 
 _QUOTES = "'\"`"
+#: Words after which a slash begins a regular expression and doesn't divide.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
+
+
+def _regex_end(content: str, at: int) -> int:
+    """Just past the regular expression literal that begins at the slash; -1 if the slash divides."""
+    k = at - 1
+    while k >= 0 and content[k] in " \t":
+        k -= 1
+    if k >= 0 and (content[k].isalnum() or content[k] in "_$)]}"):
+        word = re.search(r"[\w$]+$", content[: k + 1])
+        if word is None or word[0] not in _BEFORE_REGEX:
+            return -1
+    inside, j = False, at + 1
+    while j < len(content) and content[j] != "\n":
+        c = content[j]
+        if c == "\\":
+            j += 1
+        elif c == "[":
+            inside = True
+        elif c == "]":
+            inside = False
+        elif c == "/" and not inside:
+            j += 1
+            while j < len(content) and content[j].isalpha():
+                j += 1
+            return j
+        j += 1
+    return -1
 
 
 def blank_out(content: str) -> str:
-    """The text with comments and the insides of strings blanked, of the same length and lines."""
+    """The text with comments, regular expressions and the insides of strings blanked, of the same length and lines."""
     out, i, n = list(content), 0, len(content)
     while i < n:
         c = content[i]
@@ -133,6 +162,8 @@ def blank_out(content: str) -> str:
                     out[k] = " "
             i = j + 1
             continue
+        elif c == "/" and (j := _regex_end(content, i)) >= 0:
+            pass
         else:
             i += 1
             continue
@@ -167,7 +198,7 @@ def _depths(bare: str) -> list[int]:
 _JS_TOP = re.compile(r"(?P<export>export\s+(?:default\s+)?)?(?:(?P<abstract>abstract\s+)?class\s+(?P<class>[A-Za-z_$][\w$]*)|(?P<async>async\s+)?function\s*\*?\s*(?P<function>[A-Za-z_$][\w$]*))")
 _JS_ARROW = re.compile(r"(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(async\s+)?(?:function\b|\([^()]*\)\s*(?::\s*[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
 _JS_IMPORT = re.compile(r"import\s+(?:(?P<what>[^'\"`;]*?)\s*from\s*)?(?P<q>['\"])")
-_JS_ROUTE = re.compile(r"[A-Za-z_$][\w$]*\s*\.\s*(" + "|".join(JS_VERBS) + r")\s*\(\s*(['\"`])")
+_JS_ROUTE = re.compile(r"[A-Za-z_$][\w$]*\s*\.\s*(" + "|".join(JS_VERBS) + r")\s*\(\s*(['\"])")
 _JS_MEMBER = re.compile(r"(?:(?:public|private|protected|static|readonly|override|declare|abstract)\s+)*(?P<async>async\s+)?\*?\s*(?:(?:get|set)\s+(?=[A-Za-z_$#]))?(?P<name>[#A-Za-z_$][\w$]*)\s*[?!]?\s*(?P<next>[(<:=;])")
 _NOT_MEMBERS = frozenset("if for while switch catch return function new await typeof else do try throw case".split())
 
@@ -263,7 +294,7 @@ def extract_js(content: str) -> list[dict]:
         if depth[m.start()] or (m.start() and (bare[m.start() - 1].isalnum() or bare[m.start() - 1] in "_$.")):
             continue
         path = _string_at(content, m.end() - 1)
-        if not path.startswith("/"):
+        if not path:
             continue
         end = _close(bare, bare.find("(", m.start()), "()")
         rest = [x.strip() for x in bare[m.end() + len(path) + 1 : end - 1].split(",")]

@@ -9,27 +9,28 @@ from ..functions.text import text_entities
 from .search import _bounded
 
 
-def known_names(classes: DataFrame, functions: DataFrame, endpoints: DataFrame, per_kind: int = 2000) -> DataFrame:
-    """(kind, name): distinct names, the first ``per_kind`` of each kind."""
+def known_names(classes: DataFrame, functions: DataFrame, endpoints: DataFrame, per_kind: int | None = None) -> DataFrame:
+    """(kind, name): distinct names; with per_kind the first so many of each kind."""
     every = classes.select(F.lit("Class").alias("kind"), "name").unionByName(functions.select(F.lit("Function").alias("kind"), "name"))
     every = every.unionByName(endpoints.select(F.lit("APIEndpoint").alias("kind"), F.col("path_pattern").alias("name"))).where("name is not null").distinct()
+    if per_kind is None:
+        return every
     return every.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("name"))).where(F.col("_n") <= per_kind).drop("_n")
 
 
 def extract_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, entity): names by their shape, and known names that stand in the query as whole words.
 
-    Known one-word names join the query's words by equality; only names with other characters are looked for by pattern.
+    A known name meets the queries that hold its first word, by equality, however many names there are; names of
+    several words or with other characters are then looked for as a whole.
     """
     shaped = queries.select("query_id", F.explode(text_entities("query")).alias("entity"))
-    n = names.where(F.length("name") > 3).select("name", F.lower("name").alias("_low")).distinct()
-    words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"\w+"), 0))).alias("_low"))
-    plain = words.join(n.where(F.col("_low").rlike(r"^\w+$")), "_low").select("query_id", F.col("name").alias("entity"))
-    odd = _bounded(n.where(~F.col("_low").rlike(r"^\w+$")))
-    # a name that is no single word is bounded by per_kind, so the nested loop is over few names
-    found = F.expr(r"query rlike concat('(?i)\\b\\Q', name, '\\E\\b')")
-    rest = queries.join(odd, found).select("query_id", F.col("name").alias("entity"))
-    return shaped.unionByName(plain).unionByName(rest).distinct()
+    first = F.regexp_extract(F.lower("name"), r"\w+", 0)
+    n = names.where(F.length("name") > 3).select("name", first.alias("_word")).distinct()
+    words = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"\w+"), 0))).alias("_word"))
+    whole = F.expr(r"lower(name) = _word or query rlike concat('(?i)(?<!\\w)\\Q', name, '\\E(?!\\w)')")
+    known = words.join(n.where("_word <> ''"), "_word").where(whole).select("query_id", F.col("name").alias("entity"))
+    return shaped.unionByName(known).distinct()
 
 
 def find_nodes(entities: DataFrame, classes: DataFrame, functions: DataFrame, endpoints: DataFrame, limits: tuple[int, int, int] = (5, 10, 5)) -> DataFrame:
@@ -98,22 +99,24 @@ def k_hops(edges: DataFrame, starts: DataFrame, hops: int, undirected: bool = Fa
 
 
 def summarise(matches: DataFrame, methods: DataFrame) -> DataFrame:
-    """(query_id, summary): markdown lists of matched classes with their methods, functions and endpoints."""
+    """(query_id, summary): what the graph knows of the matches, a line for each, by kind."""
     tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
-    where = F.when(F.coalesce("repo_name", F.lit("")) != "", F.concat(F.lit(" in "), tick(F.col("repo_name")))).otherwise(F.lit(""))
-    at = F.when(F.coalesce("file_path", F.lit("")) != "", F.concat(F.lit(" → "), tick(F.col("file_path")))).otherwise(F.lit(""))
-    listed = F.array_join(F.transform(F.slice(F.coalesce("methods", F.array().cast("array<string>")), 1, 8), tick), ", ")
-    flag = lambda c, t: F.when(F.coalesce(c, F.lit(False)), F.lit(f" *({t})*")).otherwise(F.lit(""))
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    place = F.concat_ws(": ", F.when(has("repo_name"), F.col("repo_name")), F.when(has("file_path"), F.col("file_path")))
+    where = F.when(place != "", F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(F.lit(""))
+    listed = F.array_join(F.transform(F.slice(F.coalesce("methods", F.array().cast("array<string>")), 1, MOST["methods"]), tick), ", ")
+    traits = F.concat_ws(" ", F.when(F.coalesce("is_async", F.lit(False)), "async"), F.when(F.coalesce("is_method", F.lit(False)), "method"))
     line = (
-        F.when(F.col("kind") == "Class", F.concat(F.lit("- "), tick(F.col("name")), F.lit(" [Class]"), where, at, F.when(listed != "", F.concat(F.lit("\n  - Methods: "), listed)).otherwise(F.lit(""))))
-        .when(F.col("kind") == "Function", F.concat(F.lit("- "), tick(F.coalesce("qualified_name", "name")), flag("is_async", "async"), flag("is_method", "method"), where))
-        .otherwise(
-            F.concat(F.lit("- "), tick(F.concat_ws(" ", F.coalesce("http_method", F.lit("?")), "name")), F.when(F.coalesce("framework", F.lit("")) != "", F.concat(F.lit(" ["), F.col("framework"), F.lit("]"))).otherwise(F.lit("")), where)
-        )
+        F.when(F.col("kind") == "Class", F.concat(F.lit("* class "), tick(F.col("name")), where, F.when(listed != "", F.concat(F.lit(" with "), listed)).otherwise(F.lit(""))))
+        .when(F.col("kind") == "Function", F.concat(F.lit("* "), F.when(traits != "", F.concat(traits, F.lit(" "))).otherwise(F.lit("function ")), tick(F.coalesce("qualified_name", "name")), where))
+        .otherwise(F.concat(F.lit("* route "), tick(F.concat_ws(" ", F.coalesce("http_method", F.lit("any")), "name")), F.when(has("framework"), F.concat(F.lit(" of "), F.col("framework"))).otherwise(F.lit("")), where))
     )
-    most = {"Class": 5, "Function": 8, "APIEndpoint": 8}
-    titles = {"Class": "**Classes:**", "Function": "**Functions / Methods:**", "APIEndpoint": "**API Endpoints:**"}
     rows = matches.join(methods, ["query_id", "id"], "left").select("query_id", "kind", F.struct("name", "id", line.alias("line")).alias("x"))
-    by = rows.groupBy("query_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))).alias(k) for k in most])
-    block = lambda k: F.when(F.size(k) > 0, F.concat(F.lit(titles[k] + "\n"), F.array_join(F.transform(F.slice(F.col(k), 1, most[k]), lambda x: x["line"]), "\n"), F.lit("\n")))
-    return by.select("query_id", F.concat_ws("\n", F.lit("### Graph relationships found\n"), *[block(k) for k in most]).alias("summary"))
+    kinds = ("Class", "Function", "APIEndpoint")
+    by = rows.groupBy("query_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))).alias(k) for k in kinds])
+    block = lambda k: F.when(F.size(k) > 0, F.array_join(F.transform(F.slice(F.col(k), 1, MOST[k]), lambda x: x["line"]), "\n"))
+    return by.select("query_id", F.concat_ws("\n", *[block(k) for k in kinds]).alias("summary"))
+
+
+#: How many of each a summary shows. Fixed values.
+MOST = {"Class": 5, "methods": 8, "Function": 8, "APIEndpoint": 8}
