@@ -35,6 +35,57 @@ def language(path) -> Column:
     return F.coalesce(known[suffix(path)], F.lit("text"))
 
 
+def utf8_text(content: Column) -> Column:
+    """The bytes as text without those that aren't UTF-8; replacement characters that the text itself holds stay."""
+    mark, held = F.lit("\ufffd"), F.lit("\ue000\ue001fffd\ue001\ue000")
+    kept = F.make_valid_utf8(F.replace(content.cast("string"), mark, held))
+    return F.replace(F.replace(kept, mark, F.lit("")), held, mark)
+
+
+def git_metadata(spark: SparkSession, repos_dir: str | None = None) -> DataFrame:
+    """(repo_name, file_path, git_commit_sha, git_last_modified_at, git_last_modified_by): each file's last commit.
+
+    One ``git log`` for each repository, in parallel over the cluster's shared folder of repositories; no rows for
+    directories that aren't repositories, and where git is missing.
+    """
+    root = (repos_dir or get_settings().repos_dir).rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [(f.getPath().getName(), f.getPath().toUri().getPath()) for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+    repos = spark.createDataFrame(names, "repo_name string, path string").repartition(max(1, len(names)))
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, path in zip(batch.column("repo_name").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                rows = [(name, *r) for r in last_commits(path)]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=GIT)
+
+    return repos.mapInArrow(read, ", ".join(f"{c} string" for c in GIT))
+
+
+GIT = ["repo_name", "file_path", "git_commit_sha", "git_last_modified_at", "git_last_modified_by"]
+
+
+def last_commits(path: str) -> list[tuple[str, str, str, str]]:
+    """(file, sha, time, author) of the last commit of each file of a repository; nothing where git can't read it."""
+    import subprocess
+
+    try:
+        log = subprocess.run(["git", "-c", "core.quotepath=off", "-C", path, "log", "--name-only", "--format=%x00%H%x1f%aI%x1f%an"], capture_output=True, timeout=600, check=True).stdout.decode("utf-8", "replace")
+    except (OSError, subprocess.SubprocessError):
+        return []
+    seen: dict[str, tuple[str, str, str, str]] = {}
+    for entry in log.split("\0")[1:]:
+        head, *files = entry.split("\n")
+        for f in files:
+            if f and f not in seen:
+                seen[f] = (f, *head.split("\x1f"))
+    return list(seen.values())
+
+
 def load_repos(spark: SparkSession, repos_dir: str | None = None, git: DataFrame | None = None) -> DataFrame:
     """Files below ``repos_dir``, whose first directories are repositories.
 
@@ -50,10 +101,18 @@ def load_repos(spark: SparkSession, repos_dir: str | None = None, git: DataFrame
     inside = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
     files = raw.select(F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))).alias("rel"), "content", "length").where(F.contains("rel", F.lit("/")))
     files = files.select(F.split_part("rel", F.lit("/"), F.lit(1)).alias("repo_name"), F.regexp_extract("rel", r"^[^/]*/(.*)$", 1).alias("file_path"), "content", "length")
+    out = file_rows(files)
+    names = ("git_commit_sha", "git_last_modified_at", "git_last_modified_by")
+    if git is None:
+        return out.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
+    return out.join(git.select("repo_name", "file_path", F.substring("git_commit_sha", 1, 8).alias("git_commit_sha"), *names[1:]), ["repo_name", "file_path"], "left")
+
+
+def file_rows(files: DataFrame) -> DataFrame:
+    """What is indexed of files (repo_name, file_path, content as bytes): supported ones outside skipped directories that aren't blank."""
     files = files.where(is_supported("file_path") & ~is_skipped("file_path"))
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    files = files.withColumn("content", text).where(F.col("content").rlike(r"\S"))
-    out = files.select(
+    files = files.withColumn("content", utf8_text(F.col("content"))).where(F.col("content").rlike(r"\S"))
+    return files.select(
         "repo_name",
         "file_path",
         basename("file_path").alias("file_name"),
@@ -63,7 +122,3 @@ def load_repos(spark: SparkSession, repos_dir: str | None = None, git: DataFrame
         F.octet_length("content").cast("long").alias("size_bytes"),
         "content",
     )
-    names = ("git_commit_sha", "git_last_modified_at", "git_last_modified_by")
-    if git is None:
-        return out.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
-    return out.join(git.select("repo_name", "file_path", F.substring("git_commit_sha", 1, 8).alias("git_commit_sha"), *names[1:]), ["repo_name", "file_path"], "left")

@@ -17,9 +17,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep_old: bool = False) -> str:
-    """Writes a new version below ``path`` and then moves the pointer to it by a rename.
+    """Writes a new version below ``path`` and then moves the pointer to it by a rename that replaces the old one.
 
-    Readers see the old version or the new one, never a part; a failed write changes nothing.
+    Readers see the old version or the new one, never a part; a failed write changes nothing.  The version
+    before stays, for readers that have opened it; older ones go (none with ``keep_old``).
     """
     spark = df.sparkSession
     fs, root = _fs(spark, path)
@@ -30,22 +31,22 @@ def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep_o
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"could not publish {path}")
-    if old and not keep_old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/_current")), replace)
+    if not keep_old:
+        for f in fs.listStatus(root):
+            if f.getPath().getName().startswith("v-") and f.getPath().getName() not in (version, old):
+                fs.delete(f.getPath(), True)
     return version
 
 
 def _current(spark: SparkSession, path: str) -> str | None:
     fs, at = _fs(spark, f"{path}/_current")
     if not fs.exists(at):
-        # a publisher that stopped between delete and rename left its pointer beside
-        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current.v-*"))
-        return found[0].getPath().getName().removeprefix("_current.") if found and len(found) else None
+        return None
     stream = fs.open(at)
     try:
         return bytes(stream.readAllBytes()).decode()
@@ -68,15 +69,21 @@ def open_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation questions from JSON lines; blank lines and '#' comments are skipped, broken ones raise with their text."""
-    lines = spark.read.text(path).where(F.trim("value") != "").where(~F.trim("value").startswith("#"))
-    return parse_questions(lines)
+    """Evaluation questions from JSON lines; blank lines and '#' comments are skipped, broken ones raise with their number and text.
+
+    The file is read whole into one row, as lines have numbers only there: it is a list of questions, not a data set.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    return parse_questions(whole.select(F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1))
 
 
 def parse_questions(lines: DataFrame) -> DataFrame:
+    """Questions of lines (value, and line if numbers are known)."""
+    lines = lines.where(F.trim("value") != "").where(~F.trim("value").startswith("#"))
+    number = F.concat(F.lit("line "), "line", F.lit(": ")) if "line" in lines.columns else F.lit("")
     broken = F.try_parse_json("value").isNull()
     q = F.from_json("value", QUESTION)
-    bad = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.substring("value", 1, 200))).cast("string")
+    bad = lambda why: F.raise_error(F.concat(number, F.lit(f"{why}: "), F.substring("value", 1, 200))).cast("string")
     need = lambda k: F.when(broken, bad("invalid JSON")).when(q[k].isNull(), bad(f"missing {k}")).otherwise(q[k]).alias(k)
     empty = F.array().cast("array<string>")
     return lines.select(

@@ -34,6 +34,7 @@ def test_paths(spark):
 
 def test_call_sites(spark):
     code = """requests.get("http://svc/api/x?y=1"); axios.post('/v1/items'); fetch(`/a/b#c`); requests.get("x"); p.produce("topic-1", v); c.subscribe(['topic-2', 'z'])"""
+    assert values(spark, text.http_urls, "HTTPX . Request ( f'http://a/b' )", "prefetch('/abcd')", "requests.head('/abcd')", "fetch('/x/y')", "axios.get(`/abcd`)") == [["http://a/b"], [], [], ["/x/y"], []]
     assert values(spark, text.http_urls, code) == [["http://svc/api/x?y=1", "/v1/items", "/a/b#c"]]
     assert values(spark, text.produced_topics, code) == [["topic-1"]]
     assert values(spark, text.consumed_topics, code) == [["topic-2"]]
@@ -86,6 +87,44 @@ def test_load_repos(spark, tmp_path):
     assert (ts["content"], ts["file_type"], ts["language"], ts["size_bytes"], ts["git_commit_sha"]) == ("let é;", ".ts", "typescript", 7, None)
 
 
+def test_replacement_characters_of_the_text_stay(spark):
+    rows = [(b"a\xff\xef\xbf\xbdb",), ("ok \ufffd".encode(),), (b"\xc3(",), (None,)]
+    got = spark.createDataFrame(rows, "c binary").select(repos.utf8_text(F.col("c"))).collect()
+    assert [r[0] for r in got] == ["a\ufffdb", "ok \ufffd", "(", None]
+
+
+def test_git_metadata(spark, tmp_path):
+    import subprocess
+
+    repo = tmp_path / "shop"
+    repo.mkdir()
+    (tmp_path / "plain").mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=Ann", "-c", "user.email=a@x", *a], check=True, capture_output=True)
+    run("init")
+    for name, message in (("a.py", "one"), ("b é.py", "two"), ("a.py", "three")):
+        (repo / name).write_text(f"x = '{message}'\n")
+        run("add", "-A")
+        run("commit", "-m", message)
+    got = {r["file_path"]: r for r in repos.git_metadata(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.py", "b é.py"} and got["a.py"]["git_commit_sha"] != got["b é.py"]["git_commit_sha"] and got["a.py"]["git_last_modified_by"] == "Ann"
+    files = {r["file_path"]: r["git_commit_sha"] for r in repos.load_repos(spark, str(tmp_path), repos.git_metadata(spark, str(tmp_path))).collect()}
+    assert files["a.py"] == got["a.py"]["git_commit_sha"][:8]
+    assert repos.last_commits(str(tmp_path / "none")) == []
+
+
+def test_readers_of_the_version_before_can_finish(spark, tmp_path):
+    at = str(tmp_path / "t")
+    tables.publish(spark.range(3), at)
+    old = tables.open_table(spark, at)
+    tables.publish(spark.range(5), at)
+    assert old.count() == 3 and tables.open_table(spark, at).count() == 5
+    for n in (6, 7):
+        tables.publish(spark.range(n), at)
+    import os
+
+    assert len([d for d in os.listdir(at) if d.startswith("v-")]) == 2 and not [d for d in os.listdir(at) if d.startswith("_current.")]
+
+
 def test_publish_and_open(spark, tmp_path):
     at = str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):
@@ -104,8 +143,8 @@ def test_questions(spark, tmp_path):
     at.write_text('# note\n\n{"id": "1", "question": "why?"}\n{"id": "2", "question": "x", "difficulty": "hard", "expected_files": ["a"]}\n')
     got = {r["id"]: r for r in tables.read_questions(spark, str(at)).collect()}
     assert got["1"]["difficulty"] == "medium" and got["1"]["expected_files"] == [] and got["2"]["expected_files"] == ["a"]
-    for bad, why in (('{"question": "x"}', "missing id"), ("{oops", "invalid JSON")):
-        at.write_text(bad)
+    for bad, why in (('{"question": "x"}', "line 3: missing id"), ("{oops", "line 3: invalid JSON")):
+        at.write_text("# note\n\n" + bad)
         with pytest.raises(Exception, match=why):
             tables.read_questions(spark, str(at)).collect()
 
@@ -127,6 +166,20 @@ def test_settings(monkeypatch):
     settings.get_settings.cache_clear()
 
 
+def test_settings_of_a_file_and_a_session(spark, monkeypatch, tmp_path):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / ".env").write_text("# note\nexport TOP_K_RESULTS='3'\nCHUNK_SIZE=70\nVECTOR_TOP_K=4\n")
+    spark.conf.set("spark.tessera.chunk_size", "80")
+    spark.conf.set("spark.tessera.vector_top_k", "5")
+    monkeypatch.setenv("VECTOR_TOP_K", "6")
+    settings.get_settings.cache_clear()
+    s = settings.get_settings()
+    assert (s.top_k_results, s.chunk_size, s.vector_top_k) == (3, 80, 6)
+    for k in ("chunk_size", "vector_top_k"):
+        spark.conf.unset(f"spark.tessera.{k}")
+    settings.get_settings.cache_clear()
+
+
 def test_log_lines():
     record = logging.LogRecord("n", logging.INFO, "f", 1, "hi %s", ("x",), None)
     record.extra_field = 3
