@@ -29,19 +29,19 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from .plans import ask, index, service
-    from .sources.repos import load_repos
+    from .sources.repos import git_metadata, load_repos
 
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     at = index.Index(spark, args.index_dir)
     if args.command == "index":
-        print(index.run(spark, load_repos(spark, args.repos_dir), args.index_dir, args.reindex, not args.no_graph))
+        print(index.run(spark, load_repos(spark, args.repos_dir, git_metadata(spark, args.repos_dir)), args.index_dir, args.reindex, not args.no_graph))
         return 0
     if not at.exists():
         print("There is no index yet; run 'index' first.", file=sys.stderr)
         return 1
     if args.command == "ask":
         q = spark.createDataFrame([("0", args.question)], "query_id string, query string")
-        row = ask.run(at, q, repo=args.repo, use_graph=not args.no_graph, use_bm25=not args.no_bm25).first()
+        row = ask.answer(at, q, repo=args.repo, use_graph=not args.no_graph, use_bm25=not args.no_bm25).first()
         print(row["answer"], *(f"- {f}" for f in row["relevant_files"]), sep="\n")
     elif args.command == "stats":
         for df in service.index_stats(at):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.models import Embedder, hashing_embedder
+from ..operators import cache as caching
 from ..operators import chunks as chunking
-from ..operators import delta, drift, graph, linker, symbols
+from ..operators import delta, drift, graph, linker, search, symbols
 from ..settings import get_settings
 from ..sources import repos, tables
 
@@ -25,6 +26,10 @@ class IndexResult:
     graph_edges: int
     drift: str
 
+    def counters(self) -> dict[str, int]:
+        """The batch's totals by name."""
+        return {k: v for k, v in vars(self).items() if isinstance(v, int)}
+
 
 CHUNKS = (
     "repo_name string, file_path string, file_name string, file_type string, language string, content_hash string, size_bytes long, git_commit_sha string, git_last_modified_at string, "
@@ -33,13 +38,21 @@ CHUNKS = (
 )
 
 
+POSTINGS = "bucket int, term string, chunk_id string, tf long, dl long"
+SYMBOLS = f"repo_name string, file_path string, language string, seq int, {symbols.RECORD}"
+
+
+def columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 class Index:
     """The stored tables below one directory."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, (path or get_settings().index_dir).rstrip("/")
 
-    _EMPTY = {"chunks": CHUNKS, "registry": delta.REGISTRY, "edges": graph.EDGE, "fingerprint": drift.FINGERPRINT, **graph.SCHEMAS}
+    _EMPTY = {"chunks": CHUNKS, "registry": delta.REGISTRY, "edges": graph.EDGE, "fingerprint": drift.FINGERPRINT, "cache": caching.ENTRY, "postings": POSTINGS, "symbols": SYMBOLS, **graph.SCHEMAS}
 
     def table(self, name: str) -> DataFrame:
         return tables.open_table(self.spark, f"{self.path}/{name}", self._EMPTY.get(name))
@@ -50,14 +63,20 @@ class Index:
     def graph(self) -> dict[str, DataFrame]:
         return {k: self.table(k) for k in graph.SCHEMAS}
 
-    def put(self, name: str, df: DataFrame) -> None:
-        tables.publish(df, f"{self.path}/{name}")
+    def put(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
+        tables.publish(df, f"{self.path}/{name}", partition_by)
+
+    def bm25(self) -> search.Bm25Index:
+        """The stored postings and terms: a question reads its own terms' buckets."""
+        stats = self.table("bm25_stats").first()
+        return search.Bm25Index(self.table("postings"), self.table("terms"), stats["n_chunks"], stats["avg_length"])
 
 
 def run(spark: SparkSession, files: DataFrame | None = None, index_dir: str | None = None, reindex: bool = False, use_graph: bool | None = None, embedder: Embedder | None = None, model_name: str = "hashing-64") -> IndexResult:
-    """Brings the index up to the files: only changed ones are chunked and embedded, vanished ones go.
+    """Brings the index up to the files: only changed ones are parsed, chunked, embedded and posted, vanished ones go.
 
-    Vertices and edges are made from all files, so that resolution doesn't depend on the order of indexing.
+    Symbols of all files are kept as a table, from which edges are resolved again: so resolution doesn't depend on the
+    order of indexing, and no unchanged file is parsed twice.
     """
     s = get_settings()
     use_graph = s.use_graph if use_graph is None else use_graph
@@ -75,21 +94,35 @@ def run(spark: SparkSession, files: DataFrame | None = None, index_dir: str | No
     old = index.table("chunks")
     stale = changed.select("repo_name", "file_path").unionByName(gone.select("repo_name", "file_path")).distinct()
     kept = old.limit(0) if reindex else old.join(stale, ["repo_name", "file_path"], "left_anti")
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    names = columns(CHUNKS)
     index.put("chunks", kept.select(*names).unionByName(fresh.select(*names)))
+    posted = index.table("postings")
+    posted = posted.limit(0) if reindex else posted.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    both = posted.select(*columns(POSTINGS)).unionByName(search.postings_of(fresh).select(*columns(POSTINGS)))
+    index.put("postings", both.repartition("bucket"), ("bucket",))
+    made = search.index_of(index.table("postings"))
+    index.put("terms", made.terms)
+    index.put("bm25_stats", spark.createDataFrame([(made.n_chunks, float(made.avg_length))], "n_chunks long, avg_length double"))
 
     nodes = edges = 0
     node_ids = None
     if use_graph:
-        found = symbols.extract_symbols(files).persist()
+        known = index.table("symbols")
+        known = known.limit(0) if reindex else known.join(stale, ["repo_name", "file_path"], "left_anti")
+        parsed = symbols.extract_symbols(changed)
+        index.put("symbols", known.select(*columns(SYMBOLS)).unionByName(parsed.select(*columns(SYMBOLS))))
+        found = index.table("symbols")
+        tables_before, links_before = index.graph(), index.table("edges")
+        if not reindex:  # the symbols of changed and vanished files go, with every edge at them
+            tables_before, links_before = graph.delete_file_symbols(tables_before, links_before, stale)
         rows = changed.select(F.col("_doc_id").alias("file_id"), "repo_name", "file_path", "file_name", "language", "content_hash", "size_bytes")
         rows = rows.join(chunking.chunk_ids_per_file(fresh).withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn("last_indexed_at", F.current_timestamp())
-        vertices = graph.vertices_of(found)
+        vertices = graph.vertices_of(found.join(stale, ["repo_name", "file_path"], "left_semi"))
         vertices["files"] = rows
         vertices["repos"] = files.select(ids.repo_id("repo_name").alias("repo_id"), F.col("repo_name").alias("name"), F.lit(None).cast("string").alias("local_path")).distinct().withColumn("last_indexed_at", F.current_timestamp())
         whole = files.select(ids.file_id("repo_name", "file_path").alias("file_id"), "repo_name", "file_path").persist()
         for kind, table in vertices.items():
-            before = index.table(kind) if kind in ("repos", "files") and not reindex else index.table(kind).limit(0)
+            before = tables_before[kind].limit(0) if reindex else tables_before[kind]
             if kind == "files":
                 before = before.join(whole.select("file_id"), "file_id", "left_semi")
             index.put(kind, graph.upsert_vertices(before, table, kind))
@@ -97,8 +130,10 @@ def run(spark: SparkSession, files: DataFrame | None = None, index_dir: str | No
         links = graph.symbol_edges(found, whole, now["classes"]).unionByName(graph.repo_edges(whole))
         if s.use_cross_repo_linking:
             links = links.unionByName(linker.cross_repo_links(files, now["endpoints"]))
-        links = graph.keep_whole(links, graph.all_ids(now)).select(*[c.split()[0] for c in graph.EDGE.split(", ")])
-        index.put("edges", graph.upsert_edges(index.table("edges").limit(0), links))
+        links = graph.keep_whole(links, graph.all_ids(now)).select(*columns(graph.EDGE))
+        # edges that resolve as before stay as they are; those that don't any more go
+        stay = links_before.limit(0) if reindex else links_before.join(links.select("type", "src", "dst"), ["type", "src", "dst"], "left_semi")
+        index.put("edges", graph.upsert_edges(stay.select(*columns(graph.EDGE)), links))
         nodes, edges = graph.all_ids(now).count(), index.table("edges").count()
         node_ids = graph.node_ids_per_file(found)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hmac
+import time
 import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ def ready(index: Index) -> dict:
     return {"status": "ready" if found else "not_ready", "checks": {"index": found}}
 
 
-def authorise(header: str | None) -> int:
-    """200 if the bearer token is the key or no key is set, 401 without a token, 403 with a wrong one."""
-    key = get_settings().api_key
+def authorise(header: str | None, key: str | None = None) -> int:
+    """200 if the bearer token is the key (by default the settings' one) or no key is set, 401 without a token, 403 with a wrong one."""
+    key = key or get_settings().api_key
     if not key:
         return 200
     if not header or not header.startswith("Bearer "):
@@ -47,17 +49,29 @@ def graph_stats(index: Index) -> DataFrame:
 
 
 def start_index(spark: SparkSession, **options) -> str:
-    """Runs an indexing job and returns its id for :func:`index_status`."""
+    """Starts an indexing job in the background and returns its id for :func:`index_status`."""
     job = uuid.uuid4().hex
     _JOBS[job] = {"status": "running"}
-    try:
-        result: IndexResult = run_index(spark, **options)
-        _JOBS[job] = {"status": "completed", "result": result}
-    except Exception as e:  # the job's record tells; callers poll
-        _JOBS[job] = {"status": "failed", "error": str(e)}
+
+    def work() -> None:
+        try:
+            result: IndexResult = run_index(spark, **options)
+            _JOBS[job] = {"status": "completed", "result": result}
+        except Exception as e:  # the job's record tells; callers poll
+            _JOBS[job] = {"status": "failed", "error": str(e)}
+
+    InheritableThread(target=work, name=f"index-{job[:8]}", daemon=True).start()
     return job
 
 
+def wait(job: str, seconds: float = 600.0) -> dict:
+    """The job's record once it has ended, or as it is after so many seconds."""
+    end = time.monotonic() + seconds
+    while index_status(job)["status"] == "running" and time.monotonic() < end:
+        time.sleep(0.1)
+    return index_status(job)
+
+
 def index_status(job: str) -> dict:
     if job not in _JOBS:
         raise KeyError(f"unknown job {job}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import content_hash, file_id
+from ..operators import cache as caching
 from ..operators import delta
 from ..sources import tables
 
@@ -27,6 +28,22 @@ def register_stream(files: DataFrame, registry_path: str, checkpoint: str) -> St
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def cached_answers(questions: DataFrame, cache: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(query_id, id, similarity, answer) of questions (query_id, query, embedding) that the cache answers."""
+    hits = caching.lookup(cache, questions, threshold)
+    return hits.join(cache.select("id", "answer"), "id").select("query_id", "id", "similarity", "answer")
+
+
+def answer_stream(questions: DataFrame, cache_path: str, out_path: str, checkpoint: str, threshold: float | None = None) -> StreamingQuery:
+    """A stream of questions against the stored cache as it is when a batch comes; a replayed batch overwrites its own answers."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        cache = tables.open_table(batch.sparkSession, cache_path, caching.ENTRY)
+        cached_answers(batch, cache, threshold).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return questions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) in windows of event time; works on streams and tables."""
     by = events.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -46,7 +46,7 @@ def test_index_and_reindex(spark, built):
 def test_ask(spark, built):
     i = index.Index(spark, built[1])
     got = {r["query_id"]: r for r in ask.run(i, questions(spark, "How does get_order load an Order?", "?")).collect()}
-    assert "app/api.py" in got["0"]["relevant_files"] and "get_order" in got["0"]["query_entities"] and "## Question\n\nHow does get_order" in got["0"]["prompt"] and "Structural relationships" in got["0"]["prompt"]
+    assert "app/api.py" in got["0"]["relevant_files"] and "get_order" in got["0"]["query_entities"] and "Question:\nHow does get_order" in got["0"]["prompt"] and "Known from the graph:\n" in got["0"]["prompt"]
     assert got["1"]["answer"] == ask.NOTHING and got["1"]["chunks"] == 0
     only = ask.retrieve(i, questions(spark, "charges"), repo="pay").collect()
     assert only and {r["repo_name"] for r in only} == {"pay"}
@@ -62,6 +62,47 @@ def test_ask_through_the_cache(spark, built):
     assert got["0"]["cache_hit"] and got["0"]["answer"] == "cached" and not got["1"]["cache_hit"]
 
 
+def test_answers_fill_the_cache_and_are_traced(spark, built, tmp_path):
+    i, at = index.Index(spark, built[1]), str(tmp_path / "t")
+    service.invalidate_cache(i)
+    first = {r["query_id"]: r for r in ask.answer(i, questions(spark, "How does get_order load an Order?", "?"), trace_path=at).collect()}
+    assert not first["0"]["cache_hit"] and first["0"]["vector_count"] + first["0"]["bm25_count"] > 0 and first["0"]["retrieval_ms"] > 0
+    stored = i.table("cache").collect()
+    assert [(r["query"], r["answer"], r["hit_count"]) for r in stored] == [("How does get_order load an Order?", first["0"]["answer"], 0)]
+    again = {r["query_id"]: r for r in ask.answer(i, questions(spark, "How does get_order load an Order?", "?"), trace_path=at).collect()}
+    assert again["0"]["cache_hit"] and again["0"]["answer"] == first["0"]["answer"]
+    assert [r["hit_count"] for r in i.table("cache").collect()] == [1]
+    (trace,) = spark.read.json(at).collect()  # neither the hit nor the empty result
+    assert trace["query"].startswith("How") and trace["total_fused_chunks"] == first["0"]["chunks"] and trace["retrieval_ms"] == round(trace["retrieval_ms"], 2) and trace["input_tokens"] > 0
+    assert service.invalidate_cache(i) == 1
+
+
+def test_only_changed_files_are_parsed(spark, built, monkeypatch, tmp_path):
+    from tessera.operators import symbols
+
+    files = repos.load_repos(spark, str(built[0]))
+    at, seen = str(tmp_path / "i"), []
+    real = symbols.extract_symbols
+    monkeypatch.setattr(symbols, "extract_symbols", lambda f: seen.append(f.count()) or real(f))
+    first = index.run(spark, files, at)
+    changed = files.withColumn("content", F.when(F.col("file_path") == "app/models.py", F.concat("content", F.lit("\nclass New(Base): pass\n"))).otherwise(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+    second = index.run(spark, changed, at)
+    fresh = index.run(spark, changed, str(tmp_path / "j"))
+    assert seen == [5, 1, 5] and second.graph_edges == fresh.graph_edges == first.graph_edges + 2 and second.counters()["changed_files"] == 1
+    a, b = (index.Index(spark, str(tmp_path / k)) for k in "ij")
+    for name in ("edges", "classes", "functions", "endpoints", "postings", "terms", "chunks"):
+        cols = [c for c in a.table(name).columns if c not in ("embedding", "last_indexed_at")]
+        assert a.table(name).select(cols).exceptAll(b.table(name).select(cols)).isEmpty() and a.table(name).count() == b.table(name).count()
+
+
+def test_a_question_reads_its_terms_buckets(spark, built):
+    i = index.Index(spark, built[1])
+    stored, made = i.bm25(), ask.search.build_bm25(i.table("chunks"))
+    q = questions(spark, "get_order charges")
+    rows = lambda x: sorted((r["chunk_id"], round(r["score"], 9)) for r in ask.search.bm25_search(x, q).collect())
+    assert rows(stored) == rows(made) and stored.postings.columns[-1] == "bucket"
+
+
 def test_curation(spark):
     rows = spark.createDataFrame([("q", "why", 1, "a.py", "one"), ("q", "why", 2, "b.py", "two"), ("q", "why", 3, "a.py", "three")], "query_id string, query string, rank int, file_path string, content string")
     plain = ask.curate(rows).first()
@@ -83,7 +124,8 @@ def test_service(spark, built, monkeypatch):
     assert service.graph_data(i, 1)["nodes"].count() == 5
     assert service.invalidate_cache(i) == 0
     job = service.start_index(spark, files=repos.load_repos(spark, str(built[0])), index_dir=built[1])
-    assert service.index_status(job)["status"] == "completed"
+    assert service.index_status(job)["status"] in ("running", "completed") and service.wait(job)["status"] == "completed"
+    assert service.wait(service.start_index(spark, files=spark.range(1), index_dir=built[1]))["status"] == "failed"
     with pytest.raises(KeyError):
         service.index_status("x")
     settings.get_settings.cache_clear()
@@ -108,6 +150,17 @@ def test_command_line(spark, built, capsys):
     assert main(["--index-dir", built[1], "stats"]) == 0 and main(["--index-dir", built[1], "graph-stats"]) == 0
 
 
+def test_a_stream_asks_the_cache(spark, tmp_path):
+    unit = lambda i: [1.0 if k == i else 0.0 for k in range(4)]
+    known = spark.createDataFrame([("a", unit(0), "A")], "query string, embedding array<double>, answer string")
+    tables.publish(caching.store(spark.createDataFrame([], caching.ENTRY), known), str(tmp_path / "cache"))
+    shape = "query_id string, query string, embedding array<double>"
+    for batch in ([("1", "x", unit(0)), ("2", "x", unit(1))], [("3", "x", unit(0))]):
+        spark.createDataFrame(batch, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.answer_stream(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r["query_id"], r["answer"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", "A"), ("3", "A")}
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     shape = "repo_name string, file_path string, content string"
