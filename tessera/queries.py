@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .functions import ids
 from .functions.text import code_tokens, file_recall, judge_scores, url_path
+from .functions.models import overlap_reranker
 from .operators import cache, chunks, delta, drift, evals, graph, linker, search, symbols, traverse, viewer
 from .streaming import ingest
 
@@ -62,21 +64,35 @@ def code_token_lists(spark, sf_dir):
 
 @query(f"with {_POSTINGS} select term, df, round(idf, 6) as idf from terms")
 def doc_freq(spark, sf_dir):
-    return search.build_bm25(document_chunks(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return stored_bm25(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_POSTINGS} select n as n_chunks, round(avgdl, 6) as avg_length, (select count(*) from terms) as n_terms from stat")
 def corpus_stats(spark, sf_dir):
-    i = search.build_bm25(document_chunks(spark, sf_dir))
+    i = search.build_bm25(document_chunks(spark, sf_dir))  # as it is for tables that aren't stored
     return i.terms.agg(F.count("*").alias("n_terms")).select(F.lit(i.n_chunks).cast("long").alias("n_chunks"), F.round(F.lit(i.avg_length), 6).alias("avg_length"), "n_terms")
 
 
+def stored_bm25(spark, sf_dir):
+    """The index of the documents, built once in a session: postings by bucket, terms and totals on disk."""
+
+    def build(path):
+        search.postings_of(document_chunks(spark, sf_dir)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+        made = search.index_of(spark.read.parquet(f"{path}/postings"))
+        made.terms.write.parquet(f"{path}/terms")
+        spark.createDataFrame([(made.n_chunks, made.avg_length)], "n long, avg double").write.parquet(f"{path}/stats")
+
+    path = store.once(spark, "bm25", sf_dir, build)
+    n, avg = spark.read.parquet(f"{path}/stats").first()
+    return search.Bm25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, avg)
+
+
 def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _bm25(spark, sf_dir, queries):
-    out = search.bm25_search(search.build_bm25(document_chunks(spark, sf_dir)), queries)
+    out = search.bm25_search(stored_bm25(spark, sf_dir), queries)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -93,7 +109,7 @@ def bm25_batch(spark, sf_dir):
 @query(f"""with {_BM25.format(where='').replace('from scored where score > 0', "from scored join documents d on d.doc_id = chunk_id where score > 0 and d.source = 'src3'")} select query_id, chunk_id, round(score, 6) as score, rank from bm""")
 def bm25_scoped(spark, sf_dir):
     c = document_chunks(spark, sf_dir)
-    out = search.bm25_search(search.build_bm25(c), _questions(spark, sf_dir), scope=c.where("repo_name = 'src3'"))
+    out = search.bm25_search(stored_bm25(spark, sf_dir), _questions(spark, sf_dir), scope=c.where("repo_name = 'src3'"))
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -163,7 +179,7 @@ def hybrid_search(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = _questions(spark, sf_dir)
     dense = search.vector_search(v.join(c.select("chunk_id"), "chunk_id", "left_semi"), q.join(v.withColumnRenamed("chunk_id", "query_id"), "query_id"), 20)
-    sparse = search.bm25_search(search.build_bm25(c), q)
+    sparse = search.bm25_search(stored_bm25(spark, sf_dir), q)
     out = search.rrf_fuse([_keyed(x, spark, sf_dir) for x in (dense, sparse)], 5)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -177,15 +193,28 @@ def graph_chunks(spark, sf_dir):
     return search.graph_chunks(c, related, 5)
 
 
-@query("""with s as (select item_id as query_id, text as query, row_number() over (order by item_id) as rank from benchmark),
-t as (select query_id, query, rank, list_distinct(""" + _TOKENS.format("query") + """) as q from s)
-select query_id, rank, n_tokens from (select query_id, row_number() over (order by len(q) desc, rank) as rank, len(q) as n_tokens from t)""")
-def rerank_tokens(spark, sf_dir):
-    """Reranking with a model that counts the text's distinct tokens; ties keep the order."""
+@query(f"""with n as (select count(*) as n from benchmark), q as (select item_id, list_distinct({_TOKENS.format('text')}) as q from benchmark),
+c as (select item_id as query_id, doc_id as chunk_id, q, list_distinct({_TOKENS.format('left(left(d.text, 2000), 2000)')}) as t from documents d cross join n join q on item_id = doc_id % n),
+s as (select query_id, chunk_id, case when len(q) = 0 then 0.0 else len(list_intersect(q, t)) / len(q) end as score from c)
+select query_id, chunk_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) where rank <= 5""")
+def rerank_overlap(spark, sf_dir):
+    """Each benchmark item's candidates are the documents with its number modulo the items'; the default model orders them."""
     q = _questions(spark, sf_dir)
-    ranked = search.rank_by(q.withColumnRenamed("query_id", "item").withColumn("query_id", F.lit(0)).withColumn("content", F.col("query")), None, F.asc("item"))
-    out = search.rerank(ranked, lambda q, t: F.size(F.array_distinct(code_tokens(q))).cast("double"))
-    return out.select(F.col("item").alias("query_id"), "rank", F.col("score").cast("long").alias("n_tokens"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % q.count()).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    out = search.rerank(search.rank_by(d.join(q, "query_id"), None, F.asc("chunk_id")), overlap_reranker, 5)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("select doc_id as chunk_id, row_number() over (partition by source order by doc_id) as rank from documents qualify rank <= 3")
+def rerank_fallback(spark, sf_dir):
+    """A model that can't be called, and then one that gives nothing for some text, leave the order as it is."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("x").alias("query"))
+
+    def broken(query, text):
+        raise ConnectionError("no model")
+
+    once = search.rerank(search.rank_by(d, None, F.asc("chunk_id")), broken)
+    return search.rerank(once, lambda q, t: F.when(F.length(t) < 0, 1.0), 3).select("chunk_id", "rank")
 
 
 _IDS = "sha256(coalesce(source, '') || '::doc/' || doc_id)"
@@ -254,9 +283,10 @@ def index_stats(spark, sf_dir):
     return chunks.index_stats(document_chunks(spark, sf_dir))
 
 
-@query("select source as repo_name, count(*) as chunks, 0 as symbol_chunks, count(*) as size_chunks from documents group by 1")
+@query("select source as repo_name, count(*) as chunks, count(*) filter (doc_id % 3 = 0) as symbol_chunks, count(*) filter (doc_id % 3 <> 0) as size_chunks from documents group by 1")
 def chunk_counts(spark, sf_dir):
-    return chunks.chunk_counts(document_chunks(spark, sf_dir).withColumn("symbol_name", F.lit(None).cast("string"))).select("repo_name", "chunks", F.col("symbol_chunks").cast("int").alias("symbol_chunks"), "size_chunks")
+    symbol = F.when(F.col("chunk_id") % 3 == 0, "f")
+    return chunks.chunk_counts(document_chunks(spark, sf_dir).withColumn("symbol_name", symbol))
 
 
 @query("""select sha256(role || '::' || conv_id) as doc_id, list(sha256(role || '::' || conv_id || '::' || turn) order by turn) as chunk_ids from conversations group by role, conv_id""")
@@ -299,11 +329,6 @@ def _edges(spark, sf_dir):
     return _raw_edges(spark, sf_dir).distinct()
 
 
-@query(f"with {_GRAPH} select type, count(*) as n, count(distinct id) as ids from nodes group by type")
-def vertices(spark, sf_dir):
-    return _nodes(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
-
-
 @query(f"with {_GRAPH} select type, src, dst from edges")
 def edges_dedup(spark, sf_dir):
     null = lambda t: F.lit(None).cast(t)
@@ -416,28 +441,40 @@ def url_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", url_path("url").alias("path"))
 
 
-_CACHE = "c as (select vec_id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings where vec_id % 2 = 0), q as (select vec_id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings where vec_id % 2 = 1)"
+_CACHE = "c as (select vec_id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), q as (select * from c where vec_id % 100 = 0)"
 
 
 def _cache(spark, sf_dir):
+    """Every vector as an entry; the vectors whose id is divisible by 100, turned a little, ask."""
     e = table(spark, sf_dir, "embeddings")
-    c = e.where("vec_id % 2 = 0").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("question "), "vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"), F.timestamp_seconds(F.col("vec_id") % 97).alias("created_at"), (F.col("vec_id") % 7).cast("int").alias("hit_count"))
-    return c, e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), F.lit("x").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = F.col("embedding").cast("array<double>")
+    c = e.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("question "), "vec_id").alias("query"), v.alias("embedding"), F.concat(F.lit("answer "), "vec_id").alias("answer"), F.timestamp_seconds(F.col("vec_id") % 97).alias("created_at"), (F.col("vec_id") % 7).cast("int").alias("hit_count"))
+    return c, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("x").alias("query"), F.transform(v, lambda x, i: x + i * 0.001).alias("embedding"))
+
+
+_LOOKUP = f"""with {_CACHE}, a as (select vec_id, list_transform(v, lambda x, i: x + (i - 1) * 0.001) as v from q), p as (select a.vec_id as query_id, lpad(c.vec_id::varchar, 12, '0') as id, c.vec_id as entry, case when c.n = 0 then 0.0 else list_dot_product(a.v, c.v) / (sqrt(list_dot_product(a.v, a.v)) * c.n) end as s, c.vec_id % 97 as t from a join c on true),
+b as (select *, row_number() over (partition by query_id order by round(s, 9) desc, t, id) as r from p)"""
 
 
-@query(f"""with {_CACHE}, p as (select q.vec_id as query_id, lpad(c.vec_id::varchar, 12, '0') as id, case when q.n = 0 or c.n = 0 then 0.0 else list_dot_product(q.v, c.v) / (q.n * c.n) end as s, c.vec_id % 97 as t from q join c on true)
-select query_id, id, round(s, 6) as similarity from (select *, row_number() over (partition by query_id order by s desc, t, id) as r from p) where r = 1 and s >= 0.4""")
+@query(f"{_LOOKUP} select query_id, id, round(s, 6) as similarity from b where r = 1 and s >= 0.4")
 def cache_lookup(spark, sf_dir):
     c, q = _cache(spark, sf_dir)
     return cache.lookup(c, q, 0.4).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("select lpad(vec_id::varchar, 12, '0') as id from embeddings where vec_id % 2 = 0 order by vec_id % 97 desc, id desc limit 100")
+@query(f"{_LOOKUP} select query_id, id, round(s, 6) as similarity, 'answer ' || entry as answer from b where r = 1 and s >= 0.9")
+def stream_cache_lookup(spark, sf_dir):
+    """What a batch of a stream of questions gets from the stored cache."""
+    c, q = _cache(spark, sf_dir)
+    return ingest.cached_answers(q, c, 0.9).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "answer")
+
+
+@query("select lpad(vec_id::varchar, 12, '0') as id from embeddings order by vec_id % 97 desc, id desc limit 100")
 def cache_evict(spark, sf_dir):
     return cache.evict(_cache(spark, sf_dir)[0], 100).select("id")
 
 
-@query("select count(*) as total_entries, coalesce(sum(vec_id % 7), 0)::bigint as total_hits from embeddings where vec_id % 2 = 0")
+@query("select count(*) as total_entries, coalesce(sum(vec_id % 7), 0)::bigint as total_hits from embeddings")
 def cache_stats(spark, sf_dir):
     return cache.stats(_cache(spark, sf_dir)[0])
 
@@ -450,11 +487,7 @@ def drift_check(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     f = e.where("vec_id = 0").select(F.lit("m").alias("model_name"), F.col("embedding").alias("probe_embedding"))
     probes = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("probe_embedding"))
-    out = None
-    for label in [r["label"] for r in probes.select("label").orderBy("label").collect()]:  # a check is for one probe; labels are few
-        one = drift.check(f, probes.where(F.col("label") == label), "m").select(F.lit(label).alias("label"), "reason", "drifted", F.round("similarity", 6).alias("similarity"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return drift.check(f, probes, "m").select("label", "reason", "drifted", F.round("similarity", 6).alias("similarity"))
 
 
 _RESULTS = """r as (select d.doc_id, case when quality = 0 and toxic = 1 then 'failed' end as error, case when doc_id % 3 = 0 then 3.0 + quality when doc_id % 3 = 1 then 4.0 end as j, quality::double as file_recall, n_chars::double as ms, toxic = 1 as hit, n_chars as tok from documents d join labels using (doc_id))"""
@@ -511,14 +544,7 @@ def event_sessions(spark, sf_dir):
     return ingest.sessions(table(spark, sf_dir, "events"))
 
 
-@query()
-def char_chunks(spark, sf_dir):
-    """Documents split by size; invariants are tested (size bound, order, coverage)."""
-    f = document_chunks(spark, sf_dir).drop("chunk_id", "chunk_index").withColumn("file_type", F.lit(".txt"))
-    return chunks.split_documents(f).select("repo_name", "file_path", "chunk_index", "start_index", F.length("content").alias("size"))
-
-
-#: Source files for the operators on code: the driver's tables hold none.
+#: Source files for the tests of the whole engine: the driver's tables hold none.
 CODE = [
     ("shop", "app/models.py", "class Base:\n    '''Root.'''\n    def save(self):\n        pass\n\n\nclass Order(Base):\n    async def load(self):\n        pass\n"),
     ("shop", "app/api.py", "import requests\nfrom .models import Order\nfrom fastapi import FastAPI\n\napp = FastAPI()\n\n\n@app.get('/orders/{id}')\nasync def get_order(id):\n    return requests.get('http://pay/api/charges')\n"),
@@ -533,23 +559,3 @@ def code_files(spark: SparkSession) -> DataFrame:
 
     f = spark.createDataFrame(CODE, "repo_name string, file_path string, content string")
     return f.withColumn("file_type", suffix("file_path"))
-
-
-@query()
-def code_symbols(spark, sf_dir):
-    return symbols.extract_symbols(code_files(spark)).select("repo_name", "file_path", "seq", "kind", "name", "qualified_name", "start_line", "end_line", "parent", "path")
-
-
-@query()
-def code_edges(spark, sf_dir):
-    f = code_files(spark)
-    s = symbols.extract_symbols(f)
-    v = graph.vertices_of(s)
-    files = f.select(ids.file_id("repo_name", "file_path").alias("file_id"), "repo_name", "file_path")
-    return graph.symbol_edges(s, files, v["classes"]).select("type", "src", "dst").unionByName(linker.cross_repo_links(f, v["endpoints"]).select("type", "src", "dst"))
-
-
-@query(ORACLE_SQL["hybrid_search"])
-def ask_ranking(spark, sf_dir):
-    """The flagship: hybrid retrieval of every benchmark question, through the same operators as answering."""
-    return hybrid_search(spark, sf_dir)

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera import queries
+from tessera import cases, queries, stored_cases
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +25,9 @@ def duck():
     return con
 
 
+assert cases and stored_cases  # they add their queries
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
