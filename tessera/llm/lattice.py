@@ -269,24 +269,25 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out: Column, head_sha
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("train", ~F.col("held_out") & F.col("doc_id").isNotNull())
-    counts = scratch.keep(count_words(texts), "word-counts")
-    n_docs = texts.where("train").count()
-    n = counts.agg(F.sum("n_train").alias("tokens"), F.sum("n_all").alias("every"), F.sum(F.expr("if(n_train > 0, 1, 0)")).alias("types")).first()
-    tokens = (n["tokens"] or 0) + n_docs
-    bottom = np.log10(tokens + smooth * ((n["types"] or 0) + (n_docs > 0) + 1))
-    pieces = spark.sparkContext.broadcast(learn_pieces(counts, vocabulary, n_docs))  # as large as the vocabulary
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        workers.release()
-        model = Lattice(pieces.value)
-        for batch in batches:
-            word, c = batch.column("word"), batch.column("n_train").to_numpy()
-            w = Words(*utf8(word.cast(pa.large_binary()).view(pa.large_string())))
-            cols = [pa.array(w.hashes().view(np.int64)), pa.array((w.hashes(SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-            cols += [batch.column("n_train"), batch.column("n_all"), pa.array(np.log10(c + smooth) - bottom), pa.array(model.words(word) / np.log(10))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "n_train", "n_all", "base", "lattice"])
-
-    lexicon = scratch.keep(counts.mapInArrow(weigh, "h long, g int, n_train long, n_all long, base double, lattice double"), "lexicon")
+    with scratch.brief(spark):
+        counts = scratch.keep(count_words(texts), "word-counts")
+        n_docs = texts.where("train").count()
+        n = counts.agg(F.sum("n_train").alias("tokens"), F.sum("n_all").alias("every"), F.sum(F.expr("if(n_train > 0, 1, 0)")).alias("types")).first()
+        tokens = (n["tokens"] or 0) + n_docs
+        bottom = np.log10(tokens + smooth * ((n["types"] or 0) + (n_docs > 0) + 1))
+        pieces = spark.sparkContext.broadcast(learn_pieces(counts, vocabulary, n_docs))  # as large as the vocabulary
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            workers.release()
+            model = Lattice(pieces.value)
+            for batch in batches:
+                word, c = batch.column("word"), batch.column("n_train").to_numpy()
+                w = Words(*utf8(word.cast(pa.large_binary()).view(pa.large_string())))
+                cols = [pa.array(w.hashes().view(np.int64)), pa.array((w.hashes(SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+                cols += [batch.column("n_train"), batch.column("n_all"), pa.array(np.log10(c + smooth) - bottom), pa.array(model.words(word) / np.log(10))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "n_train", "n_all", "base", "lattice"])
+
+        lexicon = scratch.keep(counts.mapInArrow(weigh, "h long, g int, n_train long, n_all long, base double, lattice double"), "lexicon", outer=True)
 
     often = max(2.0, (n["every"] or 0) * head_share)
     head = lexicon.where(F.col("n_all") >= often).select("h", "base", "lattice", F.col("n_train") > 0).toArrow()  # 1 / head_share rows at most

@@ -41,14 +41,14 @@ def _filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+def place(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path below the shared folder; outer: it belongs to the scope around the present one."""
     if id(spark._jsc) not in _HOOKED:
         _HOOKED.add(id(spark._jsc))
         atexit.register(lambda: [release(spark, s) for s in list(_PATHS)])
     fs, at = _filesystem(spark, root(spark))
     path = f"{fs.makeQualified(at).toString().rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    _PATHS.setdefault(_SCOPES[-1], []).append(path)
+    _PATHS.setdefault(_SCOPES[-2 if outer else -1], []).append(path)
     return path
 
 
@@ -88,13 +88,13 @@ def small_batches(spark: SparkSession, rows: int | None = None) -> Iterator[None
         yield
 
 
-def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def keep(df: DataFrame, name: str, rows: int | None = None, outer: bool = False) -> DataFrame:
     """Writes the rows below the shared folder and returns the table read back; rows: most rows of an Arrow batch meanwhile.
 
     Once the table is written nothing needs the shuffle files of the plan, and Spark is told to delete them at once.
     """
     spark = df.sparkSession
-    path = place(spark, name)
+    path = place(spark, name, outer)
     with setting(spark, _CLEANUP, "true"), small_batches(spark, rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -131,6 +131,17 @@ def scope(name: str) -> Iterator[None]:
         _SCOPES.pop()
 
 
+@contextlib.contextmanager
+def brief(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside go at its end, but those kept with ``outer``; what reads them must be written by then."""
+    name = uuid.uuid4().hex
+    try:
+        with scope(name):
+            yield
+    finally:
+        release(spark, name)
+
+
 def release(spark: SparkSession, name: str) -> None:
     """Deletes what was made in the scope; results that read it must be written before."""
     for path in _PATHS.pop(name, []):

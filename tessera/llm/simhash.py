@@ -132,6 +132,11 @@ def link(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 def near_links(prints: DataFrame, distance: int = 3, column: str = "fp") -> DataFrame:
     """(a, b): links between distinct fingerprints (64-bit integers) that connect all within the distance."""
+    with scratch.brief(prints.sparkSession):
+        return _near_links(prints, distance, column)
+
+
+def _near_links(prints: DataFrame, distance: int, column: str) -> DataFrame:
     spark = prints.sparkSession
     distinct = scratch.keep(prints.select(F.col(column).alias("fp")).distinct(), "prints")
     sets = position_sets(distance, distinct.count() > FEW)
@@ -171,7 +176,7 @@ def near_links(prints: DataFrame, distance: int = 3, column: str = "fp") -> Data
             yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = keyed.repartition("k", "bytes").sortWithinPartitions("k", "bytes", "fp")
-    links = scratch.keep(dealt.mapInArrow(lists, "a long, b long"), "links")
+    links = scratch.keep(dealt.mapInArrow(lists, "a long, b long"), "links", outer=True)
     scratch.tidy(spark)
     return links
 
@@ -190,13 +195,14 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, more_lin
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     prints = scratch.keep(rows.mapInArrow(run, "doc_id long, row long, fp long"), "fingerprints")
-    links = near_links(prints, distance)
-    if more_links is not None:
-        links = links.unionByName(more_links(docs, prints))
-    roots = scratch.keep(components(links), "roots")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    of_print = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    of_print = scratch.keep(of_print, "print-roots")
+    with scratch.brief(docs.sparkSession):
+        links = near_links(prints, distance)
+        if more_links is not None:
+            links = links.unionByName(more_links(docs, prints))
+        roots = components(links)
+        least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        of_print = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        of_print = scratch.keep(of_print, "print-roots", outer=True)
     of_root = of_print.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = of_print.join(of_root, "root").select("fp", "component_id", "root")
     return prints.join(labels, "fp").select("doc_id", "row", "fp", "component_id", "root")
