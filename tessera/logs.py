@@ -11,6 +11,12 @@ from datetime import UTC, datetime
 _KNOWN = frozenset(vars(logging.makeLogRecord({}))) | {"message", "asctime", "taskName"}
 
 
+def cut(text: str | None, most: int = 120) -> str:
+    """The text in one line of at most so many characters, the last one a mark of what is left out."""
+    line = " ".join((text or "").split())
+    return line if len(line) <= most else line[: most - 1] + "…"
+
+
 class JsonLines(logging.Formatter):
     def format(self, record: logging.LogRecord) -> str:
         extra = {k: v for k, v in vars(record).items() if k not in _KNOWN}

@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import Embedder, extractive_answer, hashing_embedder, overlap_reranker
+from ..logs import cut, get_logger
 from ..operators import cache as caching
 from ..operators import search, traverse
 from ..settings import get_settings
 from ..sources import tables
 from .index import Index
 
+#: Answers of a batch that are logged.
+LOGGED = 20
+log = get_logger("ask")
 NOTHING = "No relevant code was found for this question."
 
 
@@ -32,8 +36,7 @@ def retrieve(index: Index, queries: DataFrame, top_k: int | None = None, repo: s
         lists.append(search.bm25_search(index.bm25(), queries, s.bm25_top_k, None if scope is None else chunks.where(scope)))
     if use_graph:
         g, edges = index.graph(), index.table("edges")
-        names = traverse.known_names(g["classes"], g["functions"], g["endpoints"])
-        matches = traverse.find_nodes(traverse.extract_entities(queries, names), g["classes"], g["functions"], g["endpoints"])
+        matches = traverse.find_nodes(traverse.extract_entities(queries, index.table("names")), g["classes"], g["functions"], g["endpoints"])
         related = traverse.related_files(matches, g["files"], edges, s.graph_max_hops)
         lists.append(search.graph_chunks(chunks if scope is None else chunks.where(scope), related, top_k))
     keyed = chunks.select("chunk_id", (F.col("chunk_id") if key == "chunk_id" else search.fusion_key(key)).alias("key"))
@@ -48,7 +51,7 @@ def retrieve(index: Index, queries: DataFrame, top_k: int | None = None, repo: s
 def graph_context(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, query_entities, graph_summary) of the graph's findings."""
     g, edges = index.graph(), index.table("edges")
-    entities = traverse.extract_entities(queries, traverse.known_names(g["classes"], g["functions"], g["endpoints"]))
+    entities = traverse.extract_entities(queries, index.table("names"))
     matches = traverse.find_nodes(entities, g["classes"], g["functions"], g["endpoints"])
     summary = traverse.summarise(matches, traverse.methods_of(matches, g["functions"], edges))
     named = entities.groupBy("query_id").agg(F.array_sort(F.collect_set("entity")).alias("query_entities"))
@@ -160,6 +163,8 @@ def answer(index: Index, queries: DataFrame, repo: str | None = None, trace_path
         counted = caching.record_hits(cache, rows.where("cache_hit").select(F.col("cache_id").alias("id")))
         index.put("cache", caching.store(counted, rows.where(got_answer())))
     tables.append_traces(traces(rows, repo), trace_path or f"{index.path}/traces")
+    for r in rows.select("query", "answer", "cache_hit", "chunks").limit(LOGGED).collect():
+        log.info("answered", extra={"query": cut(r["query"], 80), "answer": cut(r["answer"]), "cache_hit": r["cache_hit"], "chunks": r["chunks"]})
     return rows
 
 

@@ -11,7 +11,7 @@ from ..functions import ids
 from ..functions.models import Embedder, hashing_embedder
 from ..operators import cache as caching
 from ..operators import chunks as chunking
-from ..operators import delta, drift, graph, linker, search, symbols
+from ..operators import delta, drift, graph, linker, search, symbols, traverse
 from ..settings import get_settings
 from ..sources import repos, tables
 
@@ -52,7 +52,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, (path or get_settings().index_dir).rstrip("/")
 
-    _EMPTY = {"chunks": CHUNKS, "registry": delta.REGISTRY, "edges": graph.EDGE, "fingerprint": drift.FINGERPRINT, "cache": caching.ENTRY, "postings": POSTINGS, "symbols": SYMBOLS, **graph.SCHEMAS}
+    _EMPTY = {"chunks": CHUNKS, "registry": delta.REGISTRY, "edges": graph.EDGE, "fingerprint": drift.FINGERPRINT, "cache": caching.ENTRY, "postings": POSTINGS, "symbols": SYMBOLS, "names": "kind string, name string", **graph.SCHEMAS}
 
     def table(self, name: str) -> DataFrame:
         return tables.open_table(self.spark, f"{self.path}/{name}", self._EMPTY.get(name))
@@ -134,6 +134,7 @@ def run(spark: SparkSession, files: DataFrame | None = None, index_dir: str | No
         # edges that resolve as before stay as they are; those that don't any more go
         stay = links_before.limit(0) if reindex else links_before.join(links.select("type", "src", "dst"), ["type", "src", "dst"], "left_semi")
         index.put("edges", graph.upsert_edges(stay.select(*columns(graph.EDGE)), links))
+        index.put("names", traverse.known_names(now["classes"], now["functions"], now["endpoints"]))  # what questions are searched for
         nodes, edges = graph.all_ids(now).count(), index.table("edges").count()
         node_ids = graph.node_ids_per_file(found)
 

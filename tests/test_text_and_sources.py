@@ -180,6 +180,10 @@ def test_settings_of_a_file_and_a_session(spark, monkeypatch, tmp_path):
     settings.get_settings.cache_clear()
 
 
+def test_cut_lines():
+    assert logs.cut("a\n b", 10) == "a b" and logs.cut(None) == "" and logs.cut("x" * 130) == "x" * 119 + "…" and len(logs.cut("y" * 99, 80)) == 80
+
+
 def test_log_lines():
     record = logging.LogRecord("n", logging.INFO, "f", 1, "hi %s", ("x",), None)
     record.extra_field = 3
