@@ -187,6 +187,45 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id
 """
 
+
+def _xxh64() -> str:
+    """SQL steps from d (s, a text) to x (s, h): the XXH64 of each distinct text's UTF-8 form under seed 42, in 128-bit arithmetic modulo 2**64."""
+    m = f"{2**64 - 1}::uhugeint"
+    # the hash's five primes: fixed values
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    turn = lambda x, r: f"(((({x}) * {2**r}::uhugeint) & {m}) + (({x}) >> {64 - r}))"
+    step = lambda acc, x: f"(({turn(f'((({acc}) + ({x}) * {p2}) & {m})', 31)} * {p1}) & {m})"
+    number = lambda first, n: "(" + " + ".join(f"b[{first} + {k}]::uhugeint * {256**k}::uhugeint" for k in range(n)) + ")"
+    starts = [(42 + 11400714785074694791 + 14029467366897019727) % 2**64, 42 + 14029467366897019727, 42, (42 - 11400714785074694791) % 2**64]
+    sums = ", ".join(f"list_reduce(list_prepend({v % 2**64}::uhugeint, [w[4 * k + {i + 1}] for k in range(0, n // 32)]), lambda a, x: {step('a', 'x')}) as v{i + 1}" for i, v in enumerate(starts))
+    begun = f"(({turn('v1', 1)} + {turn('v2', 7)} + {turn('v3', 12)} + {turn('v4', 18)}) & {m})"
+    return f"""
+x0 as (select s, hex(encode(s)) as t, octet_length(encode(s)) as n from (select distinct s from d)),
+x1 as (select s, n, [('0x' || t[2 * i + 1:2 * i + 2])::int for i in range(0, n)] as b from x0),
+x2 as (select *, [{number('8 * k + 1', 8)} for k in range(0, n // 8)] as w from x1),
+x3 as (select *, {sums} from x2),
+x4 as (select *, case when n < 32 then {(42 + 2870177450012600261) % 2**64}::uhugeint else list_reduce(list_prepend({begun}, [v1, v2, v3, v4]), lambda a, x: ((xor(a, {step('0::uhugeint', 'x')}) * {p1} + {p4}) & {m})) end as h from x3),
+x5 as (select s, n, b, list_reduce(list_prepend(((h + n::uhugeint) & {m}), w[n // 32 * 4 + 1:]), lambda a, x: (({turn(f"xor(a, {step('0::uhugeint', 'x')})", 27)} * {p1} + {p4}) & {m})) as h from x4),
+x6 as (select s, n, b, case when n % 8 >= 4 then (({turn(f"xor(h, ({number('n // 8 * 8 + 1', 4)} * {p1}) & {m})", 23)} * {p2} + {p3}) & {m}) else h end as h from x5),
+x7 as (select s, list_reduce(list_prepend(h, [c::uhugeint for c in b[n // 4 * 4 + 1:]]), lambda a, x: (({turn(f"xor(a, (x * {p5}) & {m})", 11)} * {p1}) & {m})) as h from x6),
+x8 as (select s, (xor(h, h >> 33) * {p2}) & {m} as h from x7),
+x9 as (select s, (xor(h, h >> 29) * {p3}) & {m} as h from x8),
+x as (select s, xor(h, h >> 32)::ubigint as h from x9)"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP6 = rf"""
+with recursive w as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as words from documents),
+d as (select rid, unnest(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')] else [array_to_string(words[i:i+2], ' ') for i in range(1, len(words) - 1)] end) as s from w),{{hash}},
+f as (select rid, ({{bits}})::uhugeint as fp from d join x using (s) group by rid),
+p as (select w.rid, doc_id, coalesce(fp, 0::uhugeint) as fp from w left join f using (rid)),
+u as (select distinct fp from p),
+l as (select a.fp as a, b.fp as b from u a join u b on bit_count(xor(a.fp, b.fp)::hugeint) <= 3),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as fp, min(doc_id) as component_id from r join p on p.fp = r.b group by a)
+select doc_id, lower(lpad(hex(fp::ubigint), 16, '0')) as fingerprint, component_id from p join c using (fp)
+""".format(hash=_xxh64(), bits=" + ".join(f"case when 2 * sum((h >> {k}) & 1) > count(*) then {2**k}::uhugeint else 0::uhugeint end" for k in range(64)))
+
 _OP9 = """
 with v as (select row_number() over () as rid, vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
@@ -215,6 +254,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _OP3,
     "op4_substring_dedup": _OP4,
     "op5_chat_format": _OP5,
+    "op6_simhash_dedup": _OP6,
     "op9_exact_top_k": _OP9,
     "op10_source_mixing": _OP10,
 }
