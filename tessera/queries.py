@@ -11,7 +11,7 @@ from . import store
 from .functions import ids
 from .functions.text import code_tokens, file_recall, judge_scores, url_path
 from .functions.models import overlap_reranker
-from .operators import cache, chunks, delta, drift, evals, graph, linker, search, symbols, traverse, viewer
+from .operators import cache, chunks, delta, drift, evals, graph, linker, search, traverse, viewer
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

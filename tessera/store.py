@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -31,7 +32,7 @@ def once(spark: SparkSession, name: str, source: str, build: Callable[[str], Non
     """The folder that ``build`` filled for (name, source) in this session; built at the first call."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _MADE:
-        path, began = f"{folder(spark)}/{name}-{len(_MADE)}", time.perf_counter()
+        path, began = f"{folder(spark)}/{name}-{uuid.uuid4().hex}", time.perf_counter()
         build(path)
         _MADE[key] = path, time.perf_counter() - began
     return _MADE[key][0]
