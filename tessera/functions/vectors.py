@@ -20,8 +20,3 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     na, nb = norm(a) if norm_a is None else norm_a, norm(b) if norm_b is None else norm_b
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
-
-def l2_relevance(a: Column, b: Column) -> Column:
-    """1 less the Euclidean distance over the square root of 2."""
-    gap = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x - y)
-    return 1.0 - F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)) / F.sqrt(F.lit(2.0))
