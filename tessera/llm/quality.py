@@ -45,7 +45,9 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         F.length(F.translate(text, _BLANKS + " ", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    windows = F.when(F.size("_words") >= WINDOW, F.expr(f"transform(sequence(1, size(_words) - {WINDOW - 1}), i -> xxhash64(slice(_words, i, {WINDOW})))")).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    rest = ", ".join(f"_hashes[i + {k}]" for k in range(1, WINDOW))
+    windows = F.expr(f"transform(slice(_hashes, 1, greatest(size(_hashes) - {WINDOW - 1}, 0)), (h, i) -> xxhash64(h, {rest}))")
     df = df.select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),
@@ -121,7 +123,8 @@ def thresholds(rows: DataFrame, prior_rows: int = 50) -> DataFrame:
 def judge(docs: DataFrame, prior_rows: int = 50, most_groups: int = 10_000) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept of each row."""
     rows = scratch.keep(measures(docs, "doc_id", "lang", "source"), "measures")
-    bounds = scratch.keep(thresholds(rows, prior_rows), "thresholds")
+    with scratch.brief(docs.sparkSession):
+        bounds = scratch.keep(thresholds(rows, prior_rows), "thresholds", outer=True)
     other = bounds.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     if bounds.count() <= most_groups:
         other = F.broadcast(other)
