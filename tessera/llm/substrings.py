@@ -39,6 +39,8 @@ from .words import SECOND, Words, mix, slices, utf8, window_hashes
 
 _GRAM = 8
 _LAST = (1 << 63) - 1
+#: Parts over which the copies of a document are dealt.
+_PARTS = 16
 #: Rows that a task settles at a time.
 _HELD = 1 << 19
 _SPAN = {"doc": "long", "row": "long", "lo": "int", "hi": "int"}
@@ -240,6 +242,11 @@ def _listed(spans: DataFrame) -> DataFrame:
 
 def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc, row, spans): maximal spans of word positions, hi exclusive, that an earlier document has too."""
+    with scratch.brief(docs.sparkSession):
+        return _find_repeats(docs, window)
+
+
+def _find_repeats(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     block = window // 2
     if block < _GRAM:
@@ -249,7 +256,10 @@ def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     whole = scratch.keep(texts.mapInArrow(_by_slice(_whole), "doc long, row long, n_words long, h1 long, h2 long").where(F.col("n_words") >= window), "documents")
     least = whole.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    copies = scratch.keep(whole.join(least, ["h1", "h2"]).where("doc > least").select("doc", "row", "n_words").distinct(), "copies")
+    # a text that very many documents have is dealt over several tasks
+    dealt = whole.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(_PARTS)).cast("int"))
+    least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    copies = scratch.keep(dealt.join(least, ["h1", "h2", "part"]).where("doc > least").select("doc", "row", "n_words").distinct(), "copies")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _gathered((_anchors(b, block) for whole in batches for b in slices(whole, "text")), lambda x: _settle_anchors(x, block, window))
@@ -285,7 +295,7 @@ def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     seen = near.mapInArrow(windows, shape(_WINDOW)).repartition("h1").sortWithinPartitions("h1", "h2", "doc")
     found = _islands(seen.mapInArrow(late, shape(_SPAN)), window).withColumn("hi", F.col("hi") + window)
     all_copy = copies.select("doc", "row", F.array(F.struct(F.lit(0).alias("lo"), F.col("n_words").cast("int").alias("hi"))).alias("spans"))
-    repeats = scratch.keep(_listed(found).unionByName(all_copy), "repeats")
+    repeats = scratch.keep(_listed(found).unionByName(all_copy), "repeats", outer=True)
     scratch.tidy(spark)
     return repeats
 
