@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import logs, store
-from .cases import _LETTERS, col, letters, stored_index, text
-from .operators import evals
-from .plans import ask, index, service
+from .__main__ import main
+from .cases import _LETTERS, _answered, col, letters, stored_index, text
+from .operators import cache as caching
+from .operators import chunks, evals
+from .plans import ask, evaluate, index, service
 from .queries import _BM25, _TOKENS, _questions, query, table
 from .sources import repos, tables
 from .streaming import ingest
@@ -192,3 +197,63 @@ def ask_answers(spark, sf_dir):
     q = _questions(spark, sf_dir).select(col("query_id").alias("query_id"), "query")
     out = ask.run(stored_index(spark, sf_dir), q, top_k=5, use_graph=False, embedder=letters)
     return out.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.array_join("relevant_files", ",").alias("relevant_files"), F.col("chunks").cast("int").alias("chunks"), "cache_hit")
+
+
+@query("""select 'q' || doc_id as query, 2 as n, round(n_chars / 7, 2) as retrieval_ms from documents join labels using (doc_id) where toxic <> 1 and doc_id % 4 > 0""")
+def trace_lines(spark, sf_dir):
+    """Traces appended twice as JSON lines and read again."""
+
+    def build(path):
+        for _ in range(2):
+            tables.append_traces(ask.traces(_answered(spark, sf_dir)), path)
+
+    lines = spark.read.json(store.once(spark, "traces", sf_dir, build))
+    return lines.groupBy("query").agg(F.count("*").cast("int").alias("n"), F.max("retrieval_ms").alias("retrieval_ms"))
+
+
+@query("""select 'big' || n_nationkey || '.py' as file_path, k as chunk_index, k as sub_chunk, 'big' as symbol_name, case k when 0 then 1000 when 3 then 605 else 995 end as size from nation, (select unnest([0, 1, 2, 3]) as k)""")
+def sub_chunks(spark, sf_dir):
+    """A function of 301 lines of 10 characters: pieces of 100 lines, 20 of which come again; a piece's blank edge goes."""
+    code = F.concat(F.lit("def big():"), F.repeat(F.lit("\n    x = 1"), 300), F.lit("\n"))
+    f = table(spark, sf_dir, "nation").select(F.lit("r").alias("repo_name"), text("big", col("n_nationkey"), ".py").alias("file_path"), F.lit(".py").alias("file_type"), code.alias("content"))
+    return chunks.split_documents(f).select("file_path", "chunk_index", "sub_chunk", "symbol_name", F.length("content").alias("size"))
+
+
+@query("""select n_nationkey, case when length(repeat(n_name || ' x ', 12)) - 1 <= 80 then left(repeat(n_name || ' x ', 12), length(repeat(n_name || ' x ', 12)) - 1) else left(repeat(n_name || ' x ', 12), 79) || '…' end as line from nation""")
+def cut_lines(spark, sf_dir):
+    """Texts as a log shows them: one line of 80 characters."""
+    rows = [(r["n_nationkey"], logs.cut(f"{r['n_name']}\n x " * 12, 80)) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]  # a driver's log
+    return spark.createDataFrame(rows, "n_nationkey int, line string")
+
+
+@query("select 'deleted' as what, 40 as n union all select 'left', 0")
+def cache_emptied(spark, sf_dir):
+    """A stored cache is emptied, and how many entries went is told."""
+    at = index.Index(spark, f"{store.folder(spark)}/emptied-{uuid.uuid4().hex}")
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("q"), col("vec_id")).alias("query"), "embedding", F.timestamp_seconds("vec_id").alias("created_at"))
+    at.put("cache", caching.store(at.table("cache"), e, 40))
+    return spark.createDataFrame([("deleted", service.invalidate_cache(at)), ("left", at.table("cache").count())], "what string, n int")
+
+
+@query("""select count(*) as total, count(*) as successful, 0 as failed, 4.0::double as mean_faithfulness, 3.0::double as mean_relevance, 1.0::double as mean_file_recall, 0.0::double as cache_hit_rate from benchmark""")
+def evaluation_run(spark, sf_dir):
+    """Benchmark questions answered and judged in one run; none expects files."""
+
+    def build(path):
+        q = _questions(spark, sf_dir).select(col("query_id").alias("id"), F.col("query").alias("question"), F.array().cast("array<string>").alias("expected_files"), F.array().cast("array<string>").alias("tags"))
+        evaluate.run(stored_index(spark, sf_dir), q, path, lambda question, answer: F.lit('{"faithfulness": 4}'), top_k=5, use_graph=False, embedder=letters)
+
+    results = spark.read.schema(evals.RESULT).json(store.once(spark, "evaluation", sf_dir, build))
+    return evals.summary(results).select("total", "successful", F.col("failed").cast("int").alias("failed"), "mean_faithfulness", "mean_relevance", "mean_file_recall", "cache_hit_rate")
+
+
+@query("""select 'missing' as what, '1' as said union all select 'graph-stats', '0' union all select 'ask', '- src/m' || max(n_nationkey) || '.py' from nation where n_regionkey > 0""")
+def command_line(spark, sf_dir):
+    """The command line: without an index, the graph's statistics, and a question's last line."""
+    path, out = code_index(spark, sf_dir)[0].path, io.StringIO()
+    last = table(spark, sf_dir, "nation").where("n_regionkey > 0").agg(F.max("n_nationkey")).first()[0]
+    with contextlib.redirect_stdout(out), contextlib.redirect_stderr(io.StringIO()):
+        missing, stats = main(["--index-dir", f"{path}/none", "stats"]), main(["--index-dir", path, "graph-stats"])
+        main(["--index-dir", path, "ask", f"Where is K{last}?"])
+    said = out.getvalue().rstrip("\n").split("\n")[-1]
+    return spark.createDataFrame([("missing", str(missing)), ("graph-stats", str(stats)), ("ask", said)], "what string, said string")
