@@ -7,10 +7,13 @@ one of the bands but for a chance of (1 - 0.8**6)**48, or 5 in ten million; abov
 is less.  Components of ties are *clusters*; a set is sent once, to its cluster's
 task, where :func:`similar` compares exactly: each pair in reach (sets that share one
 of their rarest shingles, as any pair at the threshold must) that is not yet linked
-is verified by its common shingles.  No pair of a cluster is left out, whatever its size.
+is verified by its common shingles.
 
-Equal sets are one entry.  A cluster is held whole by its task: its memory is eight
-bytes for each shingle of the cluster's distinct sets.
+Equal sets are one entry.  A task holds at most about ``2 * MOST`` sets at a time: of a
+cluster with more than ``MOST`` sets those that meet in a band are compared, band by
+band, and a band that more than ``MOST`` sets share is cut in blocks of so many, each
+pair of which is a task's.  So no pair that meets in a band is left out, whatever the
+size of a group, and each task gives the links of a spanning forest only.
 
 Cases: words are as in :mod:`words`, ASCII letters lowered; fewer words than a
 shingle's make one shingle; texts without words are equal to each other.
@@ -33,6 +36,8 @@ WORDS = 5
 #: Similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 48, 6
+#: Sets of a group that a task compares at once; larger groups are cut.
+MOST = 4096
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,8 +109,32 @@ def similar(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tupl
     return out
 
 
-def copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b): fingerprints to link, of texts with equal or similar shingle sets, from docs (text) and prints (row, fp); row is the text's hash."""
+def _groups(clusters: DataFrame, bands: DataFrame, most: int) -> DataFrame:
+    """(group, i, j, set): what is compared together, of clusters (node, root) and bands (set, band)."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    one = F.lit(0).alias("i"), F.lit(0).alias("j")
+    members = clusters.join(sizes, "root")
+    small = members.where(F.col("n") <= most).select(F.col("root").alias("group"), *one, F.col("node").alias("set"))
+    if sizes.where(F.col("n") > most).isEmpty():
+        return small
+    met = bands.join(members.where(F.col("n") > most).select(F.col("node").alias("set")), "set").distinct()
+    full = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    met = met.join(full, "band").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = met.select(F.col("band").alias("group"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set")
+    return small.unionByName(cut)
+
+
+def copy_links(docs: DataFrame, prints: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b): fingerprints to link, of texts with equal or similar shingle sets, from docs (text) and prints (row, fp); row is the text's hash.
+
+    most: see ``MOST``.
+    """
+    with scratch.brief(docs.sparkSession):
+        return _copy_links(docs, prints, most or MOST)
+
+
+def _copy_links(docs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     spark = docs.sparkSession
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,45 +153,45 @@ def copy_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     ties = bands.join(heads, "band").where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b")).distinct()
     clusters = scratch.keep(components(scratch.keep(ties, "ties")), "clusters")
 
-    # one text of each set
-    texts = of_row.join(clusters, F.col("set") == F.col("node")).groupBy("set", "root").agg(F.min("row").alias("_row"))
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, cuts = shingle_sets(batch.column("text"))
                 each = [h[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("set"), pa.array(each, pa.binary())], names=["root", "set", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(each, pa.binary())], names=["set", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (root, set); a cluster may run over batches, and a set may come again."""
-        root, ids, sets = None, [], []
+        """Rows come sorted by (group, i, j, set); a group may run over batches."""
+        workers.release()
+        group, ids, sets = None, [], []
 
         def done():
             pairs = similar(sets) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for r, s, h in zip(batch.column("root").to_pylist(), batch.column("set").to_pylist(), batch.column("hashes"), strict=True):
-                if r != root:
+            for *g, s, h in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "set")), batch.column("hashes"), strict=True):
+                if g != group:
                     yield done()
-                    root, ids, sets = r, [], []
-                if not ids or s != ids[-1]:
-                    ids.append(s)
-                    sets.append(np.frombuffer(h.as_py(), dtype=np.uint64))
+                    group, ids, sets = g, [], []
+                ids.append(s)
+                sets.append(np.frombuffer(h.as_py(), dtype=np.uint64))
         yield done()
 
-    chosen = rows.join(texts, F.col("row") == F.col("_row")).select("root", "set", "text")
-    held = chosen.mapInArrow(read, "root long, set long, hashes binary").groupBy("root", "set").agg(F.min("hashes").alias("hashes"))
-    pairs = scratch.keep(held.repartition("root").sortWithinPartitions("root", "set").mapInArrow(compare, "a long, b long"), "similar")
+    # one text of each set
+    chosen = of_row.join(clusters.select(F.col("node").alias("set")), "set").groupBy("set").agg(F.min("row").alias("_row"))
+    texts = rows.join(chosen, F.col("row") == F.col("_row")).dropDuplicates(["set"]).select("set", "text")
+    hashes = scratch.keep(texts.mapInArrow(read, "set long, hashes binary"), "hashes")
+    dealt = _groups(clusters, bands, most)
+    pairs = dealt.join(hashes, "set").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "set")
+    pairs = scratch.keep(pairs.mapInArrow(compare, "a long, b long"), "similar")
 
     # sets speak for fingerprints: a set's least one, to which its others are linked
     of_set = scratch.keep(of_row.join(prints.select("row", "fp").distinct(), "row").select("set", "fp").distinct(), "set-prints")
     first = of_set.groupBy("set").agg(F.min("fp").alias("first"))
     inside = of_set.join(first, "set").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
     one = pairs.join(first.withColumnsRenamed({"set": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"set": "b", "first": "y"}), "b")
-    links = scratch.keep(inside.unionByName(one.select(F.col("x").alias("a"), F.col("y").alias("b"))), "copy-links")
-    scratch.forget(signed)
+    links = scratch.keep(inside.unionByName(one.select(F.col("x").alias("a"), F.col("y").alias("b"))), "copy-links", outer=True)
     scratch.tidy(spark)
     return links

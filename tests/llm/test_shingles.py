@@ -68,7 +68,10 @@ def test_similar_finds_every_link(seed):
     assert {(i, j) for i in range(len(sets)) for j in range(i) if got[i] == got[j]} == {(i, j) for i in range(len(sets)) for j in range(i) if want[i] == want[j]}
 
 
-def test_stage_keeps_one_of_each_group_of_near_copies(spark):
+@pytest.mark.parametrize("most", [4096, 4, 2])
+def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, most):
+    """Groups held whole, and groups cut in bands and blocks of few sets."""
+    monkeypatch.setattr(shingles, "MOST", most)
     rnd = random.Random(4)
     rows, passage = [], sentence(rnd, 90, 5000).split()
     for g in range(25):
