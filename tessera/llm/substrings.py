@@ -259,7 +259,7 @@ def _find_repeats(docs: DataFrame, window: int) -> DataFrame:
     # a text that very many documents have is dealt over several tasks
     dealt = whole.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(_PARTS)).cast("int"))
     least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
-    copies = scratch.keep(dealt.join(least, ["h1", "h2", "part"]).where("doc > least").select("doc", "row", "n_words").distinct(), "copies")
+    copies = scratch.keep(dealt.join(least.hint("merge"), ["h1", "h2", "part"]).where("doc > least").select("doc", "row", "n_words").distinct(), "copies")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _gathered((_anchors(b, block) for whole in batches for b in slices(whole, "text")), lambda x: _settle_anchors(x, block, window))
@@ -271,7 +271,7 @@ def _find_repeats(docs: DataFrame, window: int) -> DataFrame:
             yield from _record(_judge_anchors(_columns(x, ~known, _ANCHOR), block, window)[2])
 
     runs = texts.mapInArrow(anchors, shape(_ANCHOR)).repartition("key").sortWithinPartitions("key", "doc")
-    around = _islands(runs.mapInArrow(hits, shape(_SPAN)), 1).join(copies, ["doc", "row"], "left_anti")
+    around = _islands(runs.mapInArrow(hits, shape(_SPAN)), 1).join(copies.hint("merge"), ["doc", "row"], "left_anti")
     ranges = scratch.keep(_listed(around), "ranges")
     scratch.tidy(spark)
 
