@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+#: Edges in a file of a round: a small graph's rounds are a task each, a large one's as many as there are files.
+ROWS_A_FILE = 200_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each node's component, for all nodes that have an edge. Values must be ordered, not null."""
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = scratch.keep(now, "edges")
+    n = now.count()
     for _ in range(most_rounds):
-        if now.isEmpty():
+        if not n:
             break
         # large star: each greater neighbour of u to the least of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,10 +33,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # small star: u and each lesser neighbour of u to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.keep(small, "edges")
-        same = now.count() == after.count() and now.exceptAll(after).isEmpty()
+        after = scratch.keep(small.coalesce(-(-n // ROWS_A_FILE)), "edges")  # a round gives no more edges than it had
+        m = after.count()
+        same = n == m and now.exceptAll(after).isEmpty()
         scratch.forget(now)
-        now = after
+        now, n = after, m
         if same:
             break
     else:

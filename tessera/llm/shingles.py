@@ -9,11 +9,10 @@ task, where :func:`similar` compares exactly: each pair in reach (sets that shar
 of their rarest shingles, as any pair at the threshold must) that is not yet linked
 is verified by its common shingles.
 
-Equal sets are one entry.  A task holds at most about ``2 * MOST`` sets at a time: of a
-cluster with more than ``MOST`` sets those that meet in a band are compared, band by
-band, and a band that more than ``MOST`` sets share is cut in blocks of so many, each
-pair of which is a task's.  So no pair that meets in a band is left out, whatever the
-size of a group, and each task gives the links of a spanning forest only.
+Equal sets are one entry.  A group is cut in blocks, each pair of which is a task's, so
+that a task holds at most about ``2 * MOST`` sets at a time.  A cluster of more than
+``MOST * COPIES`` sets is compared band by band.  So no pair that meets in a band is left
+out, whatever the size of a group, and each task gives the links of a spanning forest only.
 
 Cases: words are as in :mod:`words`, ASCII letters lowered; fewer words than a
 shingle's make one shingle; texts without words are equal to each other.
@@ -36,8 +35,9 @@ WORDS = 5
 #: Similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 48, 6
-#: Sets of a group that a task compares at once; larger groups are cut.
-MOST = 4096
+#: Groups are cut in blocks of about FINE sets, whose pairs are tasks' own, as long as a set has COPIES copies at most;
+#: larger groups in as many blocks, of up to MOST sets.
+FINE, COPIES, MOST = 128, 48, 4096
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -112,17 +112,21 @@ def similar(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tupl
 def _groups(clusters: DataFrame, bands: DataFrame, most: int) -> DataFrame:
     """(group, i, j, set): what is compared together, of clusters (node, root) and bands (set, band)."""
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    one = F.lit(0).alias("i"), F.lit(0).alias("j")
-    members = clusters.join(sizes, "root")
-    small = members.where(F.col("n") <= most).select(F.col("root").alias("group"), *one, F.col("node").alias("set"))
-    if sizes.where(F.col("n") > most).isEmpty():
+    members = clusters.join(sizes, "root").select(F.col("node").alias("set"), "root", "n")
+    small = _cut(members.where(F.col("n") <= most * COPIES).withColumnRenamed("root", "group"), most)
+    if sizes.where(F.col("n") > most * COPIES).isEmpty():
         return small
-    met = bands.join(members.where(F.col("n") > most).select(F.col("node").alias("set")), "set").distinct()
-    full = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
-    met = met.join(full, "band").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = met.select(F.col("band").alias("group"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set")
-    return small.unionByName(cut)
+    met = bands.join(members.where(F.col("n") > most * COPIES).select("set"), "set").distinct()
+    full = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return small.unionByName(_cut(met.join(full, "band").withColumnRenamed("band", "group"), most))
+
+
+def _cut(rows: DataFrame, most: int) -> DataFrame:
+    """Groups (group, n, set) in pairs of blocks: of FINE sets while that makes few copies, of more then, of ``most`` at last."""
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / FINE), F.lit(COPIES)), F.ceil(F.col("n") / most)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set")
 
 
 def copy_links(docs: DataFrame, prints: DataFrame, most: int | None = None) -> DataFrame:

@@ -68,10 +68,11 @@ def test_similar_finds_every_link(seed):
     assert {(i, j) for i in range(len(sets)) for j in range(i) if got[i] == got[j]} == {(i, j) for i in range(len(sets)) for j in range(i) if want[i] == want[j]}
 
 
-@pytest.mark.parametrize("most", [4096, 4, 2])
-def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, most):
-    """Groups held whole, and groups cut in bands and blocks of few sets."""
-    monkeypatch.setattr(shingles, "MOST", most)
+@pytest.mark.parametrize("fine,copies,most", [(128, 48, 4096), (2, 48, 4096), (2, 2, 4), (2, 1, 3)])
+def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, fine, copies, most):
+    """Groups held whole, cut in blocks of few sets, and compared band by band."""
+    for name, n in (("FINE", fine), ("COPIES", copies), ("MOST", most)):
+        monkeypatch.setattr(shingles, name, n)
     rnd = random.Random(4)
     rows, passage = [], sentence(rnd, 90, 5000).split()
     for g in range(25):
