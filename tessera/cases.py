@@ -275,7 +275,7 @@ def _classes(spark, sf_dir):
 
 @query("""with c as (select 'r' || s_nationkey as repo, 'f' || s_suppkey || '.py' as path, 'K' || (s_suppkey % 3) as name, 'K' || ((s_suppkey + 1) % 4) as parent from supplier),
 i as (select *, sha256(repo || '::' || path || '::class::' || name) as id from c)
-select 'INHERITS' as type, i.id as src, min(p.id) as dst from i join i p on p.repo = i.repo and p.name = i.parent group by i.id""")
+select 'INHERITS' as type, i.id as src, coalesce(min(p.id) filter (p.path = i.path), min(p.id)) as dst from i join i p on p.repo = i.repo and p.name = i.parent group by i.id""")
 def inherits_edges(spark, sf_dir):
     """Parents by name: a class of the same file, else the first in the repository; unknown names give nothing."""
     c = _classes(spark, sf_dir)
