@@ -1,12 +1,13 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, scratch, tokens
+from tessera.llm import files, packing, scratch, tokens
 from tessera.llm.bpe import Encoder
 from tessera.llm.queries import tokenizer_path
 
@@ -59,6 +60,19 @@ def test_files_round_trip(spark, edge_docs, edge_rows, library):
         at += r["n_tokens"]
 
 
+def test_parts_share_one_table_file(spark):
+    """Spark writes the manifest, in one file, and no table with a file of each task; settings are put back."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    before, folder = spark.conf.get(tokens._SCAN), scratch.folder(spark, "test")
+    with scratch.setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        manifest = tokens.write_tokens(docs, folder, tokenizer_path()).orderBy("part").collect()
+    at = Path(files.local(folder))
+    assert [p.parent.name for p in at.rglob("part-*.parquet")] == ["manifest"]
+    assert len(manifest) > 1 and len(manifest) == len(list(at.glob("tokens-*.bin"))) and sum(r["n_docs"] for r in manifest) == 200
+    assert [r["first_doc"] for r in manifest] == [sum(r["n_docs"] for r in manifest[:k]) for k in range(len(manifest))]
+    assert spark.conf.get(tokens._SCAN) == before
+
+
 def test_no_documents(spark, no_docs):
     assert tokens.encode_documents(no_docs, tokenizer_path()).count() == 0
     assert packing.pack_documents(no_docs, tokenizer_path()).count() == 0
