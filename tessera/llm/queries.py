@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, lattice, mixing, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
+from . import chat, lattice, mixing, neighbours, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -110,6 +110,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_exact_top_k,
         op10_source_mixing,
+        op11_embedding_dedup,
     )
 }
 
@@ -250,6 +255,16 @@ k as (select d.*, source_size, target, epochs, target - epochs * source_size as
 select doc_id, size, source_size, target, ((epochs + case when rest > 0 and upto - size / 2.0 <= rest then 1 else 0 end) * size)::bigint as taken from k
 """
 
+_OP11 = """
+with recursive v as (select row_number() over () as rid, vec_id, label, case when label is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0 then embedding::double[] end as x from embeddings),
+s as (select rid, label, x, len(x) as d, sqrt(list_dot_product(x, x)) as norm from v where x is not null and len([y for y in x if y <> 0]) > 0),
+l as (select a.rid as a, b.rid as b from s a join s b on a.label = b.label and a.rid <> b.rid and case when a.d = b.d then list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93 else false end),
+r(a, b) as (select rid, rid from v union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) as n_links from l group by a),
+c as (select r.a, min(v.vec_id) as component_id from r join v on v.rid = r.b group by r.a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept from v join c on c.a = v.rid left join n on n.a = v.rid
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _OP3,
     "op4_substring_dedup": _OP4,
@@ -257,4 +272,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_simhash_dedup": _OP6,
     "op9_exact_top_k": _OP9,
     "op10_source_mixing": _OP10,
+    "op11_embedding_dedup": _OP11,
 }
