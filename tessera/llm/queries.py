@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, lattice, mixing, neighbours, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
+from . import chat, fim, lattice, mixing, neighbours, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -114,6 +114,20 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    made = made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+    return scratch.keep(made, "filled")  # here, so that the texts go to Python in small batches
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -128,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_exact_top_k,
         op10_source_mixing,
         op11_embedding_dedup,
+        op12_fill_in_middle,
     )
 }
 
@@ -265,6 +280,17 @@ c as (select r.a, min(v.vec_id) as component_id from r join v on v.rid = r.b gro
 select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept from v join c on c.a = v.rid left join n on n.a = v.rid
 """
 
+_OP12 = """
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+e as (select *, ('0x' || h[1:8])::bigint % (n + 1) as x, ('0x' || h[9:16])::bigint % (n + 1) as y,
+  case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+    when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form from d),
+f as (select *, left(text, least(x, y)) as prefix, substring(text, least(x, y) + 1, greatest(x, y) - least(x, y)) as middle, substring(text, greatest(x, y) + 1) as suffix from e)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then least(x, y) end::bigint as prefix_chars, case when form <> 'plain' then greatest(x, y) - least(x, y) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from f
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _OP3,
     "op4_substring_dedup": _OP4,
@@ -273,4 +299,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": _OP9,
     "op10_source_mixing": _OP10,
     "op11_embedding_dedup": _OP11,
+    "op12_fill_in_middle": _OP12,
 }
