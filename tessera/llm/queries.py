@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with production parameters, and their SQL where SQL can express them."""
+"""The thirteen operators as queries over the driver's tables, with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, fim, lattice, mixing, neighbours, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
+from . import alignment, chat, fim, lattice, mixing, neighbours, packing, quality, scratch, simhash, substrings, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -128,6 +128,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.keep(made, "filled")  # here, so that the texts go to Python in small batches
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -143,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_source_mixing,
         op11_embedding_dedup,
         op12_fill_in_middle,
+        op13_token_alignment,
     )
 }
 
