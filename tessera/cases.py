@@ -225,6 +225,8 @@ def python_records(spark, sf_dir):
 
 
 _JS_RECORDS = [
+    ("import", {"module": "'./m' || k", "symbols": "'D,a,c'", "start_line": "1"}),
+    ("import", {"module": "'./side.css'", "symbols": "''", "start_line": "2"}),
     ("class", {"name": "'K' || k", "qualified_name": "'K' || k", "start_line": "4", "end_line": "7", "docstring": "''"}),
     ("inherits", {"name": "'K' || k", "parent": "'Base'"}),
     ("function", {"name": "'x'", "qualified_name": "'K' || k || '.x'", "start_line": "5", "end_line": "5", "is_async": "false", "is_method": "true", "docstring": "''", "parent": "'K' || k"}),
@@ -233,8 +235,6 @@ _JS_RECORDS = [
     ("function", {"name": "'g' || k", "qualified_name": "'g' || k", "start_line": "9", "end_line": "9", "is_async": "true", "is_method": "false", "docstring": "''"}),
     ("endpoint", {"name": "'/n/' || k", "path": "'/n/' || k", "http_method": "'GET'", "framework": "'express'", "handler": "'f' || k", "start_line": "10"}),
     ("endpoint", {"name": "'mid' || k", "path": "'mid' || k", "http_method": "'ALL'", "framework": "'express'", "handler": "'g' || k", "start_line": "11"}),
-    ("import", {"module": "'./m' || k", "symbols": "'D,a,c'", "start_line": "1"}),
-    ("import", {"module": "'./side.css'", "symbols": "''", "start_line": "2"}),
 ]
 
 
@@ -250,6 +250,38 @@ def script_records(spark, sf_dir):
     return _records(f)
 
 
+#: What stands before the class in files of many shapes: code that a scanner without a grammar loses its way in.
+_BEFORE = (
+    "const a = `x ${b ? `{` : ''} y`;",
+    "if (x) /[`{]/.test(y);",
+    "export default class extends B {}",
+    "type T<U> = U extends { x: infer V } ? V[] : () => void",
+    "label: while (n--) { class No {} }",
+    "const half = (a + b) / 2, view = o[1] / 3 // it's {",
+    "interface I { m(): void; n: { o: '}' } }",
+)
+_HEADS = ("", "<T extends {x: number}> extends B1<T>", " extends ns.B2 implements I<{a: 1}>")
+
+
+@query("""with k as (select p_partkey as k, p_partkey % 4 as n, p_partkey % 3 as h, 'f' || p_partkey || '.ts' as file_path from part),
+r as (select file_path, 0 as place, 'class' as kind, 'K' || k as name, null as parent, 2 as start_line, 3 + n as end_line, null as is_async from k
+union all select file_path, 1, 'inherits', 'K' || k, 'B' || h, null, null, null from k where h > 0
+union all select file_path, 2 + i, 'function', 'm' || i, 'K' || k, 3 + i, 3 + i, i % 2 = 1 from k, unnest(range(n)) t(i)
+union all select file_path, 9, 'function', 'f' || k, null, 4 + n, 4 + n, k % 2 = 1 from k
+union all select file_path, 10, 'endpoint', '/p/' || k, 'f' || k, 5 + n, null, null from k where k % 5 = 0)
+select file_path, (row_number() over (partition by file_path order by place) - 1)::int as seq, kind, name, parent, start_line::int as start_line, end_line::int as end_line, is_async from r""")
+def script_shapes(spark, sf_dir):
+    """Scripts whose parts follow from their keys: what stands before, the class's head, how many members, arrows and routes."""
+    k, key = col("p_partkey"), F.col("p_partkey")
+    pick = lambda some: F.element_at(F.array(*map(F.lit, some)), (key % len(some) + 1).cast("int"))
+    member = lambda i: F.concat(F.when(i % 2 == 1, "  private async m").otherwise("  m"), i.cast("string"), F.lit("<A>(a = {b: ')'}, {c}: {c: A}): Promise<{d: A}> { return `}${a}`; }\n"))
+    members = F.array_join(F.transform(F.when(key % 4 > 0, F.sequence(F.lit(0), (key % 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>")), member), "")
+    arrow = text("const f", k, F.when(key % 2 == 1, " = async ({a}, b = (1)) => {}\n").otherwise(": (x: string) => {y: 1} = <T>(x: T[]): x is [T] => ({y: 1});\n"))
+    code = text(pick(_BEFORE), "\nexport class K", k, pick(_HEADS), " {\n", members, "}\n", arrow, F.when(key % 5 == 0, text("app.get('/p/", k, "', auth(), f", k, ")\n")).otherwise("go(function no() {})\n"))
+    f = table(spark, sf_dir, "part").select(F.lit("r").alias("repo_name"), text("f", k, ".ts").alias("file_path"), F.lit(".ts").alias("file_type"), code.alias("content"))
+    return symbols.extract_symbols(f).select("file_path", "seq", "kind", "name", F.coalesce("parent", "handler").alias("parent"), "start_line", "end_line", "is_async")
+
+
 # --- the graph -------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import chunk_id
 from ..settings import get_settings
-from .symbols import js_symbols, python_symbols
+from .symbols import python_symbols, script_symbols
 
 #: Separators to split at, from coarse to fine, by language. Fixed values.
 SEPARATORS = {
@@ -18,7 +18,7 @@ SEPARATORS = {
 }
 DEFAULT_SEPARATORS = ["\n\n", "\n", " ", ""]
 _BY_SUFFIX = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "javascript", ".tsx": "javascript", ".go": "go", ".rb": "ruby"}
-_AST = {".py": python_symbols, ".js": js_symbols, ".jsx": js_symbols, ".ts": js_symbols, ".tsx": js_symbols}
+_AST = {".py": lambda content, _: python_symbols(content)} | dict.fromkeys((".js", ".jsx", ".ts", ".tsx"), script_symbols)
 CHUNK = "chunk_seq int, content string, start_index int, symbol_name string, symbol_type string, start_line int, end_line int, docstring string, sub_chunk int"
 
 
@@ -67,7 +67,7 @@ def split_text(text: str, size: int, overlap: int, separators: list[str]) -> lis
 def split_file(content: str, file_type: str, size: int, overlap: int, by_symbol: bool = True) -> list[tuple]:
     """Rows of CHUNK for one file."""
     separators = SEPARATORS.get(_BY_SUFFIX.get(file_type, ""), DEFAULT_SEPARATORS)
-    found = _AST[file_type](content) if by_symbol and file_type in _AST else []
+    found = _AST[file_type](content, file_type) if by_symbol and file_type in _AST else []
     rows: list[tuple] = []
     for s in found:
         pieces = [(None, s["text"])] if len(s["text"]) <= 2 * size else split_text(s["text"], size, overlap, separators)

@@ -1,7 +1,6 @@
 """Symbols, routes and imports of Python and JavaScript or TypeScript files.
 
-Python goes through the standard ``ast``; the other two through a scanner that knows
-strings, comments and brackets.  :func:`extract` yields flat records; the DataFrame
+Python goes through the standard ``ast``, the other two through :mod:`..functions.script`.  :func:`extract` yields flat records; the DataFrame
 operator turns files into rows of them in one Arrow-batched pass.  A file that can't
 be parsed yields nothing.
 """
@@ -9,12 +8,13 @@ be parsed yields nothing.
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.script import Script
+
 #: HTTP verbs that decorators and routers use. Fixed values.
 PY_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 JS_VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "all", "use")
@@ -110,208 +110,43 @@ def extract_python(content: str) -> list[dict]:
 
 # --- JavaScript and TypeScript -------------------------------------------------------
 
-_QUOTES = "'\"`"
-#: Words after which a slash begins a regular expression and doesn't divide.
-_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
-
-
-def _regex_end(content: str, at: int) -> int:
-    """Just past the regular expression literal that begins at the slash; -1 if the slash divides."""
-    k = at - 1
-    while k >= 0 and content[k] in " \t":
-        k -= 1
-    if k >= 0 and (content[k].isalnum() or content[k] in "_$)]}"):
-        word = re.search(r"[\w$]+$", content[: k + 1])
-        if word is None or word[0] not in _BEFORE_REGEX:
-            return -1
-    inside, j = False, at + 1
-    while j < len(content) and content[j] != "\n":
-        c = content[j]
-        if c == "\\":
-            j += 1
-        elif c == "[":
-            inside = True
-        elif c == "]":
-            inside = False
-        elif c == "/" and not inside:
-            j += 1
-            while j < len(content) and content[j].isalpha():
-                j += 1
-            return j
-        j += 1
-    return -1
-
-
-def blank_out(content: str) -> str:
-    """The text with comments, regular expressions and the insides of strings blanked, of the same length and lines."""
-    out, i, n = list(content), 0, len(content)
-    while i < n:
-        c = content[i]
-        if content.startswith("//", i):
-            j = content.find("\n", i)
-            j = n if j < 0 else j
-        elif content.startswith("/*", i):
-            j = content.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-        elif c in _QUOTES:
-            j = i + 1
-            while j < n and content[j] != c and (c == "`" or content[j] != "\n"):
-                j += 2 if content[j] == "\\" else 1
-            for k in range(i + 1, min(j, n)):
-                if out[k] != "\n":
-                    out[k] = " "
-            i = j + 1
-            continue
-        elif c == "/" and (j := _regex_end(content, i)) >= 0:
-            pass
-        else:
-            i += 1
-            continue
-        for k in range(i, j):
-            if out[k] != "\n":
-                out[k] = " "
-        i = j
-    return "".join(out)
-
-
-def _close(bare: str, at: int, pair: str = "{}") -> int:
-    """Just past the bracket that closes the one at ``at``; the end if none does."""
-    depth = 0
-    for m in re.compile("[" + re.escape(pair) + "]").finditer(bare, at):
-        depth += 1 if m[0] == pair[0] else -1
-        if not depth:
-            return m.end()
-    return len(bare)
-
-
-def _depths(bare: str) -> list[int]:
-    out, depth = [], 0
-    for c in bare:
-        if c in "}])":
-            depth -= 1
-        out.append(depth)
-        if c in "{[(":
-            depth += 1
-    return out
-
 
-_JS_TOP = re.compile(r"(?P<export>export\s+(?:default\s+)?)?(?:(?P<abstract>abstract\s+)?class\s+(?P<class>[A-Za-z_$][\w$]*)|(?P<async>async\s+)?function\s*\*?\s*(?P<function>[A-Za-z_$][\w$]*))")
-_JS_ARROW = re.compile(r"(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(async\s+)?(?:function\b|\([^()]*\)\s*(?::\s*[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
-_JS_IMPORT = re.compile(r"import\s+(?:(?P<what>[^'\"`;]*?)\s*from\s*)?(?P<q>['\"])")
-_JS_ROUTE = re.compile(r"[A-Za-z_$][\w$]*\s*\.\s*(" + "|".join(JS_VERBS) + r")\s*\(\s*(['\"])")
-_JS_MEMBER = re.compile(r"(?:(?:public|private|protected|static|readonly|override|declare|abstract)\s+)*(?P<async>async\s+)?\*?\s*(?:(?:get|set)\s+(?=[A-Za-z_$#]))?(?P<name>[#A-Za-z_$][\w$]*)\s*[?!]?\s*(?P<next>[(<:=;])")
-_NOT_MEMBERS = frozenset("if for while switch catch return function new await typeof else do try throw case".split())
-
-
-def _line(content: str, at: int) -> int:
-    return content.count("\n", 0, at) + 1
-
-
-def _js_blocks(content: str) -> Iterator[tuple[str, str, bool, int, int, int]]:
-    """(kind, name, async, start, body start, end) of top-level classes and functions."""
-    bare = blank_out(content)
-    depth = _depths(bare)
-    for m in _JS_TOP.finditer(bare):
-        if depth[m.start()] or (m.start() and (bare[m.start() - 1].isalnum() or bare[m.start() - 1] in "_$.")):
-            continue
-        if m["function"]:
-            args = bare.find("(", m.end())
-            body = bare.find("{", _close(bare, args, "()")) if args >= 0 else -1
-        else:
-            body = bare.find("{", m.end())
-        if body >= 0:
-            yield "class" if m["class"] else "function", m["class"] or m["function"], bool(m["async"]), m.start(), body, _close(bare, body)
-
-
-def js_symbols(content: str) -> list[dict]:
+def script_symbols(content: str, file_type: str = ".js") -> list[dict]:
     """Top-level classes and functions, exported or not, with their text."""
-    return [{"name": name, "kind": kind, "text": content[a:b], "start_line": _line(content, a), "end_line": _line(content, b - 1), "docstring": ""} for kind, name, _, a, _, b in _js_blocks(content)]
-
-
-def _string_at(content: str, at: int) -> str:
-    """The string literal that starts at its opening quote."""
-    stop = at + 1
-    while stop < len(content) and content[stop] != content[at]:
-        stop += 2 if content[stop] == "\\" else 1
-    return content[at + 1 : stop]
-
-
-def _js_members(content: str, bare: str, depth: list[int], name: str, body: int, end: int) -> Iterator[dict]:
-    inner, at = depth[body] + 1, body + 1
-    while at < end - 1:
-        m = _JS_MEMBER.match(bare, at)
-        if m is None or depth[at] != inner or m["name"] in _NOT_MEMBERS:
-            at += 1
-            while at < end - 1 and (depth[at] != inner or not (bare[at - 1] in ";}\n" or bare[at - 1].isspace())):
-                at += 1
-            continue
-        a = at
-        if m["next"] in "(<":
-            opening = bare.find("(", m.end() - 1)
-            after = _close(bare, opening, "()") if opening >= 0 else end
-            body_at = bare.find("{", after)
-            semicolon = bare.find(";", after)
-            if 0 <= body_at < end and not (0 <= semicolon < body_at):
-                stop = _close(bare, body_at)
-            else:
-                stop = semicolon + 1 if semicolon >= 0 else end
-        else:  # a field: to the semicolon or the end of the line at this depth
-            stop = m.end()
-            while stop < end - 1 and not (depth[stop] == inner and bare[stop] in ";\n"):
-                stop += 1
-        member = m["name"].lstrip("#")
-        yield _record(
-            "function", name=member, qualified_name=f"{name}.{member}", start_line=_line(content, a + len(bare[a:m.end()]) - len(bare[a:m.end()].lstrip())), end_line=_line(content, max(a, stop - 1)),
-            is_async=bool(m["async"]), is_method=True, docstring="", parent=name, pos=a,
-        )
-        at = max(stop, at + 1)
-        while at < end - 1 and bare[at] in " \t\n\r;":
-            at += 1
-
-
-def extract_js(content: str) -> list[dict]:
-    bare = blank_out(content)
-    depth = _depths(bare)
-    out = []
-    for kind, name, is_async, a, body, end in _js_blocks(content):
-        lines = {"start_line": _line(content, a), "end_line": _line(content, end - 1), "docstring": "", "pos": a}
-        if kind == "function":
-            out.append(_record("function", name=name, qualified_name=name, is_async=is_async, is_method=False, **lines))
+    found = [d for d in Script(content, file_type).declarations() if d["kind"] in ("class", "function")]
+    # a constant that holds a function is no symbol of its own
+    found = [d for d in found if d["kind"] == "class" or d["declared"]]
+    return [{"name": d["name"], "kind": d["kind"], "text": content[d["pos"] : d["end"]], "start_line": d["start_line"], "end_line": d["end_line"], "docstring": ""} for d in found]
+
+
+def _script_function(d: dict) -> dict:
+    owner = d.get("owner")
+    keep = {c: d[c] for c in ("name", "start_line", "end_line", "is_async", "is_method", "pos")}
+    return _record("function", qualified_name=f"{owner}.{d['name']}" if owner else d["name"], docstring="", parent=owner, **keep)
+
+
+def extract_script(content: str, file_type: str = ".js") -> list[dict]:
+    out, functions = [], {}
+    for d in Script(content, file_type).declarations():
+        at = {c: d[c] for c in ("start_line", "end_line", "pos")}
+        if d["kind"] == "class":
+            out.append(_record("class", name=d["name"], qualified_name=d["name"], docstring="", **at))
+            out += [_record("inherits", name=d["name"], parent=b) for b in d["bases"]]
+            own = [_script_function(m) for m in d["members"]]
+        elif d["kind"] == "function":
+            own = [_script_function(d)]
+        elif d["kind"] == "import":
+            out.append(_record("import", module=d["module"], symbols=d["symbols"], start_line=d["start_line"], raw=d["raw"]))
             continue
-        out.append(_record("class", name=name, qualified_name=name, **lines))
-        base = re.search(r"\bextends\s+(?:[\w$]+\.)*([A-Za-z_$][\w$]*)", bare[a:body])
-        if base:
-            out.append(_record("inherits", name=name, parent=base[1]))
-        out += _js_members(content, bare, depth, name, body, end)
-    for m in _JS_ARROW.finditer(bare):
-        if not depth[m.start()]:
-            body = bare.find("{", m.end())
-            stop = bare.find("\n", m.end())
-            end = _close(bare, body) if 0 <= body and (stop < 0 or body <= stop) else (len(bare) if stop < 0 else stop)
-            out.append(_record("function", name=m[1], qualified_name=m[1], is_async=bool(m[2]), is_method=False, docstring="", start_line=_line(content, m.start()), end_line=_line(content, end - 1), pos=m.start()))
-    functions = [r for r in out if r["kind"] == "function"]
-    for m in _JS_ROUTE.finditer(bare):
-        if depth[m.start()] or (m.start() and (bare[m.start() - 1].isalnum() or bare[m.start() - 1] in "_$.")):
+        elif d["verb"] in JS_VERBS:
+            verb = "ALL" if d["verb"] in ("use", "all") else d["verb"].upper()
+            out.append(_record("endpoint", name=d["path"], http_method=verb, path=d["path"], framework="express", handler=functions.get(d["handler"]), start_line=d["start_line"]))
             continue
-        path = _string_at(content, m.end() - 1)
-        if not path:
-            continue
-        end = _close(bare, bare.find("(", m.start()), "()")
-        rest = [x.strip() for x in bare[m.end() + len(path) + 1 : end - 1].split(",")]
-        handler = next((x for x in reversed(rest) if re.fullmatch(r"[A-Za-z_$][\w$]*", x)), None)
-        known = [f for f in functions if f["name"] == handler and f["pos"] < m.start()]
-        verb = "ALL" if m[1] in ("use", "all") else m[1].upper()
-        out.append(_record("endpoint", name=path, http_method=verb, path=path, framework="express", handler=known[0]["qualified_name"] if known else None, start_line=_line(content, m.start())))
-    for m in _JS_IMPORT.finditer(bare):
-        if depth[m.start()] or (m.start() and (bare[m.start() - 1].isalnum() or bare[m.start() - 1] in "_$.")):
+        else:
             continue
-        what = m["what"] or ""
-        named = re.search(r"\{([^}]*)\}", what)
-        symbols = [x.split(" as ")[0].strip() for x in (named[1].split(",") if named else ()) if x.strip()]
-        default = re.sub(r"\{[^}]*\}", "", what).replace("* as ", "").strip(" ,\n")
-        at = content.rfind("\n", 0, m.start()) + 1
-        stop = content.find("\n", m.end())
-        out.append(_record("import", module=_string_at(content, m.end() - 1), symbols=[s for s in [*map(str.strip, default.split(",")), *symbols] if s], start_line=_line(content, m.start()), raw=content[at : stop if stop >= 0 else len(content)].strip()))
+        for f in own:
+            functions.setdefault(f["name"], f["qualified_name"])
+        out += own
     return out
 
 
@@ -323,7 +158,7 @@ def extract(content: str | None, file_type: str | None) -> list[dict]:
         if file_type == ".py":
             return extract_python(content)
         if file_type in (".js", ".jsx", ".ts", ".tsx"):
-            return extract_js(content)
+            return extract_script(content, file_type)
     except (RecursionError, ValueError, IndexError):
         return []
     return []

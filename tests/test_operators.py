@@ -122,15 +122,15 @@ function last() {}
 
 
 def test_script_records():
-    r = symbols.extract_js(JS)
+    r = symbols.extract_script(JS, ".ts")
     by = lambda k: [x for x in r if x["kind"] == k]
     assert [c["name"] for c in by("class")] == ["Service", "After"] and [i["parent"] for i in by("inherits")] == ["Base"]
     assert [(f["qualified_name"], f["is_async"], f["is_method"]) for f in by("function")] == [
-        ("Service.url", False, True), ("Service.load", True, True), ("Service.make", False, True), ("plain", False, False), ("exported", True, False), ("After.m", False, True), ("last", False, False), ("arrow", True, False),
+        ("Service.url", False, True), ("Service.load", True, True), ("Service.make", False, True), ("plain", False, False), ("exported", True, False), ("arrow", True, False), ("After.m", False, True), ("last", False, False),
     ]
     assert [(e["http_method"], e["path"], e["handler"]) for e in by("endpoint")] == [("GET", "/api/items", "plain"), ("POST", "/api/items", None), ("ALL", "/mid", "exported"), ("GET", "home", "plain")]
     assert [(i["module"], i["symbols"]) for i in by("import")] == [("react", ["React", "useState"]), ("path", ["path"]), ("./style.css", [])]
-    assert [s["name"] for s in symbols.js_symbols(JS)] == ["Service", "plain", "exported", "After", "last"]
+    assert [s["name"] for s in symbols.script_symbols(JS, ".ts")] == ["Service", "plain", "exported", "After", "last"]
 
 
 def whole_graph(spark, rows=CODE):
