@@ -16,7 +16,9 @@ rows of a source share it, the next digit is summed for these rows alone, and so
 The rows of the last edge, ids and keys only, are put in order to find the key and id
 at which the source is cut; every row then compares itself with its source's cut.
 
-Cases: a null source is a source, the last; null texts have size 0; documents of size 0
+Cases: a document whose weight is null, NaN, 0 or less comes in complete epochs and never in
+the fraction, so a source that has too few others falls short of its target by what they lack;
+a null source is a source, the last; null texts have size 0; documents of size 0
 are taken 0 words; equal rows are taken apart by nothing and share one fate, so a
 source of one repeated text may miss its target by that group; sources without words
 have target 0; an empty table gives no rows.
@@ -83,11 +85,14 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each row, and the columns to keep.
 
-    size and weight are expressions of the row; a document's weight must be above 0.
+    size and weight are expressions of the row.  A kept column with the name of one of the others is given as kept_<name>.
     """
-    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight
+    weight = weight.cast("double")
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / F.when((weight > 0) & ~F.isnan(weight), weight)
     keep = tuple(c for c in keep if c not in ("doc_id", "source"))
-    rows = docs.select("doc_id", "source", *[F.col(c) for c in keep], size.cast("long").alias("size"), key.alias("key"))
+    # kept columns go by number meanwhile, so that no name clashes
+    held = [f"_keep{k}" for k in range(len(keep))]
+    rows = docs.select("doc_id", "source", *[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], size.cast("long").alias("size"), key.alias("key"))
     place = F.floor(F.col("key") / (F.col("key") + 1.0) * float(1 << DIGITS * BITS)).cast("long")
     rows = scratch.keep(rows.withColumn("place", place), "sizes")
     digit = lambda level: F.shiftright("place", BITS * (DIGITS - 1 - level))  # noqa: E731  the first level + 1 digits
@@ -100,7 +105,7 @@ def mix(
         goals = scratch.keep(goals, "targets")
 
         # the digits at which each source's budget ends, and the words before them
-        edges = _edges(by_digit.join(_small(_named(goals.select("source", "rest"), "s")), F.col("source").eqNullSafe(F.col("s_source"))), F.lit(0), "s_rest")
+        edges = _edges(by_digit.where("digits is not null").join(_small(_named(goals.select("source", "rest"), "s")), F.col("source").eqNullSafe(F.col("s_source"))), F.lit(0), "s_rest")
         found = None
         for level in range(DIGITS):
             edges = scratch.keep(edges.withColumn("level", F.lit(level)), "edges")
@@ -130,7 +135,9 @@ def mix(
     here = (F.col("key") < F.col("p_key")) | ((F.col("key") == F.col("p_key")) & ((id_("doc_id") < F.col("p_id")) | ((id_("doc_id") == F.col("p_id")) & (F.col("p_upto") - F.col("size") / 2.0 <= F.col("p_rest")))))
     taken = F.when(F.col("p_level").isNull(), F.lit(False)).when(own != F.col("p_digits"), own < F.col("p_digits")).otherwise(F.coalesce(here, F.lit(False)))
     copies = F.col("p_epochs") + F.when(taken, 1).otherwise(0)
-    out = joined.select("doc_id", "source", *keep, "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), copies.alias("copies"))
+    results = ("size", "source_size", "target", "copies", "taken")
+    named = [F.col(h).alias(f"kept_{c}" if c in results else c) for c, h in zip(keep, held, strict=True)]
+    out = joined.select("doc_id", "source", *named, "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), copies.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 

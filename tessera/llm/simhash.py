@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, more_lin
         least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
         of_print = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
         of_print = scratch.keep(of_print, "print-roots", outer=True)
-    of_root = of_print.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a table, so that the join below is of two plain shuffles, of which Spark can split a very large component's
+    of_root = scratch.keep(of_print.groupBy("root").agg(F.min("least").alias("component_id")), "root-ids")
     labels = of_print.join(of_root, "root").select("fp", "component_id", "root")
     return prints.join(labels, "fp").select("doc_id", "row", "fp", "component_id", "root")
 

@@ -184,25 +184,55 @@ def _gathered(parts: Iterator[dict[str, np.ndarray]], settle) -> Iterator[pa.Rec
         yield from _record(settle({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows that come sorted by a key, in batches that never part a key's rows."""
+def _open_key(x: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+    """Of rows sorted by (key, doc) what later rows of the last key may need: its least document's blocks, or only a mark of them if a greater document has come."""
+    own = np.flatnonzero((x["key"] == x["key"][-1]) & x["block"])
+    if not len(own):
+        return None  # no block yet: what came before the first one is no hit and not used
+    least = x["doc"][own].min()
+    if x["doc"][-1] > least:
+        return {c: v[own[:1]] for c, v in x.items()} | {"ask": np.zeros(1, dtype=bool)}
+    return {c: v[own] for c, v in x.items()}
+
+
+def _hits(batches: Iterator[pa.RecordBatch], block: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Spans around hits, of rows sorted by (key, doc). Of a key only its least document's blocks are kept from batch to batch."""
     workers.release()
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
+    carried = None
+    for x in batches:
+        known = x.column("kind").to_numpy() == 1
+        yield from _record(_columns(x, known, _SPAN))
+        rows = _columns(x, ~known, _ANCHOR)
+        if carried is not None:
+            rows = {c: np.concatenate([carried[c], v]) for c, v in rows.items()}
+        if len(rows["key"]):
+            yield from _record(_judge_anchors(rows, block, window)[2])
+            carried = _open_key(rows)
+
+
+def _late_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of windows that an earlier document has, of rows sorted by (h1, h2, doc). From batch to batch only the last window's first document is kept."""
+    workers.release()
+    names = ("h1", "h2", "doc")
+    first = None
+    for x in batches:
+        known = x.column("kind").to_numpy() == 1
+        at = x.column("at")
+        ends = at.filter(pa.array(known)).flatten().to_numpy().reshape(-1, 2)
+        yield from _record(_columns(x, known, ("doc", "row")) | {"lo": ends[:, 0].copy(), "hi": ends[:, 1].copy()})
+        own = np.flatnonzero(~known)
+        if not len(own):
             continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= 1 << 16:
-            x = pa.concat_batches(held)
-            keys = x.column(key).to_numpy()
-            stop = int(np.searchsorted(keys, keys[-1], side="left"))
-            if stop:
-                yield x.slice(0, stop)
-            held, n = [x.slice(stop)], x.num_rows - stop
-    if held:
-        yield pa.concat_batches(held)
+        rows = _columns(x, own, names)
+        if first is not None:
+            rows = {c: np.concatenate([first[c], v]) for c, v in rows.items()}
+        late = _late(rows)[len(rows["doc"]) - len(own) :]
+        begin = np.flatnonzero((rows["h1"] == rows["h1"][-1]) & (rows["h2"] == rows["h2"][-1]))[:1]
+        first = {c: v[begin] for c, v in rows.items()}
+        own = own[late]
+        lists = at.take(pa.array(own))
+        places = lists.flatten().to_numpy()
+        yield from _record({c: np.repeat(v, lists.value_lengths().to_numpy(zero_copy_only=False)) for c, v in _columns(x, own, ("doc", "row")).items()} | {"lo": places, "hi": places})
 
 
 def _columns(batch: pa.RecordBatch, own: np.ndarray, names) -> dict[str, np.ndarray]:
@@ -264,36 +294,17 @@ def _find_repeats(docs: DataFrame, window: int) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _gathered((_anchors(b, block) for whole in batches for b in slices(whole, "text")), lambda x: _settle_anchors(x, block, window))
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_keys(batches, "key"):
-            known = x.column("kind").to_numpy() == 1
-            yield from _record(_columns(x, known, _SPAN))
-            yield from _record(_judge_anchors(_columns(x, ~known, _ANCHOR), block, window)[2])
-
     runs = texts.mapInArrow(anchors, shape(_ANCHOR)).repartition("key").sortWithinPartitions("key", "doc")
-    around = _islands(runs.mapInArrow(hits, shape(_SPAN)), 1).join(copies.hint("merge"), ["doc", "row"], "left_anti")
+    around = _islands(runs.mapInArrow(lambda batches: _hits(batches, block, window), shape(_SPAN)), 1).join(copies.hint("merge"), ["doc", "row"], "left_anti")
     ranges = scratch.keep(_listed(around), "ranges")
     scratch.tidy(spark)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _gathered((_windows(b, window) for whole in batches for b in slices(whole, "text")), _settle_windows)
 
-    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_keys(batches, "h1"):
-            known = x.column("kind").to_numpy() == 1
-            at = x.column("at")
-            ends = at.filter(pa.array(known)).flatten().to_numpy().reshape(-1, 2)
-            yield from _record(_columns(x, known, ("doc", "row")) | {"lo": ends[:, 0].copy(), "hi": ends[:, 1].copy()})
-            own = np.flatnonzero(~known)
-            own = own[_late(_columns(x, own, ("h1", "h2", "doc")))]
-            lists = at.take(pa.array(own))
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            places = lists.flatten().to_numpy()
-            yield from _record({c: np.repeat(v, size) for c, v in _columns(x, own, ("doc", "row")).items()} | {"lo": places, "hi": places})
-
     near = texts.join(ranges.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "spans")  # grows with the corpus: never a broadcast
     seen = near.mapInArrow(windows, shape(_WINDOW)).repartition("h1").sortWithinPartitions("h1", "h2", "doc")
-    found = _islands(seen.mapInArrow(late, shape(_SPAN)), window).withColumn("hi", F.col("hi") + window)
+    found = _islands(seen.mapInArrow(_late_spans, shape(_SPAN)), window).withColumn("hi", F.col("hi") + window)
     all_copy = copies.select("doc", "row", F.array(F.struct(F.lit(0).alias("lo"), F.col("n_words").cast("int").alias("hi"))).alias("spans"))
     repeats = scratch.keep(_listed(found).unionByName(all_copy), "repeats", outer=True)
     scratch.tidy(spark)
@@ -345,11 +356,15 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def cut_texts(docs: DataFrame, window: int = 50) -> DataFrame:
-    """The rows with repeats cut from their texts; a text that loses no word stays as it is. n_chars follows, where it is a column."""
-    repeats = find_repeats(docs, window).withColumnsRenamed({"doc": "_doc", "row": "_row", "spans": "_spans"})
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_r", F.xxhash64("text"))
-    joined = keyed.join(repeats.hint("merge"), (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
-    joined = joined.withColumn("_words", F.when(F.col("_spans").isNotNull(), _words(F.col("text"))))
-    out = joined.withColumn("_kept", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_kept_words("_words", "_spans")))
-    size = {"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long").alias("n_chars")} if "n_chars" in docs.columns else {}
-    return out.select(*[F.col("_kept").alias(c) if c == "text" else size.get(c, F.col(c)) for c in docs.columns])
+    """The rows with repeats cut from their texts; a text that loses no word stays as it is. n_chars follows, where it is a column; other columns, of any name, stay."""
+    # the columns go by number meanwhile, so that no name clashes
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    text, doc_id = F.col(at["text"]), F.col(at["doc_id"])
+    keyed = docs.toDF(*at.values()).withColumn("_d", F.coalesce(doc_id.cast("long"), F.lit(_LAST))).withColumn("_r", F.xxhash64(text))
+    joined = keyed.join(find_repeats(docs, window).hint("merge"), (F.col("_d") == F.col("doc")) & (F.col("_r") == F.col("row")), "left")
+    joined = joined.withColumn("words", F.when(F.col("spans").isNotNull(), _words(text)))
+    out = joined.withColumn("kept", F.when(F.col("spans").isNull(), text).otherwise(_kept_words("words", "spans")))
+    given = {c: F.col(n) for c, n in at.items()} | {"text": F.col("kept")}
+    if "n_chars" in at:
+        given["n_chars"] = F.when(F.col("spans").isNull(), F.col(at["n_chars"])).otherwise(F.length("kept")).cast("long")
+    return out.select(*[v.alias(c) for c, v in given.items()])

@@ -182,7 +182,7 @@ def score_batch(column: pa.Array, model: Model, table: np.ndarray) -> np.ndarray
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", text_col: str = "text") -> DataFrame:
-    """Adds the probability of the label to each row; no other column goes to Python."""
+    """Adds the probability of the label to each row, in place of a column of that name if there is one; no other column goes to Python."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -4,8 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.conftest import DOCS, sentence
 
 from tessera.llm import components, simhash, substrings
@@ -157,3 +159,83 @@ def test_components(spark):
                 up[x] = both
     assert got == {x: min(s) for x, s in up.items() if len(s) > 1}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def anchor_rows(rnd, keys, docs, n):
+    x = {"key": rnd.integers(0, keys, n), "doc": rnd.integers(0, docs, n), "row": rnd.integers(0, 3, n), "lo": rnd.integers(0, 200, n), "hi": rnd.integers(0, 30, n), "block": rnd.random(n) < 0.4, "ask": rnd.random(n) < 0.9, "kind": np.zeros(n, dtype=np.int8)}
+    x["hi"] = x["lo"] + x["hi"]
+    x["block"] &= x["ask"]
+    order = np.lexsort((x["doc"], x["key"]))
+    return {c: v[order].astype(np.int32 if c in ("lo", "hi") else v.dtype) for c, v in x.items()}
+
+
+def cut(batch, rnd, parts):
+    at = np.sort(rnd.integers(0, batch.num_rows + 1, parts))
+    return [batch.slice(a, b - a) for a, b in zip([0, *at], [*at, batch.num_rows], strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_keys_over_batches(seed):
+    """Rows of a key that come in any number of batches give what they give at once."""
+    rnd = np.random.default_rng(seed)
+    x = anchor_rows(rnd, rnd.choice([1, 3, 50]), rnd.choice([2, 40]), 600)
+    whole = substrings._judge_anchors(x, 25, 50)[2]
+    parts = cut(pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in x.items()}), rnd, int(rnd.integers(0, 40)))
+    got = [b.to_pydict() for b in substrings._hits(iter(parts), 25, 50)]
+    rows = lambda d: list(zip(*(d[c] for c in ("doc", "row", "lo", "hi")), strict=True))
+    assert Counter(r for d in got for r in rows(d)) == Counter(rows({c: v.tolist() for c, v in whole.items()}))
+
+    w = {"h1": rnd.integers(0, 4, 300), "h2": rnd.integers(0, 2, 300).astype(np.int32), "doc": rnd.integers(0, 9, 300), "row": rnd.integers(0, 2, 300), "kind": np.zeros(300, dtype=np.int8)}
+    order = np.lexsort((w["doc"], w["h2"], w["h1"]))
+    w = {c: v[order] for c, v in w.items()} | {"at": [[int(k), int(k) + 7] for k in range(300)]}
+    late = substrings._late({c: w[c] for c in ("h1", "h2", "doc")})
+    got = [r for b in substrings._late_spans(iter(cut(pa.RecordBatch.from_pydict(w), rnd, int(rnd.integers(0, 30))))) for r in b.column("lo").to_pylist()]
+    assert Counter(got) == Counter(p for k in np.flatnonzero(late).tolist() for p in (k, k + 7))
+
+
+def test_one_key_takes_time_in_proportion():
+    """Four times the rows of one key: not sixteen times the time."""
+    import time
+
+    rnd = np.random.default_rng(0)
+    batches = {n: [pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in anchor_rows(rnd, 1, 1 << 40, 10_000).items()}) for _ in range(n)] for n in (50, 200)}
+    took = {}
+    for n, some in batches.items():
+        took[n] = min(timed(lambda some=some: [None for _ in substrings._hits(iter(some), 25, 50)], time) for _ in range(3))
+    assert took[200] < 8 * took[50]
+
+
+def timed(f, time):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began
+
+
+def test_cut_texts_beside_any_columns(spark):
+    rnd = random.Random(4)
+    base = sentence(rnd, 120)
+    names = ["_doc", "_row", "_words", "_d", "_r", "doc", "row", "spans", "words", "kept", "c0", "c1"]
+    rows = [(1, base, 0, *range(12)), (2, "x " + base, 0, *range(12)), (3, "short", 5, *range(12))]
+    got = substrings.cut_texts(spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars long", *(f"{n} int" for n in names)])))
+    assert got.columns == ["doc_id", "text", "n_chars", *names]
+    assert sorted(map(tuple, got.collect())) == [rows[0], (2, "x", 1, *range(12)), rows[2]]
+
+
+def test_a_hub_is_split(spark):
+    """The side of the large star's join that holds a hub's edges is split where it is large."""
+    own = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        edges = spark.range(40_000).selectExpr("if(id < 30000, 0L, id) as u", "id + 50000 as v").repartition(8)
+        edges = components.scratch.keep(edges, "hub")
+        both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
+        first = components.scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "first")
+        star = components.large_star(both, first)
+        rows = star.select(F.sum(F.hash("u", "v")).alias("s"))
+        rows.collect()
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

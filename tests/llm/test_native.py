@@ -310,3 +310,24 @@ def test_top_k_of_long_vectors_is_full(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score").collect()))
     assert got == brute_top(rows, 20)
+
+
+def test_mix_of_unweighted_documents_and_clashing_columns(spark):
+    """Documents with a null, NaN or zero weight come in complete epochs only; kept columns of any name are kept."""
+    rows = [(k, "w " * 10, s, None if k % 4 == 0 else float("nan") if k % 4 == 1 else 0.0 if k % 4 == 2 else 1.0, k, k, k) for k in range(40) for s in ("a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double, size long, p_rest long, key long")
+    got = mixing.mix(docs, mixing.word_count(F.col("text")), F.col("weight"), weights=(3.0, 1.0), share=1.25, most_epochs=2.0, keep=("text", "size", "p_rest", "key"))
+    assert got.columns == ["doc_id", "source", "text", "kept_size", "p_rest", "key", "size", "source_size", "target", "copies", "taken"]
+    out = got.collect()
+    assert all(r["kept_size"] == r["p_rest"] == r["key"] == r["doc_id"] for r in out) and len(out) == 80
+    by = {s: [r for r in out if r["source"] == s] for s in "ab"}
+    assert {r["target"] for r in by["a"]} == {750.0} and {r["target"] for r in by["b"]} == {250.0}
+    # source a: one epoch, and the fraction of 350 words from the ten weighted documents, 100 words, alone
+    assert {(r["doc_id"] % 4 == 3, r["copies"]) for r in by["a"]} == {(True, 2), (False, 1)}
+    assert {r["copies"] for r in by["b"] if r["doc_id"] % 4 != 3} == {0} and sum(r["taken"] for r in by["b"]) == 100
+
+
+def test_mix_without_any_weight(spark):
+    docs = spark.createDataFrame([(k, "w w", "a") for k in range(6)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, mixing.word_count(F.col("text")), F.lit(None).cast("double"))
+    assert {r["copies"] for r in got.collect()} == {1}
