@@ -10,7 +10,7 @@ from .functions import ids
 from .functions.text import basename, code_tokens, consumed_topics, http_urls, judge_mean, parent, produced_topics, suffix, text_entities
 from .operators import cache, chunks, delta, evals, graph, linker, search, symbols, traverse, viewer
 from .plans import ask, service
-from .plans.index import CHUNKS, Index, columns
+from .plans.index import CHUNKS, Index, columns, put_bm25
 from .queries import _BM25, _GRAPH, _edges, _nodes, _questions, _registry, document_chunks, query, table
 from .sources import repos, tables
 
@@ -567,15 +567,14 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
     """The documents as an index on disk, built once in a session: chunks with vectors, postings and terms; no graph."""
 
     def build(path):
-        index = Index(spark, path)
         d = document_chunks(spark, sf_dir)
         given = {"chunk_id": F.lpad(col("chunk_id"), 12, "0"), "embedding": letters(F.col("content"))}
         kinds = dict(c.split() for c in CHUNKS.split(", "))
-        index.put("chunks", d.select(*[given.get(c, F.col(c) if c in d.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns(CHUNKS)]))
-        index.put("postings", search.postings_of(index.table("chunks")).repartition("bucket"), ("bucket",))
-        made = search.index_of(index.table("postings"))
-        index.put("terms", made.terms)
-        index.put("bm25_stats", spark.createDataFrame([(made.n_chunks, made.avg_length)], "n_chunks long, avg_length double"))
+        change = Index(spark, path).store.begin()
+        change.replace("chunks", d.select(*[given.get(c, F.col(c) if c in d.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns(CHUNKS)]))
+        stored = change.table("chunks")
+        put_bm25(change, stored, stored.limit(0), stored.limit(0), lambda df: df)
+        change.commit()
 
     return Index(spark, store.once(spark, "index", sf_dir, build))
 

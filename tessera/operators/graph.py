@@ -81,7 +81,8 @@ def vertices_of(symbols: DataFrame) -> dict[str, DataFrame]:
     return {"classes": c, "functions": f, "endpoints": e}
 
 
-def _edge(rows: DataFrame, kind: str, src: Column, dst: Column, symbols: Column | None = None, line: Column | None = None, signal: Column | None = None, confidence: Column | None = None) -> DataFrame:
+def _edge(rows: DataFrame, kind: str, src: Column, dst: Column, symbols: Column | None = None, line: Column | None = None, signal: Column | None = None, confidence: Column | None = None, owned: bool = False) -> DataFrame:
+    """owned: with the file (repo_name, file_path) that the edge was found in."""
     null = F.lit(None)
     return rows.select(
         F.lit(kind).alias("type"),
@@ -91,14 +92,15 @@ def _edge(rows: DataFrame, kind: str, src: Column, dst: Column, symbols: Column
         (null if line is None else line).cast("int").alias("line"),
         (null if signal is None else signal).cast("string").alias("signal"),
         (null if confidence is None else confidence).cast("double").alias("confidence"),
+        *([ids.file_id("repo_name", "file_path").alias("owner")] if owned else []),
     )
 
 
-def repo_edges(files: DataFrame) -> DataFrame:
-    return _edge(files, "BELONGS_TO_REPO", F.col("file_id"), ids.repo_id("repo_name"))
+def repo_edges(files: DataFrame, owned: bool = False) -> DataFrame:
+    return _edge(files, "BELONGS_TO_REPO", F.col("file_id"), ids.repo_id("repo_name"), owned=owned)
 
 
-def containment_edges(symbols: DataFrame) -> DataFrame:
+def containment_edges(symbols: DataFrame, owned: bool = False) -> DataFrame:
     """CONTAINS_CLASS, CONTAINS_FUNCTION, METHOD_OF, EXPOSES and HANDLES: both ends are in the record itself."""
     where = (F.col("repo_name"), F.col("file_path"))
     file = ids.file_id(*where)
@@ -106,23 +108,28 @@ def containment_edges(symbols: DataFrame) -> DataFrame:
     function = ids.function_id(*where, F.col("qualified_name"))
     endpoint = ids.endpoint_id(*where, F.col("http_method"), F.col("path"))
     parts = [
-        _edge(of("class"), "CONTAINS_CLASS", file, ids.class_id(*where, F.col("name"))),
-        _edge(of("function"), "CONTAINS_FUNCTION", file, function),
-        _edge(of("function").where("is_method"), "METHOD_OF", function, ids.class_id(*where, F.col("parent"))),
-        _edge(of("endpoint"), "EXPOSES", file, endpoint),
-        _edge(of("endpoint").where("handler is not null"), "HANDLES", endpoint, ids.function_id(*where, F.col("handler"))),
+        _edge(of("class"), "CONTAINS_CLASS", file, ids.class_id(*where, F.col("name")), owned=owned),
+        _edge(of("function"), "CONTAINS_FUNCTION", file, function, owned=owned),
+        _edge(of("function").where("is_method"), "METHOD_OF", function, ids.class_id(*where, F.col("parent")), owned=owned),
+        _edge(of("endpoint"), "EXPOSES", file, endpoint, owned=owned),
+        _edge(of("endpoint").where("handler is not null"), "HANDLES", endpoint, ids.function_id(*where, F.col("handler")), owned=owned),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def inherits_edges(symbols: DataFrame, classes: DataFrame) -> DataFrame:
+def inherits_edges(symbols: DataFrame, classes: DataFrame, owned: bool = False) -> DataFrame:
     """Parent names to classes: in the same file, else the first by id in the same repository."""
     pairs = symbols.where("kind = 'inherits'").select("repo_name", "file_path", "name", "parent").distinct()
     same = classes.select("repo_name", "file_path", F.col("name").alias("parent"), F.col("class_id").alias("near")).dropDuplicates(["repo_name", "file_path", "parent"])
     far = classes.groupBy("repo_name", F.col("name").alias("parent")).agg(F.min("class_id").alias("far"))
     found = pairs.join(same, ["repo_name", "file_path", "parent"], "left").join(far, ["repo_name", "parent"], "left")
     found = found.withColumn("dst", F.coalesce("near", "far")).where("dst is not null")
-    return _edge(found, "INHERITS", ids.class_id("repo_name", "file_path", "name"), F.col("dst"))
+    return _edge(found, "INHERITS", ids.class_id("repo_name", "file_path", "name"), F.col("dst"), owned=owned)
+
+
+def parents_wanted(symbols: DataFrame) -> DataFrame:
+    """(repo_name, parent, file_path): the names that a file's classes inherit from."""
+    return symbols.where("kind = 'inherits'").select("repo_name", "parent", "file_path").distinct()
 
 
 def normal_path(path: Column) -> Column:
@@ -154,19 +161,30 @@ def path_suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
+def path_tails(files: DataFrame) -> DataFrame:
+    """(repo_name, tail, file_path): each path and its tails at directory boundaries."""
+    return files.select("repo_name", F.explode(path_suffixes(F.col("file_path"))).alias("tail"), "file_path")
+
+
+def imports_wanted(symbols: DataFrame) -> DataFrame:
+    """(repo_name, tail, file_path): the path tails that a file's imports may stand for."""
+    imports = symbols.where("kind = 'import'")
+    return imports.select("repo_name", F.explode(import_candidates(F.col("module"), F.col("file_path"))).alias("tail"), "file_path").distinct()
+
+
+def import_edges(symbols: DataFrame, files: DataFrame | None = None, tails: DataFrame | None = None, owned: bool = False) -> DataFrame:
     """IMPORT_DEP: the first candidate that is a file's path, or a tail of one at a directory boundary, in the same repository.
 
-    Tails of paths are exploded and joined by equality, so there is no nested loop over files.
+    Tails of paths (given, or those of files) are joined by equality, so there is no nested loop over files.
     """
     imports = symbols.where("kind = 'import'").select("repo_name", "file_path", "module", "symbols", F.col("start_line").alias("line"))
     imports = imports.withColumn("src", ids.file_id("repo_name", "file_path"))
     wanted = imports.select("*", F.posexplode(import_candidates(F.col("module"), F.col("file_path"))).alias("choice", "tail"))
-    have = files.select("repo_name", F.col("file_id").alias("dst"), F.explode(path_suffixes(F.col("file_path"))).alias("tail"))
+    have = (path_tails(files) if tails is None else tails).select("repo_name", "tail", ids.file_id("repo_name", "file_path").alias("dst"))
     best = F.row_number().over(Window.partitionBy("src", "module", "line").orderBy("choice", "dst"))
     found = wanted.join(have, ["repo_name", "tail"]).withColumn("_n", best).where("_n = 1").where("src <> dst")
     first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("line", "module"))
-    return _edge(found.withColumn("_n", first).where("_n = 1"), "IMPORT_DEP", F.col("src"), F.col("dst"), F.col("symbols"), F.col("line"))
+    return _edge(found.withColumn("_n", first).where("_n = 1"), "IMPORT_DEP", F.col("src"), F.col("dst"), F.col("symbols"), F.col("line"), owned=owned)
 
 
 def symbol_edges(symbols: DataFrame, files: DataFrame, classes: DataFrame) -> DataFrame:

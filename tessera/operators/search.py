@@ -69,28 +69,38 @@ def bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings_of(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(bucket, term, chunk_id, tf, dl): chunks without tokens have one row without a term, so that averages count them.
+def postings_of(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, term, chunk_id, tf, dl, head) and the columns to keep; head marks one row of each chunk, so that chunks are counted without a shuffle.
 
-    A chunk's own tokens are counted within its row: nothing is shuffled.
+    Chunks without tokens have one row without a term, so that averages count them.  A chunk's own tokens are
+    counted within its row: nothing is shuffled.
     """
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.array_sort(code_tokens(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.array_sort(code_tokens(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
     # in a sorted list a term's count is where its run ends less where it begins
     ends = F.expr("filter(transform(t, (x, i) -> if(i = size(t) - 1 or t[i + 1] <> x, i + 1, 0)), i -> i > 0)")
-    runs = tokens.select("chunk_id", "dl", "t", ends.alias("ends"))
-    runs = runs.select("chunk_id", "dl", F.expr("transform(ends, (e, i) -> struct(t[e - 1] as term, cast(e - if(i = 0, 0, ends[i - 1]) as bigint) as tf))").alias("r"))
-    rows = runs.select("chunk_id", "dl", F.explode_outer("r").alias("r")).select("chunk_id", "dl", "r.term", "r.tf")
-    return rows.select(F.coalesce(bucket(), F.lit(0)).alias("bucket"), "term", "chunk_id", "tf", "dl")
+    runs = tokens.select("chunk_id", *keep, "dl", "t", ends.alias("ends"))
+    runs = runs.select("chunk_id", *keep, "dl", F.expr("transform(ends, (e, i) -> struct(t[e - 1] as term, cast(e - if(i = 0, 0, ends[i - 1]) as bigint) as tf))").alias("r"))
+    rows = runs.select("chunk_id", *keep, "dl", F.posexplode_outer("r").alias("p", "r")).select("chunk_id", *keep, "dl", "r.term", "r.tf", (F.coalesce("p", F.lit(0)) == 0).alias("head"))
+    return rows.select(F.coalesce(bucket(), F.lit(0)).alias("bucket"), "term", "chunk_id", "tf", "dl", "head", *keep)
+
+
+def raw_idf(n: int) -> Column:
+    """A term's idf among n chunks, before common terms are lifted."""
+    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def lifted(idf: Column, mean: float) -> Column:
+    """Terms in more than half of the chunks get a share of the mean."""
+    return F.when(idf < 0, F.lit(EPSILON * mean)).otherwise(idf)
 
 
 def index_of(postings: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Bm25Index:
     """Statistics of stored postings. keep(frame, name) stores the table of terms and returns it read back."""
-    n, total = postings.select("chunk_id", "dl").distinct().agg(F.count("*"), F.sum("dl")).first()
-    idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    raw = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("_idf", idf)
+    n, total = postings.where("head").agg(F.count("*"), F.sum("dl")).first()
+    raw = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("_idf", raw_idf(n))
     raw = keep(raw, "terms") if keep else raw
     mean = raw.agg(F.avg("_idf")).first()[0] or 0.0
-    terms = raw.select("term", "df", F.when(F.col("_idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("_idf")).alias("idf"))
+    terms = raw.select("term", "df", lifted(F.col("_idf"), mean).alias("idf"))
     return Bm25Index(postings, terms, n, (total or 0) / n if n else 0.0)
 
 

@@ -161,7 +161,7 @@ def answer(index: Index, queries: DataFrame, repo: str | None = None, trace_path
     rows = rows.withColumns({"retrieval_ms": F.when(got_answer(), spent).otherwise(F.lit(0.0)), "llm_ms": F.lit(0.0)})
     if cache is not None:
         counted = caching.record_hits(cache, rows.where("cache_hit").select(F.col("cache_id").alias("id")))
-        index.put("cache", caching.store(counted, rows.where(got_answer())))
+        index.put_cache(caching.store(counted, rows.where(got_answer())))
     tables.append_traces(traces(rows, repo), trace_path or f"{index.path}/traces")
     for r in rows.select("query", "answer", "cache_hit", "chunks").limit(LOGGED).collect():
         log.info("answered", extra={"query": cut(r["query"], 80), "answer": cut(r["answer"]), "cache_hit": r["cache_hit"], "chunks": r["chunks"]})

@@ -1,8 +1,15 @@
-"""Indexing: files to registry, chunks with vectors, graph and links; incremental by content hash."""
+"""Indexing: files to registry, chunks with vectors, graph and links; incremental by content hash.
+
+All tables but the cache are under one manifest (:mod:`..sources.layers`): a run's changes appear together or not
+at all, and a run writes in proportion to the files that changed.  Edges are resolved by delta joins: stored tables of
+the names and paths that files look for tell which unchanged files a change can affect, and only these are resolved again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +21,7 @@ from ..operators import chunks as chunking
 from ..operators import delta, drift, graph, linker, search, symbols, traverse
 from ..settings import get_settings
 from ..sources import repos, tables
+from ..sources.layers import Change, Layout, Snapshot, Store
 
 
 @dataclass(frozen=True)
@@ -38,113 +46,236 @@ CHUNKS = (
 )
 
 
-POSTINGS = "bucket int, term string, chunk_id string, tf long, dl long"
 SYMBOLS = f"repo_name string, file_path string, language string, seq int, {symbols.RECORD}"
+FILE = ("repo_name", "file_path")
 
 
 def columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+_FILE = "repo_name string, file_path string"
+#: Each table, the columns whose rows change together, and those that a row is found by.
+LAYOUTS = {
+    "chunks": Layout(CHUNKS, FILE, FILE),
+    "postings": Layout(f"term string, chunk_id string, tf long, dl long, head boolean, {_FILE}", FILE, ("term",), search.BUCKETS),
+    "terms": Layout("term string, df long", ("term",), ("term",)),
+    "bm25_stats": Layout("n_chunks long, total_length long, mean_idf double", (), ("n_chunks",)),
+    "symbols": Layout(SYMBOLS, FILE, FILE),
+    "classes": Layout(graph.SCHEMAS["classes"], FILE, FILE),
+    "functions": Layout(graph.SCHEMAS["functions"], FILE, FILE),
+    "endpoints": Layout(graph.SCHEMAS["endpoints"], FILE, FILE),
+    "files": Layout(graph.SCHEMAS["files"], FILE, FILE),
+    "repos": Layout(graph.SCHEMAS["repos"], ("repo_id",), ("repo_id",)),
+    "edges": Layout(f"{graph.EDGE}, owner string, part string", ("owner", "part"), ("owner",)),
+    "names": Layout(f"kind string, name string, {_FILE}", FILE, FILE),
+    "class_names": Layout("repo_name string, name string, class_id string, file_path string", FILE, ("repo_name", "name")),
+    "parents": Layout("repo_name string, parent string, file_path string", FILE, ("repo_name", "parent")),
+    "tails": Layout("repo_name string, tail string, file_path string", FILE, ("repo_name", "tail")),
+    "imports": Layout("repo_name string, tail string, file_path string", FILE, ("repo_name", "tail")),
+    "calls": Layout(f"{_FILE}, kind string, value string", FILE, FILE),
+    "registry": Layout(delta.REGISTRY, ("doc_id",), ("doc_id",)),
+    "fingerprint": Layout(drift.FINGERPRINT, (), ("model_name",)),
+}
+
+
 class Index:
-    """The stored tables below one directory."""
+    """The stored tables below one directory, as they were when they were first read; :meth:`refresh` sees later changes."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, (path or get_settings().index_dir).rstrip("/")
+        self.store = Store(spark, self.path, LAYOUTS)
+        self._seen: Snapshot | None = None
 
-    _EMPTY = {"chunks": CHUNKS, "registry": delta.REGISTRY, "edges": graph.EDGE, "fingerprint": drift.FINGERPRINT, "cache": caching.ENTRY, "postings": POSTINGS, "symbols": SYMBOLS, "names": "kind string, name string", **graph.SCHEMAS}
+    def refresh(self) -> Index:
+        self._seen = None
+        return self
+
+    @property
+    def snapshot(self) -> Snapshot:
+        if self._seen is None or not self._seen.number:
+            self._seen = self.store.snapshot()
+        return self._seen
 
     def table(self, name: str) -> DataFrame:
-        return tables.open_table(self.spark, f"{self.path}/{name}", self._EMPTY.get(name))
+        if name == "cache":  # answers come and go between indexing runs
+            return tables.open_table(self.spark, f"{self.path}/cache", caching.ENTRY)
+        found = self.snapshot.table(name)
+        if name == "names":
+            return found.select("kind", "name").distinct()
+        return found.select(*columns(graph.EDGE)) if name == "edges" else found
 
     def exists(self) -> bool:
-        return tables.exists(self.spark, f"{self.path}/chunks")
+        return self.snapshot.has("chunks")
 
     def graph(self) -> dict[str, DataFrame]:
         return {k: self.table(k) for k in graph.SCHEMAS}
 
-    def put(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        tables.publish(df, f"{self.path}/{name}", partition_by)
+    def put_cache(self, df: DataFrame) -> None:
+        tables.publish(df, f"{self.path}/cache")
 
     def bm25(self) -> search.Bm25Index:
         """The stored postings and terms: a question reads its own terms' buckets."""
         stats = self.table("bm25_stats").first()
-        return search.Bm25Index(self.table("postings"), self.table("terms"), stats["n_chunks"], stats["avg_length"])
+        if stats is None:
+            raise FileNotFoundError(f"no index at {self.path}; build the index first")
+        terms = self.table("terms").select("term", "df", search.lifted(search.raw_idf(stats["n_chunks"]), stats["mean_idf"] or 0.0).alias("idf"))
+        return search.Bm25Index(self.snapshot.table("postings", with_bucket="bucket"), terms, stats["n_chunks"], stats["total_length"] / stats["n_chunks"] if stats["n_chunks"] else 0.0)
+
+    def file_counters(self) -> DataFrame:
+        """(repo_name, file_path, classes, functions, endpoints, edges): what each file gave to the graph; their sums are the graph's totals but for repositories and files."""
+        count = lambda rows, name, *by: rows.groupBy(*by).agg(F.count("*").alias(name))
+        out = self.table("files").select(*FILE, "file_id")
+        for kind in ("classes", "functions", "endpoints"):
+            out = out.join(count(self.table(kind), kind, *FILE), [*FILE], "left")
+        out = out.join(count(self.snapshot.table("edges"), "edges", F.col("owner").alias("file_id")), "file_id", "left")
+        return out.select(*FILE, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("classes", "functions", "endpoints", "edges")])
+
+
+def put_bm25(change: Change, fresh: DataFrame, gone: DataFrame, stale: DataFrame, hold: Callable[[DataFrame], DataFrame], files: int = 0) -> None:
+    """Postings of the files in ``stale`` are now those of the fresh chunks; gone: the chunks that these files had. Terms and totals follow by difference."""
+    whole = not change.has("postings")
+    new, old = search.postings_of(fresh, keep=FILE), search.postings_of(gone, keep=FILE)
+    postings = new.select(*LAYOUTS["postings"].columns)
+    df = lambda rows, sign: rows.where("term is not null").select("term", F.lit(sign).alias("d"))
+    touched = hold(df(new, 1).unionByName(df(old, -1)).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0"))
+    each = lambda rows, sign: rows.where("head").select(F.lit(sign).alias("n"), (F.col("dl") * sign).alias("dl"))
+    n, total = each(new, 1).unionByName(each(old, -1)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    if whole:
+        change.replace("postings", postings)
+        change.replace("terms", touched.select("term", F.col("d").alias("df")), groups=touched.count())
+    else:
+        before = change.table("bm25_stats").first()
+        n, total = n + before["n_chunks"], total + before["total_length"]
+        change.replace_groups("postings", stale, postings)
+        known = change.lookup("terms", touched.select("term"))
+        now = touched.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df")).where("df > 0")
+        change.replace_groups("terms", touched, now)
+    mean = change.table("terms").agg(F.avg(search.raw_idf(n))).first()[0] or 0.0
+    change.replace("bm25_stats", change.spark.createDataFrame([(n, total, float(mean))], LAYOUTS["bm25_stats"].schema))
 
 
 def run(spark: SparkSession, files: DataFrame | None = None, index_dir: str | None = None, reindex: bool = False, use_graph: bool | None = None, embedder: Embedder | None = None, model_name: str = "hashing-64") -> IndexResult:
     """Brings the index up to the files: only changed ones are parsed, chunked, embedded and posted, vanished ones go.
 
-    Symbols of all files are kept as a table, from which edges are resolved again: so resolution doesn't depend on the
-    order of indexing, and no unchanged file is parsed twice.
+    A run that fails leaves the index as it was; of two runs that overlap the later to end fails with a
+    :class:`..sources.layers.Conflict`, and may be run again.
     """
-    s = get_settings()
-    use_graph = s.use_graph if use_graph is None else use_graph
-    embedder = embedder or hashing_embedder()
-    index = Index(spark, index_dir)
-    files = (repos.load_repos(spark) if files is None else files).persist()
+    store = Store(spark, (index_dir or get_settings().index_dir).rstrip("/"), LAYOUTS)
+    change = store.begin()
+    if reindex:
+        change = Change(store, change.number, {k: v for k, v in change._tables.items() if k == "fingerprint"})
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
+    try:
+        result = _bring_up(change, repos.load_repos(spark) if files is None else files, hold, get_settings().use_graph if use_graph is None else use_graph, embedder or hashing_embedder(), model_name, reindex)
+        change.commit()
+    except BaseException:
+        change.abort()
+        raise
+    finally:
+        for df in held:
+            df.unpersist()
+    return result
+
+
+def _bring_up(change: Change, files: DataFrame, hold: Callable[[DataFrame], DataFrame], use_graph: bool, embedder: Embedder, model_name: str, reindex: bool) -> IndexResult:
+    spark = change.spark
     probe = spark.range(1).select(embedder(F.lit(drift.PROBE)).alias("probe_embedding"))
-    verdict = drift.check(index.table("fingerprint"), probe, model_name).first()["reason"]
-
-    registry = delta.clear(index.table("registry")) if reindex else index.table("registry")
-    changed = delta.filter_changed(files, registry).persist()
-    gone = delta.vanished(registry, files).persist()
-    n_files, n_changed, n_gone = files.count(), changed.count(), gone.count()
-    fresh = chunking.split_documents(changed).drop("_doc_id", "_content_hash").withColumn("embedding", embedder(F.col("content"))).persist()
-    old = index.table("chunks")
-    stale = changed.select("repo_name", "file_path").unionByName(gone.select("repo_name", "file_path")).distinct()
-    kept = old.limit(0) if reindex else old.join(stale, ["repo_name", "file_path"], "left_anti")
-    names = columns(CHUNKS)
-    index.put("chunks", kept.select(*names).unionByName(fresh.select(*names)))
-    posted = index.table("postings")
-    posted = posted.limit(0) if reindex else posted.join(kept.select("chunk_id"), "chunk_id", "left_semi")
-    both = posted.select(*columns(POSTINGS)).unionByName(search.postings_of(fresh).select(*columns(POSTINGS)))
-    index.put("postings", both.repartition("bucket"), ("bucket",))
-    made = search.index_of(index.table("postings"))
-    index.put("terms", made.terms)
-    index.put("bm25_stats", spark.createDataFrame([(made.n_chunks, float(made.avg_length))], "n_chunks long, avg_length double"))
-
-    nodes = edges = 0
+    verdict = drift.check(change.table("fingerprint"), probe, model_name).first()["reason"]
+
+    registry = change.table("registry")
+    listed = hold(delta.with_ids(files).select(*FILE, "content_hash"))
+    changed = hold(delta.filter_changed(files, registry))
+    gone = hold(delta.vanished(registry, listed).select("doc_id", *FILE))
+    n_files, n_changed, n_gone = listed.count(), changed.count(), gone.count()
+    if not (n_changed or n_gone) and change.has("chunks") and (change.has("files") or not use_graph):
+        return _result(change, n_files, 0, 0, use_graph, verdict)
+    stale = hold(changed.select(*FILE).unionByName(gone.select(*FILE)).distinct())
+
+    def put(name: str, rows: DataFrame, groups: DataFrame = stale) -> None:
+        """What the stale files have in a table; the first time, all of it."""
+        if change.has(name):
+            change.replace_groups(name, groups, rows)
+        else:
+            change.replace(name, rows, groups=n_changed)
+
+    fresh = hold(chunking.split_documents(changed).drop("_doc_id", "_content_hash").withColumn("embedding", embedder(F.col("content"))))
+    old = hold(change.lookup("chunks", stale).select("chunk_id", "content", *FILE))
+    put_bm25(change, fresh, old, stale, hold)
+    put("chunks", fresh.select(*columns(CHUNKS)))
+
     node_ids = None
     if use_graph:
-        known = index.table("symbols")
-        known = known.limit(0) if reindex else known.join(stale, ["repo_name", "file_path"], "left_anti")
-        parsed = symbols.extract_symbols(changed)
-        index.put("symbols", known.select(*columns(SYMBOLS)).unionByName(parsed.select(*columns(SYMBOLS))))
-        found = index.table("symbols")
-        tables_before, links_before = index.graph(), index.table("edges")
-        if not reindex:  # the symbols of changed and vanished files go, with every edge at them
-            tables_before, links_before = graph.delete_file_symbols(tables_before, links_before, stale)
-        rows = changed.select(F.col("_doc_id").alias("file_id"), "repo_name", "file_path", "file_name", "language", "content_hash", "size_bytes")
-        rows = rows.join(chunking.chunk_ids_per_file(fresh).withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn("last_indexed_at", F.current_timestamp())
-        vertices = graph.vertices_of(found.join(stale, ["repo_name", "file_path"], "left_semi"))
-        vertices["files"] = rows
-        vertices["repos"] = files.select(ids.repo_id("repo_name").alias("repo_id"), F.col("repo_name").alias("name"), F.lit(None).cast("string").alias("local_path")).distinct().withColumn("last_indexed_at", F.current_timestamp())
-        whole = files.select(ids.file_id("repo_name", "file_path").alias("file_id"), "repo_name", "file_path").persist()
-        for kind, table in vertices.items():
-            before = tables_before[kind].limit(0) if reindex else tables_before[kind]
-            if kind == "files":
-                before = before.join(whole.select("file_id"), "file_id", "left_semi")
-            index.put(kind, graph.upsert_vertices(before, table, kind))
-        now = index.graph()
-        links = graph.symbol_edges(found, whole, now["classes"]).unionByName(graph.repo_edges(whole))
-        if s.use_cross_repo_linking:
-            links = links.unionByName(linker.cross_repo_links(files, now["endpoints"]))
-        links = graph.keep_whole(links, graph.all_ids(now)).select(*columns(graph.EDGE))
-        # edges that resolve as before stay as they are; those that don't any more go
-        stay = links_before.limit(0) if reindex else links_before.join(links.select("type", "src", "dst"), ["type", "src", "dst"], "left_semi")
-        index.put("edges", graph.upsert_edges(stay.select(*columns(graph.EDGE)), links))
-        index.put("names", traverse.known_names(now["classes"], now["functions"], now["endpoints"]))  # what questions are searched for
-        nodes, edges = graph.all_ids(now).count(), index.table("edges").count()
-        node_ids = graph.node_ids_per_file(found)
+        node_ids = _graph(change, changed, gone, stale, fresh, registry, put, hold)
 
     rows = changed.select(F.col("_doc_id").alias("doc_id"), "file_path", "repo_name", F.col("_content_hash").alias("content_hash"))
     rows = rows.join(chunking.chunk_ids_per_file(fresh), "doc_id", "left").withColumn("last_indexed_at", F.current_timestamp())
     rows = rows.join(node_ids, "doc_id", "left") if node_ids is not None else rows.withColumn("graph_node_ids", F.lit(None).cast("array<string>"))
-    index.put("registry", delta.upsert(delta.deregister(registry, gone), rows))
+    touched = hold(changed.select(F.col("_doc_id").alias("doc_id")).unionByName(gone.select("doc_id")).distinct())
+    known = delta.deregister(change.lookup("registry", touched), gone)
+    put("registry", delta.upsert(known, rows), touched)
     if reindex or verdict == "no_fingerprint":
-        index.put("fingerprint", drift.record(probe, model_name))
-    total = index.table("chunks").count()
-    for df in (files, changed, gone, fresh):
-        df.unpersist()
-    return IndexResult(n_files, n_changed, n_gone, total, nodes, edges, verdict)
+        change.replace("fingerprint", drift.record(probe, model_name))
+    return _result(change, n_files, n_changed, n_gone, use_graph, verdict)
+
+
+def _result(change: Change, n_files: int, n_changed: int, n_gone: int, use_graph: bool, verdict: str) -> IndexResult:
+    nodes = sum(change.table(k).count() for k in graph.SCHEMAS) if use_graph else 0
+    edges = change.table("edges").count() if use_graph else 0
+    return IndexResult(n_files, n_changed, n_gone, change.table("chunks").count(), nodes, edges, verdict)
+
+
+def _graph(change: Change, changed: DataFrame, gone: DataFrame, stale: DataFrame, fresh: DataFrame, registry: DataFrame, put: Callable, hold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Symbols, vertices and edges of the stale files, and the edges of other files that they affect; (doc_id, graph_node_ids) of changed files."""
+    parsed = hold(symbols.extract_symbols(changed))
+    was = hold(change.lookup("classes", stale).select("repo_name", F.col("name").alias("parent")))
+    vertices = {kind: graph.upsert_vertices(change.table(kind).limit(0), rows, kind) for kind, rows in graph.vertices_of(parsed).items()}
+    rows = changed.select(F.col("_doc_id").alias("file_id"), *FILE, "file_name", "language", "content_hash", "size_bytes")
+    vertices["files"] = rows.join(chunking.chunk_ids_per_file(fresh).withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn("last_indexed_at", F.current_timestamp()).select(*columns(graph.SCHEMAS["files"]))
+    for kind, own in vertices.items():
+        put(kind, own)
+    seen = changed.select(ids.repo_id("repo_name").alias("repo_id"), F.col("repo_name").alias("name"), F.lit(None).cast("string").alias("local_path")).distinct().withColumn("last_indexed_at", F.current_timestamp())
+    put("repos", graph.upsert_vertices(change.lookup("repos", seen.select("repo_id")), seen, "repos"), seen.select("repo_id"))
+
+    classes, functions, endpoints = (hold(change.lookup(k, stale)) for k in ("classes", "functions", "endpoints"))
+    put("symbols", parsed.select(*columns(SYMBOLS)))
+    named = lambda rows, kind, name: rows.where(F.col(name).isNotNull()).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), *FILE)
+    put("names", named(classes, "Class", "name").unionByName(named(functions, "Function", "name")).unionByName(named(endpoints, "APIEndpoint", "path_pattern")).distinct())
+    put("class_names", classes.select(*LAYOUTS["class_names"].columns))
+    put("parents", graph.parents_wanted(parsed))
+    put("tails", graph.path_tails(changed))
+    put("imports", graph.imports_wanted(parsed))
+    put("calls", linker.calls_of(changed))
+
+    # whose edges may differ: those of changed files, and of files that look for a name or a path that came or went
+    now = changed.select(*FILE)
+    names = was.unionByName(classes.select("repo_name", F.col("name").alias("parent"))).distinct()
+    heirs = hold(now.unionByName(change.lookup("parents", names).select(*FILE)).distinct())
+    known = registry.select(*FILE)
+    moved = now.join(known, [*FILE], "left_anti").unionByName(gone.select(*FILE))
+    importers = hold(now.unionByName(change.lookup("imports", graph.path_tails(moved).select("repo_name", "tail")).select(*FILE)).distinct())
+
+    pairs = hold(change.lookup("symbols", heirs).where("kind = 'inherits'"))
+    inherits = graph.inherits_edges(pairs, change.lookup("class_names", pairs.select("repo_name", F.col("parent").alias("name"))), owned=True)
+    imports = hold(change.lookup("symbols", importers).where("kind = 'import'"))
+    tails = change.lookup("tails", graph.imports_wanted(imports).select("repo_name", "tail"))
+    own = graph.containment_edges(parsed, owned=True).dropDuplicates(["type", "src", "dst"])
+    ends = classes.select(F.col("class_id").alias("dst")).unionByName(functions.select(F.col("function_id").alias("dst"))).unionByName(endpoints.select(F.col("endpoint_id").alias("dst")))
+    own = own.join(ends, "dst", "left_semi").unionByName(graph.repo_edges(changed.withColumn("file_id", F.col("_doc_id")), owned=True))
+    found = {"own": own, "inherits": inherits, "imports": graph.import_edges(imports, tails=tails, owned=True)}
+    whose = {"own": stale, "inherits": heirs.unionByName(gone.select(*FILE)), "imports": importers.unionByName(gone.select(*FILE))}
+
+    cols = LAYOUTS["edges"].columns
+    calls = linker.links_of(change.table("calls"), change.table("endpoints"), owned=True) if get_settings().use_cross_repo_linking else change.table("edges").limit(0)
+    calls = hold(calls.withColumn("part", F.lit("calls")).select(*cols))
+    before = change.table("edges").where("part = 'calls'").select(*cols)
+    differ = hold(calls.exceptAll(before).unionByName(before.exceptAll(calls)).select("owner", "part").distinct())
+    groups = [w.distinct().select(ids.file_id(*FILE).alias("owner"), F.lit(part).alias("part")) for part, w in whose.items()] + [differ]
+    edges = [e.withColumn("part", F.lit(part)).select(*cols) for part, e in found.items()] + [calls.join(differ, ["owner", "part"], "left_semi").select(*cols)]
+    put("edges", reduce(DataFrame.unionByName, edges), reduce(DataFrame.unionByName, groups))
+    return graph.node_ids_per_file(parsed)

@@ -111,9 +111,6 @@ def graph_data(index: Index, max_nodes: int = 200, repo: str | None = None) -> d
 
 def invalidate_cache(index: Index) -> int:
     """Empties the stored cache; how many entries went."""
-    from ..sources import tables
-
-    path = f"{index.path}/cache"
-    empty, n = caching.invalidate(tables.open_table(index.spark, path, caching.ENTRY))
-    tables.publish(empty, path)
+    empty, n = caching.invalidate(index.table("cache"))
+    index.put_cache(empty)
     return n

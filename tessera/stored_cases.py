@@ -231,7 +231,7 @@ def cache_emptied(spark, sf_dir):
     """A stored cache is emptied, and how many entries went is told."""
     at = index.Index(spark, f"{store.folder(spark)}/emptied-{uuid.uuid4().hex}")
     e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("q"), col("vec_id")).alias("query"), "embedding", F.timestamp_seconds("vec_id").alias("created_at"))
-    at.put("cache", caching.store(at.table("cache"), e, 40))
+    at.put_cache(caching.store(at.table("cache"), e, 40))
     return spark.createDataFrame([("deleted", service.invalidate_cache(at)), ("left", at.table("cache").count())], "what string, n int")
 
 

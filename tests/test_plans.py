@@ -38,6 +38,7 @@ def test_index_and_reindex(spark, built):
     few = repos.load_repos(spark, str(root)).where("file_path <> 'worker.py'").withColumn("content", F.when(F.col("file_path") == "app/models.py", "class Base:\n    pass\n").otherwise(F.col("content")))
     few = few.withColumn("content_hash", F.sha2("content", 256))
     moved = index.run(spark, few, at)
+    i.refresh()
     assert (moved.changed_files, moved.removed_files) == (1, 1) and i.table("classes").where("name = 'Order'").count() == 0
     full = index.run(spark, repos.load_repos(spark, str(root)), at, reindex=True)
     assert full.changed_files == 5 and full.graph_edges == first.graph_edges
@@ -115,6 +116,7 @@ def test_curation(spark):
 
 def test_service(spark, built, monkeypatch):
     i = index.Index(spark, built[1])
+    assert sum(sum(r[2:]) for r in i.file_counters().collect()) == i.graph()["classes"].count() + i.graph()["functions"].count() + i.graph()["endpoints"].count() + i.table("edges").count()
     assert service.health()["status"] == "ok" and service.ready(i)["status"] == "ready" and service.ready(index.Index(spark, built[1] + "/none"))["status"] == "not_ready"
     totals, by_repo = service.index_stats(i)
     assert totals.first()["total_repos"] == 3 and [r["repo_name"] for r in by_repo.collect()] == ["mail", "pay", "shop"]
