@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash, file_id
@@ -28,10 +28,18 @@ def unchanged(files: DataFrame, registry: DataFrame) -> DataFrame:
     return with_ids(files).join(known, ["_doc_id", "_content_hash"], "left_semi")
 
 
+def last_of(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The first row of each key in an order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
 def upsert(registry: DataFrame, rows: DataFrame) -> DataFrame:
-    """Inserts or updates by doc_id. Paths and repositories of known rows stay; null arrays leave what is there."""
+    """Inserts or updates by doc_id. Paths and repositories of known rows stay; null arrays leave what is there.
+
+    Of rows with one doc_id the last by last_indexed_at counts, then the one with the greatest hash.
+    """
     empty = F.array().cast("array<string>")
-    r, n = registry.alias("r"), rows.dropDuplicates(["doc_id"]).alias("n")
+    r, n = registry.alias("r"), last_of(rows, "doc_id", F.desc_nulls_last("last_indexed_at"), F.desc_nulls_last("content_hash")).alias("n")
     both = r.join(n, F.col("r.doc_id") == F.col("n.doc_id"), "full_outer")
     old_wins = lambda c: F.coalesce(F.col(f"r.{c}"), F.col(f"n.{c}")).alias(c)
     new_wins = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"r.{c}")).alias(c)

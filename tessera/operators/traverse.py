@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_entities
-from .search import _bounded
 
 
 def known_names(classes: DataFrame, functions: DataFrame, endpoints: DataFrame, per_kind: int | None = None) -> DataFrame:
@@ -33,6 +32,28 @@ def extract_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
     return shaped.unionByName(known).distinct()
 
 
+def grams(text: Column, size: int) -> Column:
+    """The different runs of so many characters in a text."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda k: F.substring(text, k, F.lit(size))))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, text): which different texts hold which different needles (entity), whole and by case, by an index of runs of up to three characters.
+
+    A needle meets only texts that hold its rarest run, by equality, and is then looked for as a whole: no nested loop,
+    however many there are of either.
+    """
+    texts = texts.where("text is not null").distinct()
+    index = texts.select("text", F.explode(F.concat(*[grams(F.col("text"), size) for size in (1, 2, 3)])).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = needles.where("entity <> ''").distinct()
+    each = F.when(F.length("entity") >= 3, grams(F.col("entity"), 3)).otherwise(F.array("entity"))
+    runs = own.select("entity", F.explode(each).alias("gram")).join(often, "gram", "left")  # a run that no text has is the rarest
+    rarest = runs.groupBy("entity").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("entity", "r.gram")
+    return rarest.join(index, "gram").where(F.contains("text", "entity")).select("entity", "text")
+
+
 def find_nodes(entities: DataFrame, classes: DataFrame, functions: DataFrame, endpoints: DataFrame, limits: tuple[int, int, int] = (5, 10, 5)) -> DataFrame:
     """(query_id, kind, id, name, ...) of nodes that the entities (query_id, entity) name, at most so many for each entity."""
     first = lambda df, key, n: df.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "entity").orderBy(key))).where(F.col("_n") <= n)
@@ -45,7 +66,9 @@ def find_nodes(entities: DataFrame, classes: DataFrame, functions: DataFrame, en
     c = first(entities.join(classes, F.col("entity") == F.col("name")), "class_id", limits[0]).select(*cols("Class", "class_id", "name"))
     f = first(entities.join(functions, F.col("entity") == F.col("name")), "function_id", limits[1])
     f = f.select(*cols("Function", "function_id", "name", qualified=F.col("qualified_name"), is_async=F.col("is_async"), is_method=F.col("is_method")))
-    e = first(endpoints.join(_bounded(entities), F.contains("path_pattern", "entity")), "endpoint_id", limits[2])
+    holding = containing(entities.select("entity"), endpoints.select(F.col("path_pattern").alias("text")))
+    named = entities.join(holding, "entity").withColumnRenamed("text", "path_pattern")
+    e = first(named.join(endpoints, "path_pattern"), "endpoint_id", limits[2])
     e = e.select(*cols("APIEndpoint", "endpoint_id", "path_pattern", method=F.col("http_method"), framework=F.col("framework")))
     return c.unionByName(f).unionByName(e).dropDuplicates(["query_id", "kind", "id"])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,8 +206,8 @@ def _bring_up(change: Change, files: DataFrame, hold: Callable[[DataFrame], Data
 
     fresh = hold(chunking.split_documents(changed).drop("_doc_id", "_content_hash").withColumn("embedding", embedder(F.col("content"))))
     old = hold(change.lookup("chunks", stale).select("chunk_id", "content", *FILE))
-    put_bm25(change, fresh, old, stale, hold)
-    put("chunks", fresh.select(*columns(CHUNKS)))
+    fresh.count()  # once, for the tables that are written side by side
+    change.together(lambda: put_bm25(change, fresh, old, stale, hold), lambda: put("chunks", fresh.select(*columns(CHUNKS))))
 
     node_ids = None
     if use_graph:
@@ -234,23 +234,27 @@ def _graph(change: Change, changed: DataFrame, gone: DataFrame, stale: DataFrame
     """Symbols, vertices and edges of the stale files, and the edges of other files that they affect; (doc_id, graph_node_ids) of changed files."""
     parsed = hold(symbols.extract_symbols(changed))
     was = hold(change.lookup("classes", stale).select("repo_name", F.col("name").alias("parent")))
-    vertices = {kind: graph.upsert_vertices(change.table(kind).limit(0), rows, kind) for kind, rows in graph.vertices_of(parsed).items()}
+    parsed.count()
+    was.count()
+    vertices = {kind: hold(graph.upsert_vertices(change.table(kind).limit(0), rows, kind)) for kind, rows in graph.vertices_of(parsed).items()}
+    classes, functions, endpoints = (vertices[k] for k in ("classes", "functions", "endpoints"))
     rows = changed.select(F.col("_doc_id").alias("file_id"), *FILE, "file_name", "language", "content_hash", "size_bytes")
-    vertices["files"] = rows.join(chunking.chunk_ids_per_file(fresh).withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn("last_indexed_at", F.current_timestamp()).select(*columns(graph.SCHEMAS["files"]))
-    for kind, own in vertices.items():
-        put(kind, own)
+    rows = rows.join(chunking.chunk_ids_per_file(fresh).withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn("last_indexed_at", F.current_timestamp())
     seen = changed.select(ids.repo_id("repo_name").alias("repo_id"), F.col("repo_name").alias("name"), F.lit(None).cast("string").alias("local_path")).distinct().withColumn("last_indexed_at", F.current_timestamp())
-    put("repos", graph.upsert_vertices(change.lookup("repos", seen.select("repo_id")), seen, "repos"), seen.select("repo_id"))
-
-    classes, functions, endpoints = (hold(change.lookup(k, stale)) for k in ("classes", "functions", "endpoints"))
-    put("symbols", parsed.select(*columns(SYMBOLS)))
     named = lambda rows, kind, name: rows.where(F.col(name).isNotNull()).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), *FILE)
-    put("names", named(classes, "Class", "name").unionByName(named(functions, "Function", "name")).unionByName(named(endpoints, "APIEndpoint", "path_pattern")).distinct())
-    put("class_names", classes.select(*LAYOUTS["class_names"].columns))
-    put("parents", graph.parents_wanted(parsed))
-    put("tails", graph.path_tails(changed))
-    put("imports", graph.imports_wanted(parsed))
-    put("calls", linker.calls_of(changed))
+    made = {
+        **vertices,
+        "files": rows.select(*columns(graph.SCHEMAS["files"])),
+        "symbols": parsed.select(*columns(SYMBOLS)),
+        "names": named(classes, "Class", "name").unionByName(named(functions, "Function", "name")).unionByName(named(endpoints, "APIEndpoint", "path_pattern")).distinct(),
+        "class_names": classes.select(*LAYOUTS["class_names"].columns),
+        "parents": graph.parents_wanted(parsed),
+        "tails": graph.path_tails(changed),
+        "imports": graph.imports_wanted(parsed),
+        "calls": linker.calls_of(changed),
+    }
+    put_repos = lambda: put("repos", graph.upsert_vertices(change.lookup("repos", seen.select("repo_id")), seen, "repos"), seen.select("repo_id"))
+    change.together(put_repos, *[partial(put, name, own) for name, own in made.items()])
 
     # whose edges may differ: those of changed files, and of files that look for a name or a path that came or went
     now = changed.select(*FILE)

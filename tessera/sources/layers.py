@@ -19,16 +19,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A bucket is written anew when its layers have this share of its base's rows.
-SHARE = 0.25
+#: A bucket is written anew when its layers have this share of its base's rows, and so many at least.
+SHARE, LEAST_ROWS = 0.25, 1000
+#: Tables that are written at once.
+SIDE_BY_SIDE = 6
 #: Layers that a table has at most.
 MOST_LAYERS = 16
 #: Groups in a bucket, about, when a table is written whole, and buckets at most.
@@ -137,7 +142,12 @@ class Change(Snapshot):
 
     def _write_base(self, entry: dict, layout: Layout, rows: DataFrame, name: str) -> None:
         at = self._place(name)
-        rows.repartition(entry["n"], "_bucket").write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
+        seen = Observation()
+        rows = rows.repartition(entry["n"], "_bucket").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
+        if entry["n"] == 1:
+            entry["base"] |= {"0": [at, seen.get["n"]]} if seen.get["n"] else {}
+            return
         written = self.spark.read.schema(f"{layout.schema}, _bucket int").parquet(f"{self.store.path}/{at}")
         entry["base"] |= {str(b): [at, k] for b, k in written.groupBy("_bucket").count().collect()}  # a row for each bucket
 
@@ -151,15 +161,26 @@ class Change(Snapshot):
         kinds = {f.name: f.dataType for f in T.StructType.fromDDL(layout.schema)}
         marks = groups.select(*layout.group).distinct().select(*[F.col(c) if c in layout.group else F.lit(None).cast(kinds[c]).alias(c) for c in cols], F.lit(True).alias("_mark"))
         layer = rows.select(*cols, F.lit(False).alias("_mark")).unionByName(marks)
-        layer.hint("rebalance").write.parquet(f"{self.store.path}/{at}")
+        seen = Observation()
+        layer = layer.hint("rebalance").observe(seen, F.count(F.lit(1)).alias("n"))
+        layer.write.parquet(f"{self.store.path}/{at}")
+        if not seen.get["n"]:
+            return
+        entry["last"] += 1
+        if entry["n"] == 1:
+            entry["layers"].append([entry["last"], at, {"0": seen.get["n"]}])
+            return
         written = self.spark.read.schema(f"{layout.schema}, _mark boolean").parquet(f"{self.store.path}/{at}")
         by_bucket = set(layout.bucket) <= set(layout.group)  # marks then have a bucket of their own, too
         counted = written.select(_bucket(layout, entry["n"]).alias("b"), "_mark").groupBy("b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_mark"), 1).otherwise(0)).alias("m")).collect()
-        if not counted:
-            return
-        entry["last"] += 1
         entry["layers"].append([entry["last"], at, {str(r["b"]): r["n"] if by_bucket else r["n"] - r["m"] for r in counted}])
 
+    def together(self, *steps: Callable[[], None]) -> None:
+        """Runs steps that change different tables side by side: each is a few small jobs."""
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(step)) for step in steps]:
+                done.result()
+
     def _fold(self, name: str) -> None:
         """Writes the buckets anew that have much in layers."""
         layout, entry = self.store.layouts[name], self._tables[name]
@@ -168,7 +189,7 @@ class Change(Snapshot):
             for b, n in rows.items():
                 in_layers[b] = in_layers.get(b, 0) + n * (k > entry["folded"].get(b, 0))
         every = range(entry["n"]) if len(entry["layers"]) > MOST_LAYERS else ()
-        due = sorted({int(b) for b, n in in_layers.items() if n and n >= SHARE * entry["base"].get(b, [None, 0])[1]} | set(every))
+        due = sorted({int(b) for b, n in in_layers.items() if n and n >= max(LEAST_ROWS, SHARE * entry["base"].get(b, [None, 0])[1])} | set(every))
         if not due:
             return
         merged = self.table(name, due, "_b").withColumnRenamed("_b", "_bucket")
@@ -182,9 +203,7 @@ class Change(Snapshot):
     def commit(self) -> int:
         """Shows the change to all, or raises :class:`Conflict` and changes nothing."""
         try:
-            for name, entry in self._tables.items():
-                if entry["layers"]:
-                    self._fold(name)
+            self.together(*[partial(self._fold, name) for name, entry in self._tables.items() if entry["layers"]])
             self.store._publish(self.number + 1, self._tables)
         except BaseException:
             self.abort()

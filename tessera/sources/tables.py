@@ -65,7 +65,7 @@ def open_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         if schema is None:
             raise FileNotFoundError(f"no table at {path}; build the index first")
         return spark.createDataFrame([], schema)
-    return spark.read.option("mergeSchema", True).parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{version}")  # one write made it: all files have one schema
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
