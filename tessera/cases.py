@@ -11,8 +11,9 @@ from .functions.text import basename, code_tokens, consumed_topics, http_urls, j
 from .operators import cache, chunks, delta, evals, graph, linker, search, symbols, traverse, viewer
 from .plans import ask, service
 from .plans.index import CHUNKS, Index, columns, put_bm25
-from .queries import _BM25, _GRAPH, _edges, _nodes, _questions, _registry, document_chunks, query, table
+from .queries import _BM25, _GRAPH, _edges, _nodes, _questions, _registry, document_chunks, layered, query, table
 from .sources import repos, tables
+from .sources.layers import Layout
 
 
 def text(*parts):
@@ -327,7 +328,10 @@ def node_upserts(spark, sf_dir):
 
     old, new = rows("s_suppkey % 3 <> 0", "old", 1, False), rows("s_suppkey % 2 = 0", "new", 9, True)
     again = rows("s_suppkey % 2 = 0", "older", 2, False)  # of equal keys the later line wins
-    return graph.upsert_vertices(old, new.unionByName(again), "functions").select("function_id", F.when(F.col("name") == "older", "new").otherwise(F.col("name")).alias("name"), "start_line", "is_async")
+    layout = Layout(graph.SCHEMAS["functions"], ("function_id",), ("function_id",))
+    new = new.unionByName(again)
+    stored = layered(spark, f"node_upserts {sf_dir}", layout, old, lambda change: (new.select("function_id"), graph.upsert_vertices(change.lookup("rows", new.select("function_id")), new, "functions")))
+    return stored.select("function_id", F.when(F.col("name") == "older", "new").otherwise(F.col("name")).alias("name"), "start_line", "is_async")
 
 
 @query("select 'BELONGS_TO_REPO' as type, sha256(source || '::doc/' || doc_id) as src, sha256(source) as dst from documents")

@@ -12,6 +12,7 @@ from .functions import ids
 from .functions.text import code_tokens, file_recall, judge_scores, url_path
 from .functions.models import overlap_reranker
 from .operators import cache, chunks, delta, drift, evals, graph, linker, search, traverse, viewer
+from .sources.layers import Layout, Store
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +229,20 @@ def stable_ids(spark, sf_dir):
     return d.select("doc_id", ids.repo_id(s).alias("repo_id"), ids.file_id(s, path).alias("file_id"), ids.chunk_id(s, path, F.lit(0)).alias("chunk_id"), ids.content_hash("text").alias("content_hash"), ids.class_id(s, path, F.lit("A")).alias("class_id"), ids.function_id(s, path, F.lit("A.b")).alias("function_id"), ids.endpoint_id(s, path, F.lit("GET"), F.lit("/x")).alias("endpoint_id"))
 
 
+def layered(spark, name: str, layout: Layout, rows: DataFrame, later) -> DataFrame:
+    """A stored table of rows, and a later change above it: later(change) gives its groups and their rows. Made once in a session."""
+
+    def build(path):
+        change = Store(spark, path, {"rows": layout}).begin()
+        change.replace("rows", rows, groups=rows.count())
+        change.commit()
+        change = Store(spark, path, {"rows": layout}).begin()
+        change.replace_groups("rows", *later(change))
+        change.commit()
+
+    return Store(spark, store.once(spark, "layered", name, build), {"rows": layout}).snapshot().table("rows")
+
+
 _REGISTRY = f"""reg as (select {_IDS} as doc_id, 'doc/' || doc_id as file_path, source as repo_name, case when lang = 'de' then 'old' else sha256(coalesce(text, '')) end as content_hash from documents where lang <> 'fr'),
 now as (select {_IDS} as doc_id, 'doc/' || doc_id as file_path, source as repo_name, sha256(coalesce(text, '')) as content_hash from documents where lang <> 'es')"""
 
@@ -256,9 +271,12 @@ def delta_unchanged(spark, sf_dir):
 
 @query(f"with {_REGISTRY} select doc_id, coalesce(r.file_path, n.file_path) as file_path, coalesce(r.repo_name, n.repo_name) as repo_name, coalesce(n.content_hash, r.content_hash) as content_hash from reg r full join now n using (doc_id)")
 def registry_upsert(spark, sf_dir):
+    """The registry as a stored table and its upserts as a layer above it, merged on reading."""
     old, files = _registry(spark, sf_dir)
     rows = delta.with_ids(files).select(F.col("_doc_id").alias("doc_id"), "file_path", "repo_name", "content_hash", F.lit(None).cast("array<string>").alias("chunk_ids"), F.lit(None).cast("array<string>").alias("graph_node_ids"), F.current_timestamp().alias("last_indexed_at"))
-    return delta.upsert(old, rows).select("doc_id", "file_path", "repo_name", "content_hash")
+    layout = Layout(delta.REGISTRY, ("doc_id",), ("doc_id",))
+    stored = layered(spark, f"registry_upsert {sf_dir}", layout, old, lambda change: (ids := rows.select("doc_id"), delta.upsert(change.lookup("rows", ids), rows)))
+    return stored.select("doc_id", "file_path", "repo_name", "content_hash")
 
 
 @query(f"with {_REGISTRY} select doc_id from reg anti join now using (doc_id)")
@@ -331,9 +349,13 @@ def _edges(spark, sf_dir):
 
 @query(f"with {_GRAPH} select type, src, dst from edges")
 def edges_dedup(spark, sf_dir):
+    """Edges as a stored table, and those that aren't there yet as a layer above it."""
     null = lambda t: F.lit(None).cast(t)
     full = _raw_edges(spark, sf_dir).select("type", "src", "dst", null("array<string>").alias("symbols"), null("int").alias("line"), null("string").alias("signal"), null("double").alias("confidence"))
-    return graph.upsert_edges(full.where("type = 'IN_REGION'"), full).select("type", "src", "dst")
+    layout, key = Layout(graph.EDGE, ("type", "src", "dst"), ("type", "src", "dst")), ("type", "src", "dst")
+    more = full.where("type in ('IN_REGION', 'IN_NATION')")  # the layer: some edges that are there, and some that aren't, more than once
+    first = graph.upsert_edges(full.limit(0), full.where("type <> 'IN_NATION'"))
+    return layered(spark, f"edges_dedup {sf_dir}", layout, first, lambda change: (keys := more.select(*key), graph.upsert_edges(change.lookup("rows", keys), more))).select(*key)
 
 
 @query(f"with {_GRAPH} select 'node' as element, type, count(*) as count from nodes group by 2 union all select 'edge', type, count(*) from edges group by 2 union all select 'node', null, count(*) from nodes union all select 'edge', null, count(*) from edges")

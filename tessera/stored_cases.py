@@ -175,7 +175,25 @@ def registered_stream(spark, sf_dir):
             ingest.register_stream(spark.readStream.schema("repo_name string, file_path string, content string").parquet(f"{path}/in"), f"{path}/registry", f"{path}/checkpoint").awaitTermination()
 
     path = store.once(spark, "stream", sf_dir, build)
-    return tables.open_table(spark, f"{path}/registry").select("doc_id", "file_path", "repo_name", "content_hash")
+    return ingest.registered(spark, f"{path}/registry").select("doc_id", "file_path", "repo_name", "content_hash")
+
+
+@query("""select sha256('r' || user_id % 3 || '::u/' || user_id) as doc_id, 'u/' || user_id as file_path, 'r' || user_id % 3 as repo_name, content_hash, strftime(ts, '%Y-%m-%d %H:%M:%S') as at
+from (select *, row_number() over (partition by user_id order by ts desc, content_hash desc) as n from (select user_id, ts, sha256(event_id::varchar) as content_hash from events)) where n = 1""")
+def stream_versions(spark, sf_dir):
+    """Events as versions of their users' files, in batches that hold several versions of one file and come in no order of time: the latest of each stays."""
+
+    def build(path):
+        e = table(spark, sf_dir, "events").select(
+            F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("repo_name"), F.concat(F.lit("u/"), col("user_id")).alias("file_path"), col("event_id").alias("content"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("batch")
+        )
+        for batch in (1, 2, 0):
+            e.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        files = spark.readStream.schema("repo_name string, file_path string, content string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        ingest.register_stream(files, f"{path}/registry", f"{path}/checkpoint").awaitTermination()
+
+    path = store.once(spark, "versions", sf_dir, build)
+    return ingest.registered(spark, f"{path}/registry").select("doc_id", "file_path", "repo_name", "content_hash", F.date_format("last_indexed_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 _EMBEDDED = _LETTERS.format("lower(left(coalesce(text, ''), 1000))")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,22 +10,52 @@ from ..functions.ids import content_hash, file_id
 from ..operators import cache as caching
 from ..operators import delta
 from ..sources import tables
+from ..sources.layers import Layout, Store
+
+
+#: The registry that a stream keeps: a batch adds a layer of its own keys.
+REGISTRY = {"registry": Layout(delta.REGISTRY, ("doc_id",), ("doc_id",))}
+
+
+def registered(spark: SparkSession, registry_path: str) -> DataFrame:
+    return Store(spark, registry_path, REGISTRY).snapshot().table("registry")
+
+
+def register_batch(batch: DataFrame, registry_path: str) -> None:
+    """Brings a registry up to (repo_name, file_path, content, and ts if there is one): of a file's versions the latest by ts counts.
+
+    A version older than the registered one is ignored, so batches may come late, again or in any order.  Only the
+    batch's own keys are read, where buckets allow it, and written.
+    """
+    store = Store(batch.sparkSession, registry_path, REGISTRY)
+    empty = F.array().cast("array<string>")
+    when = F.col("ts").cast("timestamp") if "ts" in batch.columns else F.current_timestamp()
+    rows = batch.select(
+        file_id("repo_name", "file_path").alias("doc_id"), "file_path", "repo_name", content_hash("content").alias("content_hash"),
+        empty.alias("chunk_ids"), empty.alias("graph_node_ids"), when.alias("last_indexed_at"),
+    )
+    rows = delta.last_of(rows, "doc_id", F.desc_nulls_last("last_indexed_at"), F.desc_nulls_last("content_hash")).persist()
+    change = store.begin()
+    known = change.lookup("registry", rows.select("doc_id")).persist()
+    try:
+        before = known.select("doc_id", F.col("last_indexed_at").alias("_at"), F.col("content_hash").alias("_hash"))
+        later = (F.col("last_indexed_at") > F.col("_at")) | ((F.col("last_indexed_at") == F.col("_at")) & (F.col("content_hash") >= F.col("_hash")))
+        rows_now = rows.join(before, "doc_id", "left").where(F.col("_at").isNull() | later).drop("_at", "_hash")
+        merged = delta.upsert(known.join(rows_now.select("doc_id"), "doc_id", "left_semi"), rows_now)
+        change.replace_groups("registry", merged.select("doc_id"), merged)
+        change.commit()
+    except BaseException:
+        change.abort()
+        raise
+    finally:
+        rows.unpersist()
+        known.unpersist()
 
 
 def register_stream(files: DataFrame, registry_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a registry up to a stream of (repo_name, file_path, content); replayed batches change nothing, as upserts are by key."""
-
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        registry = tables.open_table(spark, registry_path, delta.REGISTRY)
-        empty = F.array().cast("array<string>")
-        rows = batch.select(
-            file_id("repo_name", "file_path").alias("doc_id"), "file_path", "repo_name", content_hash("content").alias("content_hash"),
-            empty.alias("chunk_ids"), empty.alias("graph_node_ids"), F.current_timestamp().alias("last_indexed_at"),
-        )
-        tables.publish(delta.upsert(registry, rows), registry_path)
-
-    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps a registry up to a stream of files; replayed batches change nothing."""
+    stream = files.writeStream.foreachBatch(lambda batch, _: register_batch(batch, registry_path))
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cached_answers(questions: DataFrame, cache: DataFrame, threshold: float | None = None) -> DataFrame:

@@ -96,6 +96,71 @@ def test_only_changed_files_are_parsed(spark, built, monkeypatch, tmp_path):
         assert a.table(name).select(cols).exceptAll(b.table(name).select(cols)).isEmpty() and a.table(name).count() == b.table(name).count()
 
 
+def code(*rows):
+    return [("r", path, text) for path, text in rows]
+
+
+def files_of(spark, rows):
+    shape = "repo_name string, file_path string, content binary"
+    f = repos.file_rows(spark.createDataFrame([(r, p, t.encode()) for r, p, t in rows], shape))
+    return f.select("*", *[F.lit(None).cast("string").alias(c) for c in ("git_commit_sha", "git_last_modified_at", "git_last_modified_by")])
+
+
+def size(path):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_increments_resolve_as_a_full_build(spark, tmp_path, monkeypatch):
+    """Classes, files and routes that come and go change the edges of files that stay, and only so much is parsed and written."""
+    from tessera.operators import symbols
+
+    monkeypatch.setenv("USE_CROSS_REPO_LINKING", "true")
+    settings.get_settings.cache_clear()
+    body = "\n".join(f"def f{k}(): return {k}" for k in range(60))
+    many = [(f"pkg/m{k}.py", f"import m{k + 1}\nclass C{k}(C{k + 1}): pass\n{body}\n") for k in range(40)]
+    first = code(*many, ("a/child.py", "from lib import util\nclass Child(Base): pass\n"), ("z/base.py", "class Base: pass\n"), ("old/lib.py", "x = 1\n"), ("call.py", "import requests\nrequests.get('/api/things')\n"))
+    first += [("s", "api.py", "@app.get('/api/things')\ndef things(): pass\n")]
+    # a nearer Base, another lib, a route that went, a file that went and one that changed
+    second = [r for r in first if r[1] not in ("old/lib.py", "api.py", "pkg/m7.py")] + code(("b/base.py", "class Base: pass\nclass C8: pass\n"), ("lib/__init__.py", "y = 2\n"), ("pkg/m7.py", "class C7(Base): pass\n")) + [("s", "api.py", "@app.get('/api/other')\ndef things(): pass\n")]
+    seen, real = [], symbols.extract_symbols
+    monkeypatch.setattr(symbols, "extract_symbols", lambda f: seen.append(f.count()) or real(f))
+    at, fresh = str(tmp_path / "i"), str(tmp_path / "j")
+    index.run(spark, files_of(spark, first), at)
+    whole = size(at)
+    index.run(spark, files_of(spark, second), at)
+    assert size(at) - whole < whole / 2  # many small files here; what a layer holds is tested with the tables
+    index.run(spark, files_of(spark, second), fresh)
+    assert seen == [len(first), 4, len(second)]
+    a, b = index.Index(spark, at), index.Index(spark, fresh)
+    for name in ("edges", "classes", "functions", "endpoints", "postings", "terms", "chunks", "names", "parents", "tails", "imports", "calls", "symbols"):
+        x, y = (i.snapshot.table(name).drop("embedding", "last_indexed_at") for i in (a, b))
+        assert sorted(map(repr, x.collect())) == sorted(map(repr, y.collect())), name
+    assert a.table("edges").where("type = 'CROSS_REPO_CALL'").isEmpty() and a.table("edges").where("type = 'INHERITS'").count() > 38
+    settings.get_settings.cache_clear()
+
+
+def test_a_run_that_stops_leaves_the_index_whole(spark, tmp_path, monkeypatch):
+    from tessera.operators import linker
+
+    at = str(tmp_path / "i")
+    index.run(spark, files_of(spark, code(("a.py", "class A: pass\n"), ("b.py", "import a\n"))), at)
+    held = index.Index(spark, at)
+    before = {n: sorted(map(repr, held.snapshot.table(n).collect())) for n in ("chunks", "edges", "registry", "postings", "classes")}
+    files = size(at)
+    later = files_of(spark, code(("a.py", "class B: pass\n"), ("c.py", "import a\n")))
+    with monkeypatch.context() as m:
+        m.setattr(linker, "links_of", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):  # chunks, postings and vertices are written by then
+            index.run(spark, later, at)
+    now = index.Index(spark, at)
+    assert {n: sorted(map(repr, now.snapshot.table(n).collect())) for n in before} == before and size(at) == files
+    index.run(spark, later, at)
+    assert {n: sorted(map(repr, held.snapshot.table(n).collect())) for n in before} == before  # what is open stays
+    assert [r["name"] for r in held.refresh().table("classes").collect()] == ["B"]
+
+
 def test_a_question_reads_its_terms_buckets(spark, built):
     i = index.Index(spark, built[1])
     stored, made = i.bm25(), ask.search.build_bm25(i.table("chunks"))
@@ -169,7 +234,7 @@ def test_streams(spark, tmp_path):
     for batch in ([("r", "a", "1"), ("r", "b", "2")], [("r", "b", "3")]):
         spark.createDataFrame(batch, shape).coalesce(1).write.mode("append").parquet(src)
         ingest.register_stream(spark.readStream.schema(shape).parquet(src), str(tmp_path / "reg"), str(tmp_path / "cp")).awaitTermination()
-    got = {r["file_path"]: r["content_hash"][:4] for r in tables.open_table(spark, str(tmp_path / "reg")).collect()}
+    got = {r["file_path"]: r["content_hash"][:4] for r in ingest.registered(spark, str(tmp_path / "reg")).collect()}
     assert got == {"a": "6b86", "b": "4e07"}
     events = spark.readStream.schema(spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).parquet("/root/testdata/sf0.001/events.parquet*")
     q = ingest.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
