@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import store
 from .functions import ids
-from .functions.text import basename, code_tokens, consumed_topics, http_urls, judge_mean, parent, produced_topics, suffix, text_entities
+from .functions.calls import call_links
+from .functions.text import basename, code_tokens, judge_mean, parent, suffix, text_entities
 from .operators import cache, chunks, delta, evals, graph, linker, search, symbols, traverse, viewer
 from .plans import ask, service
 from .plans.index import CHUNKS, Index, columns, put_bm25
@@ -61,8 +62,9 @@ def call_sites(spark, sf_dir):
         .when(F.col("p_partkey") % 7 == 4, text('p.produce( "topic.', k, "\", v); c.subscribe([ 'in-", k, "', 'other'])"))
         .otherwise(text('requests.head("http://h/', k, '"); called("http://h/", ', k, '); c.subscribe("in")'))
     )
-    joined = lambda f, name: F.array_join(f(F.col("c")), " ").alias(name)
-    return table(spark, sf_dir, "part").select("p_partkey", code.alias("c")).select("p_partkey", joined(http_urls, "urls"), joined(produced_topics, "produced"), joined(consumed_topics, "consumed"))
+    found = table(spark, sf_dir, "part").select("p_partkey", code.alias("c"), F.lit(".py").alias("t")).select("p_partkey", call_links("c", "t").alias("l"))
+    of = lambda kind: F.array_join(F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["value"]), " ")
+    return found.select("p_partkey", of("http").alias("urls"), of("made").alias("produced"), of("used").alias("consumed"))
 
 
 @query("select o_orderkey, (o_orderkey % 5 + o_orderkey % 3 + 1) / 3.0::double as mean from orders")
@@ -562,8 +564,8 @@ def authorisation(spark, sf_dir):
 
 
 def letters(text):
-    """An embedder that SQL can follow: how often each letter stands in the first thousand characters."""
-    t = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 1000))
+    """An embedder that SQL can follow: how often each letter stands in it."""
+    t = F.lower(F.coalesce(text, F.lit("")))
     return F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
 
 
@@ -586,7 +588,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
 _LETTERS = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace({0}, chr(c::int), '')))::double)"
 
 
-@query(f"""with {_BM25.format(where='')}, e as (select doc_id, {_LETTERS.format("lower(left(coalesce(text, ''), 1000))")} as v from documents), q as (select item_id, {_LETTERS.format("lower(left(coalesce(text, ''), 1000))")} as v from benchmark),
+@query(f"""with {_BM25.format(where='')}, e as (select doc_id, {_LETTERS.format("lower(coalesce(text, ''))")} as v from documents), q as (select item_id, {_LETTERS.format("lower(coalesce(text, ''))")} as v from benchmark),
 en as (select *, sqrt(list_dot_product(v, v)) as n from e), qn as (select *, sqrt(list_dot_product(v, v)) as n from q),
 p as (select item_id as query_id, doc_id as chunk_id, case when qn.n = 0 or en.n = 0 then 0.0 else list_dot_product(qn.v, en.v) / (qn.n * en.n) end as score from qn join en on true),
 dn as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank, score from p),

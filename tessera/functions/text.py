@@ -41,51 +41,6 @@ def parent(path) -> Column:
     return F.regexp_extract(_col(path), r"^(.*)/[^/]*$", 1)
 
 
-#: What calls a URL: clients and the verbs they offer, and plain functions. Fixed values.
-URL_CALLERS = (
-    (("requests", "httpx"), ("get", "post", "put", "patch", "delete", "request")),
-    (("axios",), ("get", "post", "put", "patch", "delete")),
-    (("fetch",), ()),
-)
-#: Methods that name a message topic, and how the name is wrapped. Fixed values.
-PRODUCERS, CONSUMERS = ("produce",), ("subscribe",)
-
-
-def _one_of(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
-def _called(callee: str, literal: str, opening: str = "") -> str:
-    """The pattern of a call whose first argument is a literal, after an opening such as a list's bracket; blanks may stand between."""
-    return rf"{callee}\s*\(\s*{opening}{literal}"
-
-
-def _url_pattern(owners: tuple[str, ...], verbs: tuple[str, ...]) -> str:
-    """Calls of owner.verb or, without verbs, of the owner itself; the URL has four characters or more."""
-    quotes, prefix = ("'\"", "f?") if verbs else ("`'\"", "")
-    callee = rf"{_one_of(owners)}\s*\.\s*{_one_of(verbs)}" if verbs else rf"\b{_one_of(owners)}"
-    return "(?i)" + _called(callee, f"{prefix}[{quotes}]([^{quotes}]{{4,}})[{quotes}]")
-
-
-def _topic_pattern(methods: tuple[str, ...], opening: str = "") -> str:
-    """A topic starts with a letter and goes on with letters, digits, dots, lines and dashes."""
-    return _called(rf"\.{_one_of(methods)}", r"""['"]([a-zA-Z][\w.-]+)['"]""", opening)
-
-
-def http_urls(content) -> Column:
-    """URLs that the text calls, distinct, in order of client and position."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(_col(content), F.lit(_url_pattern(o, v)), 1) for o, v in URL_CALLERS]))
-
-
-def produced_topics(content) -> Column:
-    return F.array_distinct(F.regexp_extract_all(_col(content), F.lit(_topic_pattern(PRODUCERS)), 1))
-
-
-def consumed_topics(content) -> Column:
-    """The first topic of each list that is subscribed to."""
-    return F.array_distinct(F.regexp_extract_all(_col(content), F.lit(_topic_pattern(CONSUMERS, r"\[\s*")), 1))
-
-
 def url_path(url) -> Column:
     """Path of an absolute URL or of a rooted path; null for anything else, '' and '/'."""
     u = _col(url)

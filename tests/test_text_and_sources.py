@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import logs, settings
+from tessera.functions.calls import call_links, may_link
 from tessera.functions import ids, text, vectors
 from tessera.functions.models import hashing_embedder, overlap_reranker
 from tessera.sources import repos, tables
@@ -34,10 +35,10 @@ def test_paths(spark):
 
 def test_call_sites(spark):
     code = """requests.get("http://svc/api/x?y=1"); axios.post('/v1/items'); fetch(`/a/b#c`); requests.get("x"); p.produce("topic-1", v); c.subscribe(['topic-2', 'z'])"""
-    assert values(spark, text.http_urls, "HTTPX . Request ( f'http://a/b' )", "prefetch('/abcd')", "requests.head('/abcd')", "fetch('/x/y')", "axios.get(`/abcd`)") == [["http://a/b"], [], [], ["/x/y"], []]
-    assert values(spark, text.http_urls, code) == [["http://svc/api/x?y=1", "/v1/items", "/a/b#c"]]
-    assert values(spark, text.produced_topics, code) == [["topic-1"]]
-    assert values(spark, text.consumed_topics, code) == [["topic-2"]]
+    rows = spark.createDataFrame([(1, code, ".js"), (2, "HTTPX . Request ( f'http://a/b' )", ".py"), (3, "prefetch('/abcd')", ".py"), (4, None, ".py")], "k int, c string, t string")
+    got = {r["k"]: [tuple(x) for x in r["l"]] for r in rows.select("k", call_links("c", "t").alias("l")).collect()}
+    assert got == {1: [("http", "http://svc/api/x?y=1"), ("http", "/v1/items"), ("http", "/a/b#c"), ("made", "topic-1"), ("used", "topic-2")], 2: [("http", "http://a/b")], 3: [], 4: []}
+    assert [r["k"] for r in rows.where(may_link("c")).orderBy("k").collect()] == [1, 2, 3]
     assert values(spark, text.url_path, "http://svc/api/x?y=1", "https://svc", "https://svc/", "/a/b#c", "/", "svc/x", None) == ["/api/x", None, None, "/a/b", None, None, None]
 
 
