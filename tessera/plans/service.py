@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hmac
 import time
-import uuid
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,9 @@ from ..operators import chunks, graph, traverse, viewer
 from ..settings import get_settings
 from .index import Index, IndexResult
 from .index import run as run_index
+from .jobs import Jobs
 
-_JOBS: dict[str, dict] = {}
+_JOBS: dict[str, Jobs] = {}
 
 
 def health() -> dict:
@@ -49,16 +49,23 @@ def graph_stats(index: Index) -> DataFrame:
 
 
 def start_index(spark: SparkSession, **options) -> str:
-    """Starts an indexing job in the background and returns its id for :func:`index_status`."""
-    job = uuid.uuid4().hex
-    _JOBS[job] = {"status": "running"}
+    """Starts an indexing job in the background and returns its id for :func:`index_status`; :class:`.jobs.Busy` while another runs.
+
+    The job's record is beside the index, so other drivers see it too (:meth:`.jobs.Jobs.status`).
+    """
+    jobs = Jobs(spark, options.get("index_dir") or get_settings().index_dir)
+    job = jobs.claim()
+    _JOBS[job] = jobs
+    over = jobs.renewing(job)
 
     def work() -> None:
         try:
             result: IndexResult = run_index(spark, **options)
-            _JOBS[job] = {"status": "completed", "result": result}
+            jobs.end(job, status="completed", result=vars(result))
         except Exception as e:  # the job's record tells; callers poll
-            _JOBS[job] = {"status": "failed", "error": str(e)}
+            jobs.end(job, status="failed", error=str(e))
+        finally:
+            over.set()
 
     InheritableThread(target=work, name=f"index-{job[:8]}", daemon=True).start()
     return job
@@ -75,7 +82,8 @@ def wait(job: str, seconds: float = 600.0) -> dict:
 def index_status(job: str) -> dict:
     if job not in _JOBS:
         raise KeyError(f"unknown job {job}")
-    return _JOBS[job]
+    found = _JOBS[job].status(job)
+    return found | {"result": IndexResult(**found["result"])} if "result" in found else found
 
 
 def graph_traverse(index: Index, entity: str, hops: int = 2) -> dict[str, DataFrame]:

@@ -446,8 +446,30 @@ l as (select a.host as repo_name, a.page_id as file_path, b.host as to_repo, b.p
 select repo_name, file_path, to_repo, to_path, topic from l""")
 def shared_topic_links(spark, sf_dir):
     """Pages of different hosts that share a link, as producers and consumers of a topic."""
+    return linker.first_links(*_topics(spark, sf_dir)).select("repo_name", "file_path", "to_repo", "to_path", "topic")
+
+
+_TOPICS = r"""p as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) as topic from pages),
+l as (select a.host as repo_name, a.page_id as file_path, topic, b.page_id as to_path from p a join p b using (topic) where a.host <> b.host)"""
+
+
+def _topics(spark, sf_dir):
+    """Pages of hosts with the links in them, as producers of topics; the same as consumers."""
     p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("repo_name"), F.col("page_id").alias("file_path"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1))).alias("topic"))
-    return linker.first_links(p, p.withColumnsRenamed({"repo_name": "to_repo", "file_path": "to_path"})).select("repo_name", "file_path", "to_repo", "to_path", "topic")
+    return p, p.withColumnsRenamed({"repo_name": "to_repo", "file_path": "to_path"})
+
+
+@query(f"""with {_TOPICS}, n as (select topic, count(*) as producers from p group by topic)
+select topic, producers::bigint as producers, producers::bigint as consumers, count(*) as links from l join n using (topic) group by all""")
+def topic_groups(spark, sf_dir):
+    """Topics with the number of links that they stand for, counted without making a link."""
+    return linker.link_groups(*_topics(spark, sf_dir))
+
+
+@query(f"with {_TOPICS} select repo_name, file_path, count(*) as links from l group by 1, 2")
+def file_link_counts(spark, sf_dir):
+    """Each page's links over all its topics, counted from groups."""
+    return linker.file_link_counts(*_topics(spark, sf_dir))
 
 
 @query("""with t as (select distinct '/' || replace(p_type, ' ', '/') as path from part), w as (select distinct '/' || unnest(string_split(p_type, ' ')) as tail from part) select path, tail from t join w on path = tail or ends_with(path, tail)""")

@@ -30,6 +30,12 @@ def is_skipped(path) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in SKIP_DIRS]))
 
 
+def name_glob() -> str:
+    """A glob of the names that may be supported, suffixes in any case."""
+    any_case = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+    return "{" + ",".join([*("*" + any_case(e) for e in EXTENSIONS), *FILENAMES]) + "}"
+
+
 def language(path) -> Column:
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(known[suffix(path)], F.lit("text"))
@@ -89,13 +95,13 @@ def last_commits(path: str) -> list[tuple[str, str, str, str]]:
 def load_repos(spark: SparkSession, repos_dir: str | None = None, git: DataFrame | None = None) -> DataFrame:
     """Files below ``repos_dir``, whose first directories are repositories.
 
-    The size cap reaches the file listing; bytes that aren't UTF-8 are dropped; blank
+    The size cap and the names of supported files reach the file listing, so others are never read; bytes that aren't UTF-8 are dropped; blank
     files go.  git: optional (repo_name, file_path, git_commit_sha, git_last_modified_at,
     git_last_modified_by), joined by file.
     """
     s = get_settings()
     root = (repos_dir or s.repos_dir).rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= s.file_size_cap_bytes)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob()).load(root).where(F.col("length") <= s.file_size_cap_bytes)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     inside = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")

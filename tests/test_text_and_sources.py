@@ -84,6 +84,8 @@ def test_load_repos(spark, tmp_path):
         at.write_bytes(data)
     got = {(r["repo_name"], r["file_path"]): r for r in repos.load_repos(spark, str(tmp_path)).collect()}
     assert set(got) == {("shop", "a.py"), ("shop", "Dockerfile"), ("pay", "src/c d+e.ts")}
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", repos.name_glob()).load(str(tmp_path))
+    assert not any(f.endswith(".png") for f in raw.inputFiles()) and len(raw.inputFiles()) == len(files) - 1  # images aren't even opened
     ts = got[("pay", "src/c d+e.ts")]
     assert (ts["content"], ts["file_type"], ts["language"], ts["size_bytes"], ts["git_commit_sha"]) == ("let é;", ".ts", "typescript", 7, None)
 
