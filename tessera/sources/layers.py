@@ -26,7 +26,7 @@ from functools import partial, reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,14 +142,10 @@ class Change(Snapshot):
 
     def _write_base(self, entry: dict, layout: Layout, rows: DataFrame, name: str) -> None:
         at = self._place(name)
-        seen = Observation()
-        rows = rows.repartition(entry["n"], "_bucket").observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
-        if entry["n"] == 1:
-            entry["base"] |= {"0": [at, seen.get["n"]]} if seen.get["n"] else {}
-            return
+        rows.repartition(entry["n"], "_bucket").write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
         written = self.spark.read.schema(f"{layout.schema}, _bucket int").parquet(f"{self.store.path}/{at}")
-        entry["base"] |= {str(b): [at, k] for b, k in written.groupBy("_bucket").count().collect()}  # a row for each bucket
+        counted = [(0, written.count())] if entry["n"] == 1 else written.groupBy("_bucket").count().collect()  # a row for each bucket
+        entry["base"] |= {str(b): [at, k] for b, k in counted if k}
 
     def replace_groups(self, name: str, groups: DataFrame, rows: DataFrame) -> None:
         """The rows of the groups are now these; rows of other groups must not be among them."""
@@ -161,16 +157,15 @@ class Change(Snapshot):
         kinds = {f.name: f.dataType for f in T.StructType.fromDDL(layout.schema)}
         marks = groups.select(*layout.group).distinct().select(*[F.col(c) if c in layout.group else F.lit(None).cast(kinds[c]).alias(c) for c in cols], F.lit(True).alias("_mark"))
         layer = rows.select(*cols, F.lit(False).alias("_mark")).unionByName(marks)
-        seen = Observation()
-        layer = layer.hint("rebalance").observe(seen, F.count(F.lit(1)).alias("n"))
-        layer.write.parquet(f"{self.store.path}/{at}")
-        if not seen.get["n"]:
+        layer.hint("rebalance").write.parquet(f"{self.store.path}/{at}")
+        written = self.spark.read.schema(f"{layout.schema}, _mark boolean").parquet(f"{self.store.path}/{at}")
+        n = written.count()
+        if not n:
             return
         entry["last"] += 1
         if entry["n"] == 1:
-            entry["layers"].append([entry["last"], at, {"0": seen.get["n"]}])
+            entry["layers"].append([entry["last"], at, {"0": n}])
             return
-        written = self.spark.read.schema(f"{layout.schema}, _mark boolean").parquet(f"{self.store.path}/{at}")
         by_bucket = set(layout.bucket) <= set(layout.group)  # marks then have a bucket of their own, too
         counted = written.select(_bucket(layout, entry["n"]).alias("b"), "_mark").groupBy("b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_mark"), 1).otherwise(0)).alias("m")).collect()
         entry["layers"].append([entry["last"], at, {str(r["b"]): r["n"] if by_bucket else r["n"] - r["m"] for r in counted}])
