@@ -13,10 +13,15 @@ import threading
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 #: Seconds for which a lease holds unless it is renewed.
 LEASE = 30.0
+#: Seconds after which a claim is looked at again: a file system on which replacing isn't one step lets two write in between.
+SETTLE = 0.2
+#: Times that a record is read before an error counts.
+TRIES = 40
 
 
 class Busy(RuntimeError):
@@ -55,14 +60,22 @@ class Jobs:
         return True
 
     def _read(self, name: str) -> dict | None:
-        fs, at = self._at(name)
-        if not fs.exists(at):
-            return None
-        stream = fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        """A file's content. Where a file and its checksum are two files, a reader may meet them while they are replaced: it reads again."""
+        for attempt in range(TRIES):
+            fs, at = self._at(name)
+            if not fs.exists(at):
+                return None
+            try:
+                stream = fs.open(at)
+                try:
+                    return json.loads(bytes(stream.readAllBytes()).decode())
+                finally:
+                    stream.close()
+            except (Py4JJavaError, ValueError):
+                if attempt == TRIES - 1:
+                    raise
+                time.sleep(0.05)
+        return None
 
     def status(self, job: str) -> dict:
         """The job's record; a running job whose lease is over or another's is lost."""
@@ -86,8 +99,9 @@ class Jobs:
                 lost = self._read(f"{held['job']}.json") or {}
                 self._write(f"{held['job']}.json", lost | {"status": "lost"})
             self._write("lease.json", mine)
-            if (self._read("lease.json") or {}).get("job") != job:  # taken by another at the same time
-                raise Busy("another job took over")
+        time.sleep(SETTLE)
+        if (self._read("lease.json") or {}).get("job") != job:  # taken, or renewed, by another at the same time
+            raise Busy("another job holds the lease")
         self._write(f"{job}.json", {"status": "running", "started": mine["beat"]})
         return job
 

@@ -8,13 +8,13 @@ from tessera.plans.jobs import Busy, Jobs
 
 def test_one_job_at_a_time_across_drivers(spark, tmp_path, monkeypatch):
     """Two Jobs objects stand for two drivers: one sees the other's job, is refused, and takes over when its lease is over."""
-    monkeypatch.setattr(jobs, "LEASE", 1.5)
+    monkeypatch.setattr(jobs, "LEASE", 6.0)
     one, two = Jobs(spark, str(tmp_path)), Jobs(spark, str(tmp_path))
     first = one.claim()
     over = one.renewing(first)
     assert two.status(first)["status"] == "running"
-    for _ in range(4):  # longer than the lease, which is renewed
-        time.sleep(0.6)
+    for _ in range(3):  # longer than the lease, which is renewed
+        time.sleep(2.5)
         with pytest.raises(Busy):
             two.claim()
     one.end(first, status="completed", result={"n": 1})
@@ -24,7 +24,7 @@ def test_one_job_at_a_time_across_drivers(spark, tmp_path, monkeypatch):
     second = one.claim()  # its driver dies: nobody renews
     with pytest.raises(Busy):
         two.claim()
-    time.sleep(1.7)
+    time.sleep(6.5)
     assert two.status(second)["status"] == "lost"
     third = two.claim()
     assert one.status(second)["status"] == "lost" and one.status(third)["status"] == "running"
@@ -35,3 +35,17 @@ def test_one_job_at_a_time_across_drivers(spark, tmp_path, monkeypatch):
     assert one.status(third)["error"] == "x" and one.claim()
     with pytest.raises(KeyError):
         one.status("none")
+
+
+def test_records_are_read_while_they_are_replaced(spark, tmp_path):
+    import threading
+
+    one, two = Jobs(spark, str(tmp_path)), Jobs(spark, str(tmp_path))
+    one._write("x.json", {"n": 0})
+    writer = threading.Thread(target=lambda: [one._write("x.json", {"n": k}) for k in range(60)])
+    writer.start()
+    seen = []
+    while writer.is_alive():
+        seen.append(two._read("x.json"))
+    writer.join()
+    assert all(x is None or 0 <= x["n"] < 60 for x in seen) and two._read("x.json") == {"n": 59}
