@@ -343,3 +343,22 @@ def test_evaluation(spark):
     s = evals.summary(judged).first().asDict()
     assert (s["total"], s["successful"], s["failed"], s["mean_faithfulness"], s["cache_hit_rate"], s["total_input_tokens"]) == (2, 1, 1, 5.0, 1.0, 5)
     assert evals.summary(judged.limit(0)).first()["mean_file_recall"] == 0.0
+
+
+def test_first_links_make_each_pair_once_and_shuffle_none(spark):
+    rows = [(f"r{k % 3}", f"f{k}", t) for k in range(40) for t in (f"t{k % 4}", f"t{k % 5 + 2}", "all", "all")]
+    made = spark.createDataFrame(rows, "repo_name string, file_path string, topic string")
+    used = made.withColumnsRenamed({"repo_name": "to_repo", "file_path": "to_path"})
+    want = {}
+    for (a, b, t), (c, d, u) in itertools.product(rows, rows):
+        if t == u and a != c:
+            want[a, b, c, d] = min(t, want.get((a, b, c, d), t))
+    most, linker.CONSUMERS_A_PART = linker.CONSUMERS_A_PART, 7
+    try:
+        found = linker.first_links(made, used)
+        got = found.collect()
+    finally:
+        linker.CONSUMERS_A_PART = most
+    assert len(got) == len(want) and {tuple(r)[:4]: r["topic"] for r in got} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # nothing is grouped above the join that makes the pairs
