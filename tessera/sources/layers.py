@@ -137,12 +137,14 @@ class Change(Snapshot):
         layout = self.store.layouts[name]
         n = layout.buckets or min(MOST_BUCKETS, -(-groups // GROUPS_A_BUCKET) or 1)
         entry = {"n": n, "base": {}, "folded": {}, "layers": [], "last": 0}
-        self._write_base(entry, layout, rows.select(*layout.columns, _bucket(layout, n).alias("_bucket")), name)
+        self._write_base(entry, layout, rows.select(*layout.columns, _bucket(layout, n).alias("_bucket")), name, max(1, -(-groups // (n * GROUPS_A_BUCKET))))
         self._tables[name] = entry
 
-    def _write_base(self, entry: dict, layout: Layout, rows: DataFrame, name: str) -> None:
+    def _write_base(self, entry: dict, layout: Layout, rows: DataFrame, name: str, pieces: int = 1) -> None:
+        """pieces: tasks that write a bucket, so that none has more than a bounded number of groups."""
         at = self._place(name)
-        rows.repartition(entry["n"], "_bucket").write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
+        piece = F.pmod(F.xxhash64(*layout.group), F.lit(pieces)).cast("int") if pieces > 1 else F.lit(0)
+        rows.repartitionById(entry["n"] * pieces, F.col("_bucket") * pieces + piece).write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
         written = self.spark.read.schema(f"{layout.schema}, _bucket int").parquet(f"{self.store.path}/{at}")
         counted = [(0, written.count())] if entry["n"] == 1 else written.groupBy("_bucket").count().collect()  # a row for each bucket
         entry["base"] |= {str(b): [at, k] for b, k in counted if k}
@@ -151,7 +153,7 @@ class Change(Snapshot):
         """The rows of the groups are now these; rows of other groups must not be among them."""
         layout, entry = self.store.layouts[name], self._tables.get(name)
         if entry is None:
-            self.replace(name, rows)
+            self.replace(name, rows, groups.distinct().count())
             return
         cols, at = layout.columns, self._place(name)
         kinds = {f.name: f.dataType for f in T.StructType.fromDDL(layout.schema)}

@@ -171,7 +171,7 @@ def registered_stream(spark, sf_dir):
     def build(path):
         d = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_name"), F.concat(F.lit("doc/"), "doc_id").alias("file_path"), F.col("text").alias("content"), "doc_id")
         for batch in (d, d.where("doc_id % 3 = 0").withColumn("content", F.lit("new"))):
-            batch.drop("doc_id").coalesce(1).write.mode("append").parquet(f"{path}/in")
+            batch.drop("doc_id").write.mode("append").parquet(f"{path}/in")
             ingest.register_stream(spark.readStream.schema("repo_name string, file_path string, content string").parquet(f"{path}/in"), f"{path}/registry", f"{path}/checkpoint").awaitTermination()
 
     path = store.once(spark, "stream", sf_dir, build)
@@ -187,12 +187,12 @@ def stream_versions(spark, sf_dir):
         e = table(spark, sf_dir, "events").select(
             F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("repo_name"), F.concat(F.lit("u/"), col("user_id")).alias("file_path"), col("event_id").alias("content"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("batch")
         )
-        for batch in (1, 2, 0):
-            e.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{path}/in")
-        files = spark.readStream.schema("repo_name string, file_path string, content string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        ingest.register_stream(files, f"{path}/registry", f"{path}/checkpoint").awaitTermination()
+        for batch in (1, 2, 0):  # the stream takes what was added since it last ran
+            e.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{path}/in")
+            files = spark.readStream.schema("repo_name string, file_path string, content string, ts timestamp").parquet(f"{path}/in")
+            ingest.register_stream(files, f"{path}/registry", f"{path}/checkpoint").awaitTermination()
 
-    path = store.once(spark, "versions", sf_dir, build)
+    path = store.once(spark, "stream versions", sf_dir, build)
     return ingest.registered(spark, f"{path}/registry").select("doc_id", "file_path", "repo_name", "content_hash", F.date_format("last_indexed_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

@@ -136,3 +136,20 @@ def test_what_fails_leaves_nothing(spark, store):
 def test_no_table_yet(spark, store):
     assert not store.exists() and content(store.snapshot()) == [] and not store.snapshot().has("rows")
     assert store.snapshot().lookup("rows", keys(spark, ["a"])).count() == 0
+
+
+def test_first_groups_of_a_table_are_dealt_into_buckets(spark, tmp_path, monkeypatch):
+    """A table whose first rows come as groups, and one whose buckets are fixed, are written by tasks of a bounded number of groups."""
+    from tessera.sources import layers
+
+    monkeypatch.setattr(layers, "GROUPS_A_BUCKET", 10)
+    store = layers.Store(spark, f"file://{tmp_path}/t", {"rows": layers.Layout("k long, v string", ("k",), ("k",)), "fixed": layers.Layout("k long, v string", ("k",), ("v",), 2)})
+    rows = spark.range(100).selectExpr("id as k", "'v' as v")
+    change = store.begin()
+    change.replace_groups("rows", rows.select("k"), rows)
+    change.replace("fixed", rows, groups=100)
+    change.commit()
+    found = store.snapshot()
+    assert found._tables["rows"]["n"] == 10 and found.table("rows").count() == found.table("fixed").count() == 100
+    files = {r["f"] for r in found.table("fixed").selectExpr("input_file_name() as f").collect()}
+    assert len(files) == 5  # one bucket has all rows, and five tasks wrote it
