@@ -75,7 +75,7 @@ def postings_of(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     Chunks without tokens have one row without a term, so that averages count them.  A chunk's own tokens are
     counted within its row: nothing is shuffled.
     """
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.array_sort(code_tokens(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.sort_array(code_tokens(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
     # in a sorted list a term's count is where its run ends less where it begins
     ends = F.expr("filter(transform(t, (x, i) -> if(i = size(t) - 1 or t[i + 1] <> x, i + 1, 0)), i -> i > 0)")
     runs = tokens.select("chunk_id", *keep, "dl", "t", ends.alias("ends"))
@@ -95,10 +95,11 @@ def lifted(idf: Column, mean: float) -> Column:
 
 
 def index_of(postings: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Bm25Index:
-    """Statistics of stored postings. keep(frame, name) stores the table of terms and returns it read back."""
-    n, total = postings.where("head").agg(F.count("*"), F.sum("dl")).first()
-    raw = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("_idf", raw_idf(n))
-    raw = keep(raw, "terms") if keep else raw
+    """Statistics of postings, all from one grouping by term. keep(frame, name) stores its small table and returns it read back; without it the postings are read for each use."""
+    by = postings.groupBy("term").agg(F.count("*").alias("df"), F.count_if("head").alias("n"), F.sum(F.when(F.col("head"), F.col("dl"))).alias("length"))
+    by = keep(by, "terms") if keep else by
+    n, total = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("length")).first()
+    raw = by.where("term is not null").select("term", "df", raw_idf(n).alias("_idf"))
     mean = raw.agg(F.avg("_idf")).first()[0] or 0.0
     terms = raw.select("term", "df", lifted(F.col("_idf"), mean).alias("idf"))
     return Bm25Index(postings, terms, n, (total or 0) / n if n else 0.0)
@@ -110,21 +111,33 @@ def build_bm25(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] |
     return index_of(keep(postings, "postings") if keep else postings, keep)
 
 
+#: Chunks and queries, about, that one task scores against each other.
+CHUNKS_A_PART, QUERIES_A_PART = 8192, 1024
+
+
 def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int | None = None, scope: DataFrame | None = None, normalise: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank): positive scores only, best first, divided by the best one.
 
-    queries: (query_id, query).  scope: chunk_ids to keep, after scoring: statistics stay the corpus's own.
-    Only postings of the queries' terms are read on, and only their buckets from a stored index.
+    queries: (query_id, query).  scope: chunk_ids to keep; statistics stay the corpus's own.
+    Only postings of the queries' terms are read on, and only their buckets from a stored index.  They are regrouped by
+    chunk, once for each block of queries, and a task scores its chunks for all of a block's queries and gives the best of
+    each: what moves are postings and the best, never pairs of a query and a chunk.
     """
     top_k = top_k or get_settings().bm25_top_k
+    parts, blocks = max(1, -(-index.n_chunks // CHUNKS_A_PART)), max(1, -(-queries.count() // QUERIES_A_PART))
     asked = queries.select("query_id", F.explode(code_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(index.terms.select("term", "idf"), "term").withColumn("bucket", bucket())
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    weighted = asked.join(index.terms.select("term", "idf"), "term").select("block", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("w"))
+    number = F.row_number().over(Window.partitionBy("block").orderBy("term"))  # of a block's terms
+    terms = weighted.select("block", "term").distinct().withColumn("t", number).withColumn("bucket", bucket())
     tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avg_length or 1.0)))
-    hits = index.postings.join(_bounded(weighted), ["bucket", "term"])
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
-    if scope is not None:
-        scored = scored.join(scope.select("chunk_id"), "chunk_id", "left_semi")
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avg_length or 1.0)))
+    postings = index.postings if scope is None else index.postings.join(_bounded(scope.select("chunk_id").distinct(), 16), "chunk_id", "left_semi")
+    hits = postings.join(_bounded(terms), ["bucket", "term"])
+    hits = hits.select("block", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), "chunk_id", "t", part.alias("x"))
+    weights = weighted.join(terms.select("block", "term", "t"), ["block", "term"]).select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "t", "query_id", "w")
+    shape = f"query_id {dict(weights.dtypes)['query_id']}, chunk_id {dict(hits.dtypes)['chunk_id']}, score double"
+    scored = hits.groupBy("block", "part").cogroup(weights.groupBy("block", "part")).applyInArrow(_best_of(top_k), shape)
     best = rank_by(scored, top_k, _near(), F.asc("chunk_id"))
     if not normalise:
         return best.select("query_id", "chunk_id", "score", "rank")
@@ -132,6 +145,54 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int | None = None,
     return best.select("query_id", "chunk_id", (F.col("score") / top).alias("score"), "rank")
 
 
+def _best_of(k: int) -> Callable:
+    """Of chunks' hits (chunk_id, t, x) and queries' weights (t, query_id, w): each query's best k positive scores, and by the least id of those that agree."""
+
+    def score(hits, weights):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names = ["query_id", "chunk_id", "score"]
+        kinds = [weights.schema.field("query_id").type, hits.schema.field("chunk_id").type, pa.float64()]
+
+        def coded(column):
+            """The different values in order, and each row's place among them."""
+            d = column.combine_chunks().dictionary_encode()
+            d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+            order = pc.sort_indices(d.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            return d.dictionary.take(order), place[d.indices.to_numpy()]
+
+        found = []
+        if hits.num_rows and weights.num_rows:
+            chunks, row = coded(hits["chunk_id"])
+            asked, q = coded(weights["query_id"])
+            t, by_term = hits["t"].to_numpy(), np.argsort(hits["t"].to_numpy(), kind="stable")
+            row, x, t = row[by_term], hits["x"].to_numpy()[by_term], t[by_term]
+            by_query = np.argsort(q, kind="stable")
+            q, w, wanted = q[by_query], weights["w"].to_numpy()[by_query], weights["t"].to_numpy()[by_query]
+            first, last = np.searchsorted(t, wanted, "left"), np.searchsorted(t, wanted, "right")
+            bounds = np.searchsorted(q, np.arange(len(asked) + 1))
+            for n in range(len(asked)):
+                total = np.zeros(len(chunks))
+                for i in range(bounds[n], bounds[n + 1]):
+                    if last[i] > first[i]:
+                        total += np.bincount(row[first[i] : last[i]], x[first[i] : last[i]] * w[i], len(chunks))
+                some = np.flatnonzero(total > 0)
+                near = np.round(total[some], dense.DIGITS)
+                if len(some) > k:
+                    least = -np.partition(-near, k - 1)[k - 1]
+                    equal = near == least
+                    some = some[(near > least) | (equal & (np.cumsum(equal) <= k))]
+                if len(some):
+                    found.append(pa.table([asked.take(pa.array(np.full(len(some), n))), chunks.take(pa.array(some)), pa.array(total[some])], names))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], kind) for kind in kinds], names)
+
+    return score
+
+
 def fusion_key(key: str = "content_hash") -> Column:
     """What makes results one: the content's hash (or the chunk's id), else the path and the first 80 characters."""
     fallback = F.concat(F.coalesce("file_path", F.lit("")), F.lit("::"), F.substring(F.coalesce("content", F.lit("")), 1, 80))

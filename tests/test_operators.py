@@ -362,3 +362,25 @@ def test_first_links_make_each_pair_once_and_shuffle_none(spark):
     assert len(got) == len(want) and {tuple(r)[:4]: r["topic"] for r in got} == want
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]  # nothing is grouped above the join that makes the pairs
+
+
+def test_bm25_scores_chunks_by_part_as_pairs_would(spark, monkeypatch):
+    """Several parts and blocks give what a join of each query's terms with the postings gives, ties by id, and no pair is shuffled."""
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(30)] + ["common"] * 6
+    texts = [(f"c{k:03d}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for k in range(120)] + [(f"d{k}", "word1 common word2") for k in range(30)]
+    chunks_, asked = spark.createDataFrame(texts, "chunk_id string, content string"), spark.createDataFrame([(f"q{k}", " ".join(rng.choice(words) for _ in range(5))) for k in range(9)] + [("none", "zzzz"), ("empty", "")], "query_id string, query string")
+    index = search.build_bm25(chunks_)
+    terms = asked.select("query_id", F.explode(search.code_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / index.avg_length))
+    pairs = index.postings.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    scope = chunks_.where("chunk_id >= 'c050'").select("chunk_id")
+    monkeypatch.setattr(search, "CHUNKS_A_PART", 16)
+    monkeypatch.setattr(search, "QUERIES_A_PART", 3)
+    for some, within in ((pairs, None), (pairs.join(scope, "chunk_id", "left_semi"), scope)):
+        want = search.rank_by(some, 7, search._near(), F.asc("chunk_id"))
+        found = search.bm25_search(index, asked, 7, within, normalise=False)
+        rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 8)) for r in df.collect())
+        assert rows(found) == rows(want) and found.count() > 50
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [query_id" not in plan.split("FlatMapCoGroups")[0]
