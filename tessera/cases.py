@@ -577,9 +577,10 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
         given = {"chunk_id": F.lpad(col("chunk_id"), 12, "0"), "embedding": letters(F.col("content"))}
         kinds = dict(c.split() for c in CHUNKS.split(", "))
         change = Index(spark, path).store.begin()
-        change.replace("chunks", d.select(*[given.get(c, F.col(c) if c in d.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns(CHUNKS)]))
+        files = d.count()
+        change.replace("chunks", d.select(*[given.get(c, F.col(c) if c in d.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns(CHUNKS)]), files)
         stored = change.table("chunks")
-        put_bm25(change, stored, stored.limit(0), stored.limit(0), lambda df: df)
+        put_bm25(change, stored, stored.limit(0), stored.limit(0), lambda df: df.persist(), files)
         change.commit()
 
     return Index(spark, store.once(spark, "index", sf_dir, build))

@@ -40,12 +40,13 @@ def retrieve(index: Index, queries: DataFrame, top_k: int | None = None, repo: s
         related = traverse.related_files(matches, g["files"], edges, s.graph_max_hops)
         lists.append(search.graph_chunks(chunks if scope is None else chunks.where(scope), related, top_k))
     keyed = chunks.select("chunk_id", (F.col("chunk_id") if key == "chunk_id" else search.fusion_key(key)).alias("key"))
-    fused = search.rrf_fuse([d.join(keyed, "chunk_id") for d in lists], top_k, counts=True)
+    # what was found is small beside the chunks, which stay where they are
+    fused = search.rrf_fuse([keyed.join(search._bounded(d), "chunk_id") for d in lists], top_k, counts=True)
     asked = [True, use_bm25, use_graph]
     spread = [F.col("found")[sum(asked[:i])] if asked[i] else F.lit(0) for i in range(3)]
     fused = fused.withColumn("found", F.array(*[c.cast("int") for c in spread]))
     shown = chunks.select("chunk_id", "repo_name", "file_path", "content")
-    return fused.join(shown, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    return shown.join(search._bounded(fused), "chunk_id").join(queries.select("query_id", "query"), "query_id")
 
 
 def graph_context(index: Index, queries: DataFrame) -> DataFrame:

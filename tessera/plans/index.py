@@ -133,18 +133,21 @@ class Index:
 
 
 def put_bm25(change: Change, fresh: DataFrame, gone: DataFrame, stale: DataFrame, hold: Callable[[DataFrame], DataFrame], files: int = 0) -> None:
-    """Postings of the files in ``stale`` are now those of the fresh chunks; gone: the chunks that these files had. Terms and totals follow by difference."""
-    whole = not change.has("postings")
-    new, old = search.postings_of(fresh, keep=FILE), search.postings_of(gone, keep=FILE)
-    postings = new.select(*LAYOUTS["postings"].columns)
+    """Postings of the files in ``stale`` (about so many) are now those of the fresh chunks; gone: the chunks that these files had. Terms and totals follow by difference."""
+    postings = search.postings_of(fresh, keep=FILE).select(*LAYOUTS["postings"].columns)
     df = lambda rows, sign: rows.where("term is not null").select("term", F.lit(sign).alias("d"))
-    touched = hold(df(new, 1).unionByName(df(old, -1)).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0"))
     each = lambda rows, sign: rows.where("head").select(F.lit(sign).alias("n"), (F.col("dl") * sign).alias("dl"))
-    n, total = each(new, 1).unionByName(each(old, -1)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    if whole:
-        change.replace("postings", postings)
-        change.replace("terms", touched.select("term", F.col("d").alias("df")), groups=touched.count())
+    totals = lambda rows: rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    if not change.has("postings"):  # texts are read once, and the rest follows from what was written
+        change.replace("postings", postings, files)
+        new = change.table("postings")
+        terms = hold(df(new, 1).groupBy("term").agg(F.sum("d").alias("df")))
+        change.replace("terms", terms, groups=terms.count())
+        n, total = totals(each(new, 1))
     else:
+        new, old = postings, search.postings_of(gone, keep=FILE)
+        touched = hold(df(new, 1).unionByName(df(old, -1)).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0"))
+        n, total = totals(each(new, 1).unionByName(each(old, -1)))
         before = change.table("bm25_stats").first()
         n, total = n + before["n_chunks"], total + before["total_length"]
         change.replace_groups("postings", stale, postings)
@@ -207,7 +210,7 @@ def _bring_up(change: Change, files: DataFrame, hold: Callable[[DataFrame], Data
     fresh = hold(chunking.split_documents(changed).drop("_doc_id", "_content_hash").withColumn("embedding", embedder(F.col("content"))))
     old = hold(change.lookup("chunks", stale).select("chunk_id", "content", *FILE))
     fresh.count()  # once, for the tables that are written side by side
-    change.together(lambda: put_bm25(change, fresh, old, stale, hold), lambda: put("chunks", fresh.select(*columns(CHUNKS))))
+    change.together(lambda: put_bm25(change, fresh, old, stale, hold, n_changed), lambda: put("chunks", fresh.select(*columns(CHUNKS))))
 
     node_ids = None
     if use_graph:
