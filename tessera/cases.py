@@ -26,6 +26,15 @@ def col(name: str):
     return F.col(name).cast("string")
 
 
+#: Rows of a table, about, from which one task makes and reads files.
+ROWS_A_TASK = 5000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table in as many tasks as the files that are made from its rows take: its own few bytes would be read by one."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK)))
+
+
 # --- text functions --------------------------------------------------------------------
 
 
@@ -62,7 +71,7 @@ def call_sites(spark, sf_dir):
         .when(F.col("p_partkey") % 7 == 4, text('p.produce( "topic.', k, "\", v); c.subscribe([ 'in-", k, "', 'other'])"))
         .otherwise(text('requests.head("http://h/', k, '"); called("http://h/", ', k, '); c.subscribe("in")'))
     )
-    found = table(spark, sf_dir, "part").select("p_partkey", code.alias("c"), F.lit(".py").alias("t")).select("p_partkey", call_links("c", "t").alias("l"))
+    found = dealt(table(spark, sf_dir, "part")).select("p_partkey", code.alias("c"), F.lit(".py").alias("t")).select("p_partkey", call_links("c", "t").alias("l"))
     of = lambda kind: F.array_join(F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["value"]), " ")
     return found.select("p_partkey", of("http").alias("urls"), of("made").alias("produced"), of("used").alias("consumed"))
 
@@ -180,7 +189,7 @@ def symbol_chunks(spark, sf_dir):
         F.struct(text("b", k, ".py").alias("file_path"), F.lit(".py").alias("file_type"), F.lit(" \n").alias("content")),
         F.struct(text("s", k, ".js").alias("file_path"), F.lit(".js").alias("file_type"), text("// c\nclass K", k, " { a() { return /[{]/; } }\n").alias("content")),
     )
-    f = table(spark, sf_dir, "supplier").select(F.lit("r").alias("repo_name"), F.explode(files).alias("f")).select("repo_name", "f.*")
+    f = dealt(table(spark, sf_dir, "supplier")).select(F.lit("r").alias("repo_name"), F.explode(files).alias("f")).select("repo_name", "f.*")
     return chunks.split_documents(f).select("file_path", "chunk_index", "symbol_name", "symbol_type", F.col("start_line"), "end_line", "content")
 
 
@@ -223,7 +232,7 @@ def python_records(spark, sf_dir):
     k = col("s_suppkey")
     code = text("import os\nfrom .mod", k, " import thing, other as o\nclass C", k, '(Base, pkg.Mix):\n    """  Doc ', k, F.repeat(F.lit("y"), 450), '  """\n    async def run(self):\n        pass\n@app.get("/s/', k, '")\ndef f', k, '():\n    def inner(): pass\n@app.route("/r/', k, '", methods=["post", "PUT"])\nasync def g', k, "(): pass\n@app.route('/plain')\ndef h(): return 1\n")
     both = F.array(F.struct(text("f", k, ".py").alias("file_path"), code.alias("content")), F.struct(text("bad", k, ".py").alias("file_path"), F.lit("def f(:").alias("content")), F.struct(text("none", k, ".py").alias("file_path"), F.lit("").alias("content")))
-    f = table(spark, sf_dir, "supplier").select(F.lit("r").alias("repo_name"), F.lit(".py").alias("file_type"), F.explode(both).alias("f")).select("repo_name", "file_type", "f.*")
+    f = dealt(table(spark, sf_dir, "supplier")).select(F.lit("r").alias("repo_name"), F.lit(".py").alias("file_type"), F.explode(both).alias("f")).select("repo_name", "file_type", "f.*")
     return _records(f)
 
 
@@ -281,7 +290,7 @@ def script_shapes(spark, sf_dir):
     members = F.array_join(F.transform(F.when(key % 4 > 0, F.sequence(F.lit(0), (key % 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>")), member), "")
     arrow = text("const f", k, F.when(key % 2 == 1, " = async ({a}, b = (1)) => {}\n").otherwise(": (x: string) => {y: 1} = <T>(x: T[]): x is [T] => ({y: 1});\n"))
     code = text(pick(_BEFORE), "\nexport class K", k, pick(_HEADS), " {\n", members, "}\n", arrow, F.when(key % 5 == 0, text("app.get('/p/", k, "', auth(), f", k, ")\n")).otherwise("go(function no() {})\n"))
-    f = table(spark, sf_dir, "part").select(F.lit("r").alias("repo_name"), text("f", k, ".ts").alias("file_path"), F.lit(".ts").alias("file_type"), code.alias("content"))
+    f = dealt(table(spark, sf_dir, "part")).select(F.lit("r").alias("repo_name"), text("f", k, ".ts").alias("file_path"), F.lit(".ts").alias("file_type"), code.alias("content"))
     return symbols.extract_symbols(f).select("file_path", "seq", "kind", "name", F.coalesce("parent", "handler").alias("parent"), "start_line", "end_line", "is_async")
 
 
@@ -385,7 +394,7 @@ select 'CROSS_REPO_CALL' as type, sha256(f.repo || '::' || f.path) as src, sha25
 union all select 'CROSS_REPO_CALL', sha256(f.repo || '::' || f.path), sha256(e.repo || '::' || e.path), 'kafka', 't' || f.k, 1.0::double from f join e on (f.k + 1) % 25 = e.k where f.repo <> e.repo""")
 def cross_repo_calls(spark, sf_dir):
     """Callers of other repositories' endpoints, by the path's tail, and producers for their topics."""
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    s, n = dealt(table(spark, sf_dir, "supplier")), table(spark, sf_dir, "nation")
     k = (F.col("s_suppkey") % 25).cast("string")
     calls = text('requests.get("http://x/api/n/', k, '?q=1"); p.produce("t', k, '", 1)')
     f = s.select(F.concat(F.lit("s"), col("s_nationkey")).alias("repo_name"), F.concat(F.lit("c"), col("s_suppkey"), F.lit(".py")).alias("file_path"), calls.alias("content"))

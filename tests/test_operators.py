@@ -384,3 +384,13 @@ def test_bm25_scores_chunks_by_part_as_pairs_would(spark, monkeypatch):
         assert rows(found) == rows(want) and found.count() > 50
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [query_id" not in plan.split("FlatMapCoGroups")[0]
+
+
+def test_files_made_from_a_small_table_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tessera import cases
+
+    spark.range(1, 101).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(cases, "ROWS_A_TASK", 10)
+    found = cases.script_shapes(spark, str(tmp_path)).where("kind = 'class'").withColumn("task", F.spark_partition_id())
+    by = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert sum(by) == 100 and len(by) == 10
