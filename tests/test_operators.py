@@ -394,3 +394,22 @@ def test_files_made_from_a_small_table_are_read_by_many_tasks(spark, tmp_path, m
     found = cases.script_shapes(spark, str(tmp_path)).where("kind = 'class'").withColumn("task", F.spark_partition_id())
     by = [r["count"] for r in found.groupBy("task").count().collect()]
     assert sum(by) == 100 and len(by) == 10
+
+
+def test_edges_are_made_distinct_as_numbers_and_named_afterwards(spark):
+    from tessera import queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    edges, imports = plan(queries._edges(spark, "/root/testdata/sf0.001")), plan(queries._imports(spark, "/root/testdata/sf0.001")[1])
+    assert edges.count("Aggregate [") == 6 and "Aggregate [type" not in edges
+    assert "Aggregate [l_orderkey" in imports and "Aggregate [type" not in imports and "Aggregate [src" not in imports
+
+
+def test_a_stored_table_is_sized_without_computing_its_rows(spark, monkeypatch):
+    from tessera import queries
+    from tessera.sources.layers import Layout
+
+    rows = spark.range(5).selectExpr("id as k")
+    monkeypatch.setattr(rows, "count", lambda: pytest.fail("the rows were counted"))
+    stored = queries.layered(spark, "sized test", Layout("k long", ("k",), ("k",)), rows, lambda change: (spark.range(2).selectExpr("id as k"), spark.range(1).selectExpr("id as k")), sized=spark.range(5))
+    assert sorted(r["k"] for r in stored.collect()) == [0, 2, 3, 4]
