@@ -52,8 +52,9 @@ def upsert_vertices(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Adds edges that aren't there by (type, src, dst); of equal new ones the first by line stays."""
-    first = F.row_number().over(Window.partitionBy("type", "src", "dst").orderBy(F.col("line").asc_nulls_last()))
-    fresh = new.withColumn("_n", first).where("_n = 1").drop("_n")
+    # the hash leads, so that sorting compares numbers and looks at names only where they agree
+    first = F.row_number().over(Window.partitionBy("_h", "type", "src", "dst").orderBy(F.col("line").asc_nulls_last()))
+    fresh = new.withColumn("_h", F.xxhash64("type", "src", "dst")).withColumn("_n", first).where("_n = 1").drop("_h", "_n")
     return old.unionByName(fresh.join(old, ["type", "src", "dst"], "left_anti"))
 
 

@@ -23,6 +23,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial, reduce
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
@@ -38,6 +39,8 @@ SIDE_BY_SIDE = 6
 MOST_LAYERS = 16
 #: Groups in a bucket, about, when a table is written whole, and buckets at most.
 GROUPS_A_BUCKET, MOST_BUCKETS = 4096, 256
+#: Groups that a task writes at most, about: above MOST_BUCKETS tasks each gets more of them, up to this.
+GROUPS_A_TASK = 262_144
 
 
 class Conflict(RuntimeError):
@@ -78,9 +81,12 @@ class Snapshot:
         shown = [*layout.columns, *([F.col("_bucket").alias(with_bucket)] if with_bucket else [])]
         if entry is None:
             return self.spark.createDataFrame([], f"{layout.schema}, _bucket int").select(*shown)
-        base = self._base(layout, entry, buckets)
         if not entry["layers"]:
-            return base.select(*shown)
+            return self._base(layout, entry, buckets).select(*shown)
+        # only buckets that a layer touches are compared with it
+        touched = self._touched(layout, entry)
+        own = [int(b) for b in entry["base"] if buckets is None or int(b) in buckets]
+        base, rest = self._base(layout, entry, [b for b in own if b in touched]), [b for b in own if b not in touched]
         group = list(layout.group)
         layered = self._layers(layout, entry)
         marks = layered.where("_mark").groupBy(*group).agg(F.max("_layer").alias("_last"))
@@ -89,7 +95,14 @@ class Snapshot:
         fresh = layered.where("not _mark").join(marks, group).where((F.col("_layer") == F.col("_last")) & (F.col("_layer") > folded))
         if buckets is not None:
             fresh = fresh.where(F.col("_bucket").isin(buckets))
-        return stay.select(*shown).unionByName(fresh.select(*shown))
+        shows = stay.select(*shown).unionByName(fresh.select(*shown))
+        return self._base(layout, entry, rest).select(*shown).unionByName(shows) if rest else shows
+
+    def _touched(self, layout: Layout, entry: dict) -> set[int]:
+        """The buckets whose base rows a layer may stand above."""
+        if not set(layout.bucket) <= set(layout.group):  # a mark's group may have rows in any bucket
+            return set(range(entry["n"]))
+        return {int(b) for k, _, rows in entry["layers"] for b in rows if k > entry["folded"].get(b, 0)}
 
     def lookup(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows that agree with a row of keys in its columns; where these tell the bucket, only such buckets are read."""
@@ -132,19 +145,30 @@ class Change(Snapshot):
         self._made.append(f"{name}/{uuid.uuid4().hex}")
         return self._made[-1]
 
-    def replace(self, name: str, rows: DataFrame, groups: int = 0) -> None:
-        """The table's whole content; groups: about how many there are, which sets the number of buckets."""
+    def replace(self, name: str, rows: DataFrame, groups: int = 0, sized: DataFrame | None = None) -> None:
+        """The table's whole content; groups: about how many there are, which sets the number of buckets.
+
+        sized: about the same rows, if they are cheap to count; where a bucket holds many groups of one value, each is then dealt by its own size.
+        """
         layout = self.store.layouts[name]
         n = layout.buckets or min(MOST_BUCKETS, -(-groups // GROUPS_A_BUCKET) or 1)
+        sizes = dict.fromkeys(range(n), -(-groups // n))
+        if sized is not None and set(layout.group) - set(layout.bucket):
+            sizes = dict(sized.groupBy(_bucket(layout, n)).count().collect())  # a row for each bucket
         entry = {"n": n, "base": {}, "folded": {}, "layers": [], "last": 0}
-        self._write_base(entry, layout, rows.select(*layout.columns, _bucket(layout, n).alias("_bucket")), name, max(1, -(-groups // (n * GROUPS_A_BUCKET))))
+        self._write_base(entry, layout, rows.select(*layout.columns, _bucket(layout, n).alias("_bucket")), name, sizes)
         self._tables[name] = entry
 
-    def _write_base(self, entry: dict, layout: Layout, rows: DataFrame, name: str, pieces: int = 1) -> None:
-        """pieces: tasks that write a bucket, so that none has more than a bounded number of groups."""
+    def _write_base(self, entry: dict, layout: Layout, rows: DataFrame, name: str, sizes: dict[int, int]) -> None:
+        """sizes: about how many groups a bucket gets; tasks share a bucket, so that none has more than a bounded number of them."""
         at = self._place(name)
-        piece = F.pmod(F.xxhash64(*layout.group), F.lit(pieces)).cast("int") if pieces > 1 else F.lit(0)
-        rows.repartitionById(entry["n"] * pieces, F.col("_bucket") * pieces + piece).write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
+        most = min(GROUPS_A_TASK, max(GROUPS_A_BUCKET, sum(sizes.values()) // MOST_BUCKETS))
+        pieces = [-(-sizes.get(b, 0) // most) or 1 for b in range(entry["n"])]
+        before = [0, *accumulate(pieces)]
+        of = lambda numbers: F.array(*[F.lit(k) for k in numbers])[F.col("_bucket")]
+        # not the hash that tells the bucket, of which a bucket has few remainders
+        piece = F.pmod(F.hash(*layout.group), of(pieces)) if max(pieces) > 1 else F.lit(0)
+        rows.repartitionById(before[-1], of(before) + piece).write.partitionBy("_bucket").parquet(f"{self.store.path}/{at}")
         written = self.spark.read.schema(f"{layout.schema}, _bucket int").parquet(f"{self.store.path}/{at}")
         counted = [(0, written.count())] if entry["n"] == 1 else written.groupBy("_bucket").count().collect()  # a row for each bucket
         entry["base"] |= {str(b): [at, k] for b, k in counted if k}
@@ -190,9 +214,8 @@ class Change(Snapshot):
         if not due:
             return
         merged = self.table(name, due, "_b").withColumnRenamed("_b", "_bucket")
-        for b in due:
-            entry["base"].pop(str(b), None)
-        self._write_base(entry, layout, merged, name)
+        sizes = {b: entry["base"].pop(str(b), [None, 0])[1] + in_layers.get(str(b), 0) for b in due}
+        self._write_base(entry, layout, merged, name, sizes)
         entry["folded"] |= {str(b): entry["last"] for b in due}
         least = min(entry["folded"].get(str(b), 0) for b in range(entry["n"]))
         entry["layers"] = [x for x in entry["layers"] if x[0] > least]

@@ -153,3 +153,44 @@ def test_first_groups_of_a_table_are_dealt_into_buckets(spark, tmp_path, monkeyp
     assert found._tables["rows"]["n"] == 10 and found.table("rows").count() == found.table("fixed").count() == 100
     files = {r["f"] for r in found.table("fixed").selectExpr("input_file_name() as f").collect()}
     assert len(files) == 5  # one bucket has all rows, and five tasks wrote it
+
+
+def test_large_tables_are_written_by_few_tasks_that_share_every_bucket(spark, tmp_path, monkeypatch):
+    """Above MOST_BUCKETS tasks each takes more groups up to a bound, whether buckets are even or one has nearly all rows."""
+    monkeypatch.setattr(layers, "GROUPS_A_BUCKET", 10)
+    monkeypatch.setattr(layers, "MOST_BUCKETS", 4)
+    monkeypatch.setattr(layers, "GROUPS_A_TASK", 50)
+    store = Store(spark, str(tmp_path / "t"), {"even": Layout("k long, v string", ("k",), ("k",)), "typed": Layout("k long, v string", ("v", "k"), ("v",))})
+    even, typed = spark.range(1000).selectExpr("id as k", "'v' as v"), spark.range(1000).selectExpr("id as k", "if(id < 990, 'many', 'few') as v")
+    change = store.begin()
+    change.replace("even", even, groups=1000)
+    change.replace("typed", typed, groups=1000, sized=typed)
+    change.commit()
+    found = store.snapshot()
+    files = lambda name: [r["count"] for r in found.table(name).selectExpr("input_file_name() as f").groupBy("f").count().collect()]
+    assert len(files("even")) == 20 and max(files("even")) < 100 and sum(files("even")) == 1000
+    assert len(files("typed")) in (20, 21) and max(files("typed")) < 100 and sum(files("typed")) == 1000
+
+
+def test_only_touched_buckets_are_compared_with_layers(spark, tmp_path, monkeypatch):
+    """A bucket that no layer touches is read as it is; where a bucket isn't told by the group, all are compared."""
+    store = Store(spark, str(tmp_path / "t"), {"rows": Layout("type string, k long, v string", ("type", "k"), ("type",), 64), "loose": Layout("type string, k long, v string", ("k",), ("type",), 64)})
+    rows = spark.range(40).selectExpr("concat('t', id % 4) as type", "id as k", "'old' as v")
+    change = store.begin()
+    for name in ("rows", "loose"):
+        change.replace(name, rows, groups=40)
+    change.commit()
+    change = store.begin()
+    new = spark.createDataFrame([("t1", 1, "new"), ("t1", 99, "new")], "type string, k long, v string")
+    change.replace_groups("rows", new.union(spark.createDataFrame([("t1", 5, "")], new.schema)), new)  # t1's 5 goes
+    change.replace_groups("loose", spark.createDataFrame([(2,)], "k long"), new.where("k = 99").selectExpr("type", "2L as k", "v"))
+    change.commit()
+    found, read = store.snapshot(), []
+    base = found._base
+    monkeypatch.setattr(found, "_base", lambda layout, entry, buckets: read.append(set(buckets)) or base(layout, entry, buckets))
+    want = {("t1", 99, "new")} | {(f"t{k % 4}", k, "new" if k == 1 else "old") for k in range(40) if k != 5}
+    table = found.table("rows")
+    assert {tuple(r) for r in table.collect()} == want and table.count() == 40
+    assert [len(b) for b in read] == [1, 3]
+    assert {tuple(r) for r in found.lookup("rows", spark.createDataFrame([("t1", 99), ("t1", 5), ("t2", 2)], "type string, k long")).collect()} == {("t1", 99, "new"), ("t2", 2, "old")}
+    assert {tuple(r) for r in found.table("loose").collect()} == {(f"t{k % 4}", k, "old") for k in range(40) if k != 2} | {("t1", 2, "new")}

@@ -413,3 +413,18 @@ def test_a_stored_table_is_sized_without_computing_its_rows(spark, monkeypatch):
     monkeypatch.setattr(rows, "count", lambda: pytest.fail("the rows were counted"))
     stored = queries.layered(spark, "sized test", Layout("k long", ("k",), ("k",)), rows, lambda change: (spark.range(2).selectExpr("id as k"), spark.range(1).selectExpr("id as k")), sized=spark.range(5))
     assert sorted(r["k"] for r in stored.collect()) == [0, 2, 3, 4]
+
+
+def test_edges_dedup_compares_no_type_that_its_layer_does_not_touch(spark, monkeypatch):
+    """Each edge comes once; orders' edges, nearly all there are, are read beside the join with the layer."""
+    from tessera import queries
+    from tessera.sources import layers
+
+    sides, base = [], layers.Snapshot._base
+    monkeypatch.setattr(layers.Snapshot, "_base", lambda self, layout, entry, buckets: sides.append(base(self, layout, entry, buckets)) or sides[-1])
+    found = queries.edges_dedup(spark, "/root/testdata/sf0.001")
+    want = queries._edges(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    compared, read = sides[-2:]
+    assert {r["type"] for r in compared.select("type").distinct().collect()} == {"IN_REGION"}
+    assert {r["type"] for r in read.select("type").distinct().collect()} == {"ORDERED_BY", "HAS_PART", "FROM_SUPPLIER"}
