@@ -428,3 +428,19 @@ def test_edges_dedup_compares_no_type_that_its_layer_does_not_touch(spark, monke
     compared, read = sides[-2:]
     assert {r["type"] for r in compared.select("type").distinct().collect()} == {"IN_REGION"}
     assert {r["type"] for r in read.select("type").distinct().collect()} == {"ORDERED_BY", "HAS_PART", "FROM_SUPPLIER"}
+
+
+def test_first_links_pair_lists_of_files(spark, monkeypatch):
+    """Files of a repository with the same topics meet as lists, cut at a bound, and each pair comes once; a file without a name stays."""
+    monkeypatch.setattr(linker, "FILES_A_LIST", 4, raising=False)
+    rows = [(f"r{k % 2}", f"f{k:02d}" if k else None, t) for k in range(30) for t in ("a", "b", f"c{k % 3}")[k % 2 :]]
+    made = spark.createDataFrame(rows, "repo_name string, file_path string, topic string")
+    found = linker.first_links(made, made.withColumnsRenamed({"repo_name": "to_repo", "file_path": "to_path"}))
+    want = {}
+    for (a, b, t), (c, d, u) in itertools.product(rows, rows):
+        if t == u and a != c:
+            want[a, b, c, d] = min(t, want.get((a, b, c, d), t))
+    got = found.collect()
+    assert len(got) == len(want) == 450 and {tuple(r)[:4]: r["topic"] for r in got} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan[: plan.index("Join")].count("Generate explode(") == 2
