@@ -137,6 +137,7 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int | None = None,
     hits = hits.select("block", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), "chunk_id", "t", part.alias("x"))
     weights = weighted.join(terms.select("block", "term", "t"), ["block", "term"]).select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "t", "query_id", "w")
     shape = f"query_id {dict(weights.dtypes)['query_id']}, chunk_id {dict(hits.dtypes)['chunk_id']}, score double"
+    weights = weights.toDF(*weights.columns)  # columns of its own, as both sides come from terms
     scored = hits.groupBy("block", "part").cogroup(weights.groupBy("block", "part")).applyInArrow(_best_of(top_k), shape)
     best = rank_by(scored, top_k, _near(), F.asc("chunk_id"))
     if not normalise:
